@@ -35,7 +35,7 @@ class RangeRule:
 class SourceContract:
     """Declared shape of one raw text source.
 
-    ``day_column``, ``amount_column`` and ``repeat_columns`` are for ledgers.
+    The day, amount, kind and repeat columns are for ledgers.
     ``summaries`` are customer columns that repeat a ledger measure: count,
     total, first or last.
     """
@@ -49,6 +49,7 @@ class SourceContract:
     flag_column: str | None = None
     day_column: str | None = None
     amount_column: str | None = None
+    kind_column: str | None = None
     repeat_columns: Sequence[str] = ()
     summaries: Mapping[str, str] = field(default_factory=dict)
     expected_rows: int | None = None
@@ -248,5 +249,6 @@ TRANSACTIONS = SourceContract(
     categories={"type": TRANSACTION_KINDS},
     day_column="date",
     amount_column="amount",
+    kind_column="type",
     repeat_columns=("customer_id", "date", "amount", "type"),
 )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,9 +26,8 @@ def null_label(column: Column) -> Column:
     return F.coalesce(normalised(column), F.lit(NULL_LABEL))
 
 
-def lenient_cast(column: Column, data_type: T.DataType) -> Column:
-    """Cast text, giving NULL for values that do not fit the type."""
-    text = normalised(column)
+def lenient_cast(text: Column, data_type: T.DataType) -> Column:
+    """Cast normalised text, giving NULL for values that do not fit the type."""
     if isinstance(data_type, T.StringType):
         return text
     cast = text.try_cast(data_type)
@@ -37,20 +38,36 @@ def lenient_cast(column: Column, data_type: T.DataType) -> Column:
     return cast
 
 
-def strict_cast(column: Column, data_type: T.DataType, label: str) -> Column:
-    """Cast text, failing the job on a value that does not fit the type."""
-    text = normalised(column)
+def strict_cast(text: Column, data_type: T.DataType, label: str) -> Column:
+    """Cast normalised text, failing the job on a value that does not fit the type."""
     if isinstance(data_type, T.StringType):
         return text
     message = F.concat(
         F.lit(f"{label} holds a value that is not {data_type.simpleString()}: "), text
     )
     return F.coalesce(
-        lenient_cast(column, data_type),
+        lenient_cast(text, data_type),
         F.when(text.isNotNull(), F.raise_error(message)).cast(data_type),
     )
 
 
-def parse_failed(column: Column, data_type: T.DataType) -> Column:
-    """True where there is text but it does not fit the type."""
-    return normalised(column).isNotNull() & lenient_cast(column, data_type).isNull()
+def normalise_table(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as normalised text, each trimmed once for all that follows."""
+    return raw.select(*[normalised(F.col(name)).alias(name) for name in columns])
+
+
+def lenient_table(raw: DataFrame, types: Mapping[str, T.DataType]) -> DataFrame:
+    """Normalised text and, next to it as ``<name>__typed``, the leniently cast values."""
+    return normalise_table(raw, list(types)).select(
+        "*",
+        *[
+            lenient_cast(F.col(name), kind).alias(typed_name(name))
+            for name, kind in types.items()
+            if not isinstance(kind, T.StringType)
+        ],
+    )
+
+
+def typed_name(name: str) -> str:
+    """Name of the typed column next to a text column."""
+    return f"{name}__typed"

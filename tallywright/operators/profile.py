@@ -19,34 +19,32 @@ from tallywright.functions.frames import literal_rows, turn_to_rows
 from tallywright.functions.numbers import count_where
 from tallywright.functions.text import (
     NULL_LABEL,
-    lenient_cast,
-    normalised,
+    lenient_table,
+    normalise_table,
     null_label,
-    parse_failed,
+    typed_name,
 )
 
 
 def null_counts(columns: Sequence[str]) -> dict[str, Column]:
-    """Aggregates counting missing or empty text per column."""
-    return {name: count_where(normalised(F.col(name)).isNull()) for name in columns}
+    """Aggregates over normalised text counting missing values per column."""
+    return {name: F.count("*") - F.count(name) for name in columns}
 
 
 def parse_failures(types: Mapping[str, T.DataType]) -> dict[str, Column]:
-    """Aggregates counting values that do not fit their type, per typed column."""
+    """Aggregates over a lenient table counting unparseable values per typed column."""
     return {
-        name: count_where(parse_failed(F.col(name), kind))
+        name: F.count(name) - F.count(typed_name(name))
         for name, kind in types.items()
         if not isinstance(kind, T.StringType)
     }
 
 
-def range_violations(
-    rules: Sequence[RangeRule], types: Mapping[str, T.DataType]
-) -> dict[str, Column]:
-    """Aggregates counting values outside each range; NULL breaks no rule."""
+def range_violations(rules: Sequence[RangeRule]) -> dict[str, Column]:
+    """Aggregates over a lenient table counting values out of range; NULL breaks no rule."""
     counted = {}
     for rule in rules:
-        value = lenient_cast(F.col(rule.column), types[rule.column])
+        value = F.col(typed_name(rule.column))
         low = F.lit(False) if rule.low is None else value < rule.low
         high = F.lit(False) if rule.high is None else value > rule.high
         counted[rule.name] = count_where(low | high)
@@ -55,19 +53,22 @@ def range_violations(
 
 def null_profile(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Missing or empty values per column."""
-    return _measure(raw, null_counts(columns), "column_name", "null_count")
+    table = normalise_table(raw, columns)
+    return _measure(table, null_counts(columns), "column_name", "null_count")
 
 
 def parse_profile(raw: DataFrame, types: Mapping[str, T.DataType]) -> DataFrame:
     """Values that do not parse, per typed column."""
-    return _measure(raw, parse_failures(types), "column_name", "parse_failures")
+    table = lenient_table(raw, types)
+    return _measure(table, parse_failures(types), "column_name", "parse_failures")
 
 
 def range_profile(
     raw: DataFrame, rules: Sequence[RangeRule], types: Mapping[str, T.DataType]
 ) -> DataFrame:
     """Values out of range, per rule."""
-    return _measure(raw, range_violations(rules, types), "rule", "violations")
+    table = lenient_table(raw, {rule.column: types[rule.column] for rule in rules})
+    return _measure(table, range_violations(rules), "rule", "violations")
 
 
 def category_profile(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -127,12 +128,11 @@ def key_profile(raw: DataFrame, column: str, data_type: T.DataType) -> DataFrame
     An id that does not parse is not distinct from anything, so it counts as a
     repeated row; the parse profile tells how many of those there are.
     """
-    key = lenient_cast(F.col(column), data_type)
-    empty = normalised(F.col(column)).isNull()
+    table = lenient_table(raw, {column: data_type})
     # One row per id first: the id that fills the table is one row from then on.
     return (
-        raw.groupBy(key.alias("id"))
-        .agg(F.count("*").alias("n"), count_where(empty).alias("empty"))
+        table.groupBy(F.col(typed_name(column)).alias("id"))
+        .agg(F.count("*").alias("n"), null_counts([column])[column].alias("empty"))
         .agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
             F.coalesce(F.sum("empty"), F.lit(0)).alias("null_ids"),
@@ -171,11 +171,11 @@ def ledger_profile(
 
 
 def source_measures(contract: SourceContract) -> list[Column]:
-    """All row-by-row counts of one source as aggregates, one struct per kind."""
+    """All row-by-row counts of one source as aggregates over its lenient table."""
     kinds = {
         "nulls": null_counts(contract.columns),
         "parse_failures": parse_failures(contract.types),
-        "ranges": range_violations(contract.ranges, contract.types),
+        "ranges": range_violations(contract.ranges),
     }
     structs = [
         F.struct(*[value.alias(name) for name, value in counts.items()]).alias(kind)
@@ -185,6 +185,18 @@ def source_measures(contract: SourceContract) -> list[Column]:
     return [F.count("*").alias("row_count"), *structs]
 
 
+def struct_total(struct: str, names: Sequence[str]) -> Column:
+    """Sum over fields of a struct of counts."""
+    values = F.array(*[F.col(struct)[name] for name in names])
+    return F.aggregate(values, F.lit(0).cast("bigint"), lambda total, value: total + value)
+
+
+def struct_positive(struct: str, names: Sequence[str]) -> Column:
+    """How many fields of a struct of counts are above zero."""
+    values = F.array(*[F.col(struct)[name] for name in names])
+    return F.size(F.filter(values, lambda value: value > 0))
+
+
 def required_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """NULLs per required column of a typed table."""
     counts = {name: count_where(F.col(name).isNull()) for name in columns}

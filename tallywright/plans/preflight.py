@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.contracts import BANK_OBSERVED, BIGINT, CUSTOMERS, TRANSACTIONS, SourceContract
-from tallywright.functions.text import lenient_cast
+from tallywright.functions.text import lenient_cast, lenient_table, normalised, typed_name
 from tallywright.operators import profile, relationships
 from tallywright.operators.checks import (
     WARNING,
@@ -32,9 +32,13 @@ from tallywright.sources.raw_text import (
 from tallywright.sources.scratch import stage
 
 
+# Room for the checks of one source in the running ordinals.
+FILE_CHECKS = 6
+
+
 def typed(contract: SourceContract, column: str) -> Column:
     """A raw column with its declared type, NULL where it does not fit."""
-    return lenient_cast(F.col(column), contract.types[column])
+    return lenient_cast(normalised(F.col(column)), contract.types[column])
 
 
 # -- measures: one row per subject -------------------------------------------
@@ -42,7 +46,7 @@ def typed(contract: SourceContract, column: str) -> Column:
 
 def customer_measures(raw: DataFrame, contract: SourceContract) -> DataFrame:
     """What the customer checks need, one row."""
-    rows = raw.agg(*profile.source_measures(contract))
+    rows = lenient_table(raw, contract.types).agg(*profile.source_measures(contract))
     keys = profile.key_profile(raw, contract.id_column, contract.types[contract.id_column])
     frequencies = profile.category_profile(raw, list(contract.categories))
     unexpected = profile.unexpected_categories(frequencies, contract.categories)
@@ -53,10 +57,10 @@ def ledger_measures(
     raw: DataFrame, contract: SourceContract, observed: tuple[date, date]
 ) -> DataFrame:
     """What the ledger checks need, one row."""
-    day, amount = typed(contract, contract.day_column), typed(contract, contract.amount_column)
+    day, amount = (F.col(typed_name(c)) for c in (contract.day_column, contract.amount_column))
     described = profile.ledger_measures(day, amount, observed)
     described.pop("row_count")
-    rows = raw.agg(
+    rows = lenient_table(raw, contract.types).agg(
         *profile.source_measures(contract),
         *[value.alias(name) for name, value in described.items()],
     )
@@ -77,7 +81,7 @@ def raw_per_customer(raw: DataFrame, contract: SourceContract) -> DataFrame:
     """The raw ledger as one row per customer id."""
     return relationships.ledger_per_customer(
         raw,
-        lenient_cast(F.col(contract.id_column), BIGINT),
+        lenient_cast(normalised(F.col(contract.id_column)), BIGINT),
         typed(contract, contract.day_column),
         typed(contract, contract.amount_column),
     )
@@ -87,7 +91,7 @@ def relationship_measures(
     customers_raw: DataFrame, customers: SourceContract, per_customer: DataFrame
 ) -> DataFrame:
     """What the relationship checks need, one row."""
-    key = lenient_cast(F.col(customers.id_column), BIGINT)
+    key = lenient_cast(normalised(F.col(customers.id_column)), BIGINT)
     summaries = {
         name: (_summary_value(customers, name, measure), measure)
         for name, measure in customers.summaries.items()
@@ -108,7 +112,7 @@ def relationship_measures(
 def customer_checks(measured: DataFrame, contract: SourceContract) -> tuple[DataFrame, int]:
     """Parseability, key, categories and ranges of the customers."""
     key = contract.key
-    ranges = [F.col("ranges")[rule.name] for rule in contract.ranges]
+    rules = [rule.name for rule in contract.ranges]
     checks = [
         _parseability(contract),
         check(
@@ -120,15 +124,15 @@ def customer_checks(measured: DataFrame, contract: SourceContract) -> tuple[Data
         ),
         _categories(contract),
     ]
-    if ranges:
+    if rules:
         checks.append(
             check(
                 f"{key}.business_ranges",
-                _sum(ranges) == 0,
+                profile.struct_total("ranges", rules) == 0,
                 breach=WARNING,
                 good="All values lie within their ranges.",
                 bad="Some values lie outside their ranges.",
-                metrics={rule.name: F.col("ranges")[rule.name] for rule in contract.ranges},
+                metrics={name: F.col("ranges")[name] for name in rules},
             )
         )
     return check_rows(measured, checks), len(checks)
@@ -137,7 +141,7 @@ def customer_checks(measured: DataFrame, contract: SourceContract) -> tuple[Data
 def ledger_checks(measured: DataFrame, contract: SourceContract) -> tuple[DataFrame, int]:
     """Parseability, required values, categories, ranges and repeats of the ledger."""
     key = contract.key
-    missing = _sum([F.col("nulls")[name] for name in contract.columns])
+    missing = profile.struct_total("nulls", contract.columns)
     odd = ["zero_amount_rows", "negative_amount_rows", "dates_outside_observation_window"]
     checks = [
         _parseability(contract),
@@ -279,8 +283,9 @@ def run_preflight(
     manifest = stage(source_manifest(files, contracts), "manifest")
     run.profiles = {"files": files, "manifest": manifest}
     run.manifest = {row["source_key"]: row for row in manifest.collect()}
-    for contract in contracts:
-        run.checks += file_checks(files, manifest, contract).orderBy("check_ordinal").collect()
+    run.checks += stack_checks(
+        [(file_checks(files, manifest, contract), FILE_CHECKS) for contract in contracts]
+    ).orderBy("check_ordinal").collect()
     if run.failed:
         return run
 
@@ -408,20 +413,21 @@ def scan_check(scanned: DataFrame) -> DataFrame:
 
 
 def _summary_value(contract: SourceContract, column: str, measure: str) -> Column:
-    return lenient_cast(F.col(column), BIGINT) if measure == "count" else typed(contract, column)
+    kind = BIGINT if measure == "count" else contract.types[column]
+    return lenient_cast(normalised(F.col(column)), kind)
 
 
 def _parseability(contract: SourceContract) -> Column:
-    fields = profile.parse_failures(contract.types)
-    failures = [F.col("parse_failures")[name] for name in fields]
+    fields = list(profile.parse_failures(contract.types))
+    failed = profile.struct_total("parse_failures", fields)
     return check(
         f"{contract.key}.schema_parseability",
-        _sum(failures) == 0,
+        failed == 0,
         good="Every value fits its declared type.",
         bad="Some values do not fit their declared type.",
         metrics={
-            "failed_values": _sum(failures),
-            "affected_columns": _sum([(failure > 0).cast("int") for failure in failures]),
+            "failed_values": failed,
+            "affected_columns": profile.struct_positive("parse_failures", fields),
         },
     )
 

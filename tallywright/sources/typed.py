@@ -7,23 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywright.contracts import LedgerColumns, SourceContract
-from tallywright.functions.text import strict_cast
+from tallywright.functions.text import normalise_table, normalised, strict_cast
 from tallywright.operators.repeats import flag_repeats
 from tallywright.operators.rowkey import SOURCE_TAGS, number_rows
 from tallywright.sources.scratch import stage
 
-# Ledger columns and the raw columns they come from.
-LEDGER_FROM_RAW = {
-    "customer_id": "customer_id",
-    "transaction_date": "date",
-    "amount_cop": "amount",
-    "transaction_type": "type",
-}
-
-
 def typed_columns(raw: DataFrame, contract: SourceContract) -> DataFrame:
     """Every column with its declared type; a value that does not fit fails the job."""
-    return raw.select(
+    return normalise_table(raw, contract.columns).select(
         *[
             strict_cast(F.col(name), kind, f"{contract.key}.{name}").alias(name)
             for name, kind in contract.types.items()
@@ -40,12 +31,12 @@ def typed_ledger(
     written once; the flag and the key are then added by joins against short
     lists, so the rows themselves are not shuffled.
     """
-    names = dict(zip((columns.customer, columns.day, columns.amount, columns.kind),
-                     LEDGER_FROM_RAW.values(), strict=True))
     typed = staged.select(
         *[
-            strict_cast(F.col(raw), contract.types[raw], f"{contract.key}.{raw}").alias(name)
-            for name, raw in names.items()
+            strict_cast(
+                normalised(F.col(raw)), contract.types[raw], f"{contract.key}.{raw}"
+            ).alias(name)
+            for name, raw in _raw_names(contract, columns).items()
         ],
         *SOURCE_TAGS,
     )
@@ -55,14 +46,26 @@ def typed_ledger(
     return number_rows(flagged, columns.row_key)
 
 
-def ledger_schema(contract: SourceContract, columns: LedgerColumns = LedgerColumns()) -> T.StructType:
+def ledger_schema(
+    contract: SourceContract, columns: LedgerColumns = LedgerColumns()
+) -> T.StructType:
     """Names and types of the typed ledger, in order."""
-    raw = list(LEDGER_FROM_RAW.values())
-    names = (columns.customer, columns.day, columns.amount, columns.kind)
     return T.StructType(
         [
             T.StructField(columns.row_key, T.LongType()),
-            *[T.StructField(n, contract.types[r]) for n, r in zip(names, raw, strict=True)],
+            *[
+                T.StructField(name, contract.types[raw])
+                for name, raw in _raw_names(contract, columns).items()
+            ],
             T.StructField(columns.repeat_flag, T.BooleanType()),
         ]
     )
+
+
+def _raw_names(contract: SourceContract, columns: LedgerColumns) -> dict[str, str]:
+    return {
+        columns.customer: contract.id_column,
+        columns.day: contract.day_column,
+        columns.amount: contract.amount_column,
+        columns.kind: contract.kind_column,
+    }
