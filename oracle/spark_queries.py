@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from oracle import ledgers as L
 from tallywright.functions.text import lenient_table, typed_name
 from tallywright.operators import profile, recency, relationships, repeats, rowkey, summaries
-from tallywright.operators.checks import status_counts
+from tallywright.operators.checks import check_frame, status_counts
 from tallywright.operators.fingerprint import fingerprint
 from tallywright.plans.analysis import run_analysis
 from tallywright.plans.build import build
 from tallywright.plans.health import inspect_health
-from tallywright.plans.preflight import content_checks
+from tallywright.plans.preflight import check_contents
 from tallywright.sources import raw_text
 from tallywright.sources.reports import json_ready, two_decimals
 from tallywright.sources.scratch import scratch_path
@@ -395,14 +395,14 @@ def fingerprint_customers(spark, sf_dir):
 
 @query
 def check_report(spark, sf_dir):
-    checks = content_checks(
+    checks, _ = check_contents(
         L.customer_text(spark, sf_dir),
         L.faulty_ledger_text(spark, sf_dir),
-        L.RAW_CUSTOMERS,
-        L.RAW_LEDGER,
-        L.OBSERVED,
+        customers=L.RAW_CUSTOMERS,
+        ledger=L.RAW_LEDGER,
+        observed=L.OBSERVED,
     )
-    return checks.select("check_ordinal", "check_code", "status")
+    return check_frame(spark, checks).select("check_ordinal", "check_code", "status")
 
 
 @query

@@ -1,15 +1,19 @@
-"""Check rows: ordinal, code, status, message and metrics as JSON.
+"""Checks: code, status, message and metrics.
 
-A check is written as a struct over a one-row DataFrame of measures, so all the
-checks that read the same measures cost one pass.
+Spark reduces the data to a row of measures; whether a check holds is then a
+matter of comparing a few numbers, which the driver does. Check rows become a
+DataFrame again to be stored, counted and reported.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
+import json
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass, field
+from datetime import date
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,86 +31,61 @@ CHECK_SCHEMA = T.StructType(
 )
 
 
-def check(
-    code: str,
-    holds: Column,
-    *,
-    breach: str = FAIL,
-    good: str,
-    bad: str | Column,
-    metrics: Mapping[str, Column],
-) -> Column:
-    """One check; a condition that is NULL does not hold."""
-    held = F.coalesce(holds, F.lit(False))
-    return F.struct(
-        F.lit(code).alias("check_code"),
-        F.when(held, PASS).otherwise(breach).alias("status"),
-        F.when(held, good).otherwise(bad).alias("message"),
-        metrics_json(metrics).alias("metrics"),
-    )
+@dataclass(frozen=True)
+class Check:
+    """Outcome of one check."""
 
+    code: str
+    status: str
+    message: str
+    metrics: Mapping[str, object] = field(default_factory=dict)
 
-def metrics_json(metrics: Mapping[str, Column]) -> Column:
-    """Metrics as JSON with sorted keys, NULL values kept."""
-    fields = [metrics[name].alias(name) for name in sorted(metrics)]
-    if not fields:
-        return F.lit("{}")
-    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    @property
+    def failed(self) -> bool:
+        return self.status == FAIL
 
 
-def as_text(column: Column) -> Column:
-    """A decimal or date as the text reports show, so JSON keeps it exactly."""
-    return column.cast("string")
+def check(
+    code: str, holds: object, good: str, bad: str, *, breach: str = FAIL, **metrics: object
+) -> Check:
+    """A check that passes or is breached; an unknown (NULL) condition is a breach."""
+    if holds:
+        return Check(code, PASS, good, metrics)
+    return Check(code, breach, bad, metrics)
 
 
-def check_rows(measured: DataFrame, checks: Sequence[Column] | Column) -> DataFrame:
-    """The checks over a one-row DataFrame of measures, numbered from 1."""
-    listed = checks if isinstance(checks, Column) else F.array(*checks)
-    return measured.select(F.posexplode(listed).alias("place", "row")).select(
-        (F.col("place") + 1).alias("check_ordinal"), "row.*"
-    )
+def has_failures(checks: Iterable[Check]) -> bool:
+    """Whether any blocking check failed."""
+    return any(found.failed for found in checks)
 
 
-def fixed_check(
-    spark: SparkSession, code: str, status: str, message: str, **metrics: object
-) -> DataFrame:
-    """A check whose outcome the driver knows already."""
-    values = {name: F.lit(value) for name, value in metrics.items()}
-    return spark.range(1).select(
-        F.lit(1).alias("check_ordinal"),
-        F.lit(code).alias("check_code"),
-        F.lit(status).alias("status"),
-        F.lit(message).alias("message"),
-        metrics_json(values).alias("metrics"),
-    )
+def measure(*parts: DataFrame) -> dict[str, object]:
+    """The measures of several one-row DataFrames, by name."""
+    measured: dict[str, object] = {}
+    for part in parts:
+        measured.update(part.first().asDict(recursive=True))
+    return measured
 
 
-def join_measures(parts: Sequence[DataFrame]) -> DataFrame:
-    """One-row DataFrames of measures side by side."""
-    return reduce(lambda left, right: left.crossJoin(F.broadcast(right)), parts)
+def pick(measured: Mapping[str, object], *names: str) -> dict[str, object]:
+    """Some measures under their own names."""
+    return {name: measured[name] for name in names}
 
 
-def stack_checks(groups: Sequence[tuple[DataFrame, int]]) -> DataFrame:
-    """Groups of checks as one DataFrame with running ordinals.
-
-    Each group comes with the number of checks it has.
-    """
-    stacked, before = [], 0
-    for group, size in groups:
-        stacked.append(group.withColumn("check_ordinal", F.col("check_ordinal") + before))
-        before += size
-    return reduce(DataFrame.unionByName, stacked)
+def metrics_json(metrics: Mapping[str, object]) -> str:
+    """Metrics as JSON: sorted keys, decimals as text, dates as ISO text."""
+    return json.dumps(
+        metrics, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=_json_value
+    )
 
 
-def numbered(spark: SparkSession, rows: Sequence[Row]) -> DataFrame:
-    """Collected check rows as a DataFrame with ordinals from 1."""
-    return spark.createDataFrame(
-        [
-            (ordinal, row["check_code"], row["status"], row["message"], row["metrics"])
-            for ordinal, row in enumerate(rows, start=1)
-        ],
-        CHECK_SCHEMA,
-    )
+def check_frame(spark: SparkSession, checks: Iterable[Check]) -> DataFrame:
+    """Checks as a DataFrame with ordinals from 1."""
+    rows = [
+        (ordinal, found.code, found.status, found.message, metrics_json(found.metrics))
+        for ordinal, found in enumerate(checks, start=1)
+    ]
+    return spark.createDataFrame(rows, CHECK_SCHEMA)
 
 
 def status_counts(checks: DataFrame) -> DataFrame:
@@ -121,6 +100,11 @@ def status_counts(checks: DataFrame) -> DataFrame:
     return checks.agg(F.array(*counts).alias("counts")).select(F.inline("counts"))
 
 
-def has_failures(rows: Sequence[Row]) -> bool:
-    """Whether any blocking check failed."""
-    return any(row["status"] == FAIL for row in rows)
+def _json_value(value: object) -> object:
+    if isinstance(value, Decimal):
+        return format(value, "f")
+    if isinstance(value, date):
+        return value.isoformat()
+    if isinstance(value, Row):
+        return value.asDict(recursive=True)
+    raise TypeError(f"{type(value).__name__} has no JSON form")

@@ -185,18 +185,6 @@ def source_measures(contract: SourceContract) -> list[Column]:
     return [F.count("*").alias("row_count"), *structs]
 
 
-def struct_total(struct: str, names: Sequence[str]) -> Column:
-    """Sum over fields of a struct of counts."""
-    values = F.array(*[F.col(struct)[name] for name in names])
-    return F.aggregate(values, F.lit(0).cast("bigint"), lambda total, value: total + value)
-
-
-def struct_positive(struct: str, names: Sequence[str]) -> Column:
-    """How many fields of a struct of counts are above zero."""
-    values = F.array(*[F.col(struct)[name] for name in names])
-    return F.size(F.filter(values, lambda value: value > 0))
-
-
 def required_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """NULLs per required column of a typed table."""
     counts = {name: count_where(F.col(name).isNull()) for name in columns}

@@ -269,34 +269,31 @@ def activity_grid(working: DataFrame, windows: RecencyWindows, *, cells: int = 4
     points = enough.groupBy(prior.alias("prior"), recent.alias("recent")).agg(
         F.count("*").alias("n")
     )
-    cap = points.agg(
+    axes = points.agg(
         F.greatest(
             F.percentile("prior", F.lit(0.99), F.col("n")),
             F.percentile("recent", F.lit(0.99), F.col("n")),
         ).alias("limit"),
         F.sum("n").alias("population"),
     ).select(F.ceil("limit").cast("bigint").alias("axis_cap"), "population")
-    inside = points.crossJoin(F.broadcast(cap)).filter(
-        (F.col("prior") <= F.col("axis_cap")) & (F.col("recent") <= F.col("axis_cap"))
-    )
+    # Scalar subqueries: known before the grid is filled, like literals.
+    cap, population = axes.select("axis_cap").scalar(), axes.select("population").scalar()
+    inside = points.filter((F.col("prior") <= cap) & (F.col("recent") <= cap))
 
     def cell(name: str) -> Column:
-        position = F.expr(f"{name} * {cells} div nullif(axis_cap, 0)")
+        position = F.floor(F.col(name) * cells / F.nullif(cap, F.lit(0).cast("bigint")))
         return F.coalesce(F.least(position, F.lit(cells - 1)), F.lit(0)).cast("bigint")
 
     grid = inside.groupBy(
-        cell("prior").alias("prior_cell"),
-        cell("recent").alias("recent_cell"),
-        "axis_cap",
-        "population",
+        cell("prior").alias("prior_cell"), cell("recent").alias("recent_cell")
     ).agg(F.sum("n").alias("customers"))
     kept = F.sum("customers").over(W.partitionBy())
     return grid.withColumn("kept", kept).select(
         "prior_cell",
         "recent_cell",
         "customers",
-        "axis_cap",
-        percentage(F.col("kept"), F.col("population")).alias("kept_pct"),
+        cap.alias("axis_cap"),
+        percentage(F.col("kept"), population).alias("kept_pct"),
     )
 
 

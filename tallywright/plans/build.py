@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import platform
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from datetime import date
+from datetime import UTC, date, datetime
 from uuid import uuid4
 
-from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import pyspark
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,46 +22,47 @@ from tallywright.contracts import (
     SourceContract,
 )
 from tallywright.functions.numbers import count_where
-from tallywright.operators import relationships
+from tallywright.operators import profile, relationships
 from tallywright.operators.checks import (
     CHECK_SCHEMA,
-    FAIL,
-    PASS,
     WARNING,
-    as_text,
+    Check,
     check,
-    check_rows,
-    fixed_check,
+    check_frame,
     has_failures,
-    join_measures,
-    numbered,
+    measure,
+    pick,
 )
 from tallywright.operators.repeats import flag_integrity
 from tallywright.operators.rowkey import row_key_integrity
-from tallywright.plans.preflight import Preflight, run_preflight
+from tallywright.plans.preflight import Measures, Preflight, run_preflight
 from tallywright.sources.typed import ledger_schema, typed_columns, typed_ledger
 from tallywright.sources.versions import Version, publish, published_version
 
-BUILD_INFO_COLUMNS = [
-    "build_id",
-    "built_at_utc",
-    "source_key",
-    "dataset_name",
-    "dataset_version",
-    "dataset_source_url",
-    "source_filename",
-    "source_sha256",
-    "source_byte_size",
-    "source_row_count",
-    "loaded_schema",
-    "loaded_table",
-    "loaded_row_count",
-    "minimum_date",
-    "maximum_date",
-    "spark_version",
-    "python_version",
-]
-VALIDATION_COLUMNS = ["build_id", *CHECK_SCHEMA.names]
+BUILD_INFO = T.StructType(
+    [
+        T.StructField("build_id", T.StringType()),
+        T.StructField("built_at_utc", T.TimestampType()),
+        T.StructField("source_key", T.StringType()),
+        T.StructField("dataset_name", T.StringType()),
+        T.StructField("dataset_version", T.StringType()),
+        T.StructField("dataset_source_url", T.StringType()),
+        T.StructField("source_filename", T.StringType()),
+        T.StructField("source_sha256", T.StringType()),
+        T.StructField("source_byte_size", T.LongType()),
+        T.StructField("source_row_count", T.LongType()),
+        T.StructField("loaded_schema", T.StringType()),
+        T.StructField("loaded_table", T.StringType()),
+        T.StructField("loaded_row_count", T.LongType()),
+        T.StructField("minimum_date", T.DateType()),
+        T.StructField("maximum_date", T.DateType()),
+        T.StructField("spark_version", T.StringType()),
+        T.StructField("python_version", T.StringType()),
+    ]
+)
+VALIDATION_RESULTS = T.StructType(
+    [T.StructField("build_id", T.StringType()), *CHECK_SCHEMA.fields]
+)
 KEY_METRICS = ("null_ids", "duplicate_id_rows", "minimum_id", "maximum_id")
 FLAG_METRICS = (
     "duplicate_groups",
@@ -77,7 +79,7 @@ class BuildError(RuntimeError):
 class ValidationError(BuildError):
     """Sources or loaded tables that break a blocking check."""
 
-    def __init__(self, message: str, checks: Sequence[Row]) -> None:
+    def __init__(self, message: str, checks: Sequence[Check]) -> None:
         super().__init__(message)
         self.checks = list(checks)
 
@@ -98,11 +100,11 @@ class Build:
     version: Version
     customer_rows: int
     ledger_rows: int
-    checks: list[Row]
+    checks: list[Check]
 
     @property
     def warnings(self) -> int:
-        return sum(row["status"] == WARNING for row in self.checks)
+        return sum(found.status == WARNING for found in self.checks)
 
 
 def build(
@@ -136,83 +138,82 @@ def build(
         typed_columns(raw[customers.key], customers).write.parquet(version.customers)
         typed_ledger(raw[ledger.key], ledger, columns).write.parquet(version.ledger)
     except PySparkException as error:
-        problem = fixed_check(
-            spark,
+        problem = check(
             "database.typed_load",
-            FAIL,
+            False,
+            "",
             "A value does not fit its declared type.",
             error_type=type(error).__name__,
-        ).collect()
-        raise ValidationError(str(error), problem) from error
+        )
+        raise ValidationError(str(error), [problem]) from error
 
-    loaded = (spark.read.parquet(version.customers), spark.read.parquet(version.ledger))
-    checks = preflight.checks + post_load_checks(
-        *loaded, preflight, customers=customers, ledger=ledger, columns=columns
-    )
+    schemas = {
+        version.customers: customers.typed_schema(),
+        version.ledger: ledger_schema(ledger, columns),
+    }
+    loaded = [spark.read.parquet(path) for path in schemas]
+    measured = table_measures(*loaded, customers.id_column, columns)
+    checks = [
+        *preflight.checks,
+        *structure_checks(spark, schemas),
+        *post_load_checks(measured, preflight, (customers.key, ledger.key), columns),
+    ]
     if has_failures(checks):
-        blocking = [row for row in checks if row["status"] == FAIL]
+        blocking = [found for found in checks if found.failed]
         raise ValidationError("the loaded tables break a blocking check", blocking)
 
-    info = build_info(preflight, version, loaded, (customers.key, ledger.key), columns, dataset)
-    info.coalesce(1).write.mode("append").parquet(version.build_info)
-    results = numbered(spark, checks).select(F.lit(version.build_id).alias("build_id"), "*")
+    info = build_info(version, preflight, measured, (customers, ledger), dataset)
+    audit = spark.createDataFrame(info, BUILD_INFO)
+    audit.coalesce(1).write.mode("append").parquet(version.build_info)
+    results = check_frame(spark, checks).select(F.lit(version.build_id).alias("build_id"), "*")
     results.coalesce(1).write.mode("append").parquet(version.validation_results)
 
-    counts = [spark.read.parquet(path).count() for path in (version.customers, version.ledger)]
+    # Read once more from what will be published.
+    counts = [spark.read.parquet(path).count() for path in schemas]
     publish(spark, version)
     return Build(version, *counts, checks)
 
 
 def structure_checks(
-    spark: SparkSession, version: Version, expected: Sequence[T.StructType]
-) -> list[Row]:
-    """Whether all tables are there with the declared names, order and types.
-
-    ``expected`` holds the schemas of customers and ledger.
-    """
-    found, missing = {}, []
-    for path in version.tables:
+    spark: SparkSession, expected: Mapping[str, T.StructType]
+) -> list[Check]:
+    """Whether all tables are there with the declared names, order and types."""
+    found: dict[str, T.StructType] = {}
+    for path in expected:
         try:
             found[path] = spark.read.parquet(path).schema
-        except PySparkException:
-            missing.append(path.removeprefix(version.path))
-    present = fixed_check(
-        spark,
-        "database.schemas",
-        FAIL if missing else PASS,
-        "Tables are missing." if missing else "All tables are there.",
-        missing=",".join(missing),
-    )
-    shapes = {
-        version.customers: _shape(expected[0]),
-        version.ledger: _shape(expected[1]),
-    }
-    names = {
-        version.build_info: BUILD_INFO_COLUMNS,
-        version.validation_results: VALIDATION_COLUMNS,
-    }
-    same = (
-        not missing
-        and all(_shape(found[path]) == shape for path, shape in shapes.items())
-        and all(found[path].names == columns for path, columns in names.items())
-    )
-    definitions = fixed_check(
-        spark,
-        "database.table_definitions",
-        PASS if same else FAIL,
-        "All tables are as declared." if same else "Some tables are not as declared.",
-        **{
-            f"{path.rsplit('/', 1)[1]}_columns": len(schema.fields)
-            for path, schema in found.items()
-        },
-    )
-    return present.collect() + definitions.collect()
+        except AnalysisException:
+            continue
+    missing = [_table_name(path) for path in expected if path not in found]
+    other = [
+        _table_name(path)
+        for path, schema in found.items()
+        if _shape(schema) != _shape(expected[path])
+    ]
+    columns = {f"{_table_name(path)}_columns": len(found[path].fields) for path in found}
+    return [
+        check(
+            "database.schemas",
+            not missing,
+            "All tables are there.",
+            "Some tables are missing.",
+            missing=missing,
+        ),
+        check(
+            "database.table_definitions",
+            not missing and not other,
+            "All tables are as declared.",
+            "Some tables are not as declared.",
+            different=other,
+            **columns,
+        ),
+    ]
 
 
 def table_measures(
     customers: DataFrame, ledger: DataFrame, customer_key: str, columns: LedgerColumns
-) -> DataFrame:
-    """What the checks on a loaded pair of tables need, one row."""
+) -> dict[str, object]:
+    """What the checks on a loaded pair of tables need."""
     ids = customers.groupBy(F.col(customer_key).alias("id")).agg(F.count("*").alias("n"))
     customer_part = ids.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("customer_rows"),
@@ -220,198 +221,166 @@ def table_measures(
             "customer_null_ids"
         ),
         F.count("id").alias("customer_ids"),
-    ).withColumn("customer_duplicate_rows", F.col("customer_rows") - F.col("customer_ids"))
+    )
+    day, amount = F.col(columns.day), F.col(columns.amount)
     any_null = F.lit(False)
     for name in columns.required:
         any_null = any_null | F.col(name).isNull()
     ledger_part = ledger.agg(
-        F.sum(F.col(columns.amount).cast("decimal(38,2)")).alias("total_amount"),
-        F.min(columns.day).alias("minimum_date"),
-        F.max(columns.day).alias("maximum_date"),
+        F.sum(amount.cast("decimal(38,2)")).alias("total_amount"),
+        F.min(day).alias("minimum_date"),
+        F.max(day).alias("maximum_date"),
         count_where(any_null).alias("required_null_rows"),
-        *[count_where(F.col(name).isNull()).alias(f"{name}_nulls") for name in columns.required],
+        F.struct(
+            *[value.alias(name) for name, value in profile.null_counts(columns.required).items()]
+        ).alias("required_nulls"),
     )
     per_customer = relationships.rows_per_customer(ledger, F.col(columns.customer))
-    orphan_part = relationships.orphans(per_customer, customers, F.col(customer_key))
-    return join_measures(
-        [
-            customer_part,
-            row_key_integrity(ledger, columns.row_key),
-            ledger_part,
-            flag_integrity(ledger, columns.repeat_keys, columns.repeat_flag),
-            orphan_part.drop("orphan_ids"),
-        ]
+    return measure(
+        customer_part,
+        row_key_integrity(ledger, columns.row_key),
+        ledger_part,
+        flag_integrity(ledger, columns.repeat_keys, columns.repeat_flag),
+        relationships.orphans(per_customer, customers, F.col(customer_key)),
     )
 
 
 def post_load_checks(
-    customers_df: DataFrame,
-    ledger_df: DataFrame,
+    measured: Measures,
     preflight: Preflight,
-    *,
-    customers: SourceContract,
-    ledger: SourceContract,
+    keys: tuple[str, str],
     columns: LedgerColumns,
-) -> list[Row]:
-    """Checks of the loaded tables against their contracts and the raw sources."""
-    spark = customers_df.sparkSession
-    same = _shape(customers_df.schema) == _shape(customers.typed_schema()) and _shape(
-        ledger_df.schema
-    ) == _shape(ledger_schema(ledger, columns))
-    structure = fixed_check(
-        spark,
-        "database.table_definitions",
-        PASS if same else FAIL,
-        "The loaded tables are as declared." if same else "The loaded tables are not as declared.",
-        customer_columns=len(customers_df.columns),
-        transaction_columns=len(ledger_df.columns),
-    )
-    raw = preflight.measures[ledger.key].first()
-    rows = {key: row["data_rows"] for key, row in preflight.manifest.items()}
-    expected_total = F.lit(raw["total_amount"]).cast("decimal(38,2)")
-    first, last = F.lit(raw["minimum_date"]), F.lit(raw["maximum_date"])
-    groups, excess = F.lit(raw["duplicate_groups"]), F.lit(raw["excess_duplicate_rows"])
-    checks = [
+) -> list[Check]:
+    """Checks of the loaded tables against the raw sources."""
+    expected_customers, expected_rows = (preflight.manifest[key]["data_rows"] for key in keys)
+    raw = preflight.measures[keys[1]]
+    ledger_names = ("total_amount", "minimum_date", "maximum_date")
+    repeat_names = ("duplicate_groups", "excess_duplicate_rows")
+    return [
         check(
             "database.row_counts",
-            (F.col("customer_rows") == rows[customers.key])
-            & (F.col("row_count") == rows[ledger.key]),
-            good="As many rows were loaded as the sources have.",
-            bad="The loaded rows differ in number from the sources.",
-            metrics={
-                "expected_customers": F.lit(rows[customers.key]),
-                "loaded_customers": F.col("customer_rows"),
-                "expected_transactions": F.lit(rows[ledger.key]),
-                "loaded_transactions": F.col("row_count"),
-            },
+            measured["customer_rows"] == expected_customers
+            and measured["row_count"] == expected_rows,
+            "As many rows were loaded as the sources have.",
+            "The loaded rows differ in number from the sources.",
+            expected_customers=expected_customers,
+            loaded_customers=measured["customer_rows"],
+            expected_transactions=expected_rows,
+            loaded_transactions=measured["row_count"],
         ),
-        customer_key_check("database.customer_primary_key"),
+        customer_key_check("database.customer_primary_key", measured),
         check(
             "database.transaction_surrogate_key",
-            F.col("sequential"),
-            good="Row keys are sequential.",
-            bad="Row keys are not sequential.",
-            metrics=columns_as_metrics(*KEY_METRICS),
+            measured["sequential"],
+            "Row keys are sequential.",
+            "Row keys are not sequential.",
+            **pick(measured, *KEY_METRICS),
         ),
         check(
             "database.transaction_required_values",
-            F.col("required_null_rows") == 0,
-            good="No required value is missing.",
-            bad="Some required values are missing.",
-            metrics=columns_as_metrics(*[f"{name}_nulls" for name in columns.required]),
+            measured["required_null_rows"] == 0,
+            "No required value is missing.",
+            "Some required values are missing.",
+            **{f"{name}_nulls": n for name, n in measured["required_nulls"].items()},
         ),
-        orphan_check("database.transaction_customers"),
+        orphan_check("database.transaction_customers", measured),
         check(
             "database.transaction_ledger",
-            F.col("total_amount").eqNullSafe(expected_total)
-            & F.col("minimum_date").eqNullSafe(first)
-            & F.col("maximum_date").eqNullSafe(last),
-            good="Total and dates are those of the raw ledger.",
-            bad="Total or dates differ from the raw ledger.",
-            metrics={
-                "expected_total_amount_cop": as_text(expected_total),
-                "loaded_total_amount_cop": as_text(F.col("total_amount")),
-                "expected_minimum_date": as_text(first),
-                "loaded_minimum_date": as_text(F.col("minimum_date")),
-                "expected_maximum_date": as_text(last),
-                "loaded_maximum_date": as_text(F.col("maximum_date")),
-            },
+            pick(measured, *ledger_names) == pick(raw, *ledger_names),
+            "Total and dates are those of the raw ledger.",
+            "Total or dates differ from the raw ledger.",
+            expected_total_amount_cop=raw["total_amount"],
+            loaded_total_amount_cop=measured["total_amount"],
+            expected_minimum_date=raw["minimum_date"],
+            loaded_minimum_date=measured["minimum_date"],
+            expected_maximum_date=raw["maximum_date"],
+            loaded_maximum_date=measured["maximum_date"],
         ),
         check(
             "database.duplicate_looking_flags",
-            (F.col("flagged_rows") == F.col("rows_in_duplicate_groups"))
-            & (F.col("duplicate_groups") == groups)
-            & (F.col("excess_duplicate_rows") == excess),
-            good="Exactly the repeated rows are flagged.",
-            bad="The flags differ from the repeated rows.",
-            metrics={
-                **columns_as_metrics(*FLAG_METRICS),
-                "expected_duplicate_groups": groups,
-                "expected_excess_duplicate_rows": excess,
-            },
+            measured["flagged_rows"] == measured["rows_in_duplicate_groups"]
+            and pick(measured, *repeat_names) == pick(raw, *repeat_names),
+            "Exactly the repeated rows are flagged.",
+            "The flags differ from the repeated rows.",
+            **pick(measured, *FLAG_METRICS),
+            **{f"expected_{name}": raw[name] for name in repeat_names},
         ),
     ]
-    measured = table_measures(customers_df, ledger_df, customers.id_column, columns)
-    return structure.collect() + check_rows(measured, checks).orderBy("check_ordinal").collect()
 
 
-def customer_key_check(code: str) -> Column:
+def customer_key_check(code: str, measured: Measures) -> Check:
     """Whether every customer has an id of its own."""
+    missing = measured["customer_null_ids"]
+    repeated = measured["customer_rows"] - measured["customer_ids"]
     return check(
         code,
-        (F.col("customer_null_ids") == 0) & (F.col("customer_duplicate_rows") == 0),
-        good="Every customer has an id of its own.",
-        bad="Some customer ids are missing or occur twice.",
-        metrics={
-            "null_ids": F.col("customer_null_ids"),
-            "duplicate_id_rows": F.col("customer_duplicate_rows"),
-        },
+        missing == 0 and repeated == 0,
+        "Every customer has an id of its own.",
+        "Some customer ids are missing or occur twice.",
+        null_ids=missing,
+        duplicate_id_rows=repeated,
     )
 
 
-def orphan_check(code: str) -> Column:
+def orphan_check(code: str, measured: Measures) -> Check:
     """Whether every ledger row has a customer."""
     return check(
         code,
-        F.col("orphan_rows") == 0,
-        good="Every ledger row has a customer.",
-        bad="Some ledger rows have no customer.",
-        metrics={"orphan_transaction_rows": F.col("orphan_rows")},
+        measured["orphan_rows"] == 0,
+        "Every ledger row has a customer.",
+        "Some ledger rows have no customer.",
+        orphan_transaction_rows=measured["orphan_rows"],
     )
 
 
-def columns_as_metrics(*names: str) -> dict[str, Column]:
-    """Measures shown under their own names."""
-    return {name: F.col(name) for name in names}
-
-
 def build_info(
-    preflight: Preflight,
     version: Version,
-    loaded: tuple[DataFrame, DataFrame],
-    keys: tuple[str, str],
-    columns: LedgerColumns,
+    preflight: Preflight,
+    measured: Measures,
+    contracts: tuple[SourceContract, SourceContract],
     dataset: Dataset,
-) -> DataFrame:
+) -> list[dict[str, object]]:
     """One audit row per source."""
-    manifest = preflight.profiles["manifest"]
-    spark = manifest.sparkSession
-    no_date = F.lit(None).cast("date")
-    ranges = [(no_date, no_date), (F.min(columns.day), F.max(columns.day))]
-    tables = [
-        df.agg(
-            F.lit(key).alias("source_key"),
-            F.lit(table).alias("loaded_table"),
-            F.count("*").alias("loaded_row_count"),
-            first.alias("minimum_date"),
-            last.alias("maximum_date"),
-        )
-        for df, key, table, (first, last) in zip(
-            loaded, keys, ("customers", "transactions"), ranges, strict=True
-        )
+    now = datetime.now(UTC)
+    loaded = [
+        ("customers", measured["customer_rows"], None, None),
+        (
+            "transactions",
+            measured["row_count"],
+            measured["minimum_date"],
+            measured["maximum_date"],
+        ),
     ]
-    counted = tables[0].unionByName(tables[1])
-    return manifest.join(counted, "source_key").select(
-        F.lit(version.build_id).alias("build_id"),
-        F.current_timestamp().alias("built_at_utc"),
-        "source_key",
-        F.lit(dataset.name).alias("dataset_name"),
-        F.lit(dataset.version).alias("dataset_version"),
-        F.lit(dataset.source_url).alias("dataset_source_url"),
-        "source_filename",
-        F.col("source_hash").alias("source_sha256"),
-        F.col("byte_size").alias("source_byte_size"),
-        F.col("data_rows").alias("source_row_count"),
-        F.lit("source").alias("loaded_schema"),
-        "loaded_table",
-        "loaded_row_count",
-        "minimum_date",
-        "maximum_date",
-        F.lit(spark.version).alias("spark_version"),
-        F.lit(platform.python_version()).alias("python_version"),
-    )
+    rows = []
+    for contract, (table, count, first, last) in zip(contracts, loaded, strict=True):
+        source = preflight.manifest[contract.key]
+        rows.append(
+            {
+                "build_id": version.build_id,
+                "built_at_utc": now,
+                "source_key": contract.key,
+                "dataset_name": dataset.name,
+                "dataset_version": dataset.version,
+                "dataset_source_url": dataset.source_url,
+                "source_filename": contract.filename,
+                "source_sha256": source["source_hash"],
+                "source_byte_size": source["byte_size"],
+                "source_row_count": source["data_rows"],
+                "loaded_schema": "source",
+                "loaded_table": table,
+                "loaded_row_count": count,
+                "minimum_date": first,
+                "maximum_date": last,
+                "spark_version": pyspark.__version__,
+                "python_version": platform.python_version(),
+            }
+        )
+    return rows
 
 
 def _shape(schema: T.StructType) -> list[tuple[str, str]]:
     return [(field.name, field.dataType.simpleString()) for field in schema.fields]
 
+
+def _table_name(path: str) -> str:
+    return path.rsplit("/", 1)[1]

@@ -2,79 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from datetime import date
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.contracts import BANK_OBSERVED, BIGINT, CUSTOMERS, TRANSACTIONS, SourceContract
 from tallywright.functions.text import lenient_cast, lenient_table, normalised, typed_name
 from tallywright.operators import profile, relationships
-from tallywright.operators.checks import (
-    WARNING,
-    check,
-    check_rows,
-    has_failures,
-    join_measures,
-    stack_checks,
-)
+from tallywright.operators.checks import WARNING, Check, check, has_failures, measure, pick
 from tallywright.operators.repeats import repeat_profile
 from tallywright.sources.raw_text import (
     file_manifest,
     header_contract,
+    header_summary,
     scanned_counts,
     source_manifest,
     stage_text_table,
 )
 from tallywright.sources.scratch import stage
 
+Measures = Mapping[str, object]
 
-# Room for the checks of one source in the running ordinals.
-FILE_CHECKS = 6
-
-
-def typed(contract: SourceContract, column: str) -> Column:
-    """A raw column with its declared type, NULL where it does not fit."""
-    return lenient_cast(normalised(F.col(column)), contract.types[column])
 
+# -- measures: what Spark computes ---------------------------------------------
 
-# -- measures: one row per subject -------------------------------------------
 
-
-def customer_measures(raw: DataFrame, contract: SourceContract) -> DataFrame:
-    """What the customer checks need, one row."""
+def customer_measures(raw: DataFrame, contract: SourceContract) -> dict[str, object]:
+    """What the customer checks need."""
     rows = lenient_table(raw, contract.types).agg(*profile.source_measures(contract))
     keys = profile.key_profile(raw, contract.id_column, contract.types[contract.id_column])
-    frequencies = profile.category_profile(raw, list(contract.categories))
-    unexpected = profile.unexpected_categories(frequencies, contract.categories)
-    return join_measures([rows, keys.drop("row_count"), profile.unexpected_summary(unexpected)])
+    return measure(rows, keys, _unexpected(raw, contract))
 
 
 def ledger_measures(
     raw: DataFrame, contract: SourceContract, observed: tuple[date, date]
-) -> DataFrame:
-    """What the ledger checks need, one row."""
+) -> dict[str, object]:
+    """What the ledger checks need."""
+    table = lenient_table(raw, contract.types)
     day, amount = (F.col(typed_name(c)) for c in (contract.day_column, contract.amount_column))
     described = profile.ledger_measures(day, amount, observed)
     described.pop("row_count")
-    rows = lenient_table(raw, contract.types).agg(
+    rows = table.agg(
         *profile.source_measures(contract),
         *[value.alias(name) for name, value in described.items()],
     )
-    frequencies = profile.category_profile(raw, list(contract.categories))
-    unexpected = profile.unexpected_categories(frequencies, contract.categories)
     # Repeats are found on typed values, as in the loaded table.
-    values = raw.select(*[typed(contract, name).alias(name) for name in contract.repeat_columns])
-    return join_measures(
-        [
-            rows,
-            profile.unexpected_summary(unexpected),
-            repeat_profile(values, contract.repeat_columns),
-        ]
-    )
+    values = raw.select(*[_typed(contract, name).alias(name) for name in contract.repeat_columns])
+    repeats = repeat_profile(values, contract.repeat_columns)
+    return measure(rows, _unexpected(raw, contract), repeats)
 
 
 def raw_per_customer(raw: DataFrame, contract: SourceContract) -> DataFrame:
@@ -82,181 +60,213 @@ def raw_per_customer(raw: DataFrame, contract: SourceContract) -> DataFrame:
     return relationships.ledger_per_customer(
         raw,
         lenient_cast(normalised(F.col(contract.id_column)), BIGINT),
-        typed(contract, contract.day_column),
-        typed(contract, contract.amount_column),
+        _typed(contract, contract.day_column),
+        _typed(contract, contract.amount_column),
     )
 
 
 def relationship_measures(
     customers_raw: DataFrame, customers: SourceContract, per_customer: DataFrame
-) -> DataFrame:
-    """What the relationship checks need, one row."""
+) -> dict[str, object]:
+    """What the relationship checks need."""
     key = lenient_cast(normalised(F.col(customers.id_column)), BIGINT)
-    summaries = {
-        name: (_summary_value(customers, name, measure), measure)
-        for name, measure in customers.summaries.items()
-    }
     parts = [
         relationships.orphans(per_customer, customers_raw, key),
         relationships.childless(customers_raw, key, per_customer),
         relationships.concentration(relationships.count_distribution(per_customer)),
     ]
-    if summaries:
-        parts.append(relationships.reconcile(customers_raw, key, per_customer, summaries))
-    return join_measures(parts)
+    if customers.summaries:
+        claims = {
+            name: (_claim(customers, name, kind), kind)
+            for name, kind in customers.summaries.items()
+        }
+        parts.append(relationships.reconcile(customers_raw, key, per_customer, claims))
+    return measure(*parts)
 
 
-# -- checks over the measures -------------------------------------------------
+# -- checks: what the measures mean ---------------------------------------------
 
 
-def customer_checks(measured: DataFrame, contract: SourceContract) -> tuple[DataFrame, int]:
+def file_checks(
+    found: Measures, headers: Measures | None, contract: SourceContract
+) -> list[Check]:
+    """Presence, size, hash, header and line count of one source."""
+    key, name = contract.key, contract.filename
+    if not found["files"]:
+        return [check(f"{key}.file_exists", False, "", f"{name} is missing.")]
+    readable = check(f"{key}.file_readable", True, f"{name} is readable.", "")
+    if found["invalid_lines"] or not found["line_count"]:
+        garbled = check(
+            f"{key}.file_structure",
+            False,
+            "",
+            f"{name} is empty or not UTF-8 text.",
+            **pick(found, "line_count", "invalid_lines"),
+        )
+        return [readable, garbled]
+
+    def expected(code: str, column: str, value: object) -> list[Check]:
+        if value is None:
+            return []
+        good, bad = f"{name}: {code} is as expected.", f"{name}: {code} is not as expected."
+        observed = found[column]
+        return [
+            check(f"{key}.{code}", observed == value, good, bad, expected=value, observed=observed)
+        ]
+
+    header = check(
+        f"{key}.header",
+        headers["order_matches"],
+        f"{name} has the declared columns in order.",
+        f"{name} has other columns than declared.",
+        **headers,
+    )
+    return [
+        readable,
+        *expected("byte_size", "byte_size", contract.expected_bytes),
+        *expected("checksum", "source_hash", contract.expected_sha256),
+        header,
+        *expected("row_count", "data_rows", contract.expected_rows),
+    ]
+
+
+def customer_checks(measured: Measures, contract: SourceContract) -> list[Check]:
     """Parseability, key, categories and ranges of the customers."""
     key = contract.key
-    rules = [rule.name for rule in contract.ranges]
     checks = [
-        _parseability(contract),
+        _parseability(measured, contract),
         check(
             f"{key}.primary_key",
-            (F.col("null_ids") == 0) & (F.col("duplicate_id_rows") == 0),
-            good="Every row has an id and no id occurs twice.",
-            bad="Some ids are missing or occur twice.",
-            metrics=_columns("null_ids", "duplicate_id_rows", "distinct_ids"),
+            measured["null_ids"] == 0 and measured["duplicate_id_rows"] == 0,
+            "Every row has an id and no id occurs twice.",
+            "Some ids are missing or occur twice.",
+            **pick(measured, "null_ids", "duplicate_id_rows", "distinct_ids"),
         ),
-        _categories(contract),
+        _categories(measured, contract),
     ]
-    if rules:
+    if contract.ranges:
+        outside = measured["ranges"]
         checks.append(
             check(
                 f"{key}.business_ranges",
-                profile.struct_total("ranges", rules) == 0,
+                not any(outside.values()),
+                "All values lie within their ranges.",
+                "Some values lie outside their ranges.",
                 breach=WARNING,
-                good="All values lie within their ranges.",
-                bad="Some values lie outside their ranges.",
-                metrics={name: F.col("ranges")[name] for name in rules},
+                **outside,
             )
         )
-    return check_rows(measured, checks), len(checks)
+    return checks
 
 
-def ledger_checks(measured: DataFrame, contract: SourceContract) -> tuple[DataFrame, int]:
+def ledger_checks(measured: Measures, contract: SourceContract) -> list[Check]:
     """Parseability, required values, categories, ranges and repeats of the ledger."""
     key = contract.key
-    missing = profile.struct_total("nulls", contract.columns)
-    odd = ["zero_amount_rows", "negative_amount_rows", "dates_outside_observation_window"]
-    checks = [
-        _parseability(contract),
+    missing = sum(measured["nulls"].values())
+    odd = pick(
+        measured,
+        "zero_amount_rows",
+        "negative_amount_rows",
+        "dates_outside_observation_window",
+    )
+    return [
+        _parseability(measured, contract),
         check(
             f"{key}.required_values",
             missing == 0,
-            good="No required value is missing.",
-            bad="Some required values are missing.",
-            metrics={
-                "null_or_empty_values": missing,
-                "by_column": F.struct(
-                    *[F.col("nulls")[name].alias(name) for name in sorted(contract.columns)]
-                ),
-            },
+            "No required value is missing.",
+            "Some required values are missing.",
+            null_or_empty_values=missing,
+            by_column=measured["nulls"],
         ),
-        _categories(contract),
+        _categories(measured, contract),
         check(
             f"{key}.ranges",
-            _sum([F.col(name) for name in odd]) == 0,
+            not any(odd.values()),
+            "All dates and amounts lie within their ranges.",
+            "Some dates or amounts lie outside their ranges.",
             breach=WARNING,
-            good="All dates and amounts lie within their ranges.",
-            bad="Some dates or amounts lie outside their ranges.",
-            metrics=_columns(*odd),
+            **odd,
         ),
         check(
             f"{key}.duplicate_looking_rows",
-            F.col("excess_duplicate_rows") == 0,
+            measured["excess_duplicate_rows"] == 0,
+            "No two rows are the same.",
+            "Some rows are exact repeats.",
             breach=WARNING,
-            good="No two rows are the same.",
-            bad="Some rows are exact repeats.",
-            metrics=_columns("duplicate_groups", "excess_duplicate_rows"),
+            **pick(measured, "duplicate_groups", "excess_duplicate_rows"),
         ),
     ]
-    return check_rows(measured, checks), len(checks)
 
 
-def relationship_checks(measured: DataFrame, customers: SourceContract) -> tuple[DataFrame, int]:
+def relationship_checks(measured: Measures, customers: SourceContract) -> list[Check]:
     """Orphans, customers without rows, concentration and summary columns."""
-    mismatches = [f"{name}_mismatches" for name in customers.summaries]
     checks = [
         check(
             "relationships.transaction_customers",
-            F.col("orphan_rows") == 0,
-            good="Every ledger row has a customer.",
-            bad="Some ledger rows have no customer.",
-            metrics={
-                "orphan_transaction_rows": F.col("orphan_rows"),
-                "orphan_customer_ids": F.col("orphan_ids"),
-            },
+            measured["orphan_rows"] == 0,
+            "Every ledger row has a customer.",
+            "Some ledger rows have no customer.",
+            orphan_transaction_rows=measured["orphan_rows"],
+            orphan_customer_ids=measured["orphan_ids"],
         ),
         check(
             "relationships.customers_without_transactions",
-            F.col("customers_without_rows") == 0,
+            measured["customers_without_rows"] == 0,
+            "Every customer has ledger rows.",
+            "Some customers have no ledger rows.",
             breach=WARNING,
-            good="Every customer has ledger rows.",
-            bad="Some customers have no ledger rows.",
-            metrics={"customers_without_transactions": F.col("customers_without_rows")},
+            customers_without_transactions=measured["customers_without_rows"],
         ),
         check(
             "relationships.transaction_count_concentration",
-            ~F.col("concentrated"),
+            not measured["concentrated"],
+            "No customer has extremely many ledger rows.",
+            "A customer has extremely many ledger rows.",
             breach=WARNING,
-            good="No customer has extremely many ledger rows.",
-            bad="A customer has extremely many ledger rows.",
-            metrics={
-                **_columns("maximum", "p95", "maximum_to_p95_ratio"),
-                "review_threshold_ratio": F.lit(relationships.CONCENTRATION_LIMIT),
-            },
+            **pick(measured, "maximum", "p95", "maximum_to_p95_ratio"),
+            review_threshold_ratio=relationships.CONCENTRATION_LIMIT,
         ),
     ]
-    if mismatches:
+    if customers.summaries:
+        mismatches = pick(measured, *[f"{name}_mismatches" for name in customers.summaries])
         checks.append(
             check(
                 "relationships.publisher_derived_aggregates",
-                _sum([F.col(name) for name in mismatches]) == 0,
+                not any(mismatches.values()),
+                "The customer summary columns agree with the ledger.",
+                "Some customer summary columns disagree with the ledger.",
                 breach=WARNING,
-                good="The customer summary columns agree with the ledger.",
-                bad="Some customer summary columns disagree with the ledger.",
-                metrics=_columns("customers_compared", *mismatches),
+                customers_compared=measured["customers_compared"],
+                **mismatches,
             )
         )
-    return check_rows(measured, checks), len(checks)
+    return checks
 
 
-def content_checks(
-    customers_raw: DataFrame,
-    ledger_raw: DataFrame,
-    customers: SourceContract,
-    ledger: SourceContract,
-    observed: tuple[date, date],
-) -> DataFrame:
-    """All checks on the content of two raw tables, numbered."""
-    per_customer = stage(raw_per_customer(ledger_raw, ledger), "per_customer")
-    return stack_checks(
-        [
-            customer_checks(customer_measures(customers_raw, customers), customers),
-            ledger_checks(ledger_measures(ledger_raw, ledger, observed), ledger),
-            relationship_checks(
-                relationship_measures(customers_raw, customers, per_customer), customers
-            ),
-        ]
+def scan_check(counts: Mapping[str, Measures]) -> Check:
+    """Whether every line of every source was read as one record."""
+    names = ("expected_rows", "scanned_rows", "malformed_rows")
+    return check(
+        "files.csv_readability",
+        all(found["matches"] for found in counts.values()),
+        "Every line of the sources was read as a record.",
+        "The records read differ from the lines of the sources.",
+        sources={key: pick(found, *names) for key, found in counts.items()},
     )
 
 
-# -- the whole run ------------------------------------------------------------
+# -- the whole run ----------------------------------------------------------------
 
 
 @dataclass
 class Preflight:
     """Outcome of a preflight: checks, and what later steps reuse."""
 
-    checks: list[Row] = field(default_factory=list)
-    manifest: dict[str, Row] = field(default_factory=dict)
+    checks: list[Check] = field(default_factory=list)
+    manifest: dict[str, Measures] = field(default_factory=dict)
     tables: dict[str, DataFrame] = field(default_factory=dict)
-    measures: dict[str, DataFrame] = field(default_factory=dict)
+    measures: dict[str, Measures] = field(default_factory=dict)
     profiles: dict[str, DataFrame] = field(default_factory=dict)
 
     @property
@@ -264,6 +274,32 @@ class Preflight:
         return has_failures(self.checks)
 
 
+def check_contents(
+    customers_raw: DataFrame,
+    ledger_raw: DataFrame,
+    *,
+    customers: SourceContract,
+    ledger: SourceContract,
+    observed: tuple[date, date],
+) -> tuple[list[Check], dict[str, Measures]]:
+    """All checks on the content of two raw tables, and the measures behind them.
+
+    The ledger is reduced to one row per customer once, for all relationships.
+    """
+    per_customer = stage(raw_per_customer(ledger_raw, ledger), "per_customer")
+    measures = {
+        customers.key: customer_measures(customers_raw, customers),
+        ledger.key: ledger_measures(ledger_raw, ledger, observed),
+        "relationships": relationship_measures(customers_raw, customers, per_customer),
+    }
+    checks = [
+        *customer_checks(measures[customers.key], customers),
+        *ledger_checks(measures[ledger.key], ledger),
+        *relationship_checks(measures["relationships"], customers),
+    ]
+    return checks, measures
+
+
 def run_preflight(
     spark: SparkSession,
     directory: str,
@@ -280,43 +316,35 @@ def run_preflight(
     contracts = [customers, ledger]
     run = Preflight()
     files = stage(file_manifest(spark, directory, contracts), "files")
-    manifest = stage(source_manifest(files, contracts), "manifest")
-    run.profiles = {"files": files, "manifest": manifest}
-    run.manifest = {row["source_key"]: row for row in manifest.collect()}
-    run.checks += stack_checks(
-        [(file_checks(files, manifest, contract), FILE_CHECKS) for contract in contracts]
-    ).orderBy("check_ordinal").collect()
+    run.profiles["files"] = files
+    run.manifest = _by_source(source_manifest(files, contracts))
+    headers = _by_source(header_summary(header_contract(files, contracts)))
+    for contract in contracts:
+        found = run.manifest[contract.key]
+        run.checks += file_checks(found, headers.get(contract.key), contract)
     if run.failed:
         return run
 
     run.tables = {c.key: stage_text_table(spark, c, directory) for c in contracts}
-    scanned = scanned_counts([(c, run.tables[c.key]) for c in contracts], manifest)
-    run.checks += scan_check(scanned).collect()
+    counts = scanned_counts(
+        [(c, run.tables[c.key]) for c in contracts], source_manifest(files, contracts)
+    )
+    run.checks.append(scan_check(_by_source(counts)))
     if run.failed:
         return run
 
-    raw_customers, raw_ledger = run.tables[customers.key], run.tables[ledger.key]
-    per_customer = stage(raw_per_customer(raw_ledger, ledger), "per_customer")
-    run.measures = {
-        customers.key: stage(customer_measures(raw_customers, customers), "customer_measures"),
-        ledger.key: stage(ledger_measures(raw_ledger, ledger, observed), "ledger_measures"),
-        "relationships": stage(
-            relationship_measures(raw_customers, customers, per_customer), "relationships"
-        ),
-    }
-    groups = stack_checks(
-        [
-            customer_checks(run.measures[customers.key], customers),
-            ledger_checks(run.measures[ledger.key], ledger),
-            relationship_checks(run.measures["relationships"], customers),
-        ]
+    checks, run.measures = check_contents(
+        run.tables[customers.key],
+        run.tables[ledger.key],
+        customers=customers,
+        ledger=ledger,
+        observed=observed,
     )
-    run.checks += groups.orderBy("check_ordinal").collect()
+    run.checks += checks
     for contract in contracts:
-        categories = profile.category_profile(run.tables[contract.key], list(contract.categories))
-        run.profiles[f"{contract.key}_categories"] = categories
-        run.profiles[f"{contract.key}_measures"] = run.measures[contract.key]
-    run.profiles["relationships"] = run.measures["relationships"]
+        run.profiles[f"{contract.key}_categories"] = profile.category_profile(
+            run.tables[contract.key], list(contract.categories)
+        )
     if customers.flag_column:
         run.profiles["flag_holders"] = profile.flag_holders(
             run.profiles[f"{customers.key}_categories"], customers.flag_column
@@ -324,131 +352,45 @@ def run_preflight(
     return run
 
 
-def file_checks(files: DataFrame, manifest: DataFrame, contract: SourceContract) -> DataFrame:
-    """Presence, size, hash, header and line count of one source."""
-    key, name = contract.key, contract.filename
-    headers = header_contract(files, [contract]).agg(
-        F.count(F.when(~F.col("order_matches"), 1)).alias("odd_headers"),
-        F.max("expected_columns").alias("expected_columns"),
-        F.max("observed_columns").alias("observed_columns"),
-        F.max_by(
-            F.struct("missing_columns", "unexpected_columns"),
-            F.size("missing_columns") + F.size("unexpected_columns"),
-        ).alias("worst"),
-    )
-    measured = join_measures([manifest.filter(F.col("source_key") == key), headers])
-    present = F.col("files") > 0
-    readable = (F.col("invalid_lines") == 0) & (F.col("line_count") > 0)
+def _by_source(df: DataFrame) -> dict[str, Measures]:
+    found = [row.asDict(recursive=True) for row in df.collect()]
+    return {measured.pop("source_key"): measured for measured in found}
 
-    def expected(code: str, column: str, value: object) -> list[Column]:
-        if value is None:
-            return []
-        return [
-            check(
-                f"{key}.{code}",
-                F.col(column) == F.lit(value),
-                good=f"{name}: {code} is as expected.",
-                bad=f"{name}: {code} is not as expected.",
-                metrics={"expected": F.lit(value), "observed": F.col(column)},
-            )
-        ]
 
-    header = check(
-        f"{key}.header",
-        F.col("odd_headers") == 0,
-        good=f"{name} has the declared columns in order.",
-        bad=f"{name} has other columns than declared.",
-        metrics={
-            **_columns("expected_columns", "observed_columns"),
-            "missing_columns": F.col("worst.missing_columns"),
-            "unexpected_columns": F.col("worst.unexpected_columns"),
-            "order_matches": F.col("odd_headers") == 0,
-        },
-    )
-    whole = [
-        check(f"{key}.file_readable", present, good=f"{name} is readable.", bad="", metrics={}),
-        *expected("byte_size", "byte_size", contract.expected_bytes),
-        *expected("checksum", "source_hash", contract.expected_sha256),
-        header,
-        *expected("row_count", "data_rows", contract.expected_rows),
-    ]
-    missing = check(
-        f"{key}.file_exists", present, good="", bad=f"{name} is missing.", metrics={}
-    )
-    garbled = check(
-        f"{key}.file_structure",
-        readable,
-        good="",
-        bad=f"{name} is empty or not UTF-8 text.",
-        metrics=_columns("line_count", "invalid_lines"),
-    )
-    # A source that is missing or garbled has nothing more to check.
-    outcome = (
-        F.when(~present, F.array(missing))
-        .when(~readable, F.array(whole[0], garbled))
-        .otherwise(F.array(*whole))
-    )
-    return check_rows(measured, outcome)
+def _typed(contract: SourceContract, column: str) -> Column:
+    return lenient_cast(normalised(F.col(column)), contract.types[column])
 
 
-def scan_check(scanned: DataFrame) -> DataFrame:
-    """Whether every line of every source was read as one record."""
-    entry = F.struct("source_key", F.struct("expected_rows", "scanned_rows", "malformed_rows"))
-    measured = scanned.agg(
-        F.bool_and("matches").alias("all_match"),
-        F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("sources"),
-    )
-    return check_rows(
-        measured,
-        [
-            check(
-                "files.csv_readability",
-                F.col("all_match"),
-                good="Every line of the sources was read as a record.",
-                bad="The records read differ from the lines of the sources.",
-                metrics=_columns("sources"),
-            )
-        ],
-    )
+def _claim(contract: SourceContract, column: str, kind: str) -> Column:
+    data_type = BIGINT if kind == "count" else contract.types[column]
+    return lenient_cast(normalised(F.col(column)), data_type)
 
 
-def _summary_value(contract: SourceContract, column: str, measure: str) -> Column:
-    kind = BIGINT if measure == "count" else contract.types[column]
-    return lenient_cast(normalised(F.col(column)), kind)
+def _unexpected(raw: DataFrame, contract: SourceContract) -> DataFrame:
+    frequencies = profile.category_profile(raw, list(contract.categories))
+    unexpected = profile.unexpected_categories(frequencies, contract.categories)
+    return profile.unexpected_summary(unexpected)
 
 
-def _parseability(contract: SourceContract) -> Column:
-    fields = list(profile.parse_failures(contract.types))
-    failed = profile.struct_total("parse_failures", fields)
+def _parseability(measured: Measures, contract: SourceContract) -> Check:
+    failures = measured["parse_failures"].values()
     return check(
         f"{contract.key}.schema_parseability",
-        failed == 0,
-        good="Every value fits its declared type.",
-        bad="Some values do not fit their declared type.",
-        metrics={
-            "failed_values": failed,
-            "affected_columns": profile.struct_positive("parse_failures", fields),
-        },
+        not any(failures),
+        "Every value fits its declared type.",
+        "Some values do not fit their declared type.",
+        failed_values=sum(failures),
+        affected_columns=sum(failed > 0 for failed in failures),
     )
 
 
-def _categories(contract: SourceContract) -> Column:
+def _categories(measured: Measures, contract: SourceContract) -> Check:
     return check(
         f"{contract.key}.categories",
-        F.col("unexpected_rows") == 0,
+        measured["unexpected_rows"] == 0,
+        "All categories hold listed values only.",
+        "Some categories hold values that are not listed.",
         breach=WARNING,
-        good="All categories hold listed values only.",
-        bad="Some categories hold values that are not listed.",
-        metrics={
-            "unexpected_rows": F.col("unexpected_rows"),
-            "unexpected_values": F.col("unexpected_by_column"),
-        },
+        unexpected_rows=measured["unexpected_rows"],
+        unexpected_values=measured["unexpected_by_column"],
     )
-
-
-def _columns(*names: str) -> Mapping[str, Column]:
-    return {name: F.col(name) for name in names}
-
-
-def _sum(columns: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns, F.lit(0))

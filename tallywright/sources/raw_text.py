@@ -179,6 +179,18 @@ def header_contract(files: DataFrame, contracts: Sequence[SourceContract]) -> Da
     )
 
 
+def header_summary(headers: DataFrame) -> DataFrame:
+    """Headers per source; of several files the one that is furthest off."""
+    off = F.size("missing_columns") + F.size("unexpected_columns")
+    return headers.groupBy("source_key").agg(
+        F.max("expected_columns").alias("expected_columns"),
+        F.max_by("observed_columns", off).alias("observed_columns"),
+        F.max_by("missing_columns", off).alias("missing_columns"),
+        F.max_by("unexpected_columns", off).alias("unexpected_columns"),
+        F.bool_and("order_matches").alias("order_matches"),
+    )
+
+
 def scanned_counts(
     tables: Sequence[tuple[SourceContract, DataFrame]], manifest: DataFrame
 ) -> DataFrame:

@@ -12,7 +12,7 @@ from tallywright.sources.versions import Version, published_version, read_publis
 
 
 def codes(checks, status):
-    return {row["check_code"] for row in checks if row["status"] == status}
+    return {found.code for found in checks if found.status == status}
 
 
 @pytest.fixture(scope="module")
@@ -64,7 +64,7 @@ def test_healthy(spark, published):
         "persisted.transactions.duplicate_looking_rows",
         "persisted.relationships.publisher_derived_aggregates",
     } == codes(health.checks, "warning")
-    assert health.checks[-1]["check_code"] == "health.full_table_scan"
+    assert health.checks[-1].code == "health.full_table_scan"
 
 
 def test_existing_target_is_kept(spark, published):
