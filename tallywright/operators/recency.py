@@ -262,7 +262,8 @@ def _any(conditions: list[Column]) -> Column:
 def _only_eligible(
     activity: DataFrame, customers: DataFrame, eligible: Column, customer_key: str
 ) -> DataFrame:
-    keys = customers.filter(eligible).select(F.col(customer_key).alias("customer_id"))
+    # A customer listed many times is one row before the join.
+    keys = customers.filter(eligible).select(F.col(customer_key).alias("customer_id")).distinct()
     return activity.join(keys, "customer_id", "left_semi")
 
 

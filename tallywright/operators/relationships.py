@@ -11,8 +11,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.functions.numbers import count_where
-
 CONCENTRATION_LIMIT = 10
 
 
@@ -35,7 +33,7 @@ def rows_per_customer(ledger: DataFrame, customer: Column) -> DataFrame:
 
 def orphans(per_customer: DataFrame, customers: DataFrame, key: Column) -> DataFrame:
     """Ledger rows and ids without a customer, one row; NULL ids are orphans."""
-    known = customers.select(key.alias("customer_id"))
+    known = customers.select(key.alias("customer_id")).distinct()
     return per_customer.join(known, "customer_id", "left_anti").agg(
         F.coalesce(F.sum("ledger_count"), F.lit(0)).alias("orphan_rows"),
         F.count("customer_id").alias("orphan_ids"),
@@ -44,10 +42,9 @@ def orphans(per_customer: DataFrame, customers: DataFrame, key: Column) -> DataF
 
 def childless(customers: DataFrame, key: Column, per_customer: DataFrame) -> DataFrame:
     """Customers without ledger rows, one row."""
-    return (
-        customers.select(key.alias("customer_id"))
-        .join(per_customer.select("customer_id"), "customer_id", "left_anti")
-        .agg(F.count("*").alias("customers_without_rows"))
+    listed = customers.groupBy(key.alias("customer_id")).agg(F.count("*").alias("n"))
+    return listed.join(per_customer.select("customer_id"), "customer_id", "left_anti").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("customers_without_rows")
     )
 
 
@@ -92,15 +89,15 @@ def reconcile(
     ``summaries`` maps a name to the summary column and the ledger measure it
     repeats: count, total, first or last.
     """
-    claimed = customers.select(
-        key.alias("customer_id"),
-        *[column.alias(f"claimed_{name}") for name, (column, _) in summaries.items()],
-    )
-    differs = {
-        f"{name}_mismatches": ~F.col(f"claimed_{name}").eqNullSafe(F.col(f"ledger_{measure}"))
-        for name, (_, measure) in summaries.items()
-    }
-    return claimed.join(per_customer, "customer_id").agg(
-        F.count("*").alias("customers_compared"),
-        *[count_where(condition).alias(name) for name, condition in differs.items()],
-    )
+    claimed = {f"claimed_{name}": column for name, (column, _) in summaries.items()}
+    # Customers listed many times with the same values are one row from here on.
+    listed = customers.groupBy(
+        key.alias("customer_id"), *[column.alias(name) for name, column in claimed.items()]
+    ).agg(F.count("*").alias("n"))
+    compared = listed.join(per_customer, "customer_id")
+    counts = [F.coalesce(F.sum("n"), F.lit(0)).alias("customers_compared")]
+    for name, (_, measure) in summaries.items():
+        differs = ~F.col(f"claimed_{name}").eqNullSafe(F.col(f"ledger_{measure}"))
+        found = F.coalesce(F.sum(F.when(differs, F.col("n"))), F.lit(0))
+        counts.append(found.alias(f"{name}_mismatches"))
+    return compared.agg(*counts)

@@ -13,8 +13,6 @@ from tallywright.sources.scratch import stage
 
 # A list of repeated groups up to this long is broadcast whole.
 BROADCAST_GROUPS = 1_000_000
-# Rows that belong to groups found by broadcast are spread over this many keys.
-SPREAD = 1_024
 
 
 def repeated_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -63,35 +61,31 @@ def flag_repeats(
     large = groups.filter(F.col("copies") > smallest_large)
     small = groups.filter(F.col("copies") <= smallest_large)
     found = _matches(df, F.broadcast(_named(large, keys, "in_large")), keys, "in_large")
-    spread = F.when(
-        F.col("in_large").isNotNull(), 1 + F.monotonically_increasing_id() % SPREAD
-    ).otherwise(0)
-    found = found.withColumn("spread", spread)
-    rest = _named(small, keys, "in_small").withColumn("group_spread", F.lit(0).cast("bigint"))
-    found = _matches(found, rest, keys, "in_small", F.col("spread") == F.col("group_spread"))
+    # The place is part of the join key: rows of a large group get one each and so
+    # spread over all tasks, other rows have the place of their group.
+    place = F.when(F.col("in_large").isNotNull(), F.monotonically_increasing_id())
+    found = found.withColumn("place", place.otherwise(F.xxhash64(*keys)))
+    rest = _named(small.withColumn("place", F.xxhash64(*keys)), [*keys, "place"], "in_small")
+    found = _matches(found, rest, [*keys, "place"], "in_small")
     flagged = F.col("in_large").isNotNull() | F.col("in_small").isNotNull()
     return found.select(*df.columns, flagged.alias(flag))
 
 
 def flag_integrity(df: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
-    """The repeat profile next to the flagged rows, one row.
-
-    Flags are counted per group in the same aggregation as the rows, so one
-    pass gives both.
-    """
+    """The repeat profile next to the flagged rows, one row, from one pass."""
     groups = df.groupBy(*keys).agg(
         F.count("*").alias("copies"), count_where(F.col(flag)).alias("flagged")
     )
     repeated = F.col("copies") > 1
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0))
+
     return groups.agg(
         count_where(repeated).alias("duplicate_groups"),
-        F.coalesce(F.sum(F.when(repeated, F.col("copies") - 1)), F.lit(0)).alias(
-            "excess_duplicate_rows"
-        ),
-        F.coalesce(F.sum(F.when(repeated, F.col("copies"))), F.lit(0)).alias(
-            "rows_in_duplicate_groups"
-        ),
-        F.coalesce(F.sum("flagged"), F.lit(0)).alias("flagged_rows"),
+        total(F.when(repeated, F.col("copies") - 1)).alias("excess_duplicate_rows"),
+        total(F.when(repeated, F.col("copies"))).alias("rows_in_duplicate_groups"),
+        total(F.col("flagged")).alias("flagged_rows"),
     )
 
 
@@ -101,9 +95,7 @@ def _named(groups: DataFrame, keys: Sequence[str], mark: str) -> DataFrame:
     )
 
 
-def _matches(
-    df: DataFrame, groups: DataFrame, keys: Sequence[str], mark: str, *extra: Column
-) -> DataFrame:
+def _matches(df: DataFrame, groups: DataFrame, keys: Sequence[str], mark: str) -> DataFrame:
     # NULL keys form groups too, as they do in GROUP BY.
     same = [F.col(key).eqNullSafe(F.col(f"{mark}_{key}")) for key in keys]
-    return df.join(groups, reduce(lambda a, b: a & b, [*same, *extra]), "left")
+    return df.join(groups, reduce(lambda a, b: a & b, same), "left")

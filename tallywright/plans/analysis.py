@@ -88,7 +88,10 @@ def run_analysis(
 
 
 def write_analysis(analysis: Analysis, path: str) -> None:
-    """Write the scenario table as CSV and the other summaries as JSON."""
+    """Write relations as Parquet by customer, scenarios as CSV, the rest as JSON."""
+    relations = {"canonical": analysis.canonical, "collapsed": analysis.collapsed}
+    for name, relation in relations.items():
+        relation.orderBy("customer_id").write.parquet(f"{path}/{name}")
     for name, summary in analysis.summaries.items():
         if name == "scenarios":
             write_summary_csv(summary, f"{path}/{name}", ["data_variant", "threshold_days"])

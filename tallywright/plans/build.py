@@ -6,6 +6,7 @@ import platform
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import UTC, date, datetime
+from functools import reduce
 from uuid import uuid4
 
 import pyspark
@@ -22,7 +23,7 @@ from tallywright.contracts import (
     SourceContract,
 )
 from tallywright.functions.numbers import count_where
-from tallywright.operators import profile, relationships
+from tallywright.operators import relationships
 from tallywright.operators.checks import (
     CHECK_SCHEMA,
     WARNING,
@@ -36,6 +37,7 @@ from tallywright.operators.checks import (
 from tallywright.operators.repeats import flag_integrity
 from tallywright.operators.rowkey import row_key_integrity
 from tallywright.plans.preflight import Measures, Preflight, run_preflight
+from tallywright.sources.scratch import stage
 from tallywright.sources.typed import ledger_schema, typed_columns, typed_ledger
 from tallywright.sources.versions import Version, publish, published_version
 
@@ -222,20 +224,14 @@ def table_measures(
         ),
         F.count("id").alias("customer_ids"),
     )
-    day, amount = F.col(columns.day), F.col(columns.amount)
-    any_null = F.lit(False)
-    for name in columns.required:
-        any_null = any_null | F.col(name).isNull()
-    ledger_part = ledger.agg(
-        F.sum(amount.cast("decimal(38,2)")).alias("total_amount"),
-        F.min(day).alias("minimum_date"),
-        F.max(day).alias("maximum_date"),
-        count_where(any_null).alias("required_null_rows"),
-        F.struct(
-            *[value.alias(name) for name, value in profile.null_counts(columns.required).items()]
-        ).alias("required_nulls"),
+    per_customer = stage(_ledger_by_customer(ledger, columns), "loaded_per_customer")
+    summed = ["required_null_rows", *[f"{name}_nulls" for name in columns.required]]
+    ledger_part = per_customer.agg(
+        F.sum("total_amount").cast("decimal(38,2)").alias("total_amount"),
+        F.min("minimum_date").alias("minimum_date"),
+        F.max("maximum_date").alias("maximum_date"),
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in summed],
     )
-    per_customer = relationships.rows_per_customer(ledger, F.col(columns.customer))
     return measure(
         customer_part,
         row_key_integrity(ledger, columns.row_key),
@@ -245,6 +241,20 @@ def table_measures(
     )
 
 
+def _ledger_by_customer(ledger: DataFrame, columns: LedgerColumns) -> DataFrame:
+    """Totals, dates and missing values per customer, for orphans and ledger alike."""
+    missing = {name: F.col(name).isNull() for name in columns.required}
+    any_missing = reduce(lambda a, b: a | b, missing.values())
+    return ledger.groupBy(F.col(columns.customer).alias("customer_id")).agg(
+        F.count("*").alias("ledger_count"),
+        F.sum(F.col(columns.amount).cast("decimal(28,2)")).alias("total_amount"),
+        F.min(columns.day).alias("minimum_date"),
+        F.max(columns.day).alias("maximum_date"),
+        count_where(any_missing).alias("required_null_rows"),
+        *[count_where(condition).alias(f"{name}_nulls") for name, condition in missing.items()],
+    )
+
+
 def post_load_checks(
     measured: Measures,
     preflight: Preflight,
@@ -281,7 +291,7 @@ def post_load_checks(
             measured["required_null_rows"] == 0,
             "No required value is missing.",
             "Some required values are missing.",
-            **{f"{name}_nulls": n for name, n in measured["required_nulls"].items()},
+            **pick(measured, *[f"{name}_nulls" for name in columns.required]),
         ),
         orphan_check("database.transaction_customers", measured),
         check(

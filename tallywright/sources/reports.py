@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywright.operators.checks import status_counts
+from tallywright.operators.checks import Check, check_frame, status_counts
 
 
 def two_decimals(df: DataFrame) -> DataFrame:
@@ -39,11 +39,14 @@ def json_ready(df: DataFrame) -> DataFrame:
     return df.select(*shown)
 
 
-def write_report(checks: DataFrame, profiles: Mapping[str, DataFrame], path: str) -> None:
+def write_report(
+    spark: SparkSession, checks: Sequence[Check], profiles: Mapping[str, DataFrame], path: str
+) -> None:
     """Write checks, status counts and profiles as JSON, one folder per part.
 
     Profiles are written where they are computed; none passes through the driver.
     """
-    parts = {"summary": status_counts(checks), "checks": checks, **profiles}
+    rows = check_frame(spark, checks)
+    parts = {"summary": status_counts(rows), "checks": rows, **profiles}
     for name, part in parts.items():
         json_ready(part).write.option("ignoreNullFields", False).json(f"{path}/{name}")
