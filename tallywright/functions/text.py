@@ -1,4 +1,8 @@
-"""Normalising and casting raw text columns."""
+"""Normalising and casting raw text columns.
+
+Contracts have dozens of columns, so each expression is written as SQL over a
+column name: one call instead of one per function.
+"""
 
 from __future__ import annotations
 
@@ -12,56 +16,47 @@ NULL_LABEL = "<NULL>"
 
 # Spark casts '2023' and '2023-01' to dates and '1d' to a double; ledgers must
 # hold ISO dates and plain numbers, so text is matched before it is cast.
-ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
-PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+ISO_DATE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+PLAIN_NUMBER = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
-def normalised(column: Column) -> Column:
-    """Trimmed text, with empty text as NULL."""
-    return F.nullif(F.trim(column), F.lit(""))
+def normalised(name: str) -> Column:
+    """Trimmed text of a column, with empty text as NULL."""
+    return F.expr(_normalised(name))
 
 
-def null_label(column: Column) -> Column:
+def null_label(name: str) -> Column:
     """Normalised text with NULL shown as a label, for grouping and display."""
-    return F.coalesce(normalised(column), F.lit(NULL_LABEL))
+    return F.expr(f"coalesce({_normalised(name)}, '{NULL_LABEL}')")
 
 
-def lenient_cast(text: Column, data_type: T.DataType) -> Column:
-    """Cast normalised text, giving NULL for values that do not fit the type."""
-    if isinstance(data_type, T.StringType):
-        return text
-    cast = text.try_cast(data_type)
-    if isinstance(data_type, T.DateType):
-        return F.when(text.rlike(ISO_DATE), cast)
-    if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        return F.when(text.rlike(PLAIN_NUMBER), cast)
-    return cast
+def lenient_cast(name: str, data_type: T.DataType) -> Column:
+    """Normalise and cast, giving NULL for values that do not fit the type."""
+    return F.expr(_lenient(_normalised(name), data_type))
 
 
-def strict_cast(text: Column, data_type: T.DataType, label: str) -> Column:
-    """Cast normalised text, failing the job on a value that does not fit the type."""
+def strict_cast(name: str, data_type: T.DataType, label: str) -> Column:
+    """Normalise and cast, failing the job on a value that does not fit the type."""
+    text = _normalised(name)
     if isinstance(data_type, T.StringType):
-        return text
-    message = F.concat(
-        F.lit(f"{label} holds a value that is not {data_type.simpleString()}: "), text
-    )
-    return F.coalesce(
-        lenient_cast(text, data_type),
-        F.when(text.isNotNull(), F.raise_error(message)).cast(data_type),
-    )
+        return F.expr(text)
+    kind = data_type.simpleString()
+    message = f"concat('{label} holds a value that is not {kind}: ', {text})"
+    refused = f"CASE WHEN {text} IS NOT NULL THEN raise_error({message}) END"
+    return F.expr(f"coalesce({_lenient(text, data_type)}, CAST({refused} AS {kind}))")
 
 
 def normalise_table(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The columns as normalised text, each trimmed once for all that follows."""
-    return raw.select(*[normalised(F.col(name)).alias(name) for name in columns])
+    return raw.selectExpr(*[f"{_normalised(name)} AS {_quoted(name)}" for name in columns])
 
 
 def lenient_table(raw: DataFrame, types: Mapping[str, T.DataType]) -> DataFrame:
     """Normalised text and, next to it as ``<name>__typed``, the leniently cast values."""
-    return normalise_table(raw, list(types)).select(
+    return normalise_table(raw, list(types)).selectExpr(
         "*",
         *[
-            lenient_cast(F.col(name), kind).alias(typed_name(name))
+            f"{_lenient(_quoted(name), kind)} AS {_quoted(typed_name(name))}"
             for name, kind in types.items()
             if not isinstance(kind, T.StringType)
         ],
@@ -71,3 +66,22 @@ def lenient_table(raw: DataFrame, types: Mapping[str, T.DataType]) -> DataFrame:
 def typed_name(name: str) -> str:
     """Name of the typed column next to a text column."""
     return f"{name}__typed"
+
+
+def _quoted(name: str) -> str:
+    return f"`{name}`"
+
+
+def _normalised(name: str) -> str:
+    return f"nullif(trim({_quoted(name)}), '')"
+
+
+def _lenient(text: str, data_type: T.DataType) -> str:
+    if isinstance(data_type, T.StringType):
+        return text
+    cast = f"try_cast({text} AS {data_type.simpleString()})"
+    if isinstance(data_type, T.DateType):
+        return f"CASE WHEN {text} RLIKE '{ISO_DATE}' THEN {cast} END"
+    if isinstance(data_type, (T.DoubleType, T.FloatType)):
+        return f"CASE WHEN {text} RLIKE '{PLAIN_NUMBER}' THEN {cast} END"
+    return cast

@@ -28,13 +28,13 @@ from tallywright.functions.text import (
 
 def null_counts(columns: Sequence[str]) -> dict[str, Column]:
     """Aggregates over normalised text counting missing values per column."""
-    return {name: F.count("*") - F.count(name) for name in columns}
+    return {name: F.expr(f"count(*) - count(`{name}`)") for name in columns}
 
 
 def parse_failures(types: Mapping[str, T.DataType]) -> dict[str, Column]:
     """Aggregates over a lenient table counting unparseable values per typed column."""
     return {
-        name: F.count(name) - F.count(typed_name(name))
+        name: F.expr(f"count(`{name}`) - count(`{typed_name(name)}`)")
         for name, kind in types.items()
         if not isinstance(kind, T.StringType)
     }
@@ -74,7 +74,7 @@ def range_profile(
 def category_profile(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows per value of each categorical column, all columns in one pass."""
     pairs = [
-        F.struct(F.lit(name).alias("column_name"), null_label(F.col(name)).alias("value"))
+        F.struct(F.lit(name).alias("column_name"), null_label(name).alias("value"))
         for name in columns
     ]
     return (

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.contracts import BANK_OBSERVED, BIGINT, CUSTOMERS, TRANSACTIONS, SourceContract
-from tallywright.functions.text import lenient_cast, lenient_table, normalised, typed_name
+from tallywright.functions.text import lenient_cast, lenient_table, typed_name
 from tallywright.operators import profile, relationships
 from tallywright.operators.checks import WARNING, Check, check, has_failures, measure, pick
 from tallywright.operators.repeats import repeat_profile
@@ -59,7 +59,7 @@ def raw_per_customer(raw: DataFrame, contract: SourceContract) -> DataFrame:
     """The raw ledger as one row per customer id."""
     return relationships.ledger_per_customer(
         raw,
-        lenient_cast(normalised(F.col(contract.id_column)), BIGINT),
+        lenient_cast(contract.id_column, BIGINT),
         _typed(contract, contract.day_column),
         _typed(contract, contract.amount_column),
     )
@@ -69,7 +69,7 @@ def relationship_measures(
     customers_raw: DataFrame, customers: SourceContract, per_customer: DataFrame
 ) -> dict[str, object]:
     """What the relationship checks need."""
-    key = lenient_cast(normalised(F.col(customers.id_column)), BIGINT)
+    key = lenient_cast(customers.id_column, BIGINT)
     parts = [
         relationships.orphans(per_customer, customers_raw, key),
         relationships.childless(customers_raw, key, per_customer),
@@ -358,12 +358,12 @@ def _by_source(df: DataFrame) -> dict[str, Measures]:
 
 
 def _typed(contract: SourceContract, column: str) -> Column:
-    return lenient_cast(normalised(F.col(column)), contract.types[column])
+    return lenient_cast(column, contract.types[column])
 
 
 def _claim(contract: SourceContract, column: str, kind: str) -> Column:
     data_type = BIGINT if kind == "count" else contract.types[column]
-    return lenient_cast(normalised(F.col(column)), data_type)
+    return lenient_cast(column, data_type)
 
 
 def _unexpected(raw: DataFrame, contract: SourceContract) -> DataFrame:

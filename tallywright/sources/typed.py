@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywright.contracts import LedgerColumns, SourceContract
-from tallywright.functions.text import normalise_table, normalised, strict_cast
+from tallywright.functions.text import strict_cast
 from tallywright.operators.repeats import flag_repeats
 from tallywright.operators.rowkey import SOURCE_TAGS, number_rows
 from tallywright.sources.scratch import stage
 
 def typed_columns(raw: DataFrame, contract: SourceContract) -> DataFrame:
     """Every column with its declared type; a value that does not fit fails the job."""
-    return normalise_table(raw, contract.columns).select(
+    return raw.select(
         *[
-            strict_cast(F.col(name), kind, f"{contract.key}.{name}").alias(name)
+            strict_cast(name, kind, f"{contract.key}.{name}").alias(name)
             for name, kind in contract.types.items()
         ]
     )
@@ -33,9 +32,7 @@ def typed_ledger(
     """
     typed = staged.select(
         *[
-            strict_cast(
-                normalised(F.col(raw)), contract.types[raw], f"{contract.key}.{raw}"
-            ).alias(name)
+            strict_cast(raw, contract.types[raw], f"{contract.key}.{raw}").alias(name)
             for name, raw in _raw_names(contract, columns).items()
         ],
         *SOURCE_TAGS,

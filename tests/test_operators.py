@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywright.functions.numbers import band_labels, percentage, recency_band
-from tallywright.functions.text import lenient_cast, normalised, null_label, strict_cast
+from tallywright.functions.text import lenient_cast, null_label, strict_cast
 from tallywright.operators.fingerprint import fingerprint
 from tallywright.operators.relationships import (
     childless,
@@ -48,20 +48,20 @@ def column(spark, values, kind="string"):
     ],
 )
 def test_lenient_cast(spark, kind, values, expected):
-    df = column(spark, values).select(lenient_cast(normalised(F.col("v")), kind).alias("v"))
+    df = column(spark, values).select(lenient_cast("v", kind).alias("v"))
     assert [row["v"] for row in df.collect()] == expected
 
 
 def test_strict_cast(spark):
     good = column(spark, ["2023-01-04", " ", None])
-    cast = strict_cast(normalised(F.col("v")), T.DateType(), "t.day").alias("v")
+    cast = strict_cast("v", T.DateType(), "t.day").alias("v")
     assert [row["v"] for row in good.select(cast).collect()] == [date(2023, 1, 4), None, None]
     with pytest.raises(Exception, match="t.day holds a value that is not date: 2023"):
         column(spark, ["2023"]).select(cast).collect()
 
 
 def test_null_label(spark):
-    labels = column(spark, [" a", "", None]).select(null_label(F.col("v")).alias("v")).collect()
+    labels = column(spark, [" a", "", None]).select(null_label("v").alias("v")).collect()
     assert [row["v"] for row in labels] == ["a", "<NULL>", "<NULL>"]
 
 

@@ -1,15 +1,16 @@
+import hashlib
 import json
 from dataclasses import replace
 from datetime import date
 from decimal import Decimal
 
-import pytest
 from bank import CUSTOMER_ROWS, LEDGER_LINES, contracts, write_raw
 from pyspark.sql import functions as F
 
 from tallywright.contracts import CUSTOMERS, TRANSACTIONS
 from tallywright.operators import checks as C
-from tallywright.plans.preflight import run_preflight
+from tallywright.operators import relationships
+from tallywright.plans.preflight import check_contents, run_preflight
 from tallywright.sources import raw_text
 from tallywright.sources.reports import write_report
 
@@ -42,8 +43,6 @@ def test_sha256_is_checked(spark, tmp_path):
     expected["ledger"] = replace(expected["ledger"], expected_sha256=digest)
     found = statuses(run_preflight(spark, raw, **expected))
     assert found["transactions.checksum"] == "pass"
-    import hashlib
-
     content = (tmp_path / "raw" / TRANSACTIONS.filename).read_bytes()
     assert digest == hashlib.sha256(content).hexdigest()
 
@@ -75,61 +74,97 @@ def test_all_quiet(spark, tmp_path):
     assert {row["status"]: row["checks"] for row in counts} == {"pass": 20, "warning": 0, "fail": 0}
 
 
-# One fault at a time: the check that must answer, and how.
-FAULTS = [
-    ("customers.schema_parseability", "fail", {"age": "forty"}, None),
-    ("customers.schema_parseability", "fail", {"first_tx": "2023"}, None),
-    ("customers.schema_parseability", "fail", {"avg_tx_value": "1d"}, None),
-    ("customers.primary_key", "fail", {"customer_id": ""}, None),
-    ("customers.categories", "warning", {"gender": "female"}, None),
-    ("customers.business_ranges", "warning", {"age": "17"}, None),
-    ("customers.business_ranges", "warning", {"churn_probability": "1.01"}, None),
-    ("customers.business_ranges", "warning", {"household_size": "0"}, None),
-    ("transactions.schema_parseability", "fail", {}, "101,2023-01-04,ten,Payment"),
-    ("transactions.required_values", "fail", {}, "101,2023-01-04,10.00, "),
-    ("transactions.categories", "warning", {}, "101,2023-01-04,10.00,Gift"),
-    ("transactions.ranges", "warning", {}, "101,2023-01-04,0,Payment"),
-    ("transactions.ranges", "warning", {}, "101,2023-01-04,-1,Payment"),
-    ("transactions.ranges", "warning", {}, "101,2024-01-04,10.00,Payment"),
-    ("transactions.duplicate_looking_rows", "warning", {}, "202,2023-01-05,12.5,Transfer"),
-    ("relationships.transaction_customers", "fail", {}, "999,2023-01-04,10.00,Payment"),
-]
-
-
-@pytest.mark.parametrize(("code", "status", "customer", "line"), FAULTS)
-def test_fault_is_found(spark, tmp_path, code, status, customer, line):
-    from tallywright.plans.preflight import check_contents
-
-    def text(contract, rows):
-        schema = ", ".join(f"{name} string" for name in contract.columns)
-        return spark.createDataFrame(rows, schema)
-
-    def outcome(customers, ledger):
-        rows = [tuple(row.get(name) for name in CUSTOMERS.columns) for row in customers]
-        checks, _ = check_contents(
-            text(CUSTOMERS, rows),
-            text(TRANSACTIONS, [tuple(entry.split(",")) for entry in ledger]),
-            customers=CUSTOMERS,
-            ledger=TRANSACTIONS,
-            observed=(date(2023, 1, 4), date(2023, 12, 29)),
-        )
-        return {found.code: found.status for found in checks}[code]
-
-    good = LEDGER_LINES[:2]
-    assert outcome(CUSTOMER_ROWS, good) == "pass"
-    faulty = [{**CUSTOMER_ROWS[0], **customer}, CUSTOMER_ROWS[1]]
-    assert outcome(faulty, [*good, line] if line else good) == status
-
-
-def test_concentration_and_childless(spark, tmp_path):
-    ids = [str(n) for n in range(1, 41)]
-    rows = [{"customer_id": n} for n in ids] + [{"customer_id": "77"}]
-    ledger = [f"{n},2023-01-04,{n}.00,Payment" for n in ids]
-    ledger += [f"1,2023-01-05,{n}.00,Payment" for n in range(1, 60)]
-    raw = write_raw(tmp_path / "raw", customers=rows, ledger=ledger)
-    found = statuses(run_preflight(spark, raw, **contracts(len(rows), len(ledger))))
-    assert found["relationships.transaction_count_concentration"] == "warning"
-    assert found["relationships.customers_without_transactions"] == "warning"
+def text_table(spark, contract, rows):
+    return spark.createDataFrame(rows, ", ".join(f"{name} string" for name in contract.columns))
+
+
+def test_every_content_check_fires(spark):
+    customers = [
+        {"customer_id": "1", "age": "forty", "gender": "female", "nps_score": "-101"},
+        {"customer_id": "2", "first_tx": "2023", "avg_tx_value": "1d", "age": "17"},
+        {"customer_id": "2", "churn_probability": "1.01", "household_size": "0"},
+        {"customer_id": "", "age": "101", "app_store_rating": "0.5", "tx_count": "-"},
+        {"customer_id": "x", "savings_account": "maybe", "failed_transactions": "-1"},
+    ]
+    ledger = [
+        "1,2023-01-04,10.00,Payment",
+        "1,2023-01-04,10.0, Payment",
+        "2,2023-01-04,ten,Payment",
+        "2,04/01/2023,0,Gift",
+        "2,2024-01-04,-1,Deposit",
+        "2,,5.00, ",
+        "999,2023-01-05,5.00,Deposit",
+    ] + [f"1,2023-02-0{n},{n},Deposit" for n in range(1, 10)]
+    checks, measures = check_contents(
+        text_table(
+            spark, CUSTOMERS, [tuple(row.get(c) for c in CUSTOMERS.columns) for row in customers]
+        ),
+        text_table(spark, TRANSACTIONS, [tuple(line.split(",")) for line in ledger]),
+        customers=CUSTOMERS,
+        ledger=TRANSACTIONS,
+        observed=(date(2023, 1, 4), date(2023, 12, 29)),
+    )
+    found = {check.code: check for check in checks}
+    quiet = "relationships.transaction_count_concentration"
+    assert {code for code, check in found.items() if check.status == "pass"} == {quiet}
+
+    failures = measures["customers"]["parse_failures"]
+    assert {name: n for name, n in failures.items() if n} == {
+        "customer_id": 1,
+        "age": 1,
+        "savings_account": 1,
+        "avg_tx_value": 1,
+        "first_tx": 1,
+        "tx_count": 1,
+    }
+    assert found["customers.primary_key"].metrics == {
+        "null_ids": 1,
+        "duplicate_id_rows": 2,
+        "distinct_ids": 2,
+    }
+    assert found["customers.categories"].metrics["unexpected_values"] == {
+        "gender": {"rows": 1, "values": 1},
+        "savings_account": {"rows": 1, "values": 1},
+    }
+    outside = found["customers.business_ranges"].metrics
+    assert {name: n for name, n in outside.items() if n} == {
+        "age_outside_expected_range": 2,
+        "household_size_below_one": 1,
+        "negative_failed_transactions": 1,
+        "churn_probability_outside_zero_one": 1,
+        "nps_outside_expected_range": 1,
+        "app_rating_outside_expected_range": 1,
+    }
+    assert found["transactions.schema_parseability"].metrics["failed_values"] == 2
+    assert found["transactions.required_values"].metrics["by_column"] == {
+        "customer_id": 0,
+        "date": 1,
+        "amount": 0,
+        "type": 1,
+    }
+    assert found["transactions.categories"].metrics["unexpected_rows"] == 1
+    assert found["transactions.ranges"].metrics == {
+        "zero_amount_rows": 1,
+        "negative_amount_rows": 1,
+        "dates_outside_observation_window": 1,
+    }
+    assert found["transactions.duplicate_looking_rows"].metrics["duplicate_groups"] == 1
+    assert found["relationships.transaction_customers"].metrics == {
+        "orphan_transaction_rows": 1,
+        "orphan_customer_ids": 1,
+    }
+    without = found["relationships.customers_without_transactions"].metrics
+    assert without == {"customers_without_transactions": 2}
+    compared = found["relationships.publisher_derived_aggregates"].metrics
+    assert compared["customers_compared"] == 3
+    assert compared["tx_count_mismatches"] == 3
+
+
+def test_concentration(spark):
+    counts = [(n, 1) for n in range(40)] + [(99, 60)]
+    per_customer = spark.createDataFrame(counts, "customer_id long, ledger_count long")
+    found = relationships.concentration(relationships.count_distribution(per_customer)).first()
+    assert (found["maximum"], found["p95"], found["concentrated"]) == (60, 1.0, True)
 
 
 def test_malformed_lines_stop_the_run(spark, tmp_path):
