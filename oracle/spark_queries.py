@@ -19,7 +19,7 @@ from tallywright.plans.health import inspect_health
 from tallywright.plans.preflight import check_contents
 from tallywright.sources import raw_text
 from tallywright.sources.reports import json_ready, two_decimals
-from tallywright.sources.scratch import scratch_path
+from tallywright.sources.scratch import scratch_path, stage
 from tallywright.sources.versions import read_published
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -396,8 +396,8 @@ def fingerprint_customers(spark, sf_dir):
 @query
 def check_report(spark, sf_dir):
     checks, _ = check_contents(
-        L.customer_text(spark, sf_dir),
-        L.faulty_ledger_text(spark, sf_dir),
+        stage(L.customer_text(spark, sf_dir), "customers"),
+        stage(L.faulty_ledger_text(spark, sf_dir), "transactions"),
         customers=L.RAW_CUSTOMERS,
         ledger=L.RAW_LEDGER,
         observed=L.OBSERVED,

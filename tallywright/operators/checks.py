@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import date
 from decimal import Decimal
@@ -16,6 +17,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 PASS, WARNING, FAIL = "pass", "warning", "fail"
 STATUSES = (PASS, WARNING, FAIL)
@@ -60,10 +62,16 @@ def has_failures(checks: Iterable[Check]) -> bool:
 
 
 def measure(*parts: DataFrame) -> dict[str, object]:
-    """The measures of several one-row DataFrames, by name."""
-    measured: dict[str, object] = {}
-    for part in parts:
-        measured.update(part.first().asDict(recursive=True))
+    """The measures of several one-row DataFrames, by name.
+
+    The jobs do not depend on each other, so they are submitted together and
+    one fills the executors that another leaves idle.
+    """
+    with ThreadPoolExecutor(len(parts)) as pool:
+        rows = pool.map(inheritable_thread_target(lambda part: part.first()), parts)
+        measured: dict[str, object] = {}
+        for row in rows:
+            measured.update(row.asDict(recursive=True))
     return measured
 
 

@@ -8,6 +8,7 @@ follow from it with the counts as weights.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallywright.contracts import RecencyWindows
-from tallywright.functions.frames import literal_rows, turn_to_rows
+from tallywright.functions.frames import turn_to_rows
 from tallywright.functions.numbers import (
     band_labels,
     count_where,
@@ -24,6 +25,7 @@ from tallywright.functions.numbers import (
     scenario_label,
 )
 from tallywright.operators.recency import CANONICAL, COLLAPSED
+from tallywright.sources.scratch import stage
 
 VARIANTS = (CANONICAL, COLLAPSED)
 
@@ -41,78 +43,52 @@ def value_counts(df: DataFrame, measures: Mapping[str, Column], by: Sequence[str
     )
 
 
-def quantiles(counts: DataFrame, probabilities: Sequence[float], by: Sequence[str]) -> DataFrame:
-    """Exact interpolated quantiles from value counts, as an array ``q``."""
-    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    return counts.groupBy(*by).agg(
-        F.percentile("value", wanted, F.col("n")).alias("q"),
-        F.sum("n").alias("n"),
-    )
-
-
 def scenario_summary(variants: DataFrame, windows: RecencyWindows) -> DataFrame:
     """Measures of the customers above each recency threshold, per variant.
 
     ``variants`` holds the working relations told apart by ``data_variant``.
     Scenarios overlap: a customer above 90 days is also above 30. Bands do not,
-    so customers are counted per band and the bands above a threshold are added.
+    so customers are counted per band, and a scenario takes all bands above it.
     """
     counts = _band_counts(variants, windows, by=["data_variant"])
-    # Scenario 0 is everybody; it gives the population without a second pass.
-    scenarios = (
-        counts.select(
-            "data_variant",
-            F.explode(F.sequence(F.lit(0), F.col("band"))).alias("scenario"),
-            "measure",
-            "value",
-            "n",
-        )
-        .groupBy("data_variant", "scenario", "measure", "value")
-        .agg(F.sum("n").alias("n"))
-    )
-    frame = literal_rows(
-        variants.sparkSession,
-        [
-            {
-                "data_variant": variant,
-                "scenario": ordinal,
-                "label": scenario_label(threshold),
-                "threshold_days": threshold,
-            }
-            for variant in VARIANTS
-            for ordinal, threshold in enumerate((0, *windows.thresholds))
-        ],
-    )
-    measured = _measure_groups(scenarios, ["data_variant", "scenario"])
-    everybody = F.max(F.when(F.col("scenario") == 0, F.col("customers")))
-    return (
-        frame.join(measured, ["data_variant", "scenario"], "left")
-        .withColumn("population", everybody.over(W.partitionBy("data_variant")))
-        .filter(F.col("scenario") > 0)
-        .select(
-            "data_variant",
-            F.col("label").alias("scenario"),
-            "threshold_days",
-            *_group_columns(windows, with_counts=True),
+    rows = [
+        _group_row(
+            f"'{variant}' AS data_variant, '{scenario_label(threshold)}' AS scenario, "
+            f"{threshold} AS threshold_days",
+            everybody=f"data_variant = '{variant}'",
+            inside=f"data_variant = '{variant}' AND band >= {ordinal}",
         )
+        for variant in VARIANTS
+        for ordinal, threshold in enumerate(windows.thresholds, start=1)
+    ]
+    # A row per variant and threshold whether or not anybody is in it.
+    summary = counts.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    return summary.select(
+        "data_variant", "scenario", "threshold_days", *_group_columns(windows, with_counts=True)
     )
 
 
 def scenario_change(summary: DataFrame, windows: RecencyWindows) -> DataFrame:
-    """The scenario summary with differences from the canonical variant."""
+    """The scenario summary with differences from the canonical variant.
+
+    Fails when a threshold has more than one canonical row to compare with.
+    """
+    same_threshold = W.partitionBy("threshold_days")
+    canonical = F.col("data_variant") == CANONICAL
+
+    def reference(column: str) -> Column:
+        found = F.max(F.when(canonical, F.col(column))).over(same_threshold)
+        single = F.count(F.when(canonical, 1)).over(same_threshold) <= 1
+        return F.when(single, found).otherwise(
+            F.raise_error(F.lit("a threshold has several canonical rows")).cast("double")
+        )
+
     prior_median = f"{windows.prior_column}_median"
-    reference = summary.filter(F.col("data_variant") == CANONICAL).select(
-        "threshold_days",
-        F.col("customer_count").alias("reference_count"),
-        F.col(prior_median).alias("reference_median"),
-    )
-    merged = merge_many_to_one(summary, reference, ["threshold_days"])
-    return merged.select(
+    change = F.col("customer_count") - reference("customer_count")
+    return summary.select(
         *summary.columns,
-        (F.col("customer_count") - F.col("reference_count")).alias(
-            "customer_count_change_vs_canonical"
-        ),
-        F.round(F.col(prior_median) - F.col("reference_median"), 2).alias(
+        change.cast("bigint").alias("customer_count_change_vs_canonical"),
+        F.round(F.col(prior_median) - reference(prior_median), 2).alias(
             "prior_median_change_vs_canonical"
         ),
     )
@@ -127,19 +103,17 @@ def order_scenarios(summary: DataFrame) -> DataFrame:
 def band_summary(working: DataFrame, windows: RecencyWindows) -> DataFrame:
     """Measures per exclusive recency band, empty bands included."""
     counts = _band_counts(working, windows, by=[])
-    frame = literal_rows(
-        working.sparkSession,
-        [
-            {"band": ordinal, "recency_band": label}
-            for ordinal, label in enumerate(band_labels(windows.thresholds))
-        ],
-    )
-    joined = frame.join(_measure_groups(counts, ["band"]), "band", "left")
-    population = F.sum("customers").over(W.partitionBy())
-    return joined.withColumn("population", population).select(
-        F.col("band").alias("band_ordinal"),
-        "recency_band",
-        *_group_columns(windows, with_counts=False),
+    rows = [
+        _group_row(
+            f"{ordinal} AS band_ordinal, '{label}' AS recency_band",
+            everybody="true",
+            inside=f"band = {ordinal}",
+        )
+        for ordinal, label in enumerate(band_labels(windows.thresholds))
+    ]
+    summary = counts.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    return summary.select(
+        "band_ordinal", "recency_band", *_group_columns(windows, with_counts=False)
     )
 
 
@@ -269,15 +243,17 @@ def activity_grid(working: DataFrame, windows: RecencyWindows, *, cells: int = 4
     points = enough.groupBy(prior.alias("prior"), recent.alias("recent")).agg(
         F.count("*").alias("n")
     )
+    # The points are few next to the customers; written once, they give the
+    # axes first and then the grid.
+    points = stage(points, "activity_points")
     axes = points.agg(
         F.greatest(
             F.percentile("prior", F.lit(0.99), F.col("n")),
             F.percentile("recent", F.lit(0.99), F.col("n")),
         ).alias("limit"),
-        F.sum("n").alias("population"),
-    ).select(F.ceil("limit").cast("bigint").alias("axis_cap"), "population")
-    # Scalar subqueries: known before the grid is filled, like literals.
-    cap, population = axes.select("axis_cap").scalar(), axes.select("population").scalar()
+        F.coalesce(F.sum("n"), F.lit(0)).alias("population"),
+    ).first()
+    cap = F.lit(None if axes["limit"] is None else math.ceil(axes["limit"])).cast("bigint")
     inside = points.filter((F.col("prior") <= cap) & (F.col("recent") <= cap))
 
     def cell(name: str) -> Column:
@@ -293,7 +269,7 @@ def activity_grid(working: DataFrame, windows: RecencyWindows, *, cells: int = 4
         "recent_cell",
         "customers",
         cap.alias("axis_cap"),
-        percentage(F.col("kept"), population).alias("kept_pct"),
+        percentage(F.col("kept"), F.lit(axes["population"])).alias("kept_pct"),
     )
 
 
@@ -324,13 +300,6 @@ def merge_one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     ).filter(_must_be_single("left_copies") & _must_be_single("right_copies"))
 
 
-def merge_many_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join that fails when a key occurs twice on the right."""
-    return left.join(_unique_by(right, keys, "copies"), list(keys), "left").filter(
-        F.col("copies").isNull() | _must_be_single("copies")
-    )
-
-
 def _unique_by(df: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
     # Grouping by the join key leaves the rows where the join needs them.
     rest = [name for name in df.columns if name not in keys]
@@ -356,44 +325,34 @@ def _band_counts(working: DataFrame, windows: RecencyWindows, by: Sequence[str])
     return value_counts(banded, measures, by=[*by, "band"])
 
 
-def _measure_groups(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """One row per group with the quantiles of each measure side by side."""
-    per_measure = counts.groupBy(*by, "measure").agg(
-        F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q"),
-        F.sum("n").alias("n"),
-        _total(F.col("value") == 0).alias("zeros"),
-        _total(F.col("value") == 1).alias("ones"),
-    )
-
-    def of(measure: str, column: str | Column) -> Column:
-        value = F.col(column) if isinstance(column, str) else column
-        return F.max(F.when(F.col("measure") == measure, value))
-
-    return per_measure.groupBy(*by).agg(
-        of("prior", "n").alias("customers"),
-        of("prior", F.col("q")[0]).alias("prior_q1"),
-        of("prior", F.col("q")[1]).alias("prior_median"),
-        of("prior", F.col("q")[2]).alias("prior_q3"),
-        of("prior", "zeros").alias("zero_prior"),
-        of("full", F.col("q")[1]).alias("full_median"),
-        of("months", F.col("q")[1]).alias("months_median"),
-        of("lacks_history", "ones").alias("lacking"),
+def _group_row(names: str, *, everybody: str, inside: str) -> Column:
+    """One summary row as an aggregate over band counts, its names coming first."""
+    prior = f"{inside} AND measure = 'prior'"
+    return F.expr(
+        f"""struct({names},
+        coalesce(sum(n) FILTER (WHERE {everybody} AND measure = 'prior'), 0L) AS population,
+        coalesce(sum(n) FILTER (WHERE {prior}), 0L) AS customers,
+        percentile(value, array(0.25, 0.5, 0.75), n) FILTER (WHERE {prior}) AS prior,
+        coalesce(sum(n) FILTER (WHERE {prior} AND value = 0), 0L) AS zero_prior,
+        percentile(value, 0.5, n) FILTER (WHERE {inside} AND measure = 'full') AS full_median,
+        percentile(value, 0.5, n) FILTER (WHERE {inside} AND measure = 'months') AS months_median,
+        coalesce(sum(n) FILTER (
+            WHERE {inside} AND measure = 'lacks_history' AND value = 1), 0L) AS lacking)"""
     )
 
 
 def _group_columns(windows: RecencyWindows, *, with_counts: bool) -> list[Column]:
-    customers = F.coalesce("customers", F.lit(0))
-    population = F.coalesce("population", F.lit(0))
-    zero_prior, lacking = F.coalesce("zero_prior", F.lit(0)), F.coalesce("lacking", F.lit(0))
+    customers, population = F.col("customers"), F.col("population")
+    zero_prior, lacking = F.col("zero_prior"), F.col("lacking")
     prior, days = windows.prior_column, windows.window_days
     zero_count = [zero_prior.alias(f"zero_prior_{days}d_customers")] if with_counts else []
     lacking_count = [lacking.alias("insufficient_prior_history_customers")] if with_counts else []
     return [
         customers.alias("customer_count"),
         percentage(customers, population).alias("eligible_population_pct"),
-        F.round("prior_q1", 2).alias(f"{prior}_q1"),
-        F.round("prior_median", 2).alias(f"{prior}_median"),
-        F.round("prior_q3", 2).alias(f"{prior}_q3"),
+        F.round(F.col("prior")[0], 2).alias(f"{prior}_q1"),
+        F.round(F.col("prior")[1], 2).alias(f"{prior}_median"),
+        F.round(F.col("prior")[2], 2).alias(f"{prior}_q3"),
         *zero_count,
         percentage(zero_prior, customers).alias(f"zero_prior_{days}d_pct"),
         F.round("full_median", 2).alias("transactions_full_period_median"),
