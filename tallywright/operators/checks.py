@@ -67,8 +67,9 @@ def measure(*parts: DataFrame) -> dict[str, object]:
     The jobs do not depend on each other, so they are submitted together and
     one fills the executors that another leaves idle.
     """
+    first = inheritable_thread_target(parts[0].sparkSession)(lambda part: part.first())
     with ThreadPoolExecutor(len(parts)) as pool:
-        rows = pool.map(inheritable_thread_target(lambda part: part.first()), parts)
+        rows = pool.map(first, parts)
         measured: dict[str, object] = {}
         for row in rows:
             measured.update(row.asDict(recursive=True))

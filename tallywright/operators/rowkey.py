@@ -72,15 +72,18 @@ def sequential_key_by(df: DataFrame, keys: Sequence[str], name: str) -> DataFram
     """Number the rows of any DataFrame in the order of the key columns.
 
     The other columns break ties, then the place of the row, so that equal keys
-    spread over many sort ranges. The sorted rows are written and numbered in
-    file order.
+    spread over many sort ranges. The sorted rows are written with their range
+    and place in it, and numbered from there like rows of files.
     """
     rest = [column for column in df.columns if column not in keys]
     ordered = df.orderBy(*keys, *rest, F.monotonically_increasing_id())
-    tagged = stage(tag_position(stage(ordered, "ordered")), "tagged")
-    # Part files carry their number in the name, with more digits from 100000 on.
-    part = F.regexp_extract(SOURCE_FILE, r"part-(\d+)", 1)
-    return number_rows(tagged.withColumn(SOURCE_FILE, F.lpad(part, 12, "0")), name)
+    tagged = ordered.select(
+        "*",
+        F.lpad(F.spark_partition_id().cast("string"), 10, "0").alias(SOURCE_FILE),
+        F.lit(0).cast("bigint").alias(SOURCE_BLOCK),
+        F.monotonically_increasing_id().alias(SOURCE_POSITION),
+    )
+    return number_rows(stage(tagged, "ordered"), name)
 
 
 def row_key_integrity(df: DataFrame, key: str) -> DataFrame:

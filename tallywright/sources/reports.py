@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywright.operators.checks import Check, check_frame, status_counts
+from tallywright.operators.checks import Check, check_frame, metrics_json, status_counts
 
 
 def two_decimals(df: DataFrame) -> DataFrame:
@@ -40,13 +41,24 @@ def json_ready(df: DataFrame) -> DataFrame:
 
 
 def write_report(
-    spark: SparkSession, checks: Sequence[Check], profiles: Mapping[str, DataFrame], path: str
+    spark: SparkSession,
+    path: str,
+    checks: Sequence[Check],
+    measures: Mapping[str, object],
+    profiles: Mapping[str, DataFrame],
 ) -> None:
-    """Write checks, status counts and profiles as JSON, one folder per part.
+    """Write a report: checks, status counts and measures as one JSON document.
 
-    Profiles are written where they are computed; none passes through the driver.
+    Profiles may have any number of rows. Each goes to a folder of its own,
+    written where it is computed; none passes through the driver.
     """
-    rows = check_frame(spark, checks)
-    parts = {"summary": status_counts(rows), "checks": rows, **profiles}
-    for name, part in parts.items():
+    counts = status_counts(check_frame(spark, checks)).collect()
+    document = {
+        "summary": {row["status"]: row["checks"] for row in counts},
+        "measures": measures,
+        "checks": [asdict(found) for found in checks],
+    }
+    text = spark.createDataFrame([(metrics_json(document),)], "report string")
+    text.coalesce(1).write.text(f"{path}/report")
+    for name, part in profiles.items():
         json_ready(part).write.option("ignoreNullFields", False).json(f"{path}/{name}")

@@ -33,8 +33,15 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the scratch folder that nothing else uses."""
-    return f"{scratch_root(spark)}/tallywright/{uuid4().hex}/{name}"
+    """A path in the scratch folder of this application that nothing else uses."""
+    return f"{_application_folder(spark)}/{uuid4().hex}/{name}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete all this application has staged, once nothing reads it any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(folder, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -46,3 +53,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _application_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/tallywright/{spark.sparkContext.applicationId}"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallywright.operators.checks import has_failures
 from tallywright.plans.build import BuildError, ValidationError, build
 from tallywright.plans.health import inspect_health
+from tallywright.sources.reports import write_report
 from tallywright.sources.versions import Version, published_version, read_published
 
 
@@ -67,6 +68,17 @@ def test_healthy(spark, published):
     assert health.checks[-1].code == "health.full_table_scan"
 
 
+def test_health_report(spark, published, tmp_path):
+    _, target, _ = published
+    health = inspect_health(spark, target, **contracts())
+    write_report(spark, str(tmp_path / "health"), health.checks, {}, health.details)
+    prints = spark.read.json(str(tmp_path / "health" / "logical_fingerprints"))
+    assert {row["table_name"]: row["row_count"] for row in prints.collect()} == {
+        "customers": 2,
+        "transactions": 3,
+    }
+
+
 def test_existing_target_is_kept(spark, published):
     root, target, result = published
     with pytest.raises(BuildError, match="replace=True"):

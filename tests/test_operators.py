@@ -21,6 +21,7 @@ from tallywright.operators.relationships import (
 )
 from tallywright.operators.repeats import flag_integrity, flag_repeats, repeat_profile
 from tallywright.operators.rowkey import row_key_integrity, sequential_key, sequential_key_by
+from tallywright.sources.scratch import scratch_root, stage
 
 
 def column(spark, values, kind="string"):
@@ -220,3 +221,26 @@ def test_relationships(spark):
     assert tuple(orphans(counts, customers, F.col("id")).first()) == (3, 1)
     assert childless(customers, F.col("id"), counts).first()[0] == 4
     assert tuple(count_distribution(counts).first()) == (3, 1, 1.6667, 2.0, 2.0, 2)
+
+
+def test_stage_writes_to_the_scratch_folder(spark):
+    other = spark.newSession()
+    staged = stage(other.range(5), "numbers")
+    assert staged.count() == 5
+    path = staged.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert str(scratch_root(other)) in path
+    assert staged.columns == ["id"]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Cluster:
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_root(Cluster)

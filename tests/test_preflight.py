@@ -67,11 +67,17 @@ def test_all_quiet(spark, tmp_path):
     assert len(run.checks) == 20
     assert run.profiles["flag_holders"].first()["flag_holders"] == 1
 
-    write_report(spark, run.checks, run.profiles, str(tmp_path / "report"))
-    written = spark.read.json(str(tmp_path / "report" / "checks"))
-    assert written.count() == 20
-    counts = spark.read.json(str(tmp_path / "report" / "summary")).collect()
-    assert {row["status"]: row["checks"] for row in counts} == {"pass": 20, "warning": 0, "fail": 0}
+    out = tmp_path / "report"
+    measures = {"files": run.manifest, **run.measures}
+    write_report(spark, str(out), run.checks, measures, run.profiles)
+    document = json.loads(spark.read.text(str(out / "report")).first()["value"])
+    assert document["summary"] == {"pass": 20, "warning": 0, "fail": 0}
+    assert len(document["checks"]) == 20
+    assert document["measures"]["files"]["transactions"]["data_rows"] == 1
+    assert document["measures"]["transactions"]["total_amount"] == "10.00"
+    assert document["measures"]["transactions"]["minimum_date"] == "2023-01-04"
+    categories = spark.read.json(str(out / "transactions_categories")).collect()
+    assert [row["value"] for row in categories] == ["Payment"]
 
 
 def text_table(spark, contract, rows):
