@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,10 @@ from tallywright.functions.dates import days_between, days_inclusive, month_star
 from tallywright.functions.frames import turn_to_rows
 from tallywright.functions.numbers import count_where
 
+# Active months are kept as bits of up to so many numbers per customer.
+MONTHS_PER_WORD = 64
+MONTH_WORDS = 4
+
 CANONICAL = "canonical"
 COLLAPSED = "exact_groups_collapsed"
 
@@ -43,31 +48,20 @@ def working_relation(
 ) -> DataFrame:
     """One row per eligible customer with rows in the ledger.
 
-    Ledger rows are reduced to one row per customer and month before anything
-    is joined, so a customer with very many rows is spread over its months and
-    the ledger itself is never shuffled row by row. Where the eligible customers
-    are few, the optimizer moves the semi join below both aggregations.
+    Ledger rows are reduced to customers before anything is joined, with most of
+    the work done where the rows are: a customer with very many rows is one row
+    per task from there on. Where the eligible customers are few, the optimizer
+    moves the semi join below the aggregation.
     """
-    day = F.to_date(columns.day)
-    months = (
-        ledger.select(F.col(columns.customer).alias("customer_id"), day.alias("day"))
-        .groupBy("customer_id", month_start(F.col("day")).alias("month"))
-        .agg(
-            F.min("day").alias("first_day"),
-            F.max("day").alias("last_day"),
-            F.count("*").alias("full_rows"),
-            count_where(_in_recent(windows)).alias("recent_rows"),
-            count_where(_in_prior(windows)).alias("prior_rows"),
-        )
-    )
-    activity = months.groupBy("customer_id").agg(
-        F.min("first_day").alias("first_day"),
-        F.max("last_day").alias("last_day"),
-        F.sum("full_rows").alias("full_rows"),
-        F.sum("recent_rows").alias("recent_rows"),
-        F.sum("prior_rows").alias("prior_rows"),
-        F.count("month").alias("active_months"),
+    rows = ledger.select(
+        F.col(columns.customer).alias("customer_id"), F.to_date(columns.day).alias("day")
     )
+    counts = {
+        "full_rows": F.count("*"),
+        "recent_rows": count_where(_in_recent(windows)),
+        "prior_rows": count_where(_in_prior(windows)),
+    }
+    activity = _by_customer(rows, counts, _months_observed(rows))
     return _only_eligible(activity, customers, eligible, customer_key).select(
         *_measures(windows, "full_rows", "recent_rows", "prior_rows")
     )
@@ -113,33 +107,22 @@ def working_relation_pair(
     counted once; the canonical measures add up the group sizes and the
     collapsed ones count the groups.
     """
+    day = F.to_date(columns.day).alias("day")
     groups = (
         ledger.groupBy(*columns.repeat_keys)
         .agg(F.count("*").alias("copies"))
-        .select(
-            F.col(columns.customer).alias("customer_id"),
-            F.to_date(columns.day).alias("day"),
-            "copies",
-        )
+        .select(F.col(columns.customer).alias("customer_id"), day, "copies")
     )
     recent, prior = _in_recent(windows), _in_prior(windows)
-    months = groups.groupBy("customer_id", month_start(F.col("day")).alias("month")).agg(
-        F.min("day").alias("first_day"),
-        F.max("day").alias("last_day"),
-        F.sum("copies").alias("full_rows"),
-        F.sum(F.when(recent, F.col("copies")).otherwise(0)).alias("recent_rows"),
-        F.sum(F.when(prior, F.col("copies")).otherwise(0)).alias("prior_rows"),
-        F.count("*").alias("full_groups"),
-        count_where(recent).alias("recent_groups"),
-        count_where(prior).alias("prior_groups"),
-    )
-    summed = [f"{span}_{unit}" for unit in ("rows", "groups") for span in ("full", "recent", "prior")]
-    activity = months.groupBy("customer_id").agg(
-        F.min("first_day").alias("first_day"),
-        F.max("last_day").alias("last_day"),
-        F.count("month").alias("active_months"),
-        *[F.sum(name).alias(name) for name in summed],
-    )
+    counts = {
+        "full_rows": F.sum("copies"),
+        "recent_rows": F.sum(F.when(recent, F.col("copies")).otherwise(0)),
+        "prior_rows": F.sum(F.when(prior, F.col("copies")).otherwise(0)),
+        "full_groups": F.count("*"),
+        "recent_groups": count_where(recent),
+        "prior_groups": count_where(prior),
+    }
+    activity = _by_customer(groups, counts, _months_observed(ledger.select(day)))
     return _only_eligible(activity, customers, eligible, customer_key).select(
         "customer_id",
         F.struct(*_measures(windows, "full_rows", "recent_rows", "prior_rows")).alias("canonical"),
@@ -194,13 +177,13 @@ def contract_violations(
     durations += [windows.recent_column, windows.prior_column, "active_months"]
     rules = {
         "null_customer_id": F.col("customer_id").isNull(),
-        "null_required_value": _any([F.col(name).isNull() for name in working_columns(windows)]),
+        "null_required_value": _either([F.col(name).isNull() for name in working_columns(windows)]),
         "date_order": (first > last) | (last > analysis),
         "observed_days_mismatch": ~F.col("observed_days").eqNullSafe(
             days_inclusive(first, analysis)
         ),
         "recency_days_mismatch": ~F.col("recency_days").eqNullSafe(days_between(last, analysis)),
-        "negative_value": _any([F.col(name) < 0 for name in durations]),
+        "negative_value": _either([F.col(name) < 0 for name in durations]),
         "recent_exceeds_full": recent > full,
         "prior_exceeds_full": prior > full,
         "windows_exceed_full": recent + prior > full,
@@ -252,11 +235,56 @@ def _in_prior(windows: RecencyWindows) -> Column:
     return F.col("day").between(F.lit(windows.prior_start), F.lit(windows.prior_end))
 
 
-def _any(conditions: list[Column]) -> Column:
-    found = conditions[0]
-    for condition in conditions[1:]:
-        found = found | condition
-    return found
+def _months_observed(rows: DataFrame) -> tuple[int, int]:
+    """Numbers of the first and last month of a ledger: a scan of one column, no shuffle."""
+    ends = rows.agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    found = ends.select(*[F.year(name) * 12 + F.month(name) for name in ("first", "last")]).first()
+    return (found[0] or 0, found[1] or 0)
+
+
+def _by_customer(
+    rows: DataFrame, counts: Mapping[str, Column], observed: tuple[int, int]
+) -> DataFrame:
+    """First and last day, counts and active months per customer.
+
+    Months are marked as bits, 64 to a number, so one aggregation does it all.
+    Ledgers that span more months than fit are reduced to months first.
+    """
+    ends = [F.min("day").alias("first_day"), F.max("day").alias("last_day")]
+    counted = [value.alias(name) for name, value in counts.items()]
+    first, last = observed
+    words = (last - first) // MONTHS_PER_WORD + 1
+    if words > MONTH_WORDS:
+        months = rows.groupBy("customer_id", month_start(F.col("day")).alias("month"))
+        return (
+            months.agg(*ends, *counted)
+            .groupBy("customer_id")
+            .agg(
+                F.min("first_day").alias("first_day"),
+                F.max("last_day").alias("last_day"),
+                *[F.sum(name).alias(name) for name in counts],
+                F.count("month").alias("active_months"),
+            )
+        )
+
+    place = (F.year("day") * 12 + F.month("day") - first).alias("place")
+    marks = [
+        F.expr(
+            f"bit_or(CASE WHEN place DIV {MONTHS_PER_WORD} = {word} "
+            f"THEN shiftleft(1L, CAST(place % {MONTHS_PER_WORD} AS INT)) END)"
+        ).alias(f"months_{word}")
+        for word in range(words)
+    ]
+    marked = [F.coalesce(F.bit_count(f"months_{word}"), F.lit(0)) for word in range(words)]
+    active = reduce(lambda a, b: a + b, marked).cast("bigint")
+    activity = rows.select("*", place).groupBy("customer_id").agg(*ends, *counted, *marks)
+    return activity.select(
+        "customer_id", "first_day", "last_day", *counts, active.alias("active_months")
+    )
+
+
+def _either(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
 
 
 def _only_eligible(

@@ -22,11 +22,7 @@ def repeated_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def repeat_profile(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Repeated groups, excess rows and rows in such groups, one row."""
-    return summarise_groups(repeated_groups(df, keys))
-
-
-def summarise_groups(groups: DataFrame) -> DataFrame:
-    """The repeat profile from a list of repeated groups."""
+    groups = repeated_groups(df, keys)
     return groups.agg(
         F.count("*").alias("duplicate_groups"),
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("excess_duplicate_rows"),

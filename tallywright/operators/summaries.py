@@ -175,11 +175,19 @@ def trajectory_statistics(working: DataFrame, windows: RecencyWindows) -> DataFr
 
 def pair_variants(canonical: DataFrame, collapsed: DataFrame) -> DataFrame:
     """Two working relations side by side, for relations computed apart."""
-    left = canonical.select("customer_id", F.struct("*").alias("canonical"))
-    right = collapsed.select("customer_id", F.struct("*").alias("collapsed"))
-    return merge_one_to_one(left, right, "customer_id").select(
-        "customer_id", "canonical", "collapsed"
+    names = canonical.columns
+
+    def side(df: DataFrame, variant: str) -> DataFrame:
+        columns = [F.col(name).alias(f"{variant}_{name}") for name in names]
+        return df.select("customer_id", *columns)
+
+    def struct(variant: str) -> Column:
+        return F.struct(*[F.col(f"{variant}_{name}").alias(name) for name in names]).alias(variant)
+
+    merged = merge_one_to_one(
+        side(canonical, "canonical"), side(collapsed, "collapsed"), "customer_id"
     )
+    return merged.select("customer_id", struct("canonical"), struct("collapsed"))
 
 
 def sensitivity_statistics(pair: DataFrame, windows: RecencyWindows) -> DataFrame:

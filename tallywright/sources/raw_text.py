@@ -19,8 +19,8 @@ from tallywright.sources.scratch import stage
 
 CORRUPT = "_corrupt_record"
 MALFORMED = "malformed"
-# Files up to this size are hashed whole, in one row each.
-WHOLE_FILE_BYTES = 256 * 1024 * 1024
+# Files up to this size, that of one split, are hashed whole, in one row each.
+WHOLE_FILE_BYTES = 128 * 1024 * 1024
 # A comma outside quotes.
 HEADER_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 

@@ -11,6 +11,7 @@ from tallywright.operators.repeats import flag_repeats
 from tallywright.operators.rowkey import SOURCE_TAGS, number_rows
 from tallywright.sources.scratch import stage
 
+
 def typed_columns(raw: DataFrame, contract: SourceContract) -> DataFrame:
     """Every column with its declared type; a value that does not fit fails the job."""
     return raw.select(

@@ -205,6 +205,40 @@ def test_working_relation_by_hand(spark):
     assert right.exceptAll(collapsed).count() == collapsed.exceptAll(right).count() == 0
 
 
+@pytest.mark.parametrize("words", [4, 1, 0])
+def test_active_months_over_many_years(spark, monkeypatch, words):
+    """Bits in several numbers, bits that just fit, and the way over months agree."""
+    monkeypatch.setattr(recency, "MONTH_WORDS", words)
+    months = 64 if words == 1 else 200
+    rows = [(c, c * 5 + i * (1 + c % 3)) for c in range(1, 30) for i in range(40)]
+    ledger = spark.createDataFrame(rows, "customer_id long, m long").select(
+        "customer_id",
+        F.expr(f"add_months(date'1990-01-15', cast(m % {months} as int))").alias(
+            "transaction_date"
+        ),
+        F.lit(1).cast("decimal(20,2)").alias("amount_cop"),
+        F.lit("Payment").alias("transaction_type"),
+    )
+    customers = ledger.select("customer_id").distinct()
+    arguments = {"windows": BANK_WINDOWS, "eligible": F.lit(True)}
+    expected = {c: len({m % months for k, m in rows if k == c}) for c in range(1, 30)}
+    canonical = recency.working_relation(ledger, customers, **arguments)
+    pair = recency.working_relation_pair(ledger, customers, **arguments)
+    for relation in (canonical, *recency.split_pair(pair)):
+        found = relation.select("customer_id", "active_months").collect()
+        assert {row["customer_id"]: row["active_months"] for row in found} == expected
+
+
+def test_empty_ledger(spark):
+    working = recency.working_relation(
+        bank_ledger(spark).limit(0),
+        bank_customers(spark),
+        BANK_WINDOWS,
+        eligible=F.col("credit_card"),
+    )
+    assert working.count() == 0
+
+
 def test_run_analysis(spark, tmp_path):
     ledger, customers = bank_ledger(spark), bank_customers(spark)
     analysis = run_analysis(ledger, customers, expected_population=2)
