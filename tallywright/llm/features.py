@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 from tallywright.llm.tasks import hashes_of, window_hashes
 
-#: Hashed character 3-grams and 4-grams share the lower half, words and word pairs the upper.
+#: Hashed character 3-grams lie in the lower half, words and word pairs in the upper.
 SIZE = 1 << 16
-_HALF = SIZE // 2
-_PLACES = np.array([2654435761, 40503, 97, 31], np.uint32)
+_HALF_BITS = 15
+_HALF = 1 << _HALF_BITS
+_PLACES = np.array([2654435761, 2246822519, 3266489917], np.uint32)
+#: So many n-grams of neutral weight are added to those of each kind, so that few prove little.
+_NEUTRAL = 40
 _SYMBOLS = b"#*$%&|<>"
 
 
@@ -17,14 +21,10 @@ def ngram_groups(text: bytes) -> list[np.ndarray]:
     """Feature numbers of all n-grams, one array per kind of n-gram."""
     groups = []
     data = np.frombuffer(text, np.uint8).astype(np.uint32)
-    for size in (3, 4):
-        count = len(data) - size + 1
-        if count > 0:
-            folded = np.full(count, size, np.uint32)
-            for at in range(size):
-                folded = (folded ^ data[at : at + count]) * _PLACES[0]
-                folded ^= folded >> np.uint32(15)
-            groups.append((folded & np.uint32(_HALF - 1)).astype(np.int64))
+    if len(data) > 2:
+        folded = data[:-2] * _PLACES[0] ^ data[1:-1] * _PLACES[1] ^ data[2:] * _PLACES[2]
+        folded ^= folded >> np.uint32(15)
+        groups.append(folded * _PLACES[0] >> np.uint32(32 - _HALF_BITS))
     words = text.split()
     if words:
         hashes = hashes_of(words)
@@ -36,21 +36,34 @@ def ngram_groups(text: bytes) -> list[np.ndarray]:
     return groups
 
 
-def sparse_row(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def sparse_row(groups: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Features of a text and their shares among its n-grams of each kind."""
     numbers, values = [], []
-    for group in ngram_groups(text):
+    for group in groups:
         distinct, counts = np.unique(group, return_counts=True)
         numbers.append(distinct)
-        values.append(counts / len(group))
+        values.append(counts / (len(group) + _NEUTRAL))
     if not numbers:
         return np.empty(0, np.int64), np.empty(0)
     return np.concatenate(numbers), np.concatenate(values)
 
 
-def margin(text: bytes, weights: np.ndarray) -> float:
+def margin(groups: list[np.ndarray], weights: np.ndarray) -> float:
     """The linear score of a text: per kind of n-gram the mean of its weights."""
-    return float(sum(weights[group].mean() for group in ngram_groups(text)))
+    return float(sum(weights[group].sum() / (len(group) + _NEUTRAL) for group in groups))
+
+
+def style_group(measures: dict[str, float]) -> np.ndarray:
+    """What describes the writing as features: each measure's step on a logarithmic scale.
+
+    Each is told so often that it weighs as much as n-grams do.
+    """
+    steps = [
+        xxhash.xxh3_64_intdigest(f"{name} {round(4 * np.log2(value + 0.01))}") & (_HALF - 1)
+        for name, value in measures.items()
+        if name != "words"
+    ]
+    return np.repeat(_HALF + np.array(steps, np.int64), _NEUTRAL)
 
 
 def rule_counts(text: bytes) -> tuple[int, int, int, int, int]:

@@ -41,7 +41,7 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(self.scale * margin + self.shift, -30, 30)))
 
 
-def fit(rows: Rows, targets: np.ndarray, size: int, rounds: int = 150, penalty: float = 1e-5) -> Linear:
+def fit(rows: Rows, targets: np.ndarray, size: int, rounds: int = 80, penalty: float = 1e-5) -> Linear:
     """Weights that fit targets between 0 and 1, by accelerated gradient steps per feature scale."""
     owner, count = rows.row_of(), max(len(targets), 1)
     energy = np.bincount(rows.features, rows.values**2, size) / count

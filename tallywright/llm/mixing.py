@@ -54,7 +54,7 @@ def _domain_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         for text, domain in zip(texts_of(part), part.column("domain").to_pylist(), strict=True):
             own = sums.setdefault(domain, {})
-            for feature, share in zip(*(x.tolist() for x in sparse_row(text)), strict=True):
+            for feature, share in zip(*(x.tolist() for x in sparse_row(ngram_groups(text))), strict=True):
                 own[feature] = own.get(feature, 0.0) + share
     rows = [(domain, feature, share) for domain, own in sums.items() for feature, share in own.items()]
     domains, features, shares = zip(*rows) if rows else ((), (), ())

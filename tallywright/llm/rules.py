@@ -2,38 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.features import SIZE, margin, rule_counts, sparse_row
+from tallywright.llm.features import SIZE, margin, ngram_groups, rule_counts, sparse_row
 from tallywright.llm.linear import Linear, Rows, calibrated, fit
 from tallywright.llm.tasks import arrow_map, batch, texts_of
 from tallywright.sources.scratch import stage
 
 #: Labelled rows of each class a model is fitted on, a quarter of them for calibration.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 1200
 #: Fixed thresholds: fewest words, most repeated words in percent, least probability of quality.
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 LEAST_QUALITY = 0.5
 
 
-def _sparse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        rows = [sparse_row(text) for text in texts_of(part)]
-        yield batch(
-            target=part.column("target"),
-            part=part.column("part"),
-            features=pa.array([row[0].astype(np.int32) for row in rows], pa.list_(pa.int32())),
-            shares=pa.array([row[1].astype(np.float32) for row in rows], pa.list_(pa.float32())),
-        )
+Groups = Callable[[bytes], list[np.ndarray]]
 
 
-def sampled_rows(documents: DataFrame, targets: DataFrame) -> tuple[Rows, np.ndarray, np.ndarray]:
+def _sparse(groups: Groups):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows = [sparse_row(groups(text)) for text in texts_of(part)]
+            yield batch(
+                target=part.column("target"),
+                part=part.column("part"),
+                features=pa.array([row[0].astype(np.int32) for row in rows], pa.list_(pa.int32())),
+                shares=pa.array([row[1].astype(np.float32) for row in rows], pa.list_(pa.float32())),
+            )
+
+    return run
+
+
+def sampled_rows(
+    documents: DataFrame, targets: DataFrame, groups: Groups = ngram_groups
+) -> tuple[Rows, np.ndarray, np.ndarray]:
     """Features, targets and parts of the rows named by ``targets`` (doc_id, target).
 
     ``targets`` is of bounded size; so is what reaches the driver: at most ``SIZE`` features
@@ -46,7 +54,7 @@ def sampled_rows(documents: DataFrame, targets: DataFrame) -> tuple[Rows, np.nda
         .selectExpr("text", "double(target) as target", "int(pmod(xxhash64(doc_id, 1), 4)) as part")
     )
     rows = arrow_map(
-        sample, _sparse, "target double, part int, features array<int>, shares array<float>"
+        sample, _sparse(groups), "target double, part int, features array<int>, shares array<float>"
     ).toArrow()
     lists = [rows.column(name).combine_chunks() for name in ("features", "shares")]
     if not rows.num_rows:
@@ -66,10 +74,11 @@ def _part(rows: Rows, chosen: np.ndarray) -> Rows:
     return Rows(rows.features[picked], rows.values[picked], np.concatenate([[0], np.cumsum(sizes)]))
 
 
-def fitted(rows: Rows, targets: np.ndarray, part: np.ndarray) -> Linear | None:
+def fitted(rows: Rows, targets: np.ndarray, part: np.ndarray, share: float) -> Linear | None:
     """A linear model fitted on three quarters of the rows and calibrated on the rest.
 
-    None if the rows don't hold both classes.
+    ``share`` is how many rows have a target of 1 where the model is used, whatever the
+    sample's share is. None if the rows don't hold both classes.
     """
     kept = part == 0
     if not (targets > 0.5).any() or not (targets < 0.5).any():
@@ -77,9 +86,15 @@ def fitted(rows: Rows, targets: np.ndarray, part: np.ndarray) -> Linear | None:
     learn, check = (~kept, kept) if kept.any() and len(set(targets[kept] > 0.5)) == 2 else (kept | True, kept | True)
     model = fit(_part(rows, learn), targets[learn], SIZE)
     model.scale, model.shift = calibrated(model.margins(_part(rows, check)), targets[check])
+    model.shift += _log_odds(share) - _log_odds(float(targets[check].mean()))
     return model
 
 
+def _log_odds(share: float) -> float:
+    share = min(max(share, 1e-3), 1 - 1e-3)
+    return float(np.log(share / (1 - share)))
+
+
 def smallest_hashes(rows: DataFrame, most: int) -> DataFrame:
     """A bounded sample: the rows with the smallest hash of ``doc_id``."""
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -94,7 +109,7 @@ def _judge(model):
             failed = (counts[:, 0] < LEAST_WORDS) | (100 * counts[:, 4] > MOST_REPEATED * counts[:, 0])
             scores = np.ones(len(texts))
             if linear is not None:
-                scores = linear.probability(np.array([margin(text, linear.weights) for text in texts]))
+                scores = linear.probability(np.array([margin(ngram_groups(text), linear.weights) for text in texts]))
             yield batch(
                 doc_id=part.column("doc_id"),
                 n_words=counts[:, 0],
@@ -130,7 +145,8 @@ def quality_rules(documents: DataFrame, labels: DataFrame) -> DataFrame:
     )
     chosen = [smallest_hashes(known.where(f"target = {label}"), SAMPLE_ROWS) for label in (0, 1)]
     chosen = stage(chosen[0].union(chosen[1]), "chosen")
-    model = fitted(*sampled_rows(documents, chosen))
+    share = known.agg(F.avg("target")).first()[0] or 0.0
+    model = fitted(*sampled_rows(documents, chosen), share)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     return arrow_map(
         documents.select("doc_id", "text"),

@@ -4,7 +4,7 @@ One dictionary is trained on ordinary text, one on what labelled toxic texts hol
 more often than ordinary ones: word beginnings whose document counts differ by many
 standard deviations. Each window of a text is compressed twice, knowing ordinary text
 only and knowing toxic text too. The bytes saved are the window's distance; the
-largest, the sums and the share of a text's distances become its score by a logistic
+largest, and how many and what share are large, become the text's score by a logistic
 curve, calibrated on labelled rows that neither dictionary has seen.
 """
 
@@ -23,13 +23,13 @@ from tallywright.llm.linear import fit_few
 from tallywright.llm.tasks import arrow_map, batch, texts_of, words_of
 from tallywright.sources.scratch import stage
 
-#: Labelled rows of each class that a model is fitted on: half for the dictionaries,
-#: half for the curve.
+#: Labelled rows of each class that a model is fitted on: two of three for the dictionaries,
+#: one for the curve.
 SAMPLE_ROWS = 3000
-WINDOW_WORDS = 4
-HEAD_LENGTHS = (12, 10, 8, 7, 6, 5, 4)
+WINDOW_WORDS = 8
+HEAD_LENGTHS = (12, 10, 8, 7, 6, 5)
 #: Standard deviations by which a word beginning is more frequent in toxic texts.
-SIGNIFICANT = 5.0
+SIGNIFICANT = 4.5
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 2048
 #: Of a labelled row, so much goes into a dictionary's samples.
 SAMPLE_BYTES = 4096
@@ -102,14 +102,12 @@ class Distances:
     def of(self, text: bytes) -> list[float]:
         plain, both = self.ordinary.compress, self.both.compress
         saved = np.array([len(plain(window)) - len(both(window)) for window in windows_of(text)] or [0])
-        saved = np.sort(np.maximum(saved, 0))[::-1]
+        told = [saved >= least for least in (2, 3, 4)]
         return [
-            float(saved[0]),
-            float(saved[:3].sum()),
-            float(np.log1p(saved.sum())),
-            float(saved.mean()),
-            float(np.log1p((saved >= 3).sum())),
-            float((saved >= 3).mean()),
+            float(max(saved.max(), 0)),
+            *(float(np.log1p(one.sum())) for one in told),
+            *(float(one.mean()) for one in told),
+            float(np.log1p(len(saved))),
         ]
 
 
@@ -174,7 +172,7 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
         documents.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
         .dropDuplicates(["doc_id"])
-        .selectExpr("text", "toxic", "pmod(xxhash64(doc_id, 1), 2) as part"),
+        .selectExpr("text", "toxic", "int(pmod(xxhash64(doc_id, 1), 3) = 0) as part"),
         "sample",
     )
     sizes = {(row[0], row[1]): row[2] for row in sample.groupBy("toxic", "part").count().collect()}

@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.features import margin, style
+from tallywright.llm.features import margin, ngram_groups, style, style_group
 from tallywright.llm.rules import fitted, sampled_rows, smallest_hashes
 from tallywright.llm.tasks import arrow_map, batch, texts_of
 from tallywright.sources.scratch import stage
 
 #: Documents of each side that the scorer is trained on.
-SAMPLE_ROWS = 2500
+SAMPLE_ROWS = 1200
 #: Least probability of quality of a document that stays.
 LEAST_QUALITY = 0.5
 
@@ -42,9 +42,9 @@ LABELLERS = (
 ABSTAIN, GOOD, LOW = 0, 1, 2
 
 
-def votes_of(text: bytes) -> list[int]:
-    """The vote of each labeller."""
-    measures, votes = style(text), []
+def votes_of(measures: dict[str, float]) -> list[int]:
+    """The vote of each labeller on a text of these measures."""
+    votes = []
     for name, good, low in LABELLERS:
         value, up = measures[name], low > good
         if (value >= low) if up else (value <= low):
@@ -98,9 +98,13 @@ def expectation_maximisation(
     return low, rates, prior
 
 
+def _groups(text: bytes) -> list[np.ndarray]:
+    return [*ngram_groups(text), style_group(style(text))]
+
+
 def _vote(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
-        found = [pattern_of(votes_of(text)) for text in texts_of(part)]
+        found = [pattern_of(votes_of(style(text))) for text in texts_of(part)]
         yield batch(doc_id=part.column("doc_id"), pattern=np.array(found, np.int32))
 
 
@@ -109,10 +113,15 @@ def _judge(model, low, extra: list[str]):
         linear, chances = model.value, low.value
         for part in parts:
             texts = texts_of(part)
-            weak = np.array([1 - chances.get(pattern_of(votes_of(text)), 0.0) for text in texts])
+            measures = [style(text) for text in texts]
+            weak = np.array([1 - chances.get(pattern_of(votes_of(one)), 0.0) for one in measures])
             scores = weak
             if linear is not None:
-                scores = 1 - linear.probability(np.array([margin(text, linear.weights) for text in texts]))
+                margins = [
+                    margin([*ngram_groups(text), style_group(one)], linear.weights)
+                    for text, one in zip(texts, measures, strict=True)
+                ]
+                scores = 1 - linear.probability(np.array(margins))
             columns = {name: part.column(name) for name in extra}
             yield batch(**columns, weak_quality=weak, quality_score=scores, stays=scores >= LEAST_QUALITY)
 
@@ -136,7 +145,7 @@ def classify(documents: DataFrame) -> DataFrame:
     # At most 3 ** len(LABELLERS) patterns.
     counted = sorted((row[0], row[1]) for row in voted.groupBy("pattern").count().collect())
     patterns = [pattern for pattern, _ in counted]
-    low, _, _ = expectation_maximisation(patterns, np.array([n for _, n in counted], float))
+    low, _, share = expectation_maximisation(patterns, np.array([n for _, n in counted], float))
     chances = dict(zip(patterns, low.tolist(), strict=True))
     model = None
     if counted:
@@ -147,7 +156,7 @@ def classify(documents: DataFrame) -> DataFrame:
             for side in ("target > 0.5", "target <= 0.5")
         ]
         chosen = stage(sides[0].union(sides[1]).dropDuplicates(["doc_id"]), "chosen")
-        model = fitted(*sampled_rows(documents, chosen))
+        model = fitted(*sampled_rows(documents, chosen, _groups), share)
     kept = [name for name in documents.columns if name not in ("weak_quality", "quality_score", "stays")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(kept).schema)
     judged = arrow_map(
