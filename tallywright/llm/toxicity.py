@@ -1,8 +1,8 @@
 """Compression-distance classification with two zstandard dictionaries.
 
 One dictionary is trained on ordinary text, one on what labelled toxic texts hold
-more often than ordinary ones: word beginnings whose document counts differ by many
-standard deviations. Each window of a text is compressed twice, knowing ordinary text
+more often than ordinary ones: word beginnings whose counts differ by many standard
+deviations. Each window of a text is compressed twice, knowing ordinary text
 only and knowing toxic text too. The bytes saved are the window's distance; the
 largest, and how many and what share are large, become the text's score by a logistic
 curve, calibrated on labelled rows that neither dictionary has seen.
@@ -28,16 +28,19 @@ from tallywright.sources.scratch import stage
 SAMPLE_ROWS = 3000
 WINDOW_WORDS = 8
 HEAD_LENGTHS = (12, 10, 8, 7, 6, 5)
-#: Standard deviations by which a word beginning is more frequent in toxic texts.
-SIGNIFICANT = 4.5
+#: A word beginning is marked if it is so many times as frequent in toxic texts, by so many
+#: standard deviations.
+FREQUENT, SIGNIFICANT = 8.0, 4.5
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 2048
 #: Of a labelled row, so much goes into a dictionary's samples.
 SAMPLE_BYTES = 4096
 LEVEL = 12
 
 
-def heads_of(text: bytes) -> set[bytes]:
-    return {b" " + word[: n - 1] for word in words_of(text) for n in HEAD_LENGTHS if len(word) >= n - 1}
+def heads_of(word: bytes) -> list[bytes]:
+    """Beginnings of a word between spaces, the longest first."""
+    framed = b" " + word + b" "
+    return [framed[:length] for length in HEAD_LENGTHS if len(framed) >= length]
 
 
 def windows_of(text: bytes) -> list[bytes]:
@@ -48,13 +51,20 @@ def windows_of(text: bytes) -> list[bytes]:
 
 
 def _heads(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[bytes, list[int]] = {}
+    """Word beginnings with a hash of the next word, so that copies of a text count once."""
     for part in parts:
-        for text, toxic in zip(texts_of(part), part.column("toxic").to_pylist(), strict=True):
-            for head in heads_of(text):
-                counts.setdefault(head, [0, 0])[toxic] += 1
-    pairs = np.array(list(counts.values()), np.int64).reshape(-1, 2)
-    yield batch(head=pa.array(list(counts), pa.binary()), ordinary=pairs[:, 0], toxic=pairs[:, 1])
+        heads, following, toxic = [], [], []
+        for text, label in zip(texts_of(part), part.column("toxic").to_pylist(), strict=True):
+            words = words_of(text)
+            pairs = {(head, after) for word, after in zip(words, [*words[1:], b""], strict=False) for head in heads_of(word)}
+            heads += [head for head, _ in pairs]
+            following += [crc32(after) for _, after in pairs]
+            toxic += [label] * len(pairs)
+        yield batch(
+            head=pa.array(heads, pa.binary()),
+            following=pa.array(following, pa.int64()),
+            toxic=pa.array(toxic, pa.int32()),
+        )
 
 
 def _passages(marked: set[bytes]):
@@ -66,8 +76,7 @@ def _passages(marked: set[bytes]):
             for text, toxic in zip(texts_of(part), part.column("toxic").to_pylist(), strict=True):
                 if toxic:
                     heads = [
-                        next((h for n in HEAD_LENGTHS if (h := b" " + word[: n - 1]) in marked), b"")
-                        for word in words_of(text)
+                        next((head for head in heads_of(word) if head in marked), b"") for word in words_of(text)
                     ]
                     passages.append(b"".join(heads)[:SAMPLE_BYTES])
                 else:
@@ -104,7 +113,9 @@ class Distances:
         saved = np.array([len(plain(window)) - len(both(window)) for window in windows_of(text)] or [0])
         told = [saved >= least for least in (2, 3, 4)]
         return [
-            float(max(saved.max(), 0)),
+            float(saved.max()),
+            float(np.sort(saved)[-3:].sum()),
+            float(saved.mean()),
             *(float(np.log1p(one.sum())) for one in told),
             *(float(one.mean()) for one in told),
             float(np.log1p(len(saved))),
@@ -185,15 +196,18 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
         return arrow_map(texts, _score(b"", b"", np.empty(0), shift), schema)
 
     seen, unseen = sample.where("part = 0"), sample.where("part = 1")
-    ordinary_rows, toxic_rows = sizes[0, 0], sizes[1, 0]
-    counted = arrow_map(
-        seen.select("text", "toxic"), _heads, "head binary, ordinary long, toxic long"
-    ).groupBy("head").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    gap = f"toxic / {toxic_rows} - ordinary / {ordinary_rows}"
-    spread = f"sqrt((toxic + ordinary + 1) / ({toxic_rows}D * {ordinary_rows}D))"
-    marked = counted.where(
-        f"{gap} >= {SIGNIFICANT} * {spread} and toxic / {toxic_rows} >= 10 * ordinary / {ordinary_rows}"
+    counted = (
+        arrow_map(seen.select("text", "toxic"), _heads, "head binary, following long, toxic int")
+        .distinct()
+        .groupBy("head")
+        .agg(F.sum("toxic").alias("toxic"), F.sum(F.lit(1) - F.col("toxic")).alias("ordinary"))
     )
+    words = dict(
+        seen.groupBy("toxic").agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))).cast("double")).collect()
+    )
+    rate, usual = f"toxic / {words[1]}", f"ordinary / {words[0]}"
+    spread = f"sqrt((toxic + ordinary + 1) / ({words[1]} * {words[0]}))"
+    marked = counted.where(f"{rate} - {usual} >= {SIGNIFICANT} * {spread} and {rate} >= {FREQUENT} * {usual}")
     heads = {bytes(row[0]) for row in marked.select("head").orderBy(F.desc("toxic"), "head").limit(5000).collect()}
     passages = arrow_map(seen.select("text", "toxic"), _passages(heads), "toxic int, passage binary")
     samples: tuple[list[bytes], list[bytes]] = ([], [])
