@@ -14,8 +14,9 @@ groups. The join is size-aware:
   the lists, both estimated from the sketch.
 
 Equal sets are one class. A list isn't expanded into all its pairs: first
-each member is compared with the list's pivot, which joins nearly all copies of a
-group; then only members of different groups are compared, so no link is lost.
+each member is compared with the list's pivot, the one with the fewest rare shingles,
+which is the least altered of a group of copies and so joins nearly all of it. Then
+only members of different groups are compared, so no link is lost.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from tallywright.sources.scratch import stage
 
 WORDS = 5
 #: Counters of the frequency sketch, a power of two.
-SKETCH = 1 << 18
+SKETCH = 1 << 20
 #: Sets of more shingles are always large.
 LARGEST_SMALL = 16
 #: A shingle expected in more sets than this above the average has its list split.
@@ -180,14 +181,13 @@ def _compare(shingle_words: int, percent: int):
     return run
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle_words: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are alike, by their whole texts.
+def _alike(pairs: DataFrame, texts: DataFrame, shingle_words: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are alike, by their whole ``texts`` (mark, text).
 
     The members of a pivot are dealt to groups of bounded size, each with the pivot's text.
     """
     sizes = pairs.groupBy("a").agg(F.expr(f"ceil(count(*) / {PIVOT_MEMBERS})").alias("groups"))
-    dealt = pairs.join(sizes, "a")
-    members = dealt.select(
+    members = pairs.join(sizes, "a").select(
         F.col("a").alias("pivot"),
         F.col("b").alias("mark"),
         F.expr("pmod(xxhash64(b), groups)").alias("part"),
@@ -197,9 +197,9 @@ def _alike(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle_words
         F.col("a").alias("mark"),
         F.explode(F.expr("sequence(0L, groups - 1)")).alias("part"),
     )
-    wanted = members.union(heads).join(classes.select("mark", "doc_id"), "mark")
     rows = (
-        wanted.join(texts, "doc_id")
+        members.union(heads)
+        .join(texts, "mark")
         .withColumn("member", F.expr("pivot <> mark"))
         .repartition("pivot", "part")
         .sortWithinPartitions("pivot", "part", "member", "mark")
@@ -209,6 +209,27 @@ def _alike(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle_words
     )
 
 
+def _first() -> F.Column:
+    """A list's pivot: the member with the fewest rarer shingles, any of several."""
+    return F.min(
+        F.struct(F.expr("place & 4294967295").alias("rarer"), F.xxhash64("mark").alias("draw"), "mark", "place")
+    )
+
+
+def _apart(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """Lists with the group of each member, of those with members of different groups."""
+    labelled = lists.join(groups, lists.mark == groups.node, "left").selectExpr(
+        "gram", "mark", "place", "coalesce(component, mark) as label"
+    )
+    several = (
+        labelled.groupBy("gram")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        .where("low <> high")
+        .select("gram")
+    )
+    return stage(labelled.join(several, "gram", "left_semi"), "apart")
+
+
 def similar_groups(documents: DataFrame, shingle_words: int = WORDS) -> DataFrame:
     """``doc_id, n_shingles, mark, component_id`` for every row of ``documents``.
 
@@ -251,44 +272,32 @@ def similar_groups(documents: DataFrame, shingle_words: int = WORDS) -> DataFram
     lists = stage(
         postings.select(
             "*",
-            F.min(F.struct(F.xxhash64("mark").alias("draw"), "mark", "place")).over(listed).alias("pivot"),
+            _first().over(listed).alias("pivot"),
             F.min("mark").over(listed).alias("low"),
             F.max("mark").over(listed).alias("high"),
         )
         .where("low <> high or salt > 0")
-        .selectExpr("gram", "mark", "place", "salt", "pivot.mark as head", "pivot.place as head_place"),
+        .selectExpr("gram", "mark", "place", "salt", "pivot.mark as head", "pivot.place as head_place")
+        .distinct(),
         "lists",
     )
-    heads = lists.where("salt > 0").select("gram", "head", "head_place").distinct()
-    of_gram = Window.partitionBy("gram")
-    tops = heads.select(
-        F.min(F.struct(F.xxhash64("head").alias("draw"), "head", "head_place")).over(of_gram).alias("top"),
-        "head",
-        "head_place",
-    ).where("top.head <> head")
-    tops = tops.where(_may_link("top.head_place", "head_place")).selectExpr("top.head as a", "head as b")
+    # Of a list that is split, the pivots of its parts are compared with one of them.
+    heads = lists.where("salt > 0").selectExpr("gram", "head as mark", "head_place as place").distinct()
+    tops = heads.withColumn("top", _first().over(Window.partitionBy("gram")))
+    tops = tops.where("top.mark <> mark").where(_may_link("top.place", "place"))
     stars = (
-        lists.where(F.col("mark") != F.col("head"))
+        lists.where("mark <> head")
         .where(_may_link("place", "head_place"))
         .selectExpr("head as a", "mark as b")
-        .union(tops)
-        .distinct()
+        .union(tops.selectExpr("top.mark as a", "mark as b"))
     )
-    links = stage(_alike(stage(stars, "stars"), classes, texts, shingle_words), "links")
-    first = components(links)
-
+    members = lists.select("mark").distinct().join(classes, "mark")
+    members = stage(members.join(texts, "doc_id").select("mark", "text"), "members")
+    links = stage(_alike(stage(stars.distinct(), "stars"), members, shingle_words), "links")
     # What the pivots didn't join: members of different groups in one list.
-    labelled = lists.join(first, lists.mark == first.node, "left").selectExpr(
-        "gram", "mark", "place", "coalesce(component, mark) as label"
-    )
-    apart = (
-        labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        .where("low <> high")
-        .select("gram")
-    )
-    apart = stage(labelled.join(apart, "gram", "left_semi").distinct(), "apart")
+    apart = _apart(lists, components(links))
     labels = apart.select("gram", "label").distinct()
-    facing = labels.toDF("gram", "label").join(labels.toDF("gram", "other"), "gram").where("label < other")
+    facing = labels.join(labels.toDF("gram", "other"), "gram").where("label < other")
     left = apart.selectExpr("gram", "label", "mark as a", "place as a_place")
     right = apart.selectExpr("gram", "label as other", "mark as b", "place as b_place")
     across = (
@@ -298,8 +307,7 @@ def similar_groups(documents: DataFrame, shingle_words: int = WORDS) -> DataFram
         .selectExpr("least(a, b) as a", "greatest(a, b) as b")
         .distinct()
     )
-    across = stage(across, "across")
-    links = links.union(stage(_alike(across, classes, texts, shingle_words), "more_links"))
+    links = links.union(stage(_alike(stage(across, "across"), members, shingle_words), "links"))
     groups = components(links)
     named = (
         groups.join(classes, groups.node == classes.mark)
