@@ -124,7 +124,7 @@ def fit_rates(members: DataFrame, targets: list[float], budget: float | None = N
     """``members`` (doc_id, tokens, posterior) with the ``rate`` of each row.
 
     The expected tokens ``sum(rate * tokens * posterior)`` match ``targets``, shares of ``budget``. The
-    default budget is the smallest at which no domain has to shrink.
+    default budget is the smallest at which no document has to be used less than once.
     """
     width = len(targets)
     tokens, posterior = F.col("tokens").cast("double"), F.col("posterior")
@@ -136,11 +136,12 @@ def fit_rates(members: DataFrame, targets: list[float], budget: float | None = N
     curve = np.array(first[: width * width], float).reshape(width, width)
     natural = np.array(first[width * width :], float)
     shares = np.array(targets, float) / sum(targets)
-    if budget is None:
-        budget = float((natural / shares).max()) * 1.02
-    goal = shares * budget
     # Steps in the metric of the curve: the domains then move independently.
     solve = np.linalg.pinv(curve)
+    if budget is None:
+        lift = solve @ shares  # of a document of each domain, per token of the budget
+        budget = float(1 / lift.min() if lift.min() > 0 else (natural / shares).max())
+    goal = shares * budget
     pushes: list[list[float]] = []
     expected = natural
     for _ in range(STEPS):

@@ -32,6 +32,8 @@ SHARD_TOKENS = 2_000_000
 QUERY_TERMS = 32
 BM25_K1, BM25_B = 1.2, 0.75
 
+#: Texts are encoded so many bytes at a time.
+SLICE_BYTES = 4 << 20
 #: Words a worker remembers the ids of, before it starts anew.
 _REMEMBERED = 400_000
 _PUNCTUATION = b".,;:!?|*#$%&)(\"'"
@@ -141,13 +143,26 @@ def _races(size: int) -> np.ndarray:
     return -np.log(draws) / (np.arange(size) / size + 1e-3) ** 3
 
 
+def _slices(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts in turn, so many at a time that their words fit into little memory."""
+    some, size = [], 0
+    for text in texts:
+        some.append(text)
+        size += len(text)
+        if size >= SLICE_BYTES:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def _encode(path: str | None):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         races, holders = _races(max(coder.size, END_ID + 1)), None
         holders = np.zeros(len(races), np.int64)
         for part in parts:
-            ids = coder.encode(texts_of(part))
+            ids = [own for some in _slices(texts_of(part)) for own in coder.encode(some)]
             keys = np.zeros(len(ids), np.int32)
             for row, own in enumerate(ids):
                 distinct = np.flatnonzero(np.bincount(own)) if len(own) > 4096 else np.unique(own)

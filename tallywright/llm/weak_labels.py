@@ -74,7 +74,9 @@ def expectation_maximisation(
 
     Starts from documents with any vote for low quality; a small prior keeps rates off 0.
     """
-    votes = np.array([votes_in(pattern) for pattern in patterns]).reshape(len(patterns), -1)
+    if not patterns:
+        return np.empty(0), np.empty((2, len(LABELLERS), 3)), 0.5
+    votes = np.array([votes_in(pattern) for pattern in patterns]).reshape(len(patterns), len(LABELLERS))
     low = np.where((votes == LOW).any(axis=1), 0.9, 0.02)
     weights = counts / max(counts.sum(), 1)
     rates, prior = np.empty((2, votes.shape[1], 3)), 0.5
