@@ -4,9 +4,10 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from oracle.compare import connect, differences
+from oracle.duckdb_sql import SQL
+from oracle.spark_queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, SQL = queries(), oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,7 @@ def duck():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(queries()) and set(SQL) <= set(oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
