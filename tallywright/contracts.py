@@ -54,7 +54,7 @@ class SourceContract:
     summaries: Mapping[str, str] = field(default_factory=dict)
     expected_rows: int | None = None
     expected_bytes: int | None = None
-    expected_sha256: str | None = None
+    expected_fingerprint: str | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -138,7 +138,6 @@ CUSTOMERS = SourceContract(
     flag_column="credit_card",
     expected_rows=48_723,
     expected_bytes=23_519_477,
-    expected_sha256="bb3865b68c247caaa28821238c3d9fa9c745ca8837c42f89b5d7e310beb98c8d",
     types={
         "customer_id": BIGINT,
         "age": INTEGER,
@@ -244,7 +243,6 @@ TRANSACTIONS = SourceContract(
     id_column="customer_id",
     expected_rows=3_159_157,
     expected_bytes=119_006_497,
-    expected_sha256="09fa21b8d74692cbfbf10ee58b55b00c874280a57aa926650e2fe55c60859ec6",
     types={"customer_id": BIGINT, "date": DATE, "amount": MONEY, "type": TEXT},
     categories={"type": TRANSACTION_KINDS},
     day_column="date",

@@ -91,12 +91,24 @@ def row_key_integrity(df: DataFrame, key: str) -> DataFrame:
 
     ``sequential`` is true when the keys are exactly 1 to the number of rows.
     """
-    measured = df.agg(
-        F.count("*").alias("row_count"),
-        count_where(F.col(key).isNull()).alias("null_ids"),
-        F.countDistinct(key).alias("distinct_ids"),
-        F.min(key).alias("minimum_id"),
-        F.max(key).alias("maximum_id"),
+    number = F.col(key).cast("bigint")
+    # A bitmap holds 32,768 keys, so what is shuffled is a row per bitmap and task.
+    measured = (
+        df.groupBy(F.bitmap_bucket_number(number).alias("bucket"))
+        .agg(
+            F.count("*").alias("row_count"),
+            count_where(number.isNull()).alias("null_ids"),
+            F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(number))).alias("ids"),
+            F.min(key).alias("minimum_id"),
+            F.max(key).alias("maximum_id"),
+        )
+        .agg(
+            F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"),
+            F.coalesce(F.sum("null_ids"), F.lit(0)).alias("null_ids"),
+            F.coalesce(F.sum("ids"), F.lit(0)).alias("distinct_ids"),
+            F.min("minimum_id").alias("minimum_id"),
+            F.max("maximum_id").alias("maximum_id"),
+        )
     )
     repeated = F.col("row_count") - F.col("distinct_ids")
     return measured.select(

@@ -303,23 +303,23 @@ def population_summary(working: DataFrame) -> DataFrame:
 
 def merge_one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Inner join that fails when a key occurs twice on either side."""
-    return _unique_by(left, [key], "left_copies").join(
-        _unique_by(right, [key], "right_copies"), key
-    ).filter(_must_be_single("left_copies") & _must_be_single("right_copies"))
+    return _single(left, key).join(_single(right, key), key)
 
 
-def _unique_by(df: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
-    # Grouping by the join key leaves the rows where the join needs them.
-    rest = [name for name in df.columns if name not in keys]
-    return df.groupBy(*keys).agg(
-        F.count("*").alias(count), *[F.first(name).alias(name) for name in rest]
-    )
-
+def _single(df: DataFrame, key: str) -> DataFrame:
+    """One row per key; the key itself can't be had where it occurs twice.
 
-def _must_be_single(count: str) -> Column:
-    return F.when(F.col(count) == 1, F.lit(True)).otherwise(
-        F.raise_error(F.lit("merge key is not unique")).cast("boolean")
+    The join needs the key of every row of either side, so no rewriting of the plan can
+    leave the check out, also for keys that match nothing.
+    """
+    rest = [name for name in df.columns if name != key]
+    grouped = df.groupBy(key).agg(
+        F.count("*").alias("copies"), *[F.first(name).alias(name) for name in rest]
+    )
+    single = F.when(F.col("copies") == 1, F.col(key)).otherwise(
+        F.raise_error(F.lit("merge key is not unique")).cast(df.schema[key].dataType)
     )
+    return grouped.select(single.alias(key), *rest)
 
 
 def _band_counts(working: DataFrame, windows: RecencyWindows, by: Sequence[str]) -> DataFrame:

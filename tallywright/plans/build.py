@@ -50,7 +50,7 @@ BUILD_INFO = T.StructType(
         T.StructField("dataset_version", T.StringType()),
         T.StructField("dataset_source_url", T.StringType()),
         T.StructField("source_filename", T.StringType()),
-        T.StructField("source_sha256", T.StringType()),
+        T.StructField("source_fingerprint", T.StringType()),
         T.StructField("source_byte_size", T.LongType()),
         T.StructField("source_row_count", T.LongType()),
         T.StructField("loaded_schema", T.StringType()),
@@ -172,6 +172,8 @@ def build(
 
     # Read once more from what will be published.
     counts = [spark.read.parquet(path).count() for path in schemas]
+    if counts != [measured["customer_rows"], measured["row_count"]]:
+        raise BuildError(f"the finished tables hold {counts} rows, other than were checked")
     publish(spark, version)
     return Build(version, *counts, checks)
 
@@ -373,7 +375,7 @@ def build_info(
                 "dataset_version": dataset.version,
                 "dataset_source_url": dataset.source_url,
                 "source_filename": contract.filename,
-                "source_sha256": source["source_hash"],
+                "source_fingerprint": source["fingerprint"],
                 "source_byte_size": source["byte_size"],
                 "source_row_count": source["data_rows"],
                 "loaded_schema": "source",

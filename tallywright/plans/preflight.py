@@ -124,7 +124,7 @@ def file_checks(
     return [
         readable,
         *expected("byte_size", "byte_size", contract.expected_bytes),
-        *expected("checksum", "source_hash", contract.expected_sha256),
+        *expected("checksum", "fingerprint", contract.expected_fingerprint),
         header,
         *expected("row_count", "data_rows", contract.expected_rows),
     ]

@@ -14,13 +14,13 @@ from pyspark.sql import types as T
 
 from tallywright.contracts import SourceContract
 from tallywright.functions.frames import literal_rows
+from tallywright.functions.hashing import row_hash
 from tallywright.operators.rowkey import tag_position
+from tallywright.sources.paths import path_exists
 from tallywright.sources.scratch import stage
 
 CORRUPT = "_corrupt_record"
 MALFORMED = "malformed"
-# Files up to this size, that of one split, are hashed whole, in one row each.
-WHOLE_FILE_BYTES = 128 * 1024 * 1024
 # A comma outside quotes.
 HEADER_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
@@ -64,53 +64,69 @@ def stage_text_table(
     )
 
 
+FILE_SCHEMA = (
+    "source_key string, file_path string, byte_size bigint, line_count bigint, "
+    "invalid_lines bigint, line_xor bigint, line_sum decimal(38,0), header_names array<string>"
+)
+
+
 def file_manifest(
     spark: SparkSession, directory: str, contracts: Sequence[SourceContract]
 ) -> DataFrame:
-    """One row per raw file: source, size, hashes, physical lines and header.
+    """One row per raw file: source, size, physical lines, their hashes and the header.
 
-    Files beyond ``WHOLE_FILE_BYTES`` have no ``sha256``, as that would put the
-    whole file into one task; ``line_hash`` covers files of any size.
+    Only what the contracts name is read. ``line_xor`` and ``line_sum`` are the xor and the
+    sum of the line hashes; neither depends on how a file is split. A source that doesn't
+    exist, or a directory that doesn't, gives no rows.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
-    path = F.col("_metadata.file_path").alias("file_path")
-    key = _source_key(F.col("file_path"), contracts).alias("source_key")
-    listed = files.select(path, F.col("length").alias("byte_size")).select("*", key)
-    hashed = files.filter(F.col("length") <= WHOLE_FILE_BYTES).select(
-        path, F.sha2("content", 256).alias("sha256")
+    files = spark.createDataFrame([], FILE_SCHEMA)
+    for contract in contracts:
+        path = f"{directory}/{contract.filename}"
+        if path_exists(spark, path):
+            files = files.unionByName(_files_of(spark, contract.key, path))
+    return files
+
+
+def _files_of(spark: SparkSession, key: str, path: str) -> DataFrame:
+    listed = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .load(path)
+        .select(
+            F.lit(key).alias("source_key"),
+            F.col("_metadata.file_path").alias("file_path"),
+            F.col("length").alias("byte_size"),
+        )
     )
     lines = (
         spark.read.options(lineSep="\n", recursiveFileLookup=True)
-        .text(directory)
+        .text(path)
         .select(
             "value",
-            path,
+            F.col("_metadata.file_path").alias("file_path"),
             F.when(
                 F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()
             ).alias("first_position"),
+            row_hash([T.StructField("value", T.StringType())]).alias("h"),
         )
         .groupBy("file_path")
         .agg(
             F.count("*").alias("line_count"),
             F.count(F.when(~F.is_valid_utf8("value"), 1)).alias("invalid_lines"),
-            F.format_string("%016x", F.bit_xor(F.xxhash64("value"))).alias("line_hash"),
+            F.bit_xor("h").alias("line_xor"),
+            F.sum(F.col("h").cast("decimal(20,0)")).cast("decimal(38,0)").alias("line_sum"),
             F.min_by("value", "first_position").alias("header"),
         )
     )
-    return (
-        listed.filter(F.col("source_key").isNotNull())
-        .join(hashed, "file_path", "left")
-        .join(lines, "file_path", "left")
-        .select(
-            "source_key",
-            "file_path",
-            "byte_size",
-            "sha256",
-            F.coalesce("line_count", F.lit(0)).alias("line_count"),
-            F.coalesce("invalid_lines", F.lit(0)).alias("invalid_lines"),
-            "line_hash",
-            header_names(F.col("header")).alias("header_names"),
-        )
+    return listed.join(lines, "file_path", "left").select(
+        "source_key",
+        "file_path",
+        "byte_size",
+        F.coalesce("line_count", F.lit(0)).alias("line_count"),
+        F.coalesce("invalid_lines", F.lit(0)).alias("invalid_lines"),
+        "line_xor",
+        "line_sum",
+        header_names(F.col("header")).alias("header_names"),
     )
 
 
@@ -124,9 +140,9 @@ def header_names(line: Column) -> Column:
 def source_manifest(files: DataFrame, contracts: Sequence[SourceContract]) -> DataFrame:
     """One row per expected source; a source without files has ``files = 0``.
 
-    ``data_rows`` counts physical lines without the header of each file. A
-    source of one file is identified by its SHA-256, others by the combined
-    line hash.
+    ``data_rows`` counts physical lines without the header of each file. ``fingerprint`` is
+    the number, the xor and the sum of the hashes of all lines, so it is the same however
+    the lines are dealt to files, and repeated lines count.
     """
     expected = literal_rows(
         files.sparkSession,
@@ -135,17 +151,18 @@ def source_manifest(files: DataFrame, contracts: Sequence[SourceContract]) -> Da
             for ordinal, c in enumerate(contracts)
         ],
     )
-    as_number = F.conv(F.col("line_hash"), 16, -10).cast("bigint")
-    combined = F.format_string("%016x", F.bit_xor(as_number))
     found = files.groupBy("source_key").agg(
         F.count("*").alias("files"),
         F.sum("byte_size").alias("byte_size"),
         F.sum("line_count").alias("line_count"),
         F.sum("invalid_lines").alias("invalid_lines"),
         F.sum(F.greatest(F.col("line_count") - 1, F.lit(0))).alias("data_rows"),
-        F.when((F.count("*") == 1) & F.max("sha256").isNotNull(), F.max("sha256"))
-        .otherwise(combined)
-        .alias("source_hash"),
+        F.format_string(
+            "%d:%d:%s",
+            F.sum("line_count"),
+            F.coalesce(F.bit_xor("line_xor"), F.lit(0).cast("bigint")),
+            F.coalesce(F.sum("line_sum"), F.lit(0)).cast("decimal(38,0)").cast("string"),
+        ).alias("fingerprint"),
     )
     return expected.join(found, "source_key", "left").select(
         "source_ordinal",
@@ -156,7 +173,7 @@ def source_manifest(files: DataFrame, contracts: Sequence[SourceContract]) -> Da
         "line_count",
         "invalid_lines",
         "data_rows",
-        "source_hash",
+        "fingerprint",
     )
 
 
@@ -212,12 +229,3 @@ def scanned_counts(
             F.col("scanned_rows").eqNullSafe(F.col("data_rows")) & (F.col("malformed_rows") == 0)
         ).alias("matches"),
     )
-
-
-def _source_key(path: Column, contracts: Sequence[SourceContract]) -> Column:
-    key = F.lit(None).cast("string")
-    for contract in contracts:
-        name = F.lit("/" + contract.filename)
-        inside = F.contains(path, F.concat(name, F.lit("/"))) | F.endswith(path, name)
-        key = F.when(inside, F.lit(contract.key)).otherwise(key)
-    return key

@@ -1,8 +1,8 @@
 """Published versions of a pair of tables.
 
 A version is a folder that is written once. What is published is the version
-named by the newest row of a small append-only log, so publishing is a single
-file appearing, and an earlier version stays as it was.
+with the highest number in a small log, so publishing is a single file appearing, and
+an earlier version stays as it was. No clock decides.
 """
 
 from __future__ import annotations
@@ -10,10 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-LOG_SCHEMA = "build_id string, published_at_utc timestamp"
+from tallywright.sources.paths import path_exists
+
+LOG_SCHEMA = "publish_number bigint, build_id string, published_at_utc timestamp"
 
 
 @dataclass(frozen=True)
@@ -54,20 +56,38 @@ def latest_row(df: DataFrame, condition: Column, by: str) -> DataFrame:
 
 
 def published_version(spark: SparkSession, target: str) -> Version | None:
-    """The version the log names last, or None."""
-    try:
-        log = spark.read.schema(LOG_SCHEMA).parquet(f"{target}/publishes")
-    except AnalysisException:
+    """The version the log names last, or None if nothing was ever published.
+
+    A log that can't be read, or that names no version, is an error.
+    """
+    row = _last_publish(spark, target)
+    if row is None:
         return None
-    row = latest_row(log, F.lit(True), "published_at_utc").first()
-    return Version(target, row["build_id"]) if row else None
+    if row["build_id"] is None or row["publish_number"] is None:
+        raise ValueError(f"the log of {target} names no version")
+    return Version(target, row["build_id"])
+
+
+def _last_publish(spark: SparkSession, target: str) -> Row | None:
+    log = f"{target}/publishes"
+    if not path_exists(spark, log):
+        return None
+    rows = spark.read.schema(LOG_SCHEMA).option("recursiveFileLookup", True).parquet(log)
+    return latest_row(rows, F.lit(True), "publish_number").first()
 
 
 def publish(spark: SparkSession, version: Version) -> None:
-    """Make a complete version the published one."""
+    """Make a complete version the published one, under the next number.
+
+    Writing a number that is taken already fails.
+    """
+    last = _last_publish(spark, version.target)
+    number = last["publish_number"] + 1 if last else 1
     spark.range(1).select(
-        F.lit(version.build_id).alias("build_id"), F.current_timestamp().alias("published_at_utc")
-    ).coalesce(1).write.mode("append").parquet(f"{version.target}/publishes")
+        F.lit(number).cast("bigint").alias("publish_number"),
+        F.lit(version.build_id).alias("build_id"),
+        F.current_timestamp().alias("published_at_utc"),
+    ).coalesce(1).write.mode("errorifexists").parquet(f"{version.target}/publishes/{number:010d}")
 
 
 def read_published(spark: SparkSession, target: str) -> tuple[DataFrame, DataFrame]:

@@ -19,7 +19,7 @@ CUSTOMER_ROWS = [
 
 def contracts(customers=2, transactions=3):
     """The bank contracts, expecting so many rows and files of any content."""
-    anything = {"expected_bytes": None, "expected_sha256": None}
+    anything = {"expected_bytes": None, "expected_fingerprint": None}
     return {
         "customers": replace(CUSTOMERS, expected_rows=customers, **anything),
         "ledger": replace(TRANSACTIONS, expected_rows=transactions, **anything),

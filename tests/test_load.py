@@ -9,7 +9,7 @@ from tallywright.operators.checks import has_failures
 from tallywright.plans.build import BuildError, ValidationError, build
 from tallywright.plans.health import inspect_health
 from tallywright.sources.reports import write_report
-from tallywright.sources.versions import Version, published_version, read_published
+from tallywright.sources.versions import Version, publish, published_version, read_published
 
 
 def codes(checks, status):
@@ -48,7 +48,7 @@ def test_audit_rows(spark, published):
         date(2023, 1, 4),
         date(2023, 1, 5),
     )
-    assert len(ledger["source_sha256"]) == 64
+    assert ledger["source_fingerprint"].startswith("4:")
     assert info["customers"]["minimum_date"] is None
     stored = spark.read.parquet(result.version.validation_results)
     assert stored.count() == len(result.checks)
@@ -136,10 +136,7 @@ def drifted(spark, published, tmp_path, **tables):
         df = tables[name](df) if name in tables else df
         if df is not None:
             df.write.parquet(getattr(version, name))
-    log = spark.createDataFrame([(version.build_id,)], "build_id string")
-    log.withColumn("published_at_utc", F.current_timestamp()).write.parquet(
-        f"{version.target}/publishes"
-    )
+    publish(spark, version)
     health = inspect_health(spark, version.target, **contracts())
     assert has_failures(health.checks)
     return codes(health.checks, "fail")
@@ -227,3 +224,24 @@ def test_wrong_structure(spark, published, tmp_path):
         ledger=lambda df: df.withColumn("amount_cop", F.col("amount_cop").cast("double")),
     )
     assert failed == {"database.table_definitions"}
+
+
+def test_the_number_of_a_publish_decides_not_the_clock(spark, tmp_path):
+    target = str(tmp_path / "numbered")
+    assert published_version(spark, target) is None
+    for name in ("first", "second", "third"):
+        publish(spark, Version(target, name))
+    log = spark.read.option("recursiveFileLookup", True).parquet(f"{target}/publishes")
+    assert {row.publish_number: row.build_id for row in log.collect()} == {1: "first", 2: "second", 3: "third"}
+    # A later number with an earlier time.
+    log.filter("publish_number = 1").selectExpr(
+        "4L as publish_number", "'fourth' as build_id", "published_at_utc - interval 9 days as published_at_utc"
+    ).coalesce(1).write.parquet(f"{target}/publishes/0000000004")
+    assert published_version(spark, target).build_id == "fourth"
+
+
+def test_a_log_that_names_nothing_is_an_error(spark, tmp_path):
+    target = str(tmp_path / "odd")
+    spark.range(1).selectExpr("id as other").write.parquet(f"{target}/publishes/0000000001")
+    with pytest.raises(ValueError, match="names no version"):
+        published_version(spark, target)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tallywright.functions.numbers import band_labels, percentage, recency_band
 from tallywright.functions.text import lenient_cast, null_label, strict_cast
 from tallywright.operators.fingerprint import fingerprint
+from tallywright.operators.summaries import merge_one_to_one
 from tallywright.operators.relationships import (
     childless,
     count_distribution,
@@ -244,3 +245,33 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch_root(Cluster)
+
+
+def test_row_keys_by_bitmaps(spark):
+    def measured(keys):
+        rows = spark.createDataFrame([(key,) for key in keys], "k long")
+        found = row_key_integrity(rows.repartition(3), "k").first().asDict()
+        return found["row_count"], found["null_ids"], found["duplicate_id_rows"], found["sequential"]
+
+    many = list(range(1, 70_001))
+    assert measured(many) == (70_000, 0, 0, True)
+    assert measured([*many[:-1], 1]) == (70_000, 0, 1, False)
+    assert measured([1, 2, 4]) == (3, 0, 0, False)
+    assert measured([None, 1, 2]) == (3, 1, 1, False)
+    assert measured([-1, 0, 1, -1, -40_000, 32_768, 32_769]) == (7, 0, 1, False)
+    assert measured([]) == (0, 0, 0, False)
+
+
+def test_merge_fails_on_repeated_keys_whatever_the_plan(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k long, x string")
+    right = spark.createDataFrame([(1, "d")], "k long, y string")
+    rules = "spark.sql.optimizer.excludedRules"
+    for excluded in ("", "org.apache.spark.sql.catalyst.optimizer.PushDownPredicates"):
+        spark.conf.set(rules, excluded)
+        try:
+            for sides in ((left, right), (right, left)):
+                with pytest.raises(Exception, match="merge key is not unique"):
+                    merge_one_to_one(*sides, "k").collect()
+            assert merge_one_to_one(left.limit(2), right, "k").collect() == [(1, "a", "d")]
+        finally:
+            spark.conf.unset(rules)

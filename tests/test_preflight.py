@@ -1,4 +1,3 @@
-import hashlib
 import json
 from dataclasses import replace
 from datetime import date
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from tallywright.contracts import CUSTOMERS, TRANSACTIONS
 from tallywright.operators import checks as C
 from tallywright.operators import relationships
+from tallywright.sources.raw_text import file_manifest, source_manifest
 from tallywright.plans.preflight import check_contents, run_preflight
 from tallywright.sources import raw_text
 from tallywright.sources.reports import write_report
@@ -30,21 +30,51 @@ def test_other_files_than_expected(spark, tmp_path):
     assert failed == {
         f"{key}.{code}"
         for key in ("customers", "transactions")
-        for code in ("byte_size", "checksum", "row_count")
+        for code in ("byte_size", "row_count")
     }
     assert "files.csv_readability" not in statuses(run)
 
 
-def test_sha256_is_checked(spark, tmp_path):
+def test_fingerprint_is_checked(spark, tmp_path):
     raw = write_raw(tmp_path / "raw")
     run = run_preflight(spark, raw, **contracts())
-    digest = run.manifest["transactions"]["source_hash"]
     expected = contracts()
-    expected["ledger"] = replace(expected["ledger"], expected_sha256=digest)
-    found = statuses(run_preflight(spark, raw, **expected))
-    assert found["transactions.checksum"] == "pass"
-    content = (tmp_path / "raw" / TRANSACTIONS.filename).read_bytes()
-    assert digest == hashlib.sha256(content).hexdigest()
+    own = run.manifest["transactions"]["fingerprint"]
+    expected["ledger"] = replace(expected["ledger"], expected_fingerprint=own)
+    assert statuses(run_preflight(spark, raw, **expected))["transactions.checksum"] == "pass"
+    path = tmp_path / "raw" / TRANSACTIONS.filename
+    path.write_bytes(path.read_bytes().replace(b"10.00", b"10.01"))
+    assert statuses(run_preflight(spark, raw, **expected))["transactions.checksum"] == "fail"
+
+
+def test_fingerprint_counts_repeated_lines_and_ignores_splits(spark, tmp_path):
+    wanted = replace(TRANSACTIONS, filename="lines")
+    header = ",".join(TRANSACTIONS.columns)
+
+    def fingerprint(*files):
+        folder = tmp_path / f"run{len(list(tmp_path.iterdir()))}" / "lines"
+        folder.mkdir(parents=True)
+        for number, lines in enumerate(files):
+            (folder / f"{number}.csv").write_text("\n".join(lines) + "\n")
+        found = source_manifest(file_manifest(spark, str(folder.parent), [wanted]), [wanted])
+        return found.first()["fingerprint"]
+
+    first = ["1,2023-01-04,1.00,P"] * 2
+    second = ["9,2023-05-05,7.77,Q"] * 2
+    assert fingerprint([header, *first]) != fingerprint([header, *second])
+    many = [header, *(f"{i},2023-01-04,1.00,P" for i in range(5000))]
+    whole = fingerprint(many)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert fingerprint(many) == whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert fingerprint(many[:100], many[100:]) == whole
+
+
+def test_missing_directory_fails_two_checks(spark, tmp_path):
+    run = run_preflight(spark, str(tmp_path / "nowhere"), **contracts())
+    assert statuses(run) == {f"{key}.file_exists": "fail" for key in ("customers", "transactions")}
 
 
 def test_all_quiet(spark, tmp_path):
