@@ -255,9 +255,10 @@ def similar_groups(documents: DataFrame, shingle_words: int = WORDS) -> DataFram
     )
     # One row per counter at most.
     held = measured.where("counter is not null").groupBy("counter").agg(F.sum("held").alias("held"))
-    table = held.toPandas()
+    table = held.toArrow()
     sketch = np.zeros(SKETCH, np.int64)
-    sketch[table["counter"].to_numpy()] = table["held"].to_numpy()
+    sketch[table.column("counter").to_numpy()] = table.column("held").to_numpy()
+    del table
     total = max(int(sketch.sum()), 1)
     usual = float(np.median(sketch))
     excess = float((sketch * np.maximum(sketch - usual - 6 * np.sqrt(usual), 0)).sum()) / total
