@@ -217,17 +217,54 @@ def _first() -> F.Column:
 
 
 def _apart(lists: DataFrame, groups: DataFrame) -> DataFrame:
-    """Lists with the group of each member, of those with members of different groups."""
+    """Lists that hold members of different groups, with the group of each and the pivot's."""
     labelled = lists.join(groups, lists.mark == groups.node, "left").selectExpr(
         "gram", "mark", "place", "coalesce(component, mark) as label"
     )
     several = (
         labelled.groupBy("gram")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        .agg(
+            F.min("label").alias("low"),
+            F.max("label").alias("high"),
+            F.expr("min_by(label, struct(place & 4294967295, xxhash64(mark), mark))").alias("usual"),
+        )
         .where("low <> high")
-        .select("gram")
+        .select("gram", "usual")
     )
-    return stage(labelled.join(several, "gram", "left_semi"), "apart")
+    return stage(labelled.join(several, "gram"), "apart")
+
+
+def _across(apart: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one list and different groups that sizes and places allow to be alike.
+
+    The larger set seeks the smaller one by size: what its place leaves room for. The smaller
+    set can only be found at a place among its first seventh. Members of the pivot's group
+    aren't held against each other.
+    """
+    rows = apart.selectExpr(
+        "*", "shiftright(place, 32) as size", "place & 4294967295 as rarer", "label = usual as common"
+    )
+    step = "cast(floor(log2({}) * 24) as int)"
+    reach = "least(size, (4 * size - 7 * rarer) div 3)"
+    least = "(3 * size + 3) div 4"
+    seekers = rows.where(f"{reach} >= {least}").selectExpr(
+        "gram", "mark as a", "place as a_place", "label as a_label", "common",
+        f"explode(sequence({step.format(least)}, {step.format(reach)})) as step",
+    )
+    targets = rows.where("7 * rarer <= size").selectExpr(
+        "gram", "mark as b", "place as b_place", "label as b_label", "common as b_common", f"{step.format('size')} as step"
+    )
+    both = None
+    for left, right in (("not common", "true"), ("common", "not b_common")):
+        joined = (
+            seekers.where(left).drop("common")
+            .join(targets.where(right).drop("b_common"), ["gram", "step"])
+            .where("a_label <> b_label")
+            .where(_may_link("a_place", "b_place"))
+            .selectExpr("least(a, b) as a", "greatest(a, b) as b")
+        )
+        both = joined if both is None else both.union(joined)
+    return both.distinct()
 
 
 def similar_groups(documents: DataFrame, shingle_words: int = WORDS) -> DataFrame:
@@ -297,17 +334,7 @@ def similar_groups(documents: DataFrame, shingle_words: int = WORDS) -> DataFram
     links = stage(_alike(stage(stars.distinct(), "stars"), members, shingle_words), "links")
     # What the pivots didn't join: members of different groups in one list.
     apart = _apart(lists, components(links))
-    labels = apart.select("gram", "label").distinct()
-    facing = labels.join(labels.toDF("gram", "other"), "gram").where("label < other")
-    left = apart.selectExpr("gram", "label", "mark as a", "place as a_place")
-    right = apart.selectExpr("gram", "label as other", "mark as b", "place as b_place")
-    across = (
-        facing.join(left, ["gram", "label"])
-        .join(right, ["gram", "other"])
-        .where(_may_link("a_place", "b_place"))
-        .selectExpr("least(a, b) as a", "greatest(a, b) as b")
-        .distinct()
-    )
+    across = _across(apart)
     links = links.union(stage(_alike(stage(across, "across"), members, shingle_words), "links"))
     groups = components(links)
     named = (
