@@ -28,6 +28,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ from tallywright.sources.scratch import stage
 WORDS = 5
 #: Counters of the frequency sketch, a power of two.
 SKETCH = 1 << 20
+#: Counters that are added up together.
+CHUNK = 1 << 14
 #: Sets of more shingles are always large.
 LARGEST_SMALL = 16
 #: A shingle expected in more sets than this above the average has its list split.
@@ -45,6 +48,18 @@ HOT_LIST = 20_000
 HOT_SPLIT = 64
 #: Members of a pivot that one task compares.
 PIVOT_MEMBERS = 512
+#: Postings that a task gathers before it packs them by bucket.
+HELD_BACK = 1 << 20
+#: Postings of a bucket, on average; a reading task holds one bucket at a time.
+BUCKET = 1 << 20
+#: There are at least 2 to this many buckets.
+BUCKET_BITS = 10
+#: Bits that tell which texts a join can't need, a power of two from 32,768.
+NEEDED_BITS = 1 << 26
+#: Rows of an Arrow batch of lists.
+LISTED_ROWS = 1 << 18
+POSTING = np.dtype([("gram", "u8"), ("mark", "i8"), ("place", "i8"), ("salt", "u1")])
+LISTED = np.dtype([*POSTING.descr, ("head", "i8"), ("head_place", "i8")])
 
 
 def least_overlap(left: int, right: int) -> int:
@@ -75,6 +90,15 @@ def boundary_of(list_length: float) -> int:
     return boundary
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The lowest bytes of all values, then the next ones: what is always zero lies together."""
+    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(raw: bytes, dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(dtype).ravel()
+
+
 def _measure(shingle_words: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.int64)
@@ -89,18 +113,36 @@ def _measure(shingle_words: int):
                 doc_id=part.column("doc_id"),
                 n_shingles=np.array(sizes, np.int64),
                 mark=signed(np.array(marks, np.uint64)),
-                counter=pa.nulls(len(sizes), pa.int32()),
-                held=pa.nulls(len(sizes), pa.int64()),
+                chunk=pa.nulls(len(sizes), pa.int32()),
+                held=pa.nulls(len(sizes), pa.binary()),
             )
-        used = np.flatnonzero(sketch)
+        chunks = sketch.reshape(-1, CHUNK)
+        used = np.flatnonzero(chunks.any(axis=1))
         gone = pa.nulls(len(used), pa.int64())
-        yield batch(
-            doc_id=gone, n_shingles=gone, mark=gone, counter=used.astype(np.int32), held=sketch[used]
-        )
+        held = pa.array([_packed_counts(chunks[at]) for at in used], pa.binary())
+        yield batch(doc_id=gone, n_shingles=gone, mark=gone, chunk=used.astype(np.int32), held=held)
 
     return run
 
 
+def _packed_counts(counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(_planes(counts))
+
+
+def _counts(packed: bytes) -> np.ndarray:
+    return _from_planes(zstandard.ZstdDecompressor().decompress(packed), np.int64)
+
+
+def _add_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by chunk of counters; the sum of each chunk."""
+    sums: dict[int, np.ndarray] = {}
+    for part in parts:
+        for chunk, held in zip(part.column("chunk").to_pylist(), part.column("held").to_pylist(), strict=True):
+            sums[chunk] = sums.get(chunk, 0) + _counts(held)
+    packed = pa.array([_packed_counts(counts) for counts in sums.values()], pa.binary())
+    yield batch(chunk=pa.array(list(sums), pa.int32()), held=packed)
+
+
 def _small_keys(grams: np.ndarray, boundary: int) -> Iterator[int]:
     """A hash for each subset with which a partner of some size is alike."""
     size, bodies = len(grams), [gram.tobytes() for gram in grams]
@@ -111,11 +153,49 @@ def _small_keys(grams: np.ndarray, boundary: int) -> Iterator[int]:
                 yield xxhash.xxh3_64_intdigest(b"".join(subset), seed=pair)
 
 
-def _post(sketch, shingle_words: int, boundary: int, hot: float):
+def pack_postings(rows: np.ndarray) -> bytes:
+    """Postings sorted by shingle in fewer bytes: steps between shingles, small numbers as planes."""
+    steps = np.diff(rows["gram"], prepend=np.uint64(0))
+    raw = _planes(steps) + _planes(rows["place"].copy()) + rows["salt"].tobytes() + rows["mark"].tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unpack_postings(packed: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    count = len(raw) // POSTING.itemsize
+    rows = np.empty(count, POSTING)
+    rows["gram"] = np.cumsum(_from_planes(raw[: 8 * count], np.uint64), dtype=np.uint64)
+    rows["place"] = _from_planes(raw[8 * count : 16 * count], np.int64)
+    rows["salt"] = np.frombuffer(raw, np.uint8, count, 16 * count)
+    rows["mark"] = np.frombuffer(raw, np.int64, count, 17 * count)
+    return rows
+
+
+def _dealt(rows: np.ndarray, bucket_bits: int) -> pa.RecordBatch:
+    """One packed row for each bucket that ``rows`` touch; a split list goes to several buckets."""
+    buckets = (rows["gram"] >> np.uint64(64 - bucket_bits)).astype(np.int64) + rows["salt"]
+    buckets &= (1 << bucket_bits) - 1
+    order = np.lexsort((rows["gram"], buckets))
+    rows, buckets = rows[order], buckets[order]
+    starts = np.flatnonzero(np.diff(buckets, prepend=-1))
+    packed = [pack_postings(own) for own in np.split(rows, starts[1:])] if len(rows) else []
+    return batch(bucket=buckets[starts].astype(np.int32), packed=pa.array(packed, pa.binary()))
+
+
+def _post(sketch, shingle_words: int, boundary: int, hot: float, bucket_bits: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sketch.value, set()
+        waiting, held_back = [], 0
+
+        def postings(grams, mark: int, place, salt) -> None:
+            nonlocal held_back
+            rows = np.empty(len(grams), POSTING)
+            rows["gram"], rows["place"], rows["salt"] = grams, place, salt
+            rows["mark"] = signed(np.array([mark], np.uint64))[0]
+            waiting.append(rows)
+            held_back += len(rows)
+
         for part in parts:
-            keys, marks, places, salts = [], [], [], []
             for text in texts_of(part):
                 grams = shingles_of(text, shingle_words)
                 size = len(grams)
@@ -123,30 +203,67 @@ def _post(sketch, shingle_words: int, boundary: int, hot: float):
                 if not size or mark in seen:
                     continue
                 seen.add(mark)
-                own, at, split = [], [], []
                 if size <= boundary:
-                    own = list(_small_keys(grams, boundary))
-                    at, split = [0] * len(own), [0] * len(own)
+                    postings(np.array(list(_small_keys(grams, boundary)), np.uint64), mark, size << 32, 0)
                 if partner_sizes(size)[-1] > boundary:
                     held = counts[grams & np.uint64(SKETCH - 1)]
                     order = np.lexsort((grams, held))[: posted(size)]
-                    own += grams[order].tolist()
-                    at += range(len(order))
-                    split += np.where(held[order] > hot, 1 + mark % HOT_SPLIT, 0).tolist()
-                keys += own
-                marks += [mark] * len(own)
-                places += [(size << 32) + place for place in at]
-                salts += split
-            yield batch(
-                gram=signed(np.array(keys, np.uint64)),
-                mark=signed(np.array(marks, np.uint64)),
-                place=np.array(places, np.int64),
-                salt=np.array(salts, np.int32),
-            )
+                    places = (size << 32) + np.arange(len(order))
+                    salts = np.where(held[order] > hot, 1 + mark % HOT_SPLIT, 0)
+                    postings(grams[order], mark, places, salts)
+                if held_back >= HELD_BACK:
+                    yield _dealt(np.concatenate(waiting), bucket_bits)
+                    waiting, held_back = [], 0
+        if waiting:
+            yield _dealt(np.concatenate(waiting), bucket_bits)
 
     return run
 
 
+def lists_of(rows: np.ndarray) -> np.ndarray:
+    """The postings of lists (or parts of split ones) that can hold a pair, each with its pivot.
+
+    A list is the postings of one shingle and salt; its pivot is the member with the fewest
+    rarer shingles, the lowest mark of several. Repeated postings count once.
+    """
+    rarer = rows["place"] & 0xFFFFFFFF
+    order = np.lexsort((rows["mark"], rarer, rows["salt"], rows["gram"]))
+    rows = rows[order]
+    rows = rows[np.append(True, rows[1:] != rows[:-1])[: len(rows)]]
+    new = np.append(True, (rows["gram"][1:] != rows["gram"][:-1]) | (rows["salt"][1:] != rows["salt"][:-1]))
+    starts = np.flatnonzero(new[: len(rows)])
+    lengths = np.diff(np.append(starts, len(rows)))
+    heads = rows[np.repeat(starts, lengths)]
+    kept = (np.repeat(lengths, lengths) > 1) | (rows["salt"] > 0)
+    listed = np.empty(int(kept.sum()), LISTED)
+    for name in POSTING.names:
+        listed[name] = rows[name][kept]
+    listed["head"], listed["head_place"] = heads["mark"][kept], heads["place"][kept]
+    return listed
+
+
+def _list(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows by bucket; the lists of each bucket, of which one at a time is held."""
+
+    def finished(packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+        listed = lists_of(np.concatenate([unpack_postings(own) for own in packed]))
+        for start in range(0, len(listed), LISTED_ROWS):
+            own = listed[start : start + LISTED_ROWS]
+            columns = {name: np.ascontiguousarray(own[name]) for name in LISTED.names}
+            yield batch(**columns | {"gram": signed(columns["gram"]), "salt": columns["salt"].astype(np.int32)})
+
+    bucket, packed = None, []
+    for part in parts:
+        for at, own in zip(part.column("bucket").to_pylist(), part.column("packed").to_pylist(), strict=True):
+            if at != bucket and packed:
+                yield from finished(packed)
+                packed = []
+            bucket = at
+            packed.append(own)
+    if packed:
+        yield from finished(packed)
+
+
 def _may_link(left: str, right: str) -> F.Column:
     """Whether two postings of one shingle can belong to alike sets, by size and place."""
     sizes = f"shiftright({left}, 32)", f"shiftright({right}, 32)"
@@ -181,11 +298,47 @@ def _compare(shingle_words: int, percent: int):
     return run
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, shingle_words: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are alike, by their whole ``texts`` (mark, text).
+def _may_need(bits):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            at = part.column("bit").to_numpy()
+            kept = (bits.value[at >> 3] >> (at & 7)) & 1
+            yield part.select(["doc_id", "text"]).filter(pa.array(kept.astype(bool)))
+
+    return run
+
+
+def _texts_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``mark, text`` of the sets in ``pairs``.
+
+    Most texts are in no pair. A bitmap of fixed size over the hashes of those that are
+    keeps the others from being shuffled; the join that follows is exact.
+    """
+    marks = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
+    needed = stage(marks.join(classes, "mark"), "needed")
+    bit = F.expr(f"pmod(xxhash64(doc_id), {NEEDED_BITS}L)").alias("bit")
+    # Buckets and positions count from 1.
+    chunks = (
+        needed.select(bit)
+        .groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("chunk"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("bits"))
+    )
+    bits = np.zeros((NEEDED_BITS >> 15, 4096), np.uint8)
+    table = chunks.toArrow()  # at most NEEDED_BITS
+    for chunk, own in zip(table.column("chunk").to_pylist(), table.column("bits").to_pylist(), strict=True):
+        bits[chunk - 1] = np.frombuffer(own, np.uint8)
+    shared = pairs.sparkSession.sparkContext.broadcast(bits.ravel())
+    rows = texts.select(F.col("doc_id").cast("long"), "text", bit)
+    near = arrow_map(rows, _may_need(shared), "doc_id long, text string")
+    return needed.join(near, "doc_id").select("mark", "text")
+
+
+def _alike(pairs: DataFrame, classes: DataFrame, documents: DataFrame, shingle_words: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are alike, by the whole texts of ``documents``.
 
     The members of a pivot are dealt to groups of bounded size, each with the pivot's text.
     """
+    texts = _texts_of(pairs, classes, documents)
     sizes = pairs.groupBy("a").agg(F.expr(f"ceil(count(*) / {PIVOT_MEMBERS})").alias("groups"))
     members = pairs.join(sizes, "a").select(
         F.col("a").alias("pivot"),
@@ -210,10 +363,8 @@ def _alike(pairs: DataFrame, texts: DataFrame, shingle_words: int) -> DataFrame:
 
 
 def _first() -> F.Column:
-    """A list's pivot: the member with the fewest rarer shingles, any of several."""
-    return F.min(
-        F.struct(F.expr("place & 4294967295").alias("rarer"), F.xxhash64("mark").alias("draw"), "mark", "place")
-    )
+    """A list's pivot: the member with the fewest rarer shingles, the lowest mark of several."""
+    return F.min(F.struct(F.expr("place & 4294967295").alias("rarer"), "mark", "place"))
 
 
 def _apart(lists: DataFrame, groups: DataFrame) -> DataFrame:
@@ -226,7 +377,7 @@ def _apart(lists: DataFrame, groups: DataFrame) -> DataFrame:
         .agg(
             F.min("label").alias("low"),
             F.max("label").alias("high"),
-            F.expr("min_by(label, struct(place & 4294967295, xxhash64(mark), mark))").alias("usual"),
+            F.expr("min_by(label, struct(place & 4294967295, mark))").alias("usual"),
         )
         .where("low <> high")
         .select("gram", "usual")
@@ -244,7 +395,7 @@ def _across(apart: DataFrame) -> DataFrame:
     rows = apart.selectExpr(
         "*", "shiftright(place, 32) as size", "place & 4294967295 as rarer", "label = usual as common"
     )
-    step = "cast(floor(log2({}) * 24) as int)"
+    step = "cast(floor(log2({}) * 8) as int)"
     reach = "least(size, (4 * size - 7 * rarer) div 3)"
     least = "(3 * size + 3) div 4"
     seekers = rows.where(f"{reach} >= {least}").selectExpr(
@@ -282,41 +433,37 @@ def similar_groups(documents: DataFrame, shingle_words: int = WORDS) -> DataFram
     texts = documents.select("doc_id", "text")
     measured = stage(
         arrow_map(
-            texts, _measure(shingle_words), "doc_id long, n_shingles long, mark long, counter int, held long"
+            texts, _measure(shingle_words), "doc_id long, n_shingles long, mark long, chunk int, held binary"
         ),
         "measured",
     )
-    rows = measured.where("counter is null").select("doc_id", "n_shingles", "mark")
+    rows = measured.where("chunk is null").select("doc_id", "n_shingles", "mark")
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("mark").agg(
         F.min("doc_id").alias("doc_id")
     )
-    # One row per counter at most.
-    held = measured.where("counter is not null").groupBy("counter").agg(F.sum("held").alias("held"))
-    table = held.toArrow()
+    # One row per chunk of counters: SKETCH numbers at any size.
+    held = measured.where("chunk is not null").select("chunk", "held").repartition("chunk")
     sketch = np.zeros(SKETCH, np.int64)
-    sketch[table.column("counter").to_numpy()] = table.column("held").to_numpy()
-    del table
+    for row in arrow_map(held, _add_up, "chunk int, held binary").collect():
+        sketch[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = _counts(bytes(row.held))
     total = max(int(sketch.sum()), 1)
     usual = float(np.median(sketch))
     excess = float((sketch * np.maximum(sketch - usual - 6 * np.sqrt(usual), 0)).sum()) / total
     boundary = boundary_of(excess)
     shared = spark.sparkContext.broadcast(sketch)
+    # A set posts about a quarter of its shingles.
+    bucket_bits = max(BUCKET_BITS, (total // (4 * BUCKET)).bit_length())
     postings = arrow_map(
         texts,
-        _post(shared, shingle_words, boundary, usual * 2 + HOT_LIST),
-        "gram long, mark long, place long, salt int",
+        _post(shared, shingle_words, boundary, usual * 2 + HOT_LIST, bucket_bits),
+        "bucket int, packed binary",
     )
-    listed = Window.partitionBy("gram", "salt")
     lists = stage(
-        postings.select(
-            "*",
-            _first().over(listed).alias("pivot"),
-            F.min("mark").over(listed).alias("low"),
-            F.max("mark").over(listed).alias("high"),
-        )
-        .where("low <> high or salt > 0")
-        .selectExpr("gram", "mark", "place", "salt", "pivot.mark as head", "pivot.place as head_place")
-        .distinct(),
+        arrow_map(
+            postings.repartition("bucket").sortWithinPartitions("bucket"),
+            _list,
+            "gram long, mark long, place long, salt int, head long, head_place long",
+        ),
         "lists",
     )
     # Of a list that is split, the pivots of its parts are compared with one of them.
@@ -329,13 +476,11 @@ def similar_groups(documents: DataFrame, shingle_words: int = WORDS) -> DataFram
         .selectExpr("head as a", "mark as b")
         .union(tops.selectExpr("top.mark as a", "mark as b"))
     )
-    members = lists.select("mark").distinct().join(classes, "mark")
-    members = stage(members.join(texts, "doc_id").select("mark", "text"), "members")
-    links = stage(_alike(stage(stars.distinct(), "stars"), members, shingle_words), "links")
+    links = stage(_alike(stage(stars.distinct(), "stars"), classes, texts, shingle_words), "links")
     # What the pivots didn't join: members of different groups in one list.
     apart = _apart(lists, components(links))
     across = _across(apart)
-    links = links.union(stage(_alike(stage(across, "across"), members, shingle_words), "links"))
+    links = links.union(stage(_alike(stage(across, "across"), classes, texts, shingle_words), "links"))
     groups = components(links)
     named = (
         groups.join(classes, groups.node == classes.mark)

@@ -148,6 +148,34 @@ def test_jaccard_join_of_a_large_group_of_near_copies(spark, monkeypatch):
     assert {row.doc_id: row.component_id for row in found} == {i: find(i) for i in sets}
 
 
+def test_packed_postings_and_their_lists():
+    from tallywright.llm import jaccard
+
+    draw = np.random.default_rng(5)
+    rows = np.empty(4000, jaccard.POSTING)
+    rows["gram"] = draw.choice(draw.integers(0, 2**64, 1500, dtype=np.uint64), 4000)
+    rows["mark"] = draw.integers(-(2**63), 2**63, 4000)
+    rows["place"] = (draw.integers(1, 2**30, 4000) << 32) + draw.integers(0, 9, 4000)
+    rows["salt"] = np.where(rows["gram"] % 7 == 0, 1 + rows["mark"] % 3, 0)
+    rows[3000:] = rows[:1000]  # copies
+    dealt = jaccard._dealt(rows, 3).to_pydict()
+    assert set(dealt["bucket"]) == set(range(8)) and len(dealt["bucket"]) == 8
+    buckets = [jaccard.unpack_postings(own) for own in dealt["packed"]]
+    assert sorted(np.concatenate(buckets).tolist()) == sorted(rows.tolist())
+    lists = {}
+    for gram, mark, place, salt in set(rows.tolist()):
+        lists.setdefault((gram, salt), set()).add((place & 0xFFFFFFFF, mark, place))
+    expected = {
+        (gram, mark, place, salt, min(members)[1], min(members)[2])
+        for (gram, salt), members in lists.items()
+        for _, mark, place in members
+        if len(members) > 1 or salt
+    }
+    found = [row for own in buckets for row in jaccard.lists_of(own).tolist()]
+    assert len(found) == len(expected) and set(found) == expected
+    assert not len(jaccard.lists_of(rows[:0])) and not jaccard._dealt(rows[:0], 3).num_rows
+
+
 def test_license_scan(spark):
     texts = documents(spark).collect()
     found = {row.doc_id: row for row in queries.op3_license_scan(spark, SF).collect()}
