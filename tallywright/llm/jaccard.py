@@ -308,8 +308,8 @@ def _may_need(bits):
     return run
 
 
-def _texts_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """``mark, text`` of the sets in ``pairs``.
+def _texts_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``mark, doc_id`` of the sets in ``pairs``, and ``doc_id, text`` of few other rows than these.
 
     Most texts are in no pair. A bitmap of fixed size over the hashes of those that are
     keeps the others from being shuffled; the join that follows is exact.
@@ -329,8 +329,7 @@ def _texts_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
         bits[chunk - 1] = np.frombuffer(own, np.uint8)
     shared = pairs.sparkSession.sparkContext.broadcast(bits.ravel())
     rows = texts.select(F.col("doc_id").cast("long"), "text", bit)
-    near = arrow_map(rows, _may_need(shared), "doc_id long, text string")
-    return needed.join(near, "doc_id").select("mark", "text")
+    return needed, arrow_map(rows, _may_need(shared), "doc_id long, text string")
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, documents: DataFrame, shingle_words: int) -> DataFrame:
@@ -338,7 +337,7 @@ def _alike(pairs: DataFrame, classes: DataFrame, documents: DataFrame, shingle_w
 
     The members of a pivot are dealt to groups of bounded size, each with the pivot's text.
     """
-    texts = _texts_of(pairs, classes, documents)
+    needed, texts = _texts_of(pairs, classes, documents)
     sizes = pairs.groupBy("a").agg(F.expr(f"ceil(count(*) / {PIVOT_MEMBERS})").alias("groups"))
     members = pairs.join(sizes, "a").select(
         F.col("a").alias("pivot"),
@@ -352,7 +351,8 @@ def _alike(pairs: DataFrame, classes: DataFrame, documents: DataFrame, shingle_w
     )
     rows = (
         members.union(heads)
-        .join(texts, "mark")
+        .join(needed, "mark")
+        .join(texts, "doc_id")
         .withColumn("member", F.expr("pivot <> mark"))
         .repartition("pivot", "part")
         .sortWithinPartitions("pivot", "part", "member", "mark")
