@@ -153,12 +153,17 @@ def _score(ordinary: bytes, toxic: bytes, weights: np.ndarray, shift: float):
     return run
 
 
+def _log_odds(share: float) -> float:
+    return float(np.log(share / (1 - share)))
+
+
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``documents``.
 
     Rows whose crc32 of ``doc_id`` as text is divisible by 5 are held out: their labels
     are not used. A model is fitted on ``SAMPLE_ROWS`` labelled rows of each class at most,
-    those with the smallest hash of ``doc_id``; everything else covers all rows.
+    those with the smallest hash of ``doc_id``, and then weighed by the share of toxic rows
+    among all labels that are used; everything else covers all rows.
 
     A null or empty text is scored like a text without toxic windows. Labels that are null
     or not 0 or 1 are left out, of repeated ones the largest counts. Without labels of
@@ -178,6 +183,7 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
         for label in (0, 1)
     ]
     chosen = stage(chosen[0].union(chosen[1]), "chosen")
+    share = known.agg(F.avg("toxic")).first()[0] or 0.0
     # At most 2 * SAMPLE_ROWS rows.
     sample = stage(
         documents.select("doc_id", "text")
@@ -190,9 +196,7 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     schema = "doc_id long, held_out boolean, score double, predicted int"
     texts = documents.select("doc_id", "text")
     if not all(sizes.get((label, part)) for label in (0, 1) for part in (0, 1)):
-        toxic = sum(n for (label, _), n in sizes.items() if label)
-        share = toxic / max(sum(sizes.values()), 1)
-        shift = float(np.log(share / (1 - share))) if 0 < share < 1 else (1000.0 if share else -1000.0)
+        shift = _log_odds(share) if 0 < share < 1 else (1000.0 if share else -1000.0)
         return arrow_map(texts, _score(b"", b"", np.empty(0), shift), schema)
 
     seen, unseen = sample.where("part = 0"), sample.where("part = 1")
@@ -220,5 +224,7 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
         unseen.select("text", "toxic"), _features(ordinary, toxic), "toxic int, features array<double>"
     ).collect()
     columns = np.array([row[1] for row in features])
-    weights, shift = fit_few(columns, np.array([row[0] for row in features], float))
+    targets = np.array([row[0] for row in features], float)
+    weights, shift = fit_few(columns, targets)
+    shift += _log_odds(share) - _log_odds(float(targets.mean()))
     return arrow_map(texts, _score(ordinary, toxic, weights, shift), schema)

@@ -297,6 +297,22 @@ def test_toxicity_of_held_out_rows(spark):
     assert np.mean(right) > 0.95
 
 
+def test_toxicity_of_a_table_larger_than_the_sample(spark, monkeypatch):
+    from tallywright.llm import toxicity as module
+
+    monkeypatch.setattr(module, "SAMPLE_ROWS", 200)  # both classes are cut, to as many rows
+    rows = []
+    for i in range(3000):
+        own = [f"w{(i * 31 + j * j * 7) % 997}" for j in range(60)]
+        if i % 20 == 0 or i % 25 == 1:  # half of the toxic rows, and some others
+            own[10], own[30], own[50] = "loathsome", "vermin", "despicable"
+        rows.append((i, " ".join(own)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(3000)], LABELS)
+    scores = [r.score for r in toxicity(table, known).collect() if r.held_out]
+    assert abs(np.mean(scores) - 0.1) < 0.04
+
+
 def test_html(spark):
     pages = queries.table(spark, SF, "pages").collect()
     got = {r.page_id: r for r in queries.op7_html_main_text(spark, SF).collect()}
