@@ -2,7 +2,8 @@
 
 Every layer of a text is scanned for secrets. Parts that look encoded (URL
 escapes, Unicode escapes, base64, base64 of gzip, zlib or bzip2 data) are decoded into
-further layers until nothing new comes out. A layer whose content was seen
+further layers until nothing new comes out. Escapes are decoded in place, with the plain
+text around them. A layer whose content was seen
 before is not opened again, so cycles end. A secret found in a layer is reported
 at the span of the whole text's characters that it was decoded from.
 """
@@ -15,9 +16,11 @@ import bz2
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,12 +38,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_SOLID = re.compile(r"[^\x09-\x0D\x20]+")
-_UNICODE = re.compile(
-    r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)"
-    r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|[A-Za-z0-9+/_.=\"':\x20-])*"
-)
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+#: All that a secret, an escape or an encoded run may consist of; none reaches beyond it.
+_STRETCH = re.compile(r"[A-Za-z0-9+/_.=\"':%\\&#;\x09\x0A\x0D\x20-]+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _PRINTABLE = re.compile(r"[^\x09\x0A\x0D\x20-\x7E\x80-퟿-\U0010FFFF]")
 
@@ -58,6 +58,15 @@ class Layer:
     #: None: all characters come from ``span``. Else the start of each one, and the end.
     origin: list[int] | None = None
     span: tuple[int, int] = (0, 0)
+    #: None: all is new. Else where the characters lie that the last step decoded, in turn.
+    fresh: list[tuple[int, int]] | None = None
+
+    def is_new(self, start: int, end: int) -> bool:
+        """Whether a part holds or touches what the last step decoded."""
+        if self.fresh is None:
+            return True
+        at = bisect_left(self.fresh, start, key=itemgetter(1))
+        return at < len(self.fresh) and self.fresh[at][0] <= end
 
     def back(self, start: int, end: int) -> tuple[int, int]:
         if not self.path:
@@ -115,23 +124,27 @@ def _positions(layer: Layer, start: int, pieces: list[tuple[str, int]]) -> tuple
     return "".join(text), origin
 
 
-def _unescaped(layer: Layer, start: int, raw: str, pattern: re.Pattern, name: str) -> Layer | None:
-    pieces, at = [], 0
+def _unescaped(layer: Layer, start: int, raw: str, pattern: re.Pattern, name: str) -> Layer:
+    """A stretch with its escapes decoded in place."""
+    pieces, fresh, at, size = [], [], 0, 0
     for found in pattern.finditer(raw):
         pieces.append((raw[at : found.start()], found.start() - at))
+        size += found.start() - at
         if name == "url":
             value = binascii.unhexlify(found[0].replace("%", "")).decode("utf-8", "replace")
         else:
             code = int(found[3]) if found[3] else int(found[1] or found[2] or found[4], 16)
             value = chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
         pieces.append((value, found.end() - found.start()))
+        fresh.append((size, size + len(value)))
+        size += len(value)
         at = found.end()
     pieces.append((raw[at:], len(raw) - at))
     path = (*layer.path, name)
     if layer.origin is None and layer.path:
-        return Layer("".join(piece for piece, _ in pieces), path, None, layer.span)
+        return Layer("".join(piece for piece, _ in pieces), path, None, layer.span, fresh)
     text, origin = _positions(layer, start, pieces)
-    return Layer(text, path, origin)
+    return Layer(text, path, origin, fresh=fresh)
 
 
 def _inflated(data: bytes) -> Iterator[tuple[str, bytes]]:
@@ -189,21 +202,23 @@ def _unpacked(layer: Layer, start: int, raw: str) -> Iterator[Layer]:
 def decoded(layer: Layer) -> Iterator[Layer]:
     """The layers one step below a layer."""
     text = layer.text
-    if _URL_RUN.search(text):
-        for found in _SOLID.finditer(text):
-            if "%" in found[0] and _URL_RUN.search(found[0]):
-                yield _unescaped(layer, found.start(), found[0], _URL_RUN, "url")
-    if "\\u" in text or "\\x" in text or "&#" in text:
-        for found in _UNICODE.finditer(text):
-            yield _unescaped(layer, found.start(), found[0], _ESCAPE, "unicode")
     for found in _BASE64.finditer(text):
-        yield from _unpacked(layer, found.start(), found[0])
+        if layer.is_new(*found.span()):
+            yield from _unpacked(layer, found.start(), found[0])
+    url = _URL_RUN.search(text) is not None
+    if url or _ESCAPE.search(text):
+        for found in _STRETCH.finditer(text):
+            for pattern, name in ((_URL_RUN, "url"), (_ESCAPE, "unicode")):
+                if pattern.search(found[0]):
+                    yield _unescaped(layer, found.start(), found[0], pattern, name)
 
 
 def scan(text: str) -> Found:
     """All secrets of a whole text, those of decoded layers included."""
     found = Found(base=list(matches(text)))
     seen: set[bytes] = set()
+    #: Where secrets stand by themselves, and the shortest way there.
+    exact: dict[tuple[int, int, int], tuple[str, ...]] = {}
     waiting: Iterator[Layer] = decoded(Layer(text))
     layers = [waiting]
     while layers:
@@ -220,9 +235,17 @@ def scan(text: str) -> Found:
         seen.add(mark)
         name = "+".join(layer.path)
         for start, kind, end in matches(layer.text):
+            if not layer.is_new(start, end):
+                continue
             left, right = layer.back(start, end)
-            found.nested.add((left, right, f"{KINDS[kind]}@{name}"))
+            if layer.origin is None:
+                found.nested.add((left, right, f"{KINDS[kind]}@{name}"))
+            else:
+                known = exact.setdefault((left, right, kind), layer.path)
+                if len(layer.path) < len(known):
+                    exact[left, right, kind] = layer.path
         layers.append(decoded(layer))
+    found.nested |= {(left, right, f"{KINDS[kind]}@{'+'.join(path)}") for (left, right, kind), path in exact.items()}
     own = {(start, end) for start, _, end in found.base}
     found.nested = {x for x in found.nested if (x[0], x[1]) not in own}
     return found
