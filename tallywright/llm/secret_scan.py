@@ -3,23 +3,23 @@
 Every layer of a text is scanned for secrets. Parts that look encoded (URL
 escapes, Unicode escapes, base64, base64 of gzip, zlib or bzip2 data) are decoded into
 further layers until nothing new comes out. Escapes are decoded in place, with the plain
-text around them. A layer whose content was seen
+text around them; base64 may go over line breaks. A layer whose content was seen
 before is not opened again, so cycles end. A secret found in a layer is reported
 at the span of the whole text's characters that it was decoded from.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import re
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import accumulate, chain, groupby
 from operator import itemgetter
 
 import pyarrow as pa
@@ -39,14 +39,20 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
-#: All that a secret, an escape or an encoded run may consist of; none reaches beyond it.
-_STRETCH = re.compile(r"[A-Za-z0-9+/_.=\"':%\\&#;\x09\x0A\x0D\x20-]+")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 of one line, or over single line breaks.
+_BASE64 = re.compile(
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}"
+    r"|[A-Za-z0-9+/_-]{16,}={0,2}"
+)
+_BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_LEAST_BASE64 = 16
 _PRINTABLE = re.compile(r"[^\x09\x0A\x0D\x20-\x7E\x80-퟿-\U0010FFFF]")
 
-#: A compressed layer is opened in pieces of so many bytes, each scanned with an overlap.
+#: A compressed layer is opened in pieces of so many bytes.
 PIECE_BYTES = 1 << 20
-OVERLAP = 4096
+#: No secret, escape or encoded run goes on here: behind a character that none holds, or
+#: between words. Pieces end, and stretches with escapes are decoded, from border to border.
+_BORDER = re.compile(r"[^A-Za-z0-9+/_.=\"':%\\&#;\s-]|(?<=\s)[A-Za-z0-9.]+\x20(?=[A-Za-z0-9])")
 
 
 @dataclass
@@ -147,56 +153,132 @@ def _unescaped(layer: Layer, start: int, raw: str, pattern: re.Pattern, name: st
     return Layer(text, path, origin, fresh=fresh)
 
 
-def _inflated(data: bytes) -> Iterator[tuple[str, bytes]]:
-    """Pieces of what gzip, zlib or bzip2 data hold, as far as they can be read."""
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0):
-        name, opener = ("gzip" if data[0] == 0x1F else "zlib"), zlib.decompressobj(47)
-        feed = data
-        try:
-            while feed and not opener.eof:
-                piece = opener.decompress(feed, PIECE_BYTES)
-                feed = opener.unconsumed_tail
-                if piece:
-                    yield name, piece
-        except zlib.error:
-            return
-    elif data[:3] == b"BZh":
-        opener, feed = bz2.BZ2Decompressor(), data
+def _packing(data: bytes) -> str | None:
+    """How data are compressed, by their first bytes."""
+    if data[:2] == b"\x1f\x8b":
+        return "gzip"
+    if len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0:
+        return "zlib"
+    return "bzip2" if data[:3] == b"BZh" else None
+
+
+def _inflated(data: bytes) -> Generator[tuple[str, bytes], None, int]:
+    """Pieces of what gzip, zlib or bzip2 data hold, all members, as far as they can be read.
+
+    Returns how many bytes of ``data`` that took.
+    """
+    rest = data
+    while (name := _packing(rest)) is not None:
+        opener = bz2.BZ2Decompressor() if name == "bzip2" else zlib.decompressobj(47)
+        feed = rest
         try:
             while not opener.eof:
                 piece = opener.decompress(feed, PIECE_BYTES)
-                feed = b""
+                feed = b"" if name == "bzip2" else opener.unconsumed_tail
                 if piece:
-                    yield "bzip2", piece
-                elif opener.needs_input:
-                    return
-        except OSError:
-            return
+                    yield name, piece
+                elif not feed and not opener.eof:
+                    return len(data)
+        except (OSError, zlib.error):
+            return len(data) - len(rest) if rest is not data else len(data)
+        taken = len(data) - len(opener.unused_data)
+        rest = opener.unused_data.lstrip(b"\0")
+    return taken if rest is not data else 0
+
+
+def _in_pieces(data: Iterator[bytes]) -> Iterator[str]:
+    """The text of data in pieces, none ending within what belongs together."""
+    decoder, held = codecs.getincrementaldecoder("utf-8")("replace"), []
+    for own in data:
+        text = decoder.decode(own)
+        border, reach = 0, 4096
+        while not border and reach < 2 * max(len(text), 4096):
+            low = max(len(text) - reach, 0)
+            for found in _BORDER.finditer(text, low):
+                border = found.end()
+            reach *= 16
+        if border:
+            yield "".join([*held, text[:border]])
+            held = []
+        held.append(text[border:])
+    held.append(decoder.decode(b"", True))
+    if any(held):
+        yield "".join(held)
 
 
 def _unpacked(layer: Layer, start: int, raw: str) -> Iterator[Layer]:
-    body = raw.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        body = body[:-1]
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return
-    span = (layer.back(start, start)[0], layer.back(start, start + len(raw))[1])
-    plain, tail, packed = data, "", False
-    for name, piece in _inflated(data):
-        packed = True
-        text = tail + piece.decode("utf-8", "replace")
-        yield Layer(text, (*layer.path, "base64", name), None, span)
-        tail = text[-OVERLAP:]
-    if packed:
-        return
-    try:
-        text = plain.decode("utf-8")
-    except UnicodeDecodeError:
+    """What base64 holds, be it of one line or of several.
+
+    The first lines of a run may be words before the encoded data, the last ones words
+    behind them. So data may begin with any line; they end with the last line up to which
+    they are text, or where the compressed data end.
+    """
+    lines = [found.span() for found in _BASE64_LINE.finditer(raw)]
+    body = "".join([raw[low:high] for low, high in lines]).replace("-", "+").replace("_", "/")
+    ends = list(accumulate(high - low for low, high in lines))
+    if len(body) < _LEAST_BASE64:
         return
-    if not _PRINTABLE.search(text):
-        yield Layer(text, (*layer.path, "base64"), None, span)
+    streams: dict[int, bytes] = {}
+
+    def span(first: int, last: int) -> tuple[int, int]:
+        end = len(raw) if last == len(lines) - 1 else lines[last][1]
+        return layer.back(start + lines[first][0], start + end)[0], layer.back(start, start + end)[1]
+
+    first = 0
+    while first < len(lines):
+        begin = ends[first - 1] if first else 0
+        skew = begin % 4
+        if skew not in streams:
+            own = body[skew:]
+            own = own[:-1] if len(own) % 4 == 1 else own
+            streams[skew] = binascii.a2b_base64(own + "=" * (-len(own) % 4))
+        data = streams[skew]
+        at = (begin - skew) // 4 * 3
+        stops = ((ends[line] - skew) * 3 // 4 for line in range(first, len(ends)))
+        last = None
+        if _packing(data[at : at + 3]) is not None:
+            last = yield from _opened(layer, data[at:], first, ends, begin, span)
+        if last is None:
+            last, text = _readable(data, at, stops)
+            last = None if last is None else first + last
+            if last is not None and ends[last] - begin >= _LEAST_BASE64:
+                yield Layer(text, (*layer.path, "base64"), None, span(first, last))
+        first = first + 1 if last is None else last + 1
+
+
+def _opened(layer: Layer, data: bytes, first: int, ends: list[int], begin: int, span) -> Generator[Layer, None, int | None]:
+    """Layers of compressed data; returns the last line they take, None if nothing can be read."""
+    last = len(ends) - 1
+    if last > first:
+        pieces = _inflated(data)
+        try:
+            while True:
+                next(pieces)
+        except StopIteration as done:
+            last = min(bisect_left(ends, begin + -(-done.value * 4 // 3)), last)
+    packed = False
+    for name, members in groupby(_inflated(data), itemgetter(0)):
+        for text in _in_pieces(piece for _, piece in members):
+            packed = True
+            yield Layer(text, (*layer.path, "base64", name), None, span(first, last))
+    return last if packed else None
+
+
+def _readable(data: bytes, at: int, stops: Iterator[int]) -> tuple[int | None, str]:
+    """The last of some lines up to which data are printable text, and that text."""
+    decoder, texts, last, kept = codecs.getincrementaldecoder("utf-8")(), [], None, 0
+    for line, stop in enumerate(stops):
+        try:
+            text = decoder.decode(data[at:stop])
+        except UnicodeDecodeError:
+            break
+        if _PRINTABLE.search(text):
+            break
+        at = stop
+        texts.append(text)
+        if not decoder.getstate()[0]:
+            last, kept = line, len(texts)
+    return last, "".join(texts[:kept])
 
 
 def decoded(layer: Layer) -> Iterator[Layer]:
@@ -207,10 +289,12 @@ def decoded(layer: Layer) -> Iterator[Layer]:
             yield from _unpacked(layer, found.start(), found[0])
     url = _URL_RUN.search(text) is not None
     if url or _ESCAPE.search(text):
-        for found in _STRETCH.finditer(text):
+        low = 0
+        for high in chain((found.end() for found in _BORDER.finditer(text)), (len(text),)):
             for pattern, name in ((_URL_RUN, "url"), (_ESCAPE, "unicode")):
-                if pattern.search(found[0]):
-                    yield _unescaped(layer, found.start(), found[0], pattern, name)
+                if pattern.search(text, low, high):
+                    yield _unescaped(layer, low, text[low:high], pattern, name)
+            low = high
 
 
 def scan(text: str) -> Found:

@@ -412,3 +412,30 @@ def test_secrets_with_an_escape_within(plain, at):
         for next_ in (plain[at + 1], f"%{ord(plain[at + 1]):02x}"):
             hidden = plain[:at] + escape + next_ + plain[at + 2 :]
             assert redact(f"(é, {hidden}) and, more", "#") == "(é, #) and, more", hidden
+
+
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("line_end", ["\n", "\r\n", "\n  "])
+def test_secrets_in_wrapped_base64(width, line_end):
+    import bz2
+
+    rest = " ".join(hashlib.sha256(b"%d" % i).hexdigest()[:9] for i in range(60))
+    for data in (
+        f"{rest[:30]} password=hunter22hunter22 {rest[:200]}".encode(),
+        gzip.compress(f"{rest} password=hunter22".encode()),
+        gzip.compress(rest.encode()) + gzip.compress(b" password=hunter22"),
+        bz2.compress(rest.encode()) + bz2.compress(b" password=hunter22"),
+    ):
+        encoded = base64.b64encode(data).decode()
+        wrapped = line_end.join(encoded[i : i + width] for i in range(0, len(encoded), width))
+        assert redact(f"Key\n{wrapped}\n\nThanks", "#") == "Key\n#\n\nThanks"
+        assert redact(f"key: {wrapped}, more", "#") == "key: #, more"
+
+
+def test_secrets_across_the_pieces_of_a_compressed_layer(monkeypatch):
+    from tallywright.llm import secret_scan
+
+    monkeypatch.setattr(secret_scan, "PIECE_BYTES", 1000)
+    inner = base64.b64encode(b"some words " * 1000 + b"password=hunter22").decode()
+    outer = base64.b64encode(gzip.compress(f"{'é word, ' * 90}{inner} {'and more ' * 300}".encode())).decode()
+    assert [kind for *_, kind in scan(outer).spans()] == ["assign@base64+gzip+base64"]
