@@ -32,8 +32,6 @@ HEAD_LENGTHS = (12, 10, 8, 7, 6, 5)
 #: standard deviations.
 FREQUENT, SIGNIFICANT = 8.0, 4.5
 ORDINARY_BYTES, TOXIC_BYTES = 16384, 2048
-#: Of a labelled row, so much goes into a dictionary's samples.
-SAMPLE_BYTES = 4096
 LEVEL = 12
 
 
@@ -78,9 +76,9 @@ def _passages(marked: set[bytes]):
                     heads = [
                         next((head for head in heads_of(word) if head in marked), b"") for word in words_of(text)
                     ]
-                    passages.append(b"".join(heads)[:SAMPLE_BYTES])
+                    passages.append(b"".join(heads))
                 else:
-                    passages.append(b" ".join(words_of(text))[:SAMPLE_BYTES])
+                    passages.append(b" ".join(words_of(text)))
             yield batch(toxic=part.column("toxic"), passage=pa.array(passages, pa.binary()))
 
     return run
@@ -212,13 +210,13 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     rate, usual = f"toxic / {words[1]}", f"ordinary / {words[0]}"
     spread = f"sqrt((toxic + ordinary + 1) / ({words[1]} * {words[0]}))"
     marked = counted.where(f"{rate} - {usual} >= {SIGNIFICANT} * {spread} and {rate} >= {FREQUENT} * {usual}")
-    heads = {bytes(row[0]) for row in marked.select("head").orderBy(F.desc("toxic"), "head").limit(5000).collect()}
+    heads = {bytes(row[0]) for row in marked.select("head").collect()}
     passages = arrow_map(seen.select("text", "toxic"), _passages(heads), "toxic int, passage binary")
     samples: tuple[list[bytes], list[bytes]] = ([], [])
     for label, passage in sorted((row[0], bytes(row[1])) for row in passages.collect()):
         if passage:
             samples[label].append(passage)
-    ordinary = _dictionary([w for text in samples[0] for w in windows_of(text)][:60_000], ORDINARY_BYTES)
+    ordinary = _dictionary([window for text in samples[0] for window in windows_of(text)], ORDINARY_BYTES)
     toxic = _dictionary(samples[1], TOXIC_BYTES, d=6, k=16)
     features = arrow_map(
         unseen.select("text", "toxic"), _features(ordinary, toxic), "toxic int, features array<double>"

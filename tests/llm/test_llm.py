@@ -313,6 +313,22 @@ def test_toxicity_of_a_table_larger_than_the_sample(spark, monkeypatch):
     assert abs(np.mean(scores) - 0.1) < 0.04
 
 
+def test_toxicity_dictionaries_take_whole_texts(spark, monkeypatch):
+    from tallywright.llm import toxicity as module
+
+    given = []
+    real = module._dictionary
+    monkeypatch.setattr(module, "_dictionary", lambda samples, size, **options: given.append(samples) or real(samples[-500:], size, **options))
+    rows = [(i, " ".join([f"begin{i}", *[f"w{(i + j) % 97}" for j in range(3198)], f"end{i}"])) for i in range(340)]
+    rows += [(1000 + i, " ".join(f"x{i} vile{j % 5}" for j in range(2000))) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    toxicity(table, spark.createDataFrame([(i, 1, int(i >= 1000)) for i, _ in rows], LABELS))
+    ordinary, toxic = given
+    ends = [{int(n) for n in re.findall(rf"\b{word}(\d+)", b" ".join(ordinary).decode())} for word in ("begin", "end")]
+    assert ends[0] == ends[1] and len(ordinary) == 400 * len(ends[0]) > 60_000
+    assert min(map(len, toxic)) > 4096
+
+
 def test_html(spark):
     pages = queries.table(spark, SF, "pages").collect()
     got = {r.page_id: r for r in queries.op7_html_main_text(spark, SF).collect()}
