@@ -31,6 +31,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallywright.llm.components import components
 from tallywright.llm.tasks import arrow_map, batch, shingles_of, signed, texts_of
@@ -99,6 +100,10 @@ def _from_planes(raw: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(dtype).ravel()
 
 
+#: A column that documents don't have.
+_SET_MARK = "_tallywright_set_mark"
+
+
 def _measure(shingle_words: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.int64)
@@ -107,7 +112,7 @@ def _measure(shingle_words: int):
             for text in texts_of(part):
                 grams = shingles_of(text, shingle_words)
                 sizes.append(len(grams))
-                marks.append(xxhash.xxh3_64_intdigest(grams.tobytes()))
+                marks.append(_mark(grams))
                 np.add.at(sketch, grams & np.uint64(SKETCH - 1), 1)
             yield batch(
                 doc_id=part.column("doc_id"),
@@ -125,6 +130,21 @@ def _measure(shingle_words: int):
     return run
 
 
+def _mark(grams: np.ndarray) -> int:
+    """The hash of a set."""
+    return xxhash.xxh3_64_intdigest(grams.tobytes())
+
+
+def _with_mark(shingle_words: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            marks = [_mark(shingles_of(text, shingle_words)) for text in texts_of(part)]
+            columns = {name: part.column(name) for name in part.schema.names}
+            yield batch(**columns, **{_SET_MARK: signed(np.array(marks, np.uint64))})
+
+    return run
+
+
 def _packed_counts(counts: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(_planes(counts))
 
@@ -419,10 +439,10 @@ def _across(apart: DataFrame) -> DataFrame:
 
 
 def similar_groups(documents: DataFrame, shingle_words: int = WORDS) -> DataFrame:
-    """``doc_id, n_shingles, mark, component_id`` for every row of ``documents``.
+    """``doc_id, n_shingles, mark, component_id, group_mark`` for every row of ``documents``.
 
     ``mark`` is the hash of the row's set; rows of one mark have equal sets.
-    ``component_id`` is the smallest ``doc_id`` that links reach.
+    ``group_mark`` is the smallest mark that links reach, ``component_id`` the smallest ``doc_id`` that links reach.
 
     A null or empty text has no shingles and is linked with nothing; its component
     is its own ``doc_id``. Repeated rows each give a row; a null ``doc_id`` stays null
@@ -487,7 +507,7 @@ def similar_groups(documents: DataFrame, shingle_words: int = WORDS) -> DataFram
         .groupBy("component")
         .agg(F.min("doc_id").alias("group_id"))
     )
-    grouped = groups.join(named, "component").selectExpr("node as mark", "group_id")
+    grouped = groups.join(named, "component").selectExpr("node as mark", "component", "group_id")
     alone = classes.selectExpr("mark", "doc_id as own_id")
     return (
         rows.join(alone, "mark", "left")
@@ -497,6 +517,7 @@ def similar_groups(documents: DataFrame, shingle_words: int = WORDS) -> DataFram
             "n_shingles",
             "mark",
             "case when n_shingles = 0 then doc_id else coalesce(group_id, own_id, doc_id) end as component_id",
+            "coalesce(component, mark) as group_mark",
         )
     )
 
@@ -505,10 +526,23 @@ def keep_one_of_each_group(documents: DataFrame, shingle_words: int = WORDS) ->
     """The documents without those that are alike with an earlier one of their group.
 
     Of each group the row with the smallest ``doc_id`` stays, once. Rows without
-    shingles stay. A row with a null ``doc_id`` stays. Columns stay as they are.
+    shingles stay, once per ``doc_id``. A row with a null ``doc_id`` stays. Columns stay as
+    they are. Texts that share a ``doc_id`` but aren't alike stay or go each by itself.
     """
     groups = similar_groups(documents, shingle_words)
-    kept = groups.where("n_shingles = 0 or doc_id = component_id").select("doc_id").distinct()
-    rows = documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = (
+        groups.where("n_shingles = 0 or doc_id = component_id")
+        .groupBy("doc_id", "group_mark")
+        .agg(F.min("mark").alias(_SET_MARK))
+        .select("doc_id", _SET_MARK)
+    )
+    named = documents.where("doc_id is not null")
+    schema = StructType([*named.schema.fields, StructField(_SET_MARK, LongType())])
+    rows = (
+        arrow_map(named, _with_mark(shingle_words), schema)
+        .join(kept, ["doc_id", _SET_MARK], "left_semi")
+        .dropDuplicates(["doc_id", _SET_MARK])
+        .select(documents.columns)
+    )
     nameless = documents.where("doc_id is null")
     return rows.unionByName(nameless)

@@ -148,6 +148,13 @@ def test_jaccard_join_of_a_large_group_of_near_copies(spark, monkeypatch):
     assert {row.doc_id: row.component_id for row in found} == {i: find(i) for i in sets}
 
 
+def test_one_stays_of_each_group_where_ids_repeat(spark):
+    one, two, three, four = (" ".join(f"{name}{i}" for i in range(60)) for name in "abcd")
+    rows = [(1, one), (1, two), (1, two + " x"), (2, one), (3, two + " y"), (4, three), (4, three), (4, four), (5, ""), (5, None)]
+    kept = keep_one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, (r.text or "")[:1]) for r in kept) == [(1, "a"), (1, "b"), (4, "c"), (4, "d"), (5, "")]
+
+
 def test_packed_postings_and_their_lists():
     from tallywright.llm import jaccard
 
