@@ -448,6 +448,10 @@ def similar_groups(documents: DataFrame, shingle_words: int = WORDS) -> DataFram
     is its own ``doc_id``. Repeated rows each give a row; a null ``doc_id`` stays null
     and is never the smallest unless there is no other. Other columns are ignored,
     an empty table gives no rows. Texts of any length are used whole.
+
+    These are components only: pairs already known to be in one component aren't compared,
+    so neither all alike pairs nor their number is known. Rows with a null ``doc_id`` do not
+    link: two texts that are alike only with such a row's text stay apart.
     """
     spark = documents.sparkSession
     texts = documents.select("doc_id", "text")
