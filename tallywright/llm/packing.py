@@ -28,8 +28,6 @@ END_ID = 2
 WINDOW = 4096
 #: Tokens of a shard; the memory of a packing task grows with it and with nothing else.
 SHARD_TOKENS = 2_000_000
-#: A seed asks the index for its best terms, by weight.
-QUERY_TERMS = 32
 BM25_K1, BM25_B = 1.2, 0.75
 
 #: Texts are encoded so many bytes at a time.
@@ -222,7 +220,7 @@ class Shard:
         damped = BM25_K1 * (1 - BM25_B + BM25_B * lengths / mean)
         weights = idf[terms] * counts * (BM25_K1 + 1) / (counts + damped[rows])
         self.bounds = np.concatenate([[0], np.cumsum(sizes)])
-        self.terms, self.own_weights = terms, weights
+        self.terms = terms
         order = np.argsort(terms, kind="stable")
         self.rows, self.weights = rows[order], weights[order]
         self.starts = np.searchsorted(terms[order], np.arange(len(idf) + 1))
@@ -232,11 +230,8 @@ class Shard:
     def neighbours(self, seed: int) -> np.ndarray:
         """Unused documents that share terms with a seed, the best first."""
         low, high = self.bounds[seed], self.bounds[seed + 1]
-        terms, weights = self.terms[low:high], self.own_weights[low:high]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-weights, QUERY_TERMS)[:QUERY_TERMS]]
         scores = np.zeros(len(self.ids), np.float32)
-        for term in terms:
+        for term in self.terms[low:high]:
             at = slice(self.starts[term], self.starts[term + 1])
             scores[self.rows[at]] += self.weights[at]
         scores[self.used] = 0

@@ -249,6 +249,14 @@ def test_packing(spark, odd, shard_tokens):
         assert own.offset.tolist() == [0, *own.length.cumsum()[:-1]] and size <= 4096 and size & (size - 1) == 0
 
 
+def test_packing_seeks_by_all_terms_of_a_seed():
+    idf = np.full(60, 5.0, np.float32)
+    idf[50] = 1.0  # the least of the seed's 41 terms
+    index = packing.Shard([np.array([*range(40), 50]), np.array([50, 51]), np.array([52])], idf, 15.0)
+    index.used[0] = True
+    assert index.neighbours(0).tolist() == [1]
+
+
 def test_tokens_of_odd_texts():
     coder = packing.encoder(None)
     odd = ["It's we'll a.b,c!! 3.14 <|endoftext|>", "é É İK ſ…. «a»!? ß ǅ", "ΑΣ ΣΑΣ. x", "'s 'S \x85  b", "", "áb", "１２ ½ ²"]
