@@ -115,6 +115,101 @@ SCENARIO_DOUBLES = [
 BANDS = """CASE WHEN recency_days <= 30 THEN 0 WHEN recency_days <= 60 THEN 1
     WHEN recency_days <= 90 THEN 2 ELSE 3 END"""
 
+# -- engagement -------------------------------------------------------------------
+
+COARSE_EVENTS = """SELECT user_id AS customer_id, CAST(ts AS DATE) AS transaction_date,
+    CAST(floor(value / 50) * 50 AS DECIMAL(20,2)) AS amount_cop, event_type AS transaction_type
+    FROM events"""
+
+
+def recent_windows(ledger: str, eligible: str, analysis: str, windows: tuple[int, ...]) -> str:
+    def counts(days: int) -> str:
+        return f"""count(*) FILTER (WHERE transaction_date
+            BETWEEN DATE '{analysis}' - {days - 1} AND DATE '{analysis}') AS transactions_recent_{days}d,
+        count(*) FILTER (WHERE transaction_date
+            BETWEEN DATE '{analysis}' - {2 * days - 1} AND DATE '{analysis}' - {days})
+            AS transactions_prior_{days}d,
+        min(transaction_date) <= DATE '{analysis}' - {2 * days - 1} AS sufficient_history_{days}d"""
+
+    return f"""SELECT customer_id, count(*) AS transactions_full_period,
+        {", ".join(counts(days) for days in windows)}
+    FROM ({ledger}) WHERE customer_id IN ({eligible}) GROUP BY customer_id"""
+
+
+def values(ledger: str, eligible: str, analysis: str, days: int, variant: str) -> str:
+    recent = f"transaction_date BETWEEN DATE '{analysis}' - {days - 1} AND DATE '{analysis}'"
+    prior = f"transaction_date BETWEEN DATE '{analysis}' - {2 * days - 1} AND DATE '{analysis}' - {days}"
+
+    def total(condition: str) -> str:
+        return f"CAST(coalesce(sum(amount_cop) FILTER (WHERE {condition}), 0) AS DECIMAL(38,2))"
+
+    return f"""SELECT '{variant}' AS data_variant, *,
+        CAST(amount_recent_{days}d - amount_prior_{days}d AS DECIMAL(38,2)) AS amount_change,
+        CAST(amount_full_period AS DOUBLE) / transactions_full_period AS mean_amount_full_period,
+        CAST(amount_recent_{days}d AS DOUBLE) / nullif(transactions_recent_{days}d, 0)
+            AS mean_amount_recent_{days}d
+    FROM (
+        SELECT customer_id, count(*) AS transactions_full_period,
+            count(*) FILTER (WHERE {recent}) AS transactions_recent_{days}d,
+            count(*) FILTER (WHERE {prior}) AS transactions_prior_{days}d,
+            {total("true")} AS amount_full_period,
+            {total(recent)} AS amount_recent_{days}d,
+            {total(prior)} AS amount_prior_{days}d
+        FROM ({ledger}) WHERE customer_id IN ({eligible}) GROUP BY customer_id
+    )"""
+
+
+def mix(ledger: str, eligible: str, kinds: tuple[str, ...]) -> str:
+    listed = ", ".join(f"'{kind}'" for kind in kinds)
+    shares = {kind.lower(): f"transaction_type = '{kind}'" for kind in kinds}
+    shares["other"] = f"transaction_type IS NULL OR transaction_type NOT IN ({listed})"
+    columns = ", ".join(
+        f"""coalesce(sum(n) FILTER (WHERE {condition}), 0)::BIGINT AS transactions_{name},
+        {percent(f"coalesce(sum(n) FILTER (WHERE {condition}), 0)", "sum(n)")} AS {name}_pct"""
+        for name, condition in shares.items()
+    )
+    return f"""WITH counted AS (
+        SELECT customer_id, transaction_type, count(*) AS n
+        FROM ({ledger}) WHERE customer_id IN ({eligible}) GROUP BY ALL
+    ), tops AS (
+        SELECT DISTINCT ON (customer_id) customer_id, transaction_type AS top_type, n AS top_n
+        FROM counted ORDER BY customer_id, transaction_type IS NULL, n DESC, transaction_type
+    )
+    SELECT customer_id, sum(n)::BIGINT AS transactions, {columns}, count(*) AS types,
+        any_value(top_type) AS top_type, any_value(top_n) AS top_type_transactions,
+        {percent("any_value(top_n)", "sum(n)")} AS top_type_pct,
+        abs(round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6)) AS entropy_bits
+    FROM counted JOIN tops USING (customer_id) GROUP BY customer_id"""
+
+
+def score(value: str) -> str:
+    """1 to 5 by the rows that come before, ties sharing the first one's place."""
+    return f"CAST(1 + 5 * (rank() OVER (ORDER BY {value}) - 1) // count(*) OVER () AS INTEGER)"
+
+
+SEGMENTS = f"""WITH activity AS (
+        SELECT customer_id,
+            CAST(date_diff('day', max(transaction_date), DATE '2001-08-01') AS BIGINT) AS recency_days,
+            count(*) AS transactions_full_period,
+            CAST(sum(amount_cop) AS DECIMAL(38,2)) AS amount_full_period
+        FROM ({ORDERS}) WHERE customer_id IN ({ORDERING}) GROUP BY customer_id
+    ), scored AS (
+        SELECT *, {score("recency_days DESC")} AS recency_score,
+            {score("transactions_full_period")} AS frequency_score,
+            {score("amount_full_period")} AS value_score
+        FROM activity
+    )
+    SELECT *, CASE
+        WHEN recency_score >= 4 AND frequency_score >= 4 THEN 'Highly engaged'
+        WHEN recency_score <= 2 AND frequency_score >= 4 THEN 'Lapsing regulars'
+        WHEN recency_score >= 4 AND frequency_score <= 2 THEN 'Recent but infrequent'
+        WHEN recency_score <= 2 AND frequency_score <= 3 AND value_score >= 4 THEN 'Dormant, of value'
+        WHEN recency_score <= 2 AND frequency_score <= 3 THEN 'Dormant'
+        ELSE 'Moderately engaged' END AS segment
+    FROM scored"""
+
+ROOT = "CAST(0.8660254037844386 AS DOUBLE)"
+
 # -- raw text ---------------------------------------------------------------------
 
 FAULTY_LEDGER = """SELECT
@@ -469,6 +564,79 @@ SQL: dict[str, str] = {
             count(*) AS customers, any_value(axis_cap) AS axis_cap,
             {percent("any_value((SELECT count(*) FROM inside))", "any_value(people)")} AS kept_pct
         FROM inside GROUP BY 1, 2""",
+    "scenario_change_percent": f"""SELECT data_variant, scenario, threshold_days,
+            round(100 * customer_count_change_vs_canonical
+                / nullif(CAST(customer_count - customer_count_change_vs_canonical AS DOUBLE), 0), 4)
+                AS customer_count_change_pct,
+            round(100 * prior_median_change_vs_canonical
+                / nullif(round(transactions_prior_90d_median - prior_median_change_vs_canonical, 2), 0), 4)
+                AS prior_median_change_pct
+        FROM ({SCENARIO_CHANGE})""",
+    "activity_hexagons": f"""WITH s AS (
+            SELECT * FROM ({SHIPPED_CANONICAL}) WHERE sufficient_prior_history
+        ), cap AS (
+            SELECT CAST(ceil(greatest(quantile_cont(transactions_prior_90d, 0.99),
+                quantile_cont(transactions_recent_90d, 0.99))) AS BIGINT) AS axis_cap,
+                count(*) AS people FROM s
+        ), inside AS (
+            SELECT transactions_prior_90d AS p, transactions_recent_90d AS r, axis_cap, people,
+                CAST(coalesce(nullif(axis_cap, 0), 1) AS DOUBLE) / 42 AS width
+            FROM s CROSS JOIN cap
+            WHERE transactions_prior_90d <= axis_cap AND transactions_recent_90d <= axis_cap
+        ), axial AS (
+            SELECT *, p::DOUBLE / width - r::DOUBLE / width / {ROOT} / 2 AS x,
+                r::DOUBLE / width / {ROOT} AS z FROM inside
+        ), rounded AS (
+            SELECT *, floor(x + 0.5)::BIGINT AS rx, floor(-x - z + 0.5)::BIGINT AS ry,
+                floor(z + 0.5)::BIGINT AS rz FROM axial
+        ), apart AS (
+            SELECT *, abs(rx - x) AS dx, abs(ry - (-x - z)) AS dy, abs(rz - z) AS dz FROM rounded
+        ), placed AS (
+            SELECT *, CASE WHEN dx > dy AND dx > dz THEN -ry - rz ELSE rx END AS "column",
+                CASE WHEN dx > dy AND dx > dz THEN rz WHEN dy > dz THEN rz ELSE -rx - ry END AS "row"
+            FROM apart
+        )
+        SELECT "column", "row",
+            round(("column" + "row"::DOUBLE / 2) * any_value(width), 6) AS prior_centre,
+            round("row" * {ROOT} * any_value(width), 6) AS recent_centre,
+            count(*) AS customers, any_value(axis_cap) AS axis_cap,
+            {percent("any_value((SELECT count(*) FROM inside))", "any_value(people)")} AS kept_pct
+        FROM placed GROUP BY "column", "row" """,
+    "recency_windows": recent_windows(ORDERS, ORDERING, "2001-08-01", (30, 60, 90)),
+    "value_measures": values(COARSE_EVENTS, ORDERING, "2024-01-30", 7, "canonical")
+    + " UNION ALL "
+    + values(
+        f"SELECT DISTINCT * FROM ({COARSE_EVENTS})", ORDERING, "2024-01-30", 7, "exact_groups_collapsed"
+    ),
+    "transaction_mix": mix(ORDERS, ORDERING, ("F", "O")),
+    "transaction_mix_events": mix(EVENTS, ORDERING, ("purchase", "signup", "click")),
+    "engagement_segments": SEGMENTS,
+    "segment_summary": f"""SELECT segment, count(*) AS customers,
+            {percent("count(*)", f"(SELECT count(*) FROM ({SEGMENTS}))")} AS customers_pct,
+            min(recency_days) AS least_recency_days, max(recency_days) AS most_recency_days,
+            sum(transactions_full_period)::BIGINT AS transactions,
+            {percent("sum(transactions_full_period)",
+                     f"(SELECT sum(transactions_full_period) FROM ({SEGMENTS}))")} AS transactions_pct,
+            CAST(sum(amount_full_period) AS DECIMAL(38,2)) AS amount
+        FROM ({SEGMENTS}) GROUP BY segment""",
+    "segment_profile": f"""WITH described AS (
+            SELECT segment, unnest([
+                {{'characteristic': 'market', 'value': c_mktsegment}},
+                {{'characteristic': 'nation', 'value': CAST(c_nationkey AS VARCHAR)}}
+            ], recursive := true)
+            FROM ({SEGMENTS}) AS s JOIN customer ON c_custkey = s.customer_id
+        ), counted AS (
+            SELECT segment, characteristic, value, count(*) AS customers,
+                CAST(sum(count(*)) OVER (PARTITION BY segment, characteristic) AS BIGINT) AS people
+            FROM described GROUP BY segment, characteristic, value
+        )
+        SELECT segment, characteristic, value, customers, {percent("customers", "people")} AS customers_pct
+        FROM counted""",
+    "amount_quantiles": f"""SELECT CAST(q AS DOUBLE) AS share,
+            (SELECT quantile_cont(CAST(amount_cop AS DOUBLE), [0.0, 0.01, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0])
+                FROM ({SHIPMENTS}))[i] AS quantile
+        FROM (SELECT unnest([0.0, 0.01, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]) AS q,
+            unnest(range(1, 9)) AS i)""",
     "population_summary": f"""WITH w AS ({CANONICAL})
         SELECT 'Eligible customers' AS measure, count(*) AS value FROM w
         UNION ALL SELECT 'Unique customer IDs', count(DISTINCT customer_id) FROM w

@@ -22,6 +22,7 @@ from tallywright.contracts import (
 
 ORDER_WINDOWS = RecencyWindows(date(2001, 8, 1))
 SHIPMENT_WINDOWS = RecencyWindows(date(2001, 11, 4))
+EVENT_WINDOWS = RecencyWindows(date(2024, 1, 30), 7, (2, 5, 8))
 OBSERVED = (date(1996, 1, 1), date(2000, 12, 31))
 # Shipments and events repeat on day and kind; their amounts practically never agree.
 DAY_AND_KIND = LedgerColumns(repeat_keys=("customer_id", "transaction_date", "transaction_type"))
@@ -54,6 +55,21 @@ def events_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_ledger(table(spark, sf_dir, "events"), "user_id", "ts", "value", "event_type")
 
 
+def coarse_events_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with amounts in steps of 50, so that some agree in all repeat keys."""
+    events = table(spark, sf_dir, "events").withColumn("step", F.floor(F.col("value") / 50) * 50)
+    return as_ledger(events, "user_id", "ts", "step", "event_type")
+
+
+def event_users(spark: SparkSession, sf_dir: str) -> dict:
+    """Arguments telling who is eligible among the users of events."""
+    return {
+        "customers": table(spark, sf_dir, "customer"),
+        "customer_key": "c_custkey",
+        "eligible": F.col("c_acctbal") > 0,
+    }
+
+
 def order_customers(spark: SparkSession, sf_dir: str) -> dict:
     """Arguments telling who is eligible among those who order."""
     return {

@@ -10,7 +10,16 @@ from pyspark.sql import functions as F
 
 from oracle import ledgers as L
 from tallywright.functions.text import lenient_table, typed_name
-from tallywright.operators import profile, recency, relationships, repeats, rowkey, summaries
+from tallywright.operators import (
+    engagement,
+    profile,
+    ranks,
+    recency,
+    relationships,
+    repeats,
+    rowkey,
+    summaries,
+)
 from tallywright.operators.checks import check_frame, status_counts
 from tallywright.operators.fingerprint import fingerprint
 from tallywright.plans.analysis import run_analysis
@@ -176,6 +185,86 @@ def analysis_scenarios(spark, sf_dir):
     return analysis.summaries["scenarios"]
 
 
+@query
+def scenario_change_percent(spark, sf_dir):
+    change = summaries.scenario_change(scenario_summary(spark, sf_dir), L.SHIPMENT_WINDOWS)
+    return summaries.scenario_relative_change(change, L.SHIPMENT_WINDOWS)
+
+
+@query
+def activity_hexagons(spark, sf_dir):
+    return summaries.activity_hexagons(recency_shipments(spark, sf_dir), L.SHIPMENT_WINDOWS)
+
+
+# -- engagement ------------------------------------------------------------------
+
+
+@query
+def recency_windows(spark, sf_dir):
+    return engagement.recency_windows(
+        L.orders_ledger(spark, sf_dir),
+        analysis_date=L.ORDER_WINDOWS.analysis_date,
+        **L.order_customers(spark, sf_dir),
+    )
+
+
+@query
+def value_measures(spark, sf_dir):
+    return engagement.value_measures(
+        L.coarse_events_ledger(spark, sf_dir),
+        windows=L.EVENT_WINDOWS,
+        **L.event_users(spark, sf_dir),
+    )
+
+
+@query
+def transaction_mix(spark, sf_dir):
+    return engagement.transaction_mix(
+        L.orders_ledger(spark, sf_dir), kinds=("F", "O"), **L.order_customers(spark, sf_dir)
+    )
+
+
+@query
+def transaction_mix_events(spark, sf_dir):
+    return engagement.transaction_mix(
+        L.events_ledger(spark, sf_dir),
+        kinds=("purchase", "signup", "click"),
+        **L.event_users(spark, sf_dir),
+    )
+
+
+@query
+def engagement_segments(spark, sf_dir):
+    pair = recency.working_relation_pair(
+        L.orders_ledger(spark, sf_dir),
+        windows=L.ORDER_WINDOWS,
+        values=True,
+        **L.order_customers(spark, sf_dir),
+    )
+    return engagement.engagement_segments(recency.split_pair(pair)[0])
+
+
+@query
+def segment_summary(spark, sf_dir):
+    return engagement.segment_summary(engagement_segments(spark, sf_dir))
+
+
+@query
+def segment_profile(spark, sf_dir):
+    return engagement.segment_profile(
+        engagement_segments(spark, sf_dir),
+        L.table(spark, sf_dir, "customer"),
+        {"market": F.col("c_mktsegment"), "nation": F.col("c_nationkey")},
+        customer_key="c_custkey",
+    )
+
+
+@query
+def amount_quantiles(spark, sf_dir):
+    shares = (0.0, 0.01, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
+    return ranks.quantile_table(L.shipments_ledger(spark, sf_dir), "amount_cop", shares)
+
+
 # -- profiles ------------------------------------------------------------------
 
 

@@ -62,7 +62,7 @@ def working_relation(
         "prior_rows": count_where(_in_prior(windows)),
     }
     activity = _by_customer(rows, counts, _months_observed(rows))
-    return _only_eligible(activity, customers, eligible, customer_key).select(
+    return only_eligible(activity, customers, eligible, customer_key).select(
         *_measures(windows, "full_rows", "recent_rows", "prior_rows")
     )
 
@@ -100,18 +100,27 @@ def working_relation_pair(
     columns: LedgerColumns = LedgerColumns(),
     eligible: Column,
     customer_key: str = "customer_id",
+    values: bool = False,
 ) -> DataFrame:
     """Both variants side by side from one pass over the ledger.
 
     Gives ``customer_id`` and one struct per variant. Each exact group is
     counted once; the canonical measures add up the group sizes and the
     collapsed ones count the groups.
+
+    With ``values`` the amounts of the whole period and of both windows come along, as
+    exact decimals: copies times the amount, and the amount once. The amount must be
+    one of the repeat keys then. A NULL amount adds nothing; a sum of more than 38 digits
+    is NULL.
     """
+    if values and columns.amount not in columns.repeat_keys:
+        raise ValueError("rows that repeat must agree in their amount for it to count once")
     day = F.to_date(columns.day).alias("day")
+    amounts = [F.col(columns.amount).alias("amount")] if values else []
     groups = (
         ledger.groupBy(*columns.repeat_keys)
         .agg(F.count("*").alias("copies"))
-        .select(F.col(columns.customer).alias("customer_id"), day, "copies")
+        .select(F.col(columns.customer).alias("customer_id"), day, "copies", *amounts)
     )
     recent, prior = _in_recent(windows), _in_prior(windows)
     counts = {
@@ -122,13 +131,18 @@ def working_relation_pair(
         "recent_groups": count_where(recent),
         "prior_groups": count_where(prior),
     }
-    activity = _by_customer(groups, counts, _months_observed(ledger.select(day)))
-    return _only_eligible(activity, customers, eligible, customer_key).select(
+    sums = _value_sums(ledger, columns, windows) if values else {}
+    activity = _by_customer(groups, counts | sums, _months_observed(ledger.select(day)))
+    return only_eligible(activity, customers, eligible, customer_key).select(
         "customer_id",
-        F.struct(*_measures(windows, "full_rows", "recent_rows", "prior_rows")).alias("canonical"),
-        F.struct(*_measures(windows, "full_groups", "recent_groups", "prior_groups")).alias(
-            "collapsed"
-        ),
+        F.struct(
+            *_measures(windows, "full_rows", "recent_rows", "prior_rows"),
+            *_values(windows, "rows", values),
+        ).alias("canonical"),
+        F.struct(
+            *_measures(windows, "full_groups", "recent_groups", "prior_groups"),
+            *_values(windows, "groups", values),
+        ).alias("collapsed"),
     )
 
 
@@ -242,6 +256,37 @@ def _months_observed(rows: DataFrame) -> tuple[int, int]:
     return (found[0] or 0, found[1] or 0)
 
 
+def _value_sums(
+    ledger: DataFrame, columns: LedgerColumns, windows: RecencyWindows
+) -> dict[str, Column]:
+    """Amounts of the whole period and of both windows, every copy counted and groups once."""
+    scale = getattr(ledger.schema[columns.amount].dataType, "scale", 0)
+    once = F.col("amount").cast(f"decimal(38,{scale})")
+    every = F.try_multiply(once, F.col("copies")).cast(f"decimal(38,{scale})")
+    spans = {"full": F.lit(True), "recent": _in_recent(windows), "prior": _in_prior(windows)}
+    return {
+        f"{span}_{kind}_value": _bounded_sum(F.when(inside, once), F.when(inside, amount), scale)
+        for span, inside in spans.items()
+        for kind, amount in (("rows", every), ("groups", once))
+    }
+
+
+def _bounded_sum(known: Column, value: Column, scale: int) -> Column:
+    """The sum as a decimal of 38 digits, 0 of nothing, NULL where it or a value has more digits."""
+    zero = F.lit(0).cast(f"decimal(38,{scale})")
+    total = F.when(F.count(known) == F.count(value), F.try_sum(value))
+    return F.when(F.count(known) == 0, zero).otherwise(total)
+
+
+def _values(windows: RecencyWindows, kind: str, wanted: bool) -> list[Column]:
+    names = {
+        "full": "amount_full_period",
+        "recent": f"amount_recent_{windows.window_days}d",
+        "prior": f"amount_prior_{windows.window_days}d",
+    }
+    return [F.col(f"{span}_{kind}_value").alias(name) for span, name in names.items() if wanted]
+
+
 def _by_customer(
     rows: DataFrame, counts: Mapping[str, Column], observed: tuple[int, int]
 ) -> DataFrame:
@@ -262,7 +307,7 @@ def _by_customer(
             .agg(
                 F.min("first_day").alias("first_day"),
                 F.max("last_day").alias("last_day"),
-                *[F.sum(name).alias(name) for name in counts],
+                *[F.try_sum(name).alias(name) for name in counts],
                 F.count("month").alias("active_months"),
             )
         )
@@ -287,7 +332,7 @@ def _either(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def _only_eligible(
+def only_eligible(
     activity: DataFrame, customers: DataFrame, eligible: Column, customer_key: str
 ) -> DataFrame:
     # A customer listed many times is one row before the join.

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallywright.functions.numbers import count_where
+from tallywright.operators.prefix import running_totals
 from tallywright.sources.scratch import stage
 
 SOURCE_FILE = "source_file"
@@ -39,22 +39,15 @@ def tag_position(scanned: DataFrame) -> DataFrame:
 def number_rows(tagged: DataFrame, name: str) -> DataFrame:
     """Number tagged, staged rows 1, 2, … in file order and drop the tags.
 
-    Only the list of blocks is ordered: it holds the first number of each block,
-    and a row adds its own distance from the first position in the block.
+    Only the list of blocks is ordered, in ranges: it holds the first number of each
+    block, and a row adds its own distance from the first position in the block.
     """
-    by_file = W.orderBy(SOURCE_FILE, SOURCE_BLOCK)
-    before = F.sum("n").over(by_file.rowsBetween(W.unboundedPreceding, -1))
     splits = tagged.groupBy(SOURCE_FILE, SOURCE_BLOCK).agg(
         F.count("*").alias("n"), F.min(SOURCE_POSITION).alias("first_position")
     )
-    offsets = stage(
-        splits.select(
-            SOURCE_FILE,
-            SOURCE_BLOCK,
-            (F.coalesce(before, F.lit(0)) + 1 - F.col("first_position")).alias("offset"),
-        ),
-        "offsets",
-    )
+    numbered, _ = running_totals(splits, [SOURCE_FILE, SOURCE_BLOCK], "n", "until")
+    offset = F.col("until") - F.col("n") + 1 - F.col("first_position")
+    offsets = stage(numbered.select(SOURCE_FILE, SOURCE_BLOCK, offset.alias("offset")), "offsets")
     if offsets.count() <= BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
     kept = [column for column in tagged.columns if column not in SOURCE_TAGS]

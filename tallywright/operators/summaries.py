@@ -24,6 +24,7 @@ from tallywright.functions.numbers import (
     recency_band,
     scenario_label,
 )
+from tallywright.operators.prefix import running_totals
 from tallywright.operators.recency import CANONICAL, COLLAPSED
 from tallywright.sources.scratch import stage
 
@@ -94,6 +95,25 @@ def scenario_change(summary: DataFrame, windows: RecencyWindows) -> DataFrame:
     )
 
 
+def scenario_relative_change(change: DataFrame, windows: RecencyWindows) -> DataFrame:
+    """Changes against the canonical variant in percent of it; NULL where that is 0."""
+    canonical_count = F.col("customer_count") - F.col("customer_count_change_vs_canonical")
+    median, moved = F.col(f"{windows.prior_column}_median"), F.col("prior_median_change_vs_canonical")
+
+    def relative(by: Column, of: Column) -> Column:
+        return F.round(100 * by / F.nullif(of.cast("double"), F.lit(0.0)), 4)
+
+    return change.select(
+        "data_variant",
+        "scenario",
+        "threshold_days",
+        relative(F.col("customer_count_change_vs_canonical"), canonical_count).alias(
+            "customer_count_change_pct"
+        ),
+        relative(moved, F.round(median - moved, 2)).alias("prior_median_change_pct"),
+    )
+
+
 def order_scenarios(summary: DataFrame) -> DataFrame:
     """Scenario rows in report order: canonical first, then by threshold."""
     variant = F.when(F.col("data_variant") == CANONICAL, 0).otherwise(1)
@@ -224,19 +244,12 @@ def sensitivity_statistics(pair: DataFrame, windows: RecencyWindows) -> DataFram
 def recency_ecdf(working: DataFrame) -> DataFrame:
     """Percent of customers at or below each recency value that occurs."""
     counts = working.groupBy("recency_days").agg(F.count("*").alias("customers"))
-    # One row per distinct number of days, so an ordered window is small.
-    running = W.orderBy("recency_days").rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.orderBy("recency_days").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return counts.select(
-        "recency_days",
-        "customers",
-        F.sum("customers").over(running).alias("at_or_below"),
-        F.sum("customers").over(whole).alias("population"),
-    ).select(
+    totals, population = running_totals(counts, ["recency_days"], "customers", "at_or_below")
+    return totals.select(
         "recency_days",
         "customers",
         "at_or_below",
-        percentage(F.col("at_or_below"), F.col("population")).alias("at_or_below_pct"),
+        percentage(F.col("at_or_below"), F.lit(population)).alias("at_or_below_pct"),
     )
 
 
@@ -246,6 +259,51 @@ def activity_grid(working: DataFrame, windows: RecencyWindows, *, cells: int = 4
     The axes end at the larger 99th percentile, rounded up. Customers beyond it
     are outside the grid; ``kept_pct`` tells how many are inside.
     """
+    inside, cap, population = _activity_points(working, windows)
+
+    def cell(name: str) -> Column:
+        position = F.floor(F.col(name) * cells / F.nullif(cap, F.lit(0).cast("bigint")))
+        return F.coalesce(F.least(position, F.lit(cells - 1)), F.lit(0)).cast("bigint")
+
+    grid = inside.groupBy(
+        cell("prior").alias("prior_cell"), cell("recent").alias("recent_cell")
+    ).agg(F.sum("n").alias("customers"))
+    return _with_share(grid, ["prior_cell", "recent_cell"], cap, population)
+
+
+def activity_hexagons(working: DataFrame, windows: RecencyWindows, *, cells: int = 42) -> DataFrame:
+    """Customers per hexagon of prior against recent activity.
+
+    The axes are those of ``activity_grid``; ``cells`` hexagons with a point on top stand
+    side by side along the first. A hexagon is named by its axial coordinates, ``column``
+    along the first axis and ``row`` across, and by its centre in transactions.
+    """
+    inside, cap, population = _activity_points(working, windows)
+    width = F.coalesce(F.nullif(cap, F.lit(0).cast("bigint")), F.lit(1).cast("bigint")).cast("double") / cells
+    # Distances in hexagons: across a row is 1, from row to row the root of 3/4.
+    along = F.col("prior").cast("double") / width
+    across = F.col("recent").cast("double") / width / F.lit(math.sqrt(0.75))
+    placed = inside.select("n", (along - across / 2).alias("x"), across.alias("z"))
+    placed = placed.withColumn("y", -F.col("x") - F.col("z"))
+    rounded = {name: F.floor(F.col(name) + 0.5).cast("bigint") for name in "xyz"}
+    placed = placed.select("*", *[value.alias(f"r{name}") for name, value in rounded.items()])
+    off = {name: F.abs(F.col(f"r{name}") - F.col(name)) for name in "xyz"}
+    # The three coordinates add up to 0; the one rounded furthest follows from the others.
+    column = F.when((off["x"] > off["y"]) & (off["x"] > off["z"]), -F.col("ry") - F.col("rz")).otherwise(F.col("rx"))
+    row = F.when(
+        ~((off["x"] > off["y"]) & (off["x"] > off["z"])) & (off["y"] <= off["z"]), -F.col("rx") - F.col("ry")
+    ).otherwise(F.col("rz"))
+    grid = placed.groupBy(column.alias("column"), row.alias("row")).agg(F.sum("n").alias("customers"))
+    grid = grid.select(
+        "*",
+        F.round((F.col("column") + F.col("row") / 2) * width, 6).alias("prior_centre"),
+        F.round(F.col("row") * F.lit(math.sqrt(0.75)) * width, 6).alias("recent_centre"),
+    )
+    return _with_share(grid, ["column", "row", "prior_centre", "recent_centre"], cap, population)
+
+
+def _activity_points(working: DataFrame, windows: RecencyWindows) -> tuple[DataFrame, Column, int]:
+    """Customers per point of prior and recent activity within the axes, their end, and all customers."""
     recent, prior = F.col(windows.recent_column), F.col(windows.prior_column)
     enough = working.filter(F.col("sufficient_prior_history"))
     points = enough.groupBy(prior.alias("prior"), recent.alias("recent")).agg(
@@ -263,21 +321,17 @@ def activity_grid(working: DataFrame, windows: RecencyWindows, *, cells: int = 4
     ).first()
     cap = F.lit(None if axes["limit"] is None else math.ceil(axes["limit"])).cast("bigint")
     inside = points.filter((F.col("prior") <= cap) & (F.col("recent") <= cap))
+    return inside, cap, axes["population"]
 
-    def cell(name: str) -> Column:
-        position = F.floor(F.col(name) * cells / F.nullif(cap, F.lit(0).cast("bigint")))
-        return F.coalesce(F.least(position, F.lit(cells - 1)), F.lit(0)).cast("bigint")
 
-    grid = inside.groupBy(
-        cell("prior").alias("prior_cell"), cell("recent").alias("recent_cell")
-    ).agg(F.sum("n").alias("customers"))
+def _with_share(grid: DataFrame, names: Sequence[str], cap: Column, population: int) -> DataFrame:
+    """Cells with the end of the axes and the share of customers that all cells hold."""
     kept = F.sum("customers").over(W.partitionBy())
     return grid.withColumn("kept", kept).select(
-        "prior_cell",
-        "recent_cell",
+        *names,
         "customers",
         cap.alias("axis_cap"),
-        percentage(F.col("kept"), F.lit(axes["population"])).alias("kept_pct"),
+        percentage(F.col("kept"), F.lit(population)).alias("kept_pct"),
     )
 
 
