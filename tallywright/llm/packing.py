@@ -12,15 +12,18 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.tasks import arrow_map, batch, texts_of
+from tallywright.llm.tasks import arrow_map, batch
 from tallywright.sources.scratch import stage
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,12 +32,17 @@ WINDOW = 4096
 #: Tokens of a shard; the memory of a packing task grows with it and with nothing else.
 SHARD_TOKENS = 2_000_000
 BM25_K1, BM25_B = 1.2, 0.75
+#: Terms held by more than one in so many documents of a shard are frequent.
+FREQUENT = 8
+#: Neighbours sorted at a time.
+BEST = 64
 
 #: Texts are encoded so many bytes at a time.
-SLICE_BYTES = 4 << 20
-#: Words a worker remembers the ids of, before it starts anew.
-_REMEMBERED = 400_000
-_PUNCTUATION = b".,;:!?|*#$%&)(\"'"
+SLICE_BYTES = 8 << 20
+_PUNCTUATION = ".,;:!?|*#$%&)(\"'"
+_PUNCTUATION_CLASS = re.escape(_PUNCTUATION)
+#: Small letters that are one code point in any form, as a class of a pattern.
+_LOWER = "a-z\u00df-\u00f6\u00f8-\u00ff"
 #: Letters up to here have one code point in lower case and in composed form.
 LATIN_END = "\u0180"
 #: Stands for the end of a word; no UTF-8 text holds it.
@@ -48,7 +56,8 @@ class Encoder:
     White space never is part of a token of this vocabulary, nor do letters and the
     punctuation behind them share one, so a text's ids are those of its words in turn.
     Words of Latin letters alone go straight to the merges; all else, and every text
-    with a ``<|`` that may be a special token, goes through the whole tokenizer.
+    with a ``<|`` that may be a special token, goes through the whole tokenizer. The
+    distinct words of many texts are encoded once, and their ids are dealt to all places.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,36 +67,83 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.merge, self.ids = _merger(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [None if b"<|" in text else text.lower().split() for text in texts]
-        if len(self.known) > _REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = set().union(*(words for words in split if words)).difference(known)
-        parts = {word: _parts(word) for word in new}
-        odd = []
-        for part in {part for pair in parts.values() for part in pair}.difference(known):
-            text = part.decode().lower()
-            if text.isalpha() and max(text) < LATIN_END:
-                known[part] = self.ids[self.merge(text.encode() + _WORD_END)].tobytes()
-            else:
-                odd.append(part)
-        found = self.tokenizer.encode_batch_fast(
-            [word.decode() for word in odd], add_special_tokens=False
-        )
-        for word, encoding in zip(odd, found, strict=True):
-            known[word] = np.array(encoding.ids, "<u2").tobytes()
-        for word, pair in parts.items():
-            if len(pair) > 1:
-                known[word] = b"".join([known[part] for part in pair])
-        return [
-            np.frombuffer(b"".join(map(known.__getitem__, words)), "<u2")
-            if words is not None
-            else np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u2")
-            for words, text in zip(split, texts, strict=True)
-        ]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's ids end."""
+        special = pc.match_substring(texts, "<|")
+        rows = np.flatnonzero(special.to_numpy(zero_copy_only=False))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(special, "", texts)))
+        places = lists.flatten().dictionary_encode()
+        ids, ends = _dealt_out(*self._words(places.dictionary), places.indices.to_numpy())
+        offsets = lists.offsets.to_numpy()
+        text_ends = np.concatenate([[0], ends])[offsets[1:] - offsets[0]]
+        return _spliced(ids, text_ends, {row: self._whole(texts[row].as_py()) for row in rows.tolist()})
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2")
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words one after another, and where each word's ids end.
+
+        A word is one or two parts, and equal parts of words are encoded once.
+        """
+        plain = pc.match_substring_regex(words, f"^[{_LOWER}]+[{_PUNCTUATION_CLASS}]*$")
+        cores = pc.if_else(plain, pc.ascii_rtrim(words, _PUNCTUATION), None).dictionary_encode()
+        tails = pc.if_else(plain, pc.replace_substring_regex(words, f"^[{_LOWER}]+", ""), None).dictionary_encode()
+        merged = [self.merge(core + _WORD_END) for core in cores.dictionary.cast(pa.binary()).to_pylist()]
+        others = [_parts(word) if word else () for word in words.filter(pc.invert(plain)).to_pylist()]
+        parts = {part: at for at, part in enumerate(dict.fromkeys(part for pair in others for part in pair))}
+        first = [*map(len, merged)]
+        pool = [self.ids[np.fromiter(chain.from_iterable(merged), np.int64, sum(first))]]
+        found = [self._merged(part) for part in parts]
+        odd = [part for part, own in zip(parts, found) if own is None]
+        rest = self.tokenizer.encode_batch_fast([*tails.dictionary.to_pylist(), *odd], add_special_tokens=False)
+        encoded = iter(rest[len(tails.dictionary) :])
+        second = [np.array(x.ids, "<u2") for x in rest[: len(tails.dictionary)]]
+        third = [np.array(next(encoded).ids, "<u2") if own is None else own for own in found]
+        pool = np.concatenate([*pool, *second, *third]).astype("<u2")
+        ends = np.cumsum(np.array([0, *first, *map(len, second), *map(len, third)], np.int64))
+        # Two numbers of parts for each word; number 0 is no part at all.
+        numbers = np.zeros((len(words), 2), np.int64)
+        at = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        numbers[at, 0] = 1 + cores.indices.drop_null().to_numpy()
+        numbers[at, 1] = 1 + len(first) + tails.indices.drop_null().to_numpy()
+        low = 1 + len(first) + len(second)
+        for row, pair in zip(np.flatnonzero(pc.invert(plain).to_numpy(zero_copy_only=False)).tolist(), others):
+            for column, part in enumerate(pair):
+                numbers[row, column] = low + parts[part]
+        ids, ends = _dealt_out(pool, ends, numbers.ravel())
+        return ids, ends[1::2]
+
+    def _merged(self, part: str) -> np.ndarray | None:
+        """The ids of a part of Latin letters, None of any other."""
+        text = part.lower()
+        if text.isalpha() and max(text) < LATIN_END:
+            return self.ids[self.merge(text.encode() + _WORD_END)]
+        return None
+
+
+def _dealt_out(pool: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of a pool by their numbers, one after another, and where each of them ends."""
+    sizes = np.diff(ends, prepend=0)[numbers]
+    until = np.cumsum(sizes)
+    total = int(until[-1]) if len(until) else 0
+    return pool[np.repeat(ends[numbers] - until, sizes) + np.arange(total)], until
+
+
+def _spliced(
+    ids: np.ndarray, ends: np.ndarray, others: dict[int, np.ndarray]
+) -> tuple[np.ndarray, np.ndarray]:
+    """Put the ids of some texts, which have none so far, where they belong."""
+    if not others:
+        return ids, ends
+    starts = np.concatenate([[0], ends[:-1]])
+    pieces, low, added = [], 0, np.zeros(len(ends), np.int64)
+    for row in sorted(others):
+        pieces += [ids[low : starts[row]], others[row]]
+        low = starts[row]
+        added[row] = len(others[row])
+    return np.concatenate([*pieces, ids[low:]]), ends + np.cumsum(added)
 
 
 def _merger(path: str):
@@ -116,10 +172,10 @@ def _merger(path: str):
     return coder._core_bpe.encode_single_piece, np.array([number for _, number in tokens], "<u2")
 
 
-def _parts(word: bytes) -> tuple[bytes, ...]:
+def _parts(word: str) -> tuple[str, ...]:
     """A word without the punctuation behind it, and that punctuation."""
     core = word.rstrip(_PUNCTUATION)
-    if core and len(core) < len(word) and core.decode()[-1].isalpha():
+    if core and len(core) < len(word) and core[-1].isalpha():
         return core, word[len(core) :]
     return (word,)
 
@@ -136,46 +192,61 @@ def encoder(path: str | None) -> Encoder:
 
 
 def _races(size: int) -> np.ndarray:
-    """Per token the time of an exponential race; late merges, which are rare, run faster."""
+    """Per token its place in an exponential race; late merges, which are rare, run faster."""
     draws = np.random.default_rng(7).random(size) + 1e-12
-    return -np.log(draws) / (np.arange(size) / size + 1e-3) ** 3
+    times = -np.log(draws) / (np.arange(size) / size + 1e-3) ** 3
+    return np.argsort(np.argsort(times)).astype(np.int32)
 
 
-def _slices(texts: list[bytes]) -> Iterator[list[bytes]]:
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
     """Texts in turn, so many at a time that their words fit into little memory."""
-    some, size = [], 0
-    for text in texts:
-        some.append(text)
-        size += len(text)
-        if size >= SLICE_BYTES:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = 0
+    while low < len(texts):
+        before = sizes[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, "right")))
+        yield texts.slice(low, high - low)
+        low = high
+
+
+def _with_end(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Each text's ids as bytes, with the end id behind them."""
+    texts = np.arange(len(ends))
+    whole = np.empty(len(ids) + len(ends), "<u2")
+    whole[ends + texts] = END_ID
+    whole[np.arange(len(ids)) + np.repeat(texts, np.diff(ends, prepend=0))] = ids
+    offsets = np.concatenate([[0], 2 * (ends + texts + 1)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(whole)])
 
 
 def _encode(path: str | None):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        races, holders = _races(max(coder.size, END_ID + 1)), None
+        races = _races(max(coder.size, END_ID + 1))
+        winners = np.argsort(races).astype(np.int32)
         holders = np.zeros(len(races), np.int64)
         for part in parts:
-            ids = [own for some in _slices(texts_of(part)) for own in coder.encode(some)]
-            keys = np.zeros(len(ids), np.int32)
-            for row, own in enumerate(ids):
-                distinct = np.flatnonzero(np.bincount(own)) if len(own) > 4096 else np.unique(own)
-                holders[distinct] += 1
-                if len(distinct):
-                    keys[row] = distinct[np.argmin(races[distinct])]
-            end = np.array([END_ID], "<u2").tobytes()
-            yield batch(
-                doc_id=part.column("doc_id"),
-                ids=pa.array([own.tobytes() + end for own in ids], pa.binary()),
-                n=np.array([len(own) + 1 for own in ids], np.int64),
-                key=keys,
-                token=pa.nulls(len(ids), pa.int32()),
-                holders=pa.nulls(len(ids), pa.int64()),
-            )
+            names, low = part.column("doc_id"), 0
+            for texts in _slices(part.column("text").cast(pa.string()).fill_null("")):
+                ids, ends = coder.encode(texts)
+                sizes = np.diff(ends, prepend=0)
+                held = np.flatnonzero(sizes)
+                keys = np.zeros(len(ends), np.int32)
+                if len(held):
+                    keys[held] = winners[np.minimum.reduceat(races[ids], (ends - sizes)[held])]
+                    pairs = np.repeat(np.arange(len(ends), dtype=np.uint64) << np.uint64(16), sizes) | ids
+                    pairs.sort()
+                    first = np.append(True, pairs[1:] != pairs[:-1])
+                    holders += np.bincount((pairs[first] & np.uint64(0xFFFF)).astype(np.int64), minlength=len(races))
+                yield batch(
+                    doc_id=names.slice(low, len(texts)),
+                    ids=_with_end(ids, ends),
+                    n=sizes + 1,
+                    key=keys,
+                    token=pa.nulls(len(texts), pa.int32()),
+                    holders=pa.nulls(len(texts), pa.int64()),
+                )
+                low += len(texts)
         seen = np.flatnonzero(holders).astype(np.int32)
         empty = len(seen)
         yield batch(
@@ -207,36 +278,69 @@ def _dealt(totals: list[tuple[int, int]], shard_tokens: int) -> list[tuple[int,
 
 
 class Shard:
-    """The BM25 index of some documents, and their packing into windows."""
+    """The BM25 index of some documents, and their packing into windows.
+
+    The end id is no term. Terms that many documents hold have a weight for every
+    document, all others a list of postings.
+    """
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
         self.ids = ids
-        counted = [np.unique(own, return_counts=True) for own in ids]
+        counted = [np.unique(own[:-1], return_counts=True) for own in ids]
         sizes = np.array([len(terms) for terms, _ in counted])
         terms = np.concatenate([terms for terms, _ in counted])
         counts = np.concatenate([counts for _, counts in counted]).astype(np.float32)
-        rows = np.repeat(np.arange(len(ids)), sizes)
-        lengths = np.array([len(own) for own in ids], np.float32)
+        rows = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        lengths = np.array([len(own) - 1 for own in ids], np.float32)
         damped = BM25_K1 * (1 - BM25_B + BM25_B * lengths / mean)
-        weights = idf[terms] * counts * (BM25_K1 + 1) / (counts + damped[rows])
+        weights = (idf[terms] * counts * (BM25_K1 + 1) / (counts + damped[rows])).astype(np.float32)
         self.bounds = np.concatenate([[0], np.cumsum(sizes)])
         self.terms = terms
-        order = np.argsort(terms, kind="stable")
+        held = np.bincount(terms, minlength=len(idf))
+        frequent = np.flatnonzero(held * FREQUENT > len(ids))
+        # A frequent term is held by one in FREQUENT documents, so this is as large as
+        # FREQUENT times the postings it stands for.
+        self.place = np.full(len(idf), -1, np.int32)
+        self.place[frequent] = np.arange(len(frequent))
+        often = self.place[terms] >= 0
+        self.dense = np.zeros((len(frequent), len(ids)), np.float32)
+        self.dense[self.place[terms[often]], rows[often]] = weights[often]
+        rare = np.flatnonzero(~often)
+        order = rare[np.argsort(terms[rare], kind="stable")]
         self.rows, self.weights = rows[order], weights[order]
         self.starts = np.searchsorted(terms[order], np.arange(len(idf) + 1))
         self.used = np.zeros(len(ids), bool)
         self.next_unused = 0
 
-    def neighbours(self, seed: int) -> np.ndarray:
+    def scores(self, seed: int) -> np.ndarray:
+        """The BM25 score of every document for all terms of a seed."""
+        terms = self.terms[self.bounds[seed] : self.bounds[seed + 1]]
+        place = self.place[terms]
+        wanted = np.zeros(len(self.dense), np.float32)
+        wanted[place[place >= 0]] = 1
+        found = wanted @ self.dense
+        rare = terms[place < 0].astype(np.int64)
+        low, sizes = self.starts[rare], self.starts[rare + 1] - self.starts[rare]
+        until = np.cumsum(sizes)
+        if len(until) and until[-1]:
+            at = np.repeat(low - until + sizes, sizes) + np.arange(until[-1])
+            found = found + np.bincount(self.rows[at], self.weights[at], len(found))
+        return found
+
+    def neighbours(self, seed: int) -> Iterator[int]:
         """Unused documents that share terms with a seed, the best first."""
-        low, high = self.bounds[seed], self.bounds[seed + 1]
-        scores = np.zeros(len(self.ids), np.float32)
-        for term in self.terms[low:high]:
-            at = slice(self.starts[term], self.starts[term + 1])
-            scores[self.rows[at]] += self.weights[at]
+        scores = self.scores(seed)
         scores[self.used] = 0
-        found = np.flatnonzero(scores)
-        return found[np.argsort(-scores[found], kind="stable")]
+        found = np.flatnonzero(scores > 0)
+        while len(found):
+            # Few neighbours fill a window: the best are sorted first.
+            best = scores[found]
+            if len(found) > BEST:
+                least = np.partition(best, len(found) - BEST)[len(found) - BEST]
+                first, found = found[best >= least], found[best < least]
+            else:
+                first, found = found, found[:0]
+            yield from first[np.argsort(-scores[first], kind="stable")].tolist()
 
     def seed(self) -> int | None:
         while self.next_unused < len(self.used) and self.used[self.next_unused]:
@@ -248,7 +352,7 @@ class Shard:
         sequence, filled = 0, 0
         open_pieces: list[tuple[int, int, int]] = []
         current = self.seed()
-        waiting: list[int] = []
+        waiting: Iterator[int] | None = None
         while current is not None:
             self.used[current] = True
             start, size = 0, len(self.ids[current])
@@ -261,16 +365,15 @@ class Shard:
                     for document, first, count in open_pieces:
                         yield document, first, count, sequence, at
                         at += count
-                    open_pieces, sequence, filled, waiting = [], sequence + 1, 0, []
-                    if start < size:
-                        seed = current
+                    open_pieces, sequence, filled, waiting = [], sequence + 1, 0, None
             if not open_pieces:
                 current = self.seed()
                 continue
-            if not waiting:
-                seed = open_pieces[0][0]
-                waiting = self.neighbours(seed)[::-1].tolist()
-            current = waiting.pop() if waiting else self.seed()
+            if waiting is None:
+                waiting = self.neighbours(open_pieces[0][0])
+            current = next(waiting, None)
+            if current is None:  # nothing else shares a term with the seed
+                current = self.seed()
         yield from _by_powers(open_pieces, sequence)
 
 
@@ -355,7 +458,8 @@ def pack(
         ),
         "encoded",
     )
-    rows = encoded.where("token is null")
+    # Repeated rows of a key differ in their place alone, and are dealt to all its shards.
+    rows = encoded.where("token is null").withColumn("place", F.monotonically_increasing_id())
     holders = encoded.where("token is not null").groupBy("token").agg(F.sum("holders")).collect()
     totals = rows.groupBy("key").agg(F.sum("n"), F.count("*")).collect()
     count, tokens = sum(x[2] for x in totals), sum(x[1] for x in totals)
@@ -367,7 +471,7 @@ def pack(
     )
     # One row for each token of the vocabulary at most.
     shards = rows.join(F.broadcast(dealt), "key").select(
-        "doc_id", "ids", "n", F.expr("first + pmod(xxhash64(doc_id, n), pieces)").alias("shard")
+        "doc_id", "ids", "n", F.expr("first + pmod(xxhash64(doc_id, n, place), pieces)").alias("shard")
     )
     ordered = shards.repartition("shard").sortWithinPartitions("shard", "doc_id", "n")
     return arrow_map(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
@@ -40,7 +41,21 @@ Rows = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 def arrow_map(df: DataFrame, task: Rows, schema: str) -> DataFrame:
     """``mapInArrow`` with the package at hand on every worker."""
     ship(df.sparkSession)
-    return df.mapInArrow(task, schema)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(parts)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are reused, and many wait side by side."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def batch(**columns) -> pa.RecordBatch:

@@ -13,6 +13,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -252,16 +253,74 @@ def test_packing(spark, odd, shard_tokens):
 def test_packing_seeks_by_all_terms_of_a_seed():
     idf = np.full(60, 5.0, np.float32)
     idf[50] = 1.0  # the least of the seed's 41 terms
-    index = packing.Shard([np.array([*range(40), 50]), np.array([50, 51]), np.array([52])], idf, 15.0)
+    end = packing.END_ID
+    index = packing.Shard(
+        [np.array([*range(3, 40), 50, end]), np.array([50, 51, end]), np.array([52, end])], idf, 15.0
+    )
+    index.used[0] = True
+    assert list(index.neighbours(0)) == [1]
+
+
+def test_the_end_id_is_no_term():
+    idf = np.full(60, 5.0, np.float32)
+    end = packing.END_ID
+    index = packing.Shard([np.array([7, 8, end]), np.array([9, end]), np.array([end]), np.array([8, 9, 10, end])], idf, 3.0)
+    assert index.scores(0)[1:3].tolist() == [0, 0]
     index.used[0] = True
-    assert index.neighbours(0).tolist() == [1]
+    assert list(index.neighbours(0)) == [3]
+    assert list(index.neighbours(2)) == []
+
+
+@pytest.mark.parametrize("best", [1, 3, 64])
+@pytest.mark.parametrize("frequent", [1, 8, 1000])
+def test_neighbours_are_in_the_order_of_bm25(monkeypatch, best, frequent):
+    monkeypatch.setattr(packing, "BEST", best)
+    monkeypatch.setattr(packing, "FREQUENT", frequent)
+    rng = np.random.default_rng(1)
+    idf = rng.random(100).astype(np.float32) + 0.1
+    texts = [np.append(rng.integers(3, 40, rng.integers(0, 12)), packing.END_ID) for _ in range(40)]
+    texts += texts[:5]  # ties
+    index = packing.Shard(texts, idf, 6.0)
+    index.used[::7] = True
+    for seed in range(len(texts)):
+        own, scores = set(texts[seed][:-1].tolist()), []
+        for text in texts:
+            damped = 1.2 * (1 - 0.75 + 0.75 * (len(text) - 1) / 6.0)
+            counts = Counter(text[:-1].tolist())
+            scores.append(sum(idf[t] * n * 2.2 / (n + damped) for t, n in counts.items() if t in own))
+        found = list(index.neighbours(seed))
+        assert sorted(found) == [at for at, score in enumerate(scores) if score and not index.used[at]]
+        assert np.all(np.diff([scores[at] for at in found]) <= 1e-5)
+
+
+ODD_TEXTS = [
+    "It's we'll a.b,c!! 3.14 <|endoftext|>", "é É İK ſ…. «a»!? ß ǅ", "ΑΣ ΣΑΣ. x", "'s 'S \x85  b", "", "áb",
+    "１２ ½ ²", " lead and  trail \n", "<|startoftext|>", "éa, éa. Éa! ÿ* µ ª naïve-ish x" + "y" * 500, "!!! ?", "don't., a\x00b",
+]
 
 
 def test_tokens_of_odd_texts():
     coder = packing.encoder(None)
-    odd = ["It's we'll a.b,c!! 3.14 <|endoftext|>", "é É İK ſ…. «a»!? ß ǅ", "ΑΣ ΣΑΣ. x", "'s 'S \x85  b", "", "áb", "１２ ½ ²"]
-    for text in odd:
-        assert coder.encode([text.encode()])[0].tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    expected = [coder.tokenizer.encode(text, add_special_tokens=False).ids for text in ODD_TEXTS]
+    for text, ids in zip(ODD_TEXTS, expected):
+        assert coder.encode(pa.array([text]))[0].tolist() == ids
+    ids, ends = coder.encode(pa.array(ODD_TEXTS))
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == expected
+
+
+def test_tokens_of_texts_in_slices(monkeypatch):
+    monkeypatch.setattr(packing, "SLICE_BYTES", 20)
+    part = pa.record_batch({"doc_id": pa.array(range(13)), "text": pa.array([*ODD_TEXTS, None])})
+    (*rows, terms) = packing._encode(None)(iter([part]))
+    coder, held = packing.encoder(None).tokenizer, Counter()
+    found = [row for batch in rows for row in batch.to_pylist()]
+    assert len(rows) > 3 and [row["doc_id"] for row in found] == list(range(13))
+    for row, text in zip(found, [*ODD_TEXTS, ""]):
+        ids = coder.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(row["ids"], "<u2").tolist() == [*ids, packing.END_ID] and row["n"] == len(ids) + 1
+        assert row["key"] in ids if ids else row["key"] == 0
+        held.update(set(ids))
+    assert dict(zip(terms.column("token").to_pylist(), terms.column("holders").to_pylist())) == held
 
 
 def test_weak_labels_find_biased_voters():
