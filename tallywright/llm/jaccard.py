@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tallywright.llm.components import components
-from tallywright.llm.tasks import arrow_map, batch, shingles_of, signed, texts_of
+from tallywright.llm.tasks import arrow_map, batch, named, shingles_of, signed, texts_of
 from tallywright.sources.scratch import stage
 
 WORDS = 5
@@ -540,13 +540,13 @@ def keep_one_of_each_group(documents: DataFrame, shingle_words: int = WORDS) ->
         .agg(F.min("mark").alias(_SET_MARK))
         .select("doc_id", _SET_MARK)
     )
-    named = documents.where("doc_id is not null")
-    schema = StructType([*named.schema.fields, StructField(_SET_MARK, LongType())])
+    known = documents.where("doc_id is not null")
+    schema = StructType([*known.schema.fields, StructField(_SET_MARK, LongType())])
     rows = (
-        arrow_map(named, _with_mark(shingle_words), schema)
+        arrow_map(known, _with_mark(shingle_words), schema)
         .join(kept, ["doc_id", _SET_MARK], "left_semi")
         .dropDuplicates(["doc_id", _SET_MARK])
-        .select(documents.columns)
+        .select(*map(named, documents.columns))
     )
     nameless = documents.where("doc_id is null")
-    return rows.unionByName(nameless)
+    return rows.unionAll(nameless)

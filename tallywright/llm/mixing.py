@@ -2,14 +2,16 @@
 
 A classifier fitted on a labelled table gives each document a probability for every
 domain. Document rates are then fitted: nonnegative, as close to one as can be (each
-document weighed by its tokens), so that the tokens expected of each domain match its target. The fit is projected
-gradient descent on the squared distance to the targets. Each step needs one number
-per domain from the corpus; a document's own rate is computed again from these.
+document weighed by its tokens), so that the tokens expected of each domain match its
+target. The fit is projected gradient descent on the squared distance to the targets.
+Each step needs a few numbers per pair of domains from the corpus; a document's own rate
+follows from one number per domain.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm.features import SIZE, ngram_groups, sparse_row
-from tallywright.llm.rules import smallest_hashes
-from tallywright.llm.tasks import arrow_map, batch, texts_of
+from tallywright.llm.rules import one_text_each, smallest_hashes
+from tallywright.llm.tasks import arrow_map, batch, named, texts_of
 from tallywright.sources.scratch import stage
 
 #: Labelled rows of each domain that the classifier is fitted on, and the most domains.
@@ -26,9 +28,14 @@ SAMPLE_ROWS = 400
 MOST_DOMAINS = 64
 #: Smoothing of a domain's n-grams.
 SMOOTH = 0.1
-STEPS = 40
-#: Distance to the targets, as a share of all tokens, at which the fit ends.
-CLOSE = 1e-6
+#: More steps than any fit should need; one that does fails.
+STEPS = 100
+#: Lengths of a step that are tried in one pass.
+LENGTHS = (1.0, 0.5, 0.2, 0.05, 0.005)
+#: Weight of rates close to one against targets met, and the distance to the targets, as a share
+#: of the budget, below which they count as met.
+RIDGE = 1e-7
+CLOSE = 1e-5
 
 # Target weights of the domains of the test tables.
 TARGETS = {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.11}
@@ -68,7 +75,8 @@ def _domain_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_domains(documents: DataFrame, labelled: DataFrame, names: list[str]) -> Domains:
     """The classifier of the domains of ``labelled`` (doc_id, domain).
 
-    It is fitted on ``SAMPLE_ROWS`` rows of each domain, those with the smallest hash of ``doc_id``.
+    It is fitted on ``SAMPLE_ROWS`` rows of each domain, those with the smallest hash of
+    ``doc_id``. Labelled rows of domains that are not among ``names`` are left out.
     """
     if len(names) > MOST_DOMAINS:
         raise ValueError(f"more than {MOST_DOMAINS} domains")
@@ -78,7 +86,7 @@ def fit_domains(documents: DataFrame, labelled: DataFrame, names: list[str]) ->
         own = smallest_hashes(known.where(F.col("domain") == name), SAMPLE_ROWS)
         picked = own if picked is None else picked.union(own)
     picked = stage(picked, "chosen")
-    sample = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    sample = one_text_each(documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))
     sums = (
         arrow_map(sample.select("text", "domain"), _domain_counts, "domain string, feature int, share double")
         .groupBy("domain", "feature")
@@ -108,51 +116,106 @@ def _memberships(domains):
     return run
 
 
-def _rates(posterior: F.Column, pushes: list[list[float]]) -> F.Column:
-    """A document's rate after steps that pushed the domains so far: never below zero on the way."""
-    rate = F.lit(1.0)
-    if not pushes:
-        return rate
-    history = F.array(*[F.array(*map(F.lit, push)) for push in pushes])
-    pushed = lambda push: F.aggregate(
-        F.zip_with(posterior, push, lambda p, v: p * v), F.lit(0.0), lambda total, x: total + x
+def _measured(candidates: list[list[float]]):
+    """Per task and candidate push: expected tokens, the curve of rows not at zero, and the dual value."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = len(candidates[0])
+        sums = np.zeros((len(candidates), width + width * width + 1))
+        for part in parts:
+            tokens = part.column("tokens").to_numpy().astype(np.float64)
+            posterior = part.column("posterior").flatten().to_numpy().reshape(-1, width)
+            for at, push in enumerate(candidates):
+                rate = np.maximum(0, 1 + posterior @ np.array(push))
+                used = rate * tokens
+                active = posterior * np.where(rate > 0, tokens, 0)[:, None]
+                sums[at, :width] += used @ posterior
+                sums[at, width:-1] += (active.T @ posterior).ravel()
+                sums[at, -1] += (used @ rate) / 2
+        candidate, place = np.indices(sums.shape, np.int32).reshape(2, -1)
+        yield batch(candidate=candidate, place=place, total=sums.ravel())
+
+    return run
+
+
+@dataclass
+class _Step:
+    """What a push of the domains gives."""
+
+    push: np.ndarray
+    expected: np.ndarray
+    curve: np.ndarray
+    value: float
+
+
+def _tried(members: DataFrame, pushes: list[np.ndarray]) -> list[_Step]:
+    width = len(pushes[0])
+    found = np.zeros((len(pushes), width + width * width + 1))
+    # A row per candidate and number, whatever the number of documents.
+    rows = (
+        arrow_map(
+            members.select("tokens", "posterior"),
+            _measured([push.tolist() for push in pushes]),
+            "candidate int, place int, total double",
+        )
+        .groupBy("candidate", "place")
+        .agg(F.sum("total"))
+        .collect()
     )
-    return F.aggregate(history, rate, lambda held, push: F.greatest(F.lit(0.0), held + pushed(push)))
+    for candidate, place, total in rows:
+        found[candidate, place] = total
+    return [
+        _Step(push, own[:width], own[width:-1].reshape(width, width), float(own[-1]))
+        for push, own in zip(pushes, found)
+    ]
 
 
 def fit_rates(members: DataFrame, targets: list[float], budget: float | None = None) -> DataFrame:
-    """``members`` (doc_id, tokens, posterior) with the ``rate`` of each row.
-
-    The expected tokens ``sum(rate * tokens * posterior)`` match ``targets``, shares of ``budget``. The
-    default budget is the smallest at which no document has to be used less than once.
+    """``members`` (doc_id, tokens, posterior) with the ``rate`` of each row and what is ``missed``.
+
+    The expected tokens ``sum(rate * tokens * posterior)`` match ``targets``, shares of ``budget``,
+    as nearly as nonnegative rates allow; among such rates those as close to one as can
+    be are taken. The default budget is the smallest at which no document has to be used
+    less than once. ``missed`` is the same in every row: the largest distance of a domain's
+    expected tokens to its target, as a share of the budget. It stays below ``CLOSE``
+    where the targets can be met, and tells how far off they are where they cannot.
+
+    A rate is one plus the push of the document's domains, projected onto zero where that is
+    negative. The push follows the gradient, the distance to the targets, in the metric of the
+    rows not at zero, by the length at which the objective is best among a few.
     """
     width = len(targets)
-    tokens, posterior = F.col("tokens").cast("double"), F.col("posterior")
-    gram = [F.sum(tokens * posterior[i] * posterior[j]) for i in range(width) for j in range(width)]
-    whole = [F.sum(tokens * posterior[i]) for i in range(width)]
-    first = members.agg(*gram, *whole).first()
-    if first is None or first[0] is None:
-        return members.withColumn("rate", F.lit(1.0))
-    curve = np.array(first[: width * width], float).reshape(width, width)
-    natural = np.array(first[width * width :], float)
+    first = _tried(members, [np.zeros(width)])[0]
+    natural = first.expected
+    if not natural.sum() > 0:
+        return members.withColumns({"rate": F.lit(1.0), "missed": F.lit(0.0)})
     shares = np.array(targets, float) / sum(targets)
-    # Steps in the metric of the curve: the domains then move independently.
-    solve = np.linalg.pinv(curve)
     if budget is None:
-        lift = solve @ shares  # of a document of each domain, per token of the budget
+        lift = np.linalg.pinv(first.curve) @ shares  # of a document of each domain, per token of the budget
         budget = float(1 / lift.min() if lift.min() > 0 else (natural / shares).max())
     goal = shares * budget
-    pushes: list[list[float]] = []
-    expected = natural
+    # Rates far from one cost a little, so that targets out of reach have a best fit too.
+    cost = RIDGE * natural.sum() / width
+
+    def value(step: _Step) -> float:
+        return float(step.push @ goal - step.value - cost * step.push @ step.push / 2)
+
+    at = first
     for _ in range(STEPS):
-        gap = goal - expected
-        if np.abs(gap).max() <= CLOSE * budget:
+        slope = goal - at.expected - cost * at.push
+        if np.abs(slope).max() <= CLOSE / 10 * budget:
+            break
+        ahead = np.linalg.solve(at.curve + cost * np.eye(width), slope)
+        tried = _tried(members, [at.push + length * ahead for length in LENGTHS])
+        best = max(tried, key=value)
+        if value(best) <= value(at):  # as good as doubles can tell
             break
-        pushes.append((solve @ gap).tolist())
-        rate = _rates(posterior, pushes)
-        now = members.agg(*[F.sum(rate * tokens * posterior[i]) for i in range(width)]).first()
-        expected = np.array(list(now), float)
-    return members.withColumn("rate", _rates(posterior, pushes))
+        at = best
+    else:
+        raise RuntimeError(f"the rates have not settled after {STEPS} steps")
+    missed = float(np.abs(goal - at.expected).max() / budget)
+    pushed = sum((F.col("posterior")[i] * F.lit(float(x)) for i, x in enumerate(at.push)), F.lit(1.0))
+    return members.withColumns({"rate": F.greatest(F.lit(0.0), pushed), "missed": F.lit(missed)})
 
 
 def memberships(documents: DataFrame, domains: Domains) -> DataFrame:
@@ -168,15 +231,17 @@ def memberships(documents: DataFrame, domains: Domains) -> DataFrame:
 def mix(
     documents: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None
 ) -> DataFrame:
-    """``doc_id, tokens, posterior, rate`` of every row of ``documents``.
+    """``doc_id, tokens, posterior, rate, missed`` of every row of ``documents``.
 
     ``posterior`` holds a probability per domain, in the order of the sorted names of
-    ``targets``; ``rate`` is how often the row is to be used, on average.
+    ``targets``; ``rate`` is how often the row is to be used, on average; ``missed`` tells how
+    far the targets are from being met (see ``fit_rates``).
 
     A null or empty text has no tokens, the share of each domain among the labelled rows as
-    posterior, and rate 1. Without labelled rows all domains are equally likely.
-    Repeated rows each give a row and count towards the targets, a null ``doc_id`` stays
-    null, other columns are ignored, an empty table gives no rows.
+    posterior. Without tokens at all every rate is 1. Without labelled rows all domains are
+    equally likely; labelled rows of other domains than the targets' are left out. Repeated
+    rows each give a row and count towards the targets, a null ``doc_id`` stays null, other
+    columns are ignored, an empty table gives no rows.
     """
     names = sorted(targets)
     domains = fit_domains(documents, labelled, names)
@@ -190,11 +255,26 @@ def repeat_by_rate(
     """The documents as often as their rates say, with their columns as they are.
 
     A rate of 1.3 is one row, and with probability 0.3 a second one; the draw is a hash of
-    ``doc_id``. Rows with the same ``doc_id`` share the largest of their rates.
+    ``doc_id``. Rows with the same ``doc_id`` share the largest of their rates; so do rows
+    with a null ``doc_id``, whose draw is a hash of the text.
     """
-    rates = mix(documents, labelled, targets, budget).groupBy("doc_id").agg(F.max("rate").alias("mix_rate"))
-    draw = "pmod(xxhash64(doc_id, 17), 1000003) / 1000003.0D"
-    copies = rates.selectExpr("doc_id as mix_id", f"cast(floor(mix_rate + {draw}) as int) as mix_copies")
-    joined = documents.join(copies, documents["doc_id"].eqNullSafe(F.col("mix_id")))
-    spread = joined.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.expr("sequence(1, mix_copies)")))
-    return spread.select([documents[name] for name in documents.columns])
+    rates = stage(
+        mix(documents, labelled, targets, budget).groupBy("doc_id").agg(F.max("rate").alias("rate")), "rates"
+    )
+    unnamed = rates.where("doc_id is null").first()
+    # Within a struct no column of the documents can clash with one needed on the way.
+    rows = documents.select(F.struct(*map(named, documents.columns)).alias("row"))
+
+    def copies(rate: F.Column, key: F.Column) -> F.Column:
+        draw = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1000003)) / F.lit(1000003.0)
+        return F.array_repeat(F.lit(1), F.floor(rate + draw).cast("int"))
+
+    known = F.col("row.doc_id").cast("long")
+    joined = rows.where(known.isNotNull()).join(rates.where("doc_id is not null"), known == F.col("doc_id"))
+    spread = joined.select("row", F.explode(copies(F.col("rate"), F.col("doc_id"))).alias("copy")).select("row.*")
+    if unnamed is None:
+        return spread
+    # They are not joined: all have the one key that joins nothing, and would meet in one task.
+    alone = rows.where(known.isNull())
+    alone = alone.select("row", F.explode(copies(F.lit(unnamed["rate"]), F.col("row.text"))).alias("copy"))
+    return spread.unionAll(alone.select("row.*"))

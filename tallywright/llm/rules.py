@@ -48,9 +48,7 @@ def sampled_rows(
     a row.
     """
     sample = (
-        documents.select("doc_id", "text")
-        .join(F.broadcast(targets), "doc_id")
-        .dropDuplicates(["doc_id"])
+        one_text_each(documents.select("doc_id", "text").join(F.broadcast(targets), "doc_id"))
         .selectExpr("text", "double(target) as target", "int(pmod(xxhash64(doc_id, 1), 4)) as part")
     )
     rows = arrow_map(
@@ -100,6 +98,13 @@ def smallest_hashes(rows: DataFrame, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def one_text_each(sample: DataFrame) -> DataFrame:
+    """One row per ``doc_id`` of a bounded sample: the one whose text has the smallest hash."""
+    rest = [name for name in sample.columns if name != "doc_id"]
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), *rest)).alias("first")
+    return sample.groupBy("doc_id").agg(first).select("doc_id", *[f"first.{name}" for name in rest])
+
+
 def _judge(model):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         linear = model.value

@@ -16,9 +16,10 @@ import codecs
 import hashlib
 import re
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
+from html.entities import html5
 from itertools import accumulate, chain, groupby
 from operator import itemgetter
 
@@ -38,7 +39,14 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
 _URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+#: Names of the ASCII characters that HTML has names for.
+_NAMED = {name.removesuffix(";"): char for name, char in html5.items() if name.endswith(";") and len(char) == 1 and char < "\x80"}
+_ESCAPE = re.compile(
+    r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});?"
+    r"|\\([0-3][0-7]{2})|&#([0-9]{1,7});?|&(" + "|".join(sorted(_NAMED)) + ");"
+)
+#: Bases of the numbers in the groups of an escape.
+_BASES = (16, 16, 16, 16, 16, 8, 10)
 #: Base64 of one line, or over single line breaks.
 _BASE64 = re.compile(
     r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}"
@@ -46,13 +54,17 @@ _BASE64 = re.compile(
 )
 _BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 _LEAST_BASE64 = 16
+#: How compressed data begin in base64, behind a mark that may belong to a path or name.
+_PACKED_HEAD = re.compile(r"(?<=[+/])(?:H4sI|Qlpo|e[AFJN])")
+#: Bytes that may be text, as many as the shortest base64 holds.
+_TEXT_BYTES = re.compile(rb"[\x09\x0A\x0D\x20-\x7E\x80-\xF4]{12,}")
 _PRINTABLE = re.compile(r"[^\x09\x0A\x0D\x20-\x7E\x80-퟿-\U0010FFFF]")
 
 #: A compressed layer is opened in pieces of so many bytes.
 PIECE_BYTES = 1 << 20
 #: No secret, escape or encoded run goes on here: behind a character that none holds, or
 #: between words. Pieces end, and stretches with escapes are decoded, from border to border.
-_BORDER = re.compile(r"[^A-Za-z0-9+/_.=\"':%\\&#;\s-]|(?<=\s)[A-Za-z0-9.]+\x20(?=[A-Za-z0-9])")
+_BORDER = re.compile(r"[^A-Za-z0-9+/_.=\"':%\\&#;{}\s-]|(?<=\s)[A-Za-z0-9.]+\x20(?=[A-Za-z0-9])")
 
 
 @dataclass
@@ -130,6 +142,14 @@ def _positions(layer: Layer, start: int, pieces: list[tuple[str, int]]) -> tuple
     return "".join(text), origin
 
 
+def _escaped(found: re.Match) -> str:
+    """The character that an escape stands for."""
+    if found.lastindex > len(_BASES):
+        return _NAMED[found[found.lastindex]]
+    code = int(found[found.lastindex], _BASES[found.lastindex - 1])
+    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
+
+
 def _unescaped(layer: Layer, start: int, raw: str, pattern: re.Pattern, name: str) -> Layer:
     """A stretch with its escapes decoded in place."""
     pieces, fresh, at, size = [], [], 0, 0
@@ -139,8 +159,7 @@ def _unescaped(layer: Layer, start: int, raw: str, pattern: re.Pattern, name: st
         if name == "url":
             value = binascii.unhexlify(found[0].replace("%", "")).decode("utf-8", "replace")
         else:
-            code = int(found[3]) if found[3] else int(found[1] or found[2] or found[4], 16)
-            value = chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
+            value = _escaped(found)
         pieces.append((value, found.end() - found.start()))
         fresh.append((size, size + len(value)))
         size += len(value)
@@ -220,19 +239,22 @@ def _unpacked(layer: Layer, start: int, raw: str) -> Iterator[Layer]:
         return
     streams: dict[int, bytes] = {}
 
+    def stream(skew: int) -> bytes:
+        if skew not in streams:
+            own = body[skew:]
+            own = own[:-1] if len(own) % 4 == 1 else own
+            streams[skew] = binascii.a2b_base64(own + "=" * (-len(own) % 4))
+        return streams[skew]
+
     def span(first: int, last: int) -> tuple[int, int]:
         end = len(raw) if last == len(lines) - 1 else lines[last][1]
         return layer.back(start + lines[first][0], start + end)[0], layer.back(start, start + end)[1]
 
-    first = 0
+    first, read = 0, []
     while first < len(lines):
         begin = ends[first - 1] if first else 0
         skew = begin % 4
-        if skew not in streams:
-            own = body[skew:]
-            own = own[:-1] if len(own) % 4 == 1 else own
-            streams[skew] = binascii.a2b_base64(own + "=" * (-len(own) % 4))
-        data = streams[skew]
+        data = stream(skew)
         at = (begin - skew) // 4 * 3
         stops = ((ends[line] - skew) * 3 // 4 for line in range(first, len(ends)))
         last = None
@@ -243,7 +265,48 @@ def _unpacked(layer: Layer, start: int, raw: str) -> Iterator[Layer]:
             last = None if last is None else first + last
             if last is not None and ends[last] - begin >= _LEAST_BASE64:
                 yield Layer(text, (*layer.path, "base64"), None, span(first, last))
+        if last is not None:
+            read.append((begin, ends[last]))
         first = first + 1 if last is None else last + 1
+    if sum(high - low for low, high in read) < len(body):
+        yield from _glued(layer, start, raw, lines, ends, body, stream, read)
+
+
+def _glued(layer: Layer, start: int, raw: str, lines, ends, body: str, stream, read) -> Iterator[Layer]:
+    """What base64 holds that stands behind other characters of its alphabet, such as a path or a name.
+
+    Where it begins is not known, so all four ways to cut a run are read, and whatever text
+    they hold is a layer; so are compressed data behind a mark. Parts that have been
+    read already, between the borders ``read`` of the run, are left out.
+    """
+
+    def is_read(low: int, high: int) -> bool:
+        at = bisect_right(read, low, key=itemgetter(1))  # the parts are in order and apart
+        return at < len(read) and read[at][0] < high
+
+    def place(offset: int) -> int:
+        line = min(bisect_right(ends, offset), len(ends) - 1)
+        return start + lines[line][0] + offset - (ends[line - 1] if line else 0)
+
+    def span(low: int, high: int) -> tuple[int, int]:
+        end = start + len(raw) if high >= len(body) else place(high - 1) + 1
+        return layer.back(place(low), end)[0], layer.back(place(low), end)[1]
+
+    for head in _PACKED_HEAD.finditer(body):
+        low = head.start()
+        data = stream(low % 4)[low // 4 * 3 :]
+        if is_read(low, low + 4) or _packing(data[:3]) is None:
+            continue
+        for name, members in groupby(_inflated(data), itemgetter(0)):
+            for text in _in_pieces(piece for _, piece in members):
+                yield Layer(text, (*layer.path, "base64", name), None, span(low, len(body)))
+    for skew in range(4):
+        for found in _TEXT_BYTES.finditer(stream(skew)):
+            low = skew + found.start() // 3 * 4 + found.start() % 3
+            high = min(skew + -(-found.end() * 4 // 3), len(body))
+            text = found[0].decode("utf-8", "ignore")
+            if not is_read(low, high) and len(text) >= 12 and not _PRINTABLE.search(text):
+                yield Layer(text, (*layer.path, "base64"), None, span(low, high))
 
 
 def _opened(layer: Layer, data: bytes, first: int, ends: list[int], begin: int, span) -> Generator[Layer, None, int | None]:

@@ -12,7 +12,10 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Odd 64-bit multipliers for combining hashes.
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -38,15 +41,23 @@ def ship(spark: SparkSession) -> None:
 Rows = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def arrow_map(df: DataFrame, task: Rows, schema: str) -> DataFrame:
-    """``mapInArrow`` with the package at hand on every worker."""
+def arrow_map(df: DataFrame, task: Rows, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with the package at hand on every worker, and columns of the schema's types."""
     ship(df.sparkSession)
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    types, names = to_arrow_schema(schema), df.columns
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from task(parts)
+        for part in task(part.rename_columns(names) for part in parts):
+            # ids may come as another kind of whole number than they go
+            same = part.schema.types == types.types
+            yield part if same else pa.RecordBatch.from_arrays(
+                [own.cast(kind) for own, kind in zip(part.columns, types.types)], names=part.schema.names
+            )
         give_back()
 
-    return df.mapInArrow(run, schema)
+    # Spark looks columns up by name here, and stumbles over dots and backticks.
+    return df.toDF(*[f"c{at}" for at in range(len(names))]).mapInArrow(run, schema)
 
 
 def give_back() -> None:
@@ -58,6 +69,11 @@ def give_back() -> None:
         pass
 
 
+def named(name: str) -> Column:
+    """The column of that very name, be there dots or backticks in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def batch(**columns) -> pa.RecordBatch:
     """A record batch from numpy arrays, Arrow arrays or lists."""
     arrays = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()]

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm.linear import fit_few
+from tallywright.llm.rules import one_text_each
 from tallywright.llm.tasks import arrow_map, batch, texts_of, words_of
 from tallywright.sources.scratch import stage
 
@@ -85,11 +86,11 @@ def _passages(marked: set[bytes]):
 
 
 def _dictionary(samples: list[bytes], size: int, **options: int) -> bytes:
-    """A trained dictionary; of too few samples, the samples themselves."""
+    """A trained dictionary; of samples too few to train on, all of them."""
     try:
         return zstandard.train_dictionary(size, samples, level=LEVEL, **options).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[:size]
+        return b"".join(samples)
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -184,9 +185,7 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
     # At most 2 * SAMPLE_ROWS rows.
     sample = stage(
-        documents.select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")
-        .dropDuplicates(["doc_id"])
+        one_text_each(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
         .selectExpr("text", "toxic", "int(pmod(xxhash64(doc_id, 1), 3) = 0) as part"),
         "sample",
     )

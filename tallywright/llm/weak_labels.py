@@ -16,10 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallywright.llm.features import margin, ngram_groups, style, style_group
 from tallywright.llm.rules import fitted, sampled_rows, smallest_hashes
-from tallywright.llm.tasks import arrow_map, batch, texts_of
+from tallywright.llm.tasks import arrow_map, batch, named, texts_of
 from tallywright.sources.scratch import stage
 
 #: Documents of each side that the scorer is trained on.
@@ -157,18 +158,18 @@ def classify(documents: DataFrame) -> DataFrame:
             smallest_hashes(rows.where(side).select("doc_id", "target").distinct(), SAMPLE_ROWS)
             for side in ("target > 0.5", "target <= 0.5")
         ]
-        chosen = stage(sides[0].union(sides[1]).dropDuplicates(["doc_id"]), "chosen")
+        chosen = stage(sides[0].union(sides[1]).groupBy("doc_id").agg(F.min("target").alias("target")), "chosen")
         model = fitted(*sampled_rows(documents, chosen, _groups), share)
     kept = [name for name in documents.columns if name not in ("weak_quality", "quality_score", "stays")]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(kept).schema)
-    judged = arrow_map(
-        documents.select(kept),
+    rows = documents.select(*map(named, kept))
+    found = T.StructType.fromDDL("weak_quality double, quality_score double, stays boolean")
+    return arrow_map(
+        rows,
         _judge(spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(chances), kept),
-        f"{fields}, weak_quality double, quality_score double, stays boolean",
+        T.StructType([*rows.schema.fields, *found.fields]),
     )
-    return judged
 
 
 def keep_quality(documents: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject, with their columns as they are."""
-    return classify(documents).where("stays").select(documents.columns)
+    return classify(documents).where("stays").select(*map(named, documents.columns))
