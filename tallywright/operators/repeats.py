@@ -69,9 +69,18 @@ def flag_repeats(
 
 def flag_integrity(df: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
     """The repeat profile next to the flagged rows, one row, from one pass."""
-    groups = df.groupBy(*keys).agg(
+    return repeat_totals(repeat_counts(df, keys, flag))
+
+
+def repeat_counts(df: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
+    """Rows and flagged rows per combination of the keys."""
+    return df.groupBy(*keys).agg(
         F.count("*").alias("copies"), count_where(F.col(flag)).alias("flagged")
     )
+
+
+def repeat_totals(groups: DataFrame) -> DataFrame:
+    """The repeat profile next to the flagged rows, one row, of counted groups."""
     repeated = F.col("copies") > 1
 
     def total(value: Column) -> Column:

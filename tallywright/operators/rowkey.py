@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions.numbers import count_where
@@ -79,11 +79,17 @@ def sequential_key_by(df: DataFrame, keys: Sequence[str], name: str) -> DataFram
     return number_rows(stage(tagged, "ordered"), name)
 
 
-def row_key_integrity(df: DataFrame, key: str) -> DataFrame:
+def row_key_integrity(
+    df: DataFrame,
+    key: str,
+    more: Mapping[str, tuple[Column, Callable[[str], Column]]] | None = None,
+) -> DataFrame:
     """Rows, NULL, repeated, smallest and largest key, one row.
 
-    ``sequential`` is true when the keys are exactly 1 to the number of rows.
+    ``sequential`` is true when the keys are exactly 1 to the number of rows. ``more``
+    names measures that the same scan takes: of some rows, and how these are put together.
     """
+    more = more or {}
     number = F.col(key).cast("bigint")
     # A bitmap holds 32,768 keys, so what is shuffled is a row per bitmap and task.
     measured = (
@@ -94,6 +100,7 @@ def row_key_integrity(df: DataFrame, key: str) -> DataFrame:
             F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(number))).alias("ids"),
             F.min(key).alias("minimum_id"),
             F.max(key).alias("maximum_id"),
+            *[part.alias(name) for name, (part, _) in more.items()],
         )
         .agg(
             F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"),
@@ -101,6 +108,7 @@ def row_key_integrity(df: DataFrame, key: str) -> DataFrame:
             F.coalesce(F.sum("ids"), F.lit(0)).alias("distinct_ids"),
             F.min("minimum_id").alias("minimum_id"),
             F.max("maximum_id").alias("maximum_id"),
+            *[whole(name).alias(name) for name, (_, whole) in more.items()],
         )
     )
     repeated = F.col("row_count") - F.col("distinct_ids")
@@ -116,4 +124,5 @@ def row_key_integrity(df: DataFrame, key: str) -> DataFrame:
             & F.coalesce(F.col("minimum_id") == 1, F.lit(False))
             & F.coalesce(F.col("maximum_id") == F.col("row_count"), F.lit(False))
         ).alias("sequential"),
+        *more,
     )

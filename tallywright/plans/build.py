@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import platform
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import UTC, date, datetime
 from functools import reduce
@@ -11,7 +11,7 @@ from uuid import uuid4
 
 import pyspark
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,12 +34,13 @@ from tallywright.operators.checks import (
     measure,
     pick,
 )
-from tallywright.operators.repeats import flag_integrity
+from tallywright.operators.repeats import repeat_counts, repeat_totals
 from tallywright.operators.rowkey import row_key_integrity
 from tallywright.plans.preflight import Measures, Preflight, run_preflight
+from tallywright.sources.paths import remove
 from tallywright.sources.scratch import stage
 from tallywright.sources.typed import ledger_schema, typed_columns, typed_ledger
-from tallywright.sources.versions import Version, publish, published_version
+from tallywright.sources.versions import PublishConflict, Version, publish, published_version
 
 BUILD_INFO = T.StructType(
     [
@@ -126,7 +127,8 @@ def build(
     The tables go to the folder of a new version. Only the last step makes that
     version visible, so whatever fails before leaves the published one alone.
     """
-    if published_version(spark, target) is not None and not replace:
+    before = published_version(spark, target)
+    if before is not None and not replace:
         raise BuildError(f"{target} is published already; pass replace=True to publish anew")
     preflight = run_preflight(
         spark, directory, customers=customers, ledger=ledger, observed=observed
@@ -135,6 +137,24 @@ def build(
         raise ValidationError("the raw sources break a blocking check", preflight.checks)
 
     version = Version(target, str(uuid4()))
+    try:
+        return _build(spark, version, before, preflight, (customers, ledger), columns, dataset)
+    except BaseException:
+        remove(spark, version.path)  # nothing names it
+        raise
+
+
+def _build(
+    spark: SparkSession,
+    version: Version,
+    before: Version | None,
+    preflight: Preflight,
+    contracts: tuple[SourceContract, SourceContract],
+    columns: LedgerColumns,
+    dataset: Dataset,
+) -> Build:
+    """Load, check and publish a version in place of the one that was published before."""
+    customers, ledger = contracts
     try:
         raw = preflight.tables
         typed_columns(raw[customers.key], customers).write.parquet(version.customers)
@@ -174,7 +194,17 @@ def build(
     counts = [spark.read.parquet(path).count() for path in schemas]
     if counts != [measured["customer_rows"], measured["row_count"]]:
         raise BuildError(f"the finished tables hold {counts} rows, other than were checked")
-    publish(spark, version)
+    try:
+        publish(spark, version, replaces=before.build_id if before else None)
+    except PublishConflict as error:
+        problem = check(
+            "database.publish",
+            False,
+            "",
+            "Another build was published while this one ran.",
+            replaces=before.build_id if before else None,
+        )
+        raise ValidationError(str(error), [problem]) from error
     return Build(version, *counts, checks)
 
 
@@ -217,7 +247,11 @@ def structure_checks(
 def table_measures(
     customers: DataFrame, ledger: DataFrame, customer_key: str, columns: LedgerColumns
 ) -> dict[str, object]:
-    """What the checks on a loaded pair of tables need."""
+    """What the checks on a loaded pair of tables need.
+
+    The ledger is read twice: row by row measures come with the bitmaps of its keys, and
+    everything per customer follows from the groups of repeated rows.
+    """
     ids = customers.groupBy(F.col(customer_key).alias("id")).agg(F.count("*").alias("n"))
     customer_part = ids.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("customer_rows"),
@@ -226,35 +260,38 @@ def table_measures(
         ),
         F.count("id").alias("customer_ids"),
     )
-    per_customer = stage(_ledger_by_customer(ledger, columns), "loaded_per_customer")
-    summed = ["required_null_rows", *[f"{name}_nulls" for name in columns.required]]
-    ledger_part = per_customer.agg(
-        F.sum("total_amount").cast("decimal(38,2)").alias("total_amount"),
-        F.min("minimum_date").alias("minimum_date"),
-        F.max("maximum_date").alias("maximum_date"),
-        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in summed],
+    groups = stage(
+        repeat_counts(ledger, columns.repeat_keys, columns.repeat_flag).select(
+            F.col(columns.customer).alias("customer_id"), "copies", "flagged"
+        ),
+        "loaded_groups",
     )
+    per_customer = groups.groupBy("customer_id").agg(F.sum("copies").alias("ledger_count"))
     return measure(
         customer_part,
-        row_key_integrity(ledger, columns.row_key),
-        ledger_part,
-        flag_integrity(ledger, columns.repeat_keys, columns.repeat_flag),
+        row_key_integrity(ledger, columns.row_key, _ledger_measures(columns)),
+        repeat_totals(groups),
         relationships.orphans(per_customer, customers, F.col(customer_key)),
     )
 
 
-def _ledger_by_customer(ledger: DataFrame, columns: LedgerColumns) -> DataFrame:
-    """Totals, dates and missing values per customer, for orphans and ledger alike."""
-    missing = {name: F.col(name).isNull() for name in columns.required}
-    any_missing = reduce(lambda a, b: a | b, missing.values())
-    return ledger.groupBy(F.col(columns.customer).alias("customer_id")).agg(
-        F.count("*").alias("ledger_count"),
-        F.sum(F.col(columns.amount).cast("decimal(28,2)")).alias("total_amount"),
-        F.min(columns.day).alias("minimum_date"),
-        F.max(columns.day).alias("maximum_date"),
-        count_where(any_missing).alias("required_null_rows"),
-        *[count_where(condition).alias(f"{name}_nulls") for name, condition in missing.items()],
-    )
+def _ledger_measures(columns: LedgerColumns) -> dict[str, tuple[Column, Callable[[str], Column]]]:
+    """Total, dates and missing values of a ledger: of some rows, and how parts are put together."""
+    missing = {f"{name}_nulls": F.col(name).isNull() for name in columns.required}
+    missing["required_null_rows"] = reduce(lambda a, b: a | b, missing.values())
+
+    def added(name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0))
+
+    return {
+        "total_amount": (
+            F.sum(F.col(columns.amount).cast("decimal(28,2)")),
+            lambda name: F.sum(name).cast("decimal(38,2)"),
+        ),
+        "minimum_date": (F.min(columns.day), F.min),
+        "maximum_date": (F.max(columns.day), F.max),
+        **{name: (count_where(condition), added) for name, condition in missing.items()},
+    }
 
 
 def post_load_checks(

@@ -1,15 +1,27 @@
-from datetime import date
+from concurrent.futures import ThreadPoolExecutor
+from datetime import date, timedelta
 from decimal import Decimal
 
 import pytest
 from bank import CUSTOMER_ROWS, LEDGER_LINES, contracts, write_raw
 from pyspark.sql import functions as F
 
+from tallywright.contracts import LedgerColumns
+from tallywright.operators import checks
 from tallywright.operators.checks import has_failures
+import tallywright.plans.build as build_plan
 from tallywright.plans.build import BuildError, ValidationError, build
 from tallywright.plans.health import inspect_health
+from tallywright.sources.paths import claim, folders
 from tallywright.sources.reports import write_report
-from tallywright.sources.versions import Version, publish, published_version, read_published
+from tallywright.sources.versions import (
+    PublishConflict,
+    Version,
+    publish,
+    published_version,
+    read_published,
+    remove_versions,
+)
 
 
 def codes(checks, status):
@@ -245,3 +257,91 @@ def test_a_log_that_names_nothing_is_an_error(spark, tmp_path):
     spark.range(1).selectExpr("id as other").write.parquet(f"{target}/publishes/0000000001")
     with pytest.raises(ValueError, match="names no version"):
         published_version(spark, target)
+
+
+def test_of_builders_that_publish_at_once_one_wins(spark, tmp_path):
+    target = str(tmp_path / "race")
+
+    def attempt(number):
+        try:
+            publish(spark, Version(target, f"build-{number}"), replaces=None)
+            return number
+        except PublishConflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [number for number in pool.map(attempt, range(8)) if number is not None]
+    assert len(won) == 1
+    assert published_version(spark, target).build_id == f"build-{won[0]}"
+
+
+def test_without_a_condition_all_publish_under_numbers_of_their_own(spark, tmp_path):
+    target = str(tmp_path / "all")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda n: publish(spark, Version(target, f"b{n}")), range(4)))
+    log = spark.read.option("recursiveFileLookup", True).parquet(f"{target}/publishes").collect()
+    assert {row.publish_number for row in log} == {1, 2, 3, 4}
+    assert {row.build_id for row in log} == {"b0", "b1", "b2", "b3"}
+
+
+def test_the_number_of_a_dead_builder_is_passed_over(spark, tmp_path):
+    target = str(tmp_path / "dead")
+    publish(spark, Version(target, "first"))
+    assert claim(spark, f"{target}/claims/{2:010d}")
+    publish(spark, Version(target, "third"), replaces="first", patience=0.3)
+    assert published_version(spark, target).build_id == "third"
+    with pytest.raises(PublishConflict):
+        publish(spark, Version(target, "late"), replaces="first")
+
+
+def test_a_build_overtaken_by_another_fails_with_a_check(spark, published, tmp_path, monkeypatch):
+    root, _, _ = published
+    target = str(tmp_path / "overtaken")
+    first = build(spark, str(root / "raw"), target, **contracts())
+    ordinary = build_plan.publish
+
+    def overtaken(spark, version, **arguments):
+        ordinary(spark, Version(target, "faster"))
+        ordinary(spark, version, **arguments)
+
+    monkeypatch.setattr(build_plan, "publish", overtaken)
+    with pytest.raises(ValidationError) as failed:
+        build(spark, str(root / "raw"), target, replace=True, **contracts())
+    assert [check.code for check in failed.value.checks] == ["database.publish"]
+    assert published_version(spark, target).build_id == "faster"
+    assert set(folders(spark, f"{target}/versions")) == {first.version.build_id}
+
+
+def test_old_and_unpublished_versions_go(spark, tmp_path):
+    target = str(tmp_path / "old")
+    for name in ("a", "b", "c", "orphan"):
+        spark.range(1).write.parquet(Version(target, name).customers)
+        if name != "orphan":
+            publish(spark, Version(target, name))
+    assert remove_versions(spark, target) == []  # all too young
+    assert remove_versions(spark, target, keep=2, unchanged_for=timedelta(0)) == ["a", "orphan"]
+    assert remove_versions(spark, target, unchanged_for=timedelta(0)) == ["b"]
+    assert set(folders(spark, f"{target}/versions")) == {"c"}
+    with pytest.raises(ValueError, match="stay"):
+        remove_versions(spark, target, keep=0)
+
+
+def test_the_ledger_is_measured_in_two_scans(spark, published, monkeypatch):
+    _, target, _ = published
+    customers, ledger = read_published(spark, target)
+    plans = []
+    ordinary = build_plan.stage
+
+    def staged(df, name):
+        plans.append(df)
+        return ordinary(df, name)
+
+    def measured(*parts):
+        plans.extend(parts)
+        return checks.measure(*parts)
+
+    monkeypatch.setattr(build_plan, "stage", staged)
+    monkeypatch.setattr(build_plan, "measure", measured)
+    build_plan.table_measures(customers, ledger, "customer_id", LedgerColumns())
+    scans = [plan._jdf.queryExecution().analyzed().toString() for plan in plans]
+    assert sum("transaction_row_id" in plan or "is_duplicate_looking" in plan for plan in scans) == 2
