@@ -41,4 +41,20 @@ PAGES = [
     f"<body><!--rest--><nav>Menu</nav><article><!--main--><h1><a href='/self'>Walls and water</a></h1><p><a href='/r'>Read the whole report.</a></p><p>{_THIRD}</p><p>And?</p><p><a href='/s'>Sources</a></p></article><!--rest--><aside class='promo'>Our shop has boots, coats and hats.</aside></body>",
     f"<body><!--rest--><div class='menu'>All pages</div><div class='post'><!--main--><h1>Clay</h1><p>Wet.</p><p>{_MORE}</p><p>Dry.</p></div><!--rest--><div class='footer'>The paper of the valley, printed weekly since 1901 in the old town.</div></body>",
     f"<body><!--rest--><div class='menu'>All</div><div class='entry-content'><!--main--><h2>Stone</h2><p>Hard.</p><p>{_LONG}</p></div><!--rest--><div class='legal'>Printed weekly.</div></body>",
+    # Nothing behind the article, or nothing but it.
+    f"<body><!--rest--><nav><a href='/'>Home</a></nav><article><!--main--><h1>Stone</h1><p>{_LONG}</p><p>Done.</p></article></body>",
+    f"<body><article><!--main--><h1>Ford</h1><p>{_MORE}</p><p>It rained.</p><p>{_THIRD}</p><p>Then no more.</p></article>",
+    f"<body><main><!--main--><h2>Wells</h2><p>{_THIRD}</p><ul><li>One.</li><li>Two of them.</li></ul></main>",
+    f"<body><!--rest--><p><a href='/'>Home</a></p><!--main--><p>{_LONG} {_THIRD}</p><p>{_MORE}</p>",
+    f"<!--main--><p>{_MORE}</p><p>{_LONG} {_MORE}</p>",
+    f"<body><!--rest--><div>Site</div><!--main--><div>{_MORE} {_LONG}</div><div>{_THIRD}</div>",
+    # Wrappers with telling names.
+    f"<body><div class='site has-sidebar'><!--rest--><div class='menu'>All</div><article><!--main--><h1>Reeds</h1><p>{_LONG}</p><p>Tall.</p></article></div>",
+    f"<form><!--rest--><div><a href='/'>Home</a></div><article><!--main--><div class='entry-header'><h1>Ice</h1></div><p>{_MORE}</p></article><!--rest--><footer>Since 1901.</footer></form>",
+    # Short lines without containers: between long blocks, beside links and alone.
+    f"<body><!--rest--><div>Top</div><!--main--><p>{_LONG} {_MORE}</p><p>So it went.</p><p>{_THIRD} {_LONG}</p><p>Not yet.</p><p>{_MORE} {_THIRD}</p><!--rest--><div>2004</div>",
+    f"<!--rest--><p>Site</p><p>Since 1901</p><!--main--><p>{_THIRD} {_MORE}</p><p>Slowly.</p><p>{_LONG} {_THIRD}</p><!--rest--><p>Imprint</p><p>Terms</p>",
+    f"<!--main--><p>{_MORE} {_LONG}</p><p>It held.</p><p>{_THIRD} {_LONG}</p><!--rest--><p>Sign in</p>",
+    f"<body><!--rest--><div>Menu</div><div><a href='/1'>One</a></div><!--main--><p>{_LONG}</p><p>{_THIRD} {_MORE}</p><!--rest--><div>1999</div><div><a href='/e'>End</a></div>",
+    "<body><!--rest--><div>Site</div><div>Sign in</div><div>All rights reserved</div></body>",
 ]

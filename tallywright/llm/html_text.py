@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,30 +35,48 @@ RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CONTENT = {"article", "main"}
-BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "header", "search"}
+ADDED = {"nav", "footer", "aside", "menu", "dialog", "search"}
+#: Headers and forms may be around an article, or a part of it.
+MAYBE = {"header", "form"}
+ITEMS = ("li", "td", "th", "dt", "dd")
 #: Elements that an unclosed paragraph or item ends at, by what is opened.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
-# Parts of class, id and role names.
-BAD_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner\w*|sponsor\w*|promo\w*|sidebar\w*|side|menu\w*|nav\w*|breadcrumb\w*|"
+# Words of class, id and role names. A name that is such a word tells what the
+# element is; one that only holds it may tell what stands beside, as in has-sidebar.
+_BAD = (
+    r"(?:ad|ads|adv|advert\w*|banner\w*|sponsor\w*|promo\w*|sidebar\w*|side|menu\w*|nav\w*|breadcrumb\w*|"
     r"cookie\w*|consent\w*|notice\w*|gdpr|popup\w*|modal\w*|overlay\w*|comment\w*|disqus\w*|repl(?:y|ies)|"
     r"share\w*|social\w*|related\w*|recommend\w*|newsletter\w*|subscri\w*|signup|login|footer\w*|header\w*|"
     r"masthead|widget\w*|toolbar\w*|pagination|pager|tags?|copyright|legal|disclaimer|search\w*|form\w*|"
-    r"navigation|complementary|contentinfo|alert\w*|dialog)(?=$|[\s_-])",
-    re.IGNORECASE,
+    r"navigation|complementary|contentinfo|alert\w*|dialog)"
 )
+_PARTS = r"(?:area|bar|block|body|box|container|content|inner|item|lists?|outer|section|text|thread|wrap|wrapper|\d+)"
+BAD_NAMES = re.compile(rf"(?:^|[_-]){_BAD}(?=$|[_-])", re.IGNORECASE)
+BAD_ITSELF = re.compile(rf"{_BAD}(?:[_-]{_PARTS})*", re.IGNORECASE)
+COMMENT = re.compile(rf"(?:comments?|repl(?:y|ies))(?:[_-]{_PARTS})*", re.IGNORECASE)
+#: What names the head of an article as well as that of a page.
+HEAD = re.compile(r"(?:[a-z]+[_-])*(?:header|head|title|masthead)", re.IGNORECASE)
 GOOD_NAMES = re.compile(
     r"(?:^|[\s_-])(?:article\w*|content|entry\w*|post|post-?body|story\w*|main\w*|body|text|page-?content)(?=$|[\s_-])",
     re.IGNORECASE,
 )
-
+#: An element that holds more than this share of a page's words is no addition to it,
+#: whatever its name; one that is itself named so, if the article stands within.
+MOST_OF_PAGE = 0.5
+
+#: Attributes as the standard reads them: a value without quotes may hold some.
+_TAG = re.compile(
+    r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)"
+    r"(?P<attrs>(?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>)))?+|=)*+)>"
+)
+_TAG_START = re.compile(r"</?[a-zA-Z]")
+_PLAIN_TAG = re.compile(r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>]*+)>")
 _TOKEN = re.compile(
-    r"<!--(?P<comment>.*?)(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)",
+    r"<!--(?P<comment>.*?)(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.DOTALL,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_NAMES = re.compile(r"(?:^|[\s/\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 
 FEATURES = (
@@ -66,112 +85,210 @@ FEATURES = (
 )
 
 
+@dataclass
+class Region:
+    """An element that tells something of what stands in it."""
+
+    parent: Region | None = None
+    #: "article": main content; "good": named like it; "added": by its kind no part of it; "named":
+    #: by its name; "maybe": by a part of its name, or as forms and headers are.
+    kind: str = ""
+    words: int = 0
+    holds_article: bool = False
+    in_content: bool = False
+    added: bool = False
+    maybe: bool = False
+    good: bool = False
+
+    def settle(self, total: int) -> None:
+        """Tell what holds in it, once the words of all regions are known and its parent is settled."""
+        up = self.parent or _NOTHING
+        most = self.words > MOST_OF_PAGE * total
+        resets = self.kind in ("article", "good")
+        self.in_content = up.in_content or self.kind == "article"
+        self.added = up.added or self.kind == "added" or (self.kind == "named" and not (most and self.holds_article))
+        self.maybe = (up.maybe and not resets) or (self.kind == "maybe" and not most)
+        self.good = up.good or self.kind == "good"
+
+
+_NOTHING = Region()
+
+
 @dataclass
 class Block:
     text: str
     words: int
     link_density: float
-    in_content: bool
-    in_boilerplate: bool
+    region: Region
     heading: bool
-    good_name: bool
     item: bool
     label: bool | None = None
 
 
+class _Open:
+    """An open block element, with the inline elements opened within it."""
+
+    __slots__ = ("inline", "name", "region")
+
+    def __init__(self, name: str, region: Region) -> None:
+        self.name, self.region = name, region
+        self.inline: dict[str, list[str]] = {}
+
+
 class _Flattener:
-    """Open elements of a page, and the blocks found so far."""
+    """Open elements of a page, and the blocks found so far.
+
+    Whatever is asked of the open elements is counted, so a page of any depth takes time
+    in proportion to its length.
+    """
 
     def __init__(self) -> None:
         self.blocks: list[Block] = []
-        #: name, whether it is main content, boilerplate, well named
-        self.open: list[tuple[str, bool, bool, bool]] = []
-        self.pieces: list[tuple[str, bool]] = []
+        self.regions: list[Region] = []
+        self.open = [_Open("", Region())]
+        self.counts: Counter[str] = Counter()
+        self.articles = 0
+        #: Kinds of the inline elements that are open.
+        self.inline: Counter[str] = Counter()
+        #: Text, whether it is a link, whether it is named as no part of the article.
+        self.pieces: list[tuple[str, bool, bool]] = []
         self.label: bool | None = None
 
+    @property
+    def region(self) -> Region:
+        return self.open[-1].region
+
     def flush(self) -> None:
         if not self.pieces:
             return
-        text = " ".join("".join(piece for piece, _ in self.pieces).split())
+        text = " ".join("".join(piece for piece, *_ in self.pieces).split())
         if text:
             words = len(text.split())
-            linked = sum(len(piece.split()) for piece, link in self.pieces if link)
-            names = [name for name, *_ in self.open]
-            content = max((at for at, one in enumerate(self.open) if one[1]), default=-1)
+            linked = sum(len(piece.split()) for piece, link, _ in self.pieces if link)
+            region = self.region
+            if all(named or not piece.strip() for piece, _, named in self.pieces):
+                region = Region(region, "named")
+                self.regions.append(region)
+            region.words += words
             self.blocks.append(
                 Block(
                     text,
                     words,
                     min(linked / words, 1.0),
-                    content >= 0,
-                    any(
-                        one[2] and not (one[0] == "header" and 0 <= content < at)
-                        for at, one in enumerate(self.open)
-                    ),
-                    any(name in HEADINGS for name in names),
-                    any(one[3] for one in self.open),
-                    any(name in ("li", "td", "th", "dt", "dd") for name in names),
+                    region,
+                    any(self.counts[name] for name in HEADINGS),
+                    any(self.counts[name] for name in ITEMS),
                     self.label,
                 )
             )
         self.pieces = []
 
     def start(self, name: str, attrs: str) -> None:
-        if name in BLOCKS:
+        inline = name not in BLOCKS
+        if not inline:
             self.flush()
             self.end_implied(name)
-        named = " ".join(a or b or c for a, b, c in _NAMES.findall(attrs)) if attrs else ""
-        bad = bool(named and BAD_NAMES.search(named)) and name not in ("body", "html")
-        good = bool(named and GOOD_NAMES.search(named)) and not bad
-        hidden = bool(attrs and _HIDDEN.search(attrs))
-        if name not in VOID and not attrs.rstrip().endswith("/"):
-            self.open.append(
-                (name, name in CONTENT and not bad, name in BOILERPLATE or bad or hidden, good)
-            )
+        if name in VOID or attrs.rstrip().endswith("/"):
+            return
+        kind = self._kind(name, attrs)
+        region = self.region
+        self.counts[name] += 1
+        if inline:
+            self.open[-1].inline.setdefault(name, []).append(kind)
+            self.inline[kind] += 1
+            return
+        if kind:
+            region = Region(region, kind)
+            self.regions.append(region)
+        self.open.append(_Open(name, region))
+        if kind == "article":
+            self.articles += 1
+
+    def _kind(self, name: str, attrs: str) -> str:
+        names = " ".join(a or b or c for a, b, c in _NAMES.findall(attrs)).split() if attrs else []
+        if attrs and _HIDDEN.search(attrs):
+            return "added"
+        if name in CONTENT:
+            return "named" if any(COMMENT.fullmatch(own) for own in names) else "article"
+        if name in ("body", "html"):
+            return ""
+        if name in ADDED:
+            return "added"
+        if self.articles:
+            names = [own for own in names if not HEAD.fullmatch(own)]
+        if any(BAD_ITSELF.fullmatch(own) for own in names):
+            return "named"
+        if any(BAD_NAMES.search(own) for own in names) or (name in MAYBE and not (name == "header" and self.articles)):
+            return "maybe"
+        return "good" if any(GOOD_NAMES.search(own) for own in names) else ""
 
     def end_implied(self, name: str) -> None:
-        if any(one[0] == "p" for one in self.open):
+        if self.counts["p"]:
             self.close("p")
         ends = CLOSES.get(name)
-        if ends:
-            for at in range(len(self.open) - 1, -1, -1):
-                if self.open[at][0] in ends:
-                    del self.open[at:]
+        if ends and any(self.counts[end] for end in ends):
+            for at in range(len(self.open) - 1, 0, -1):
+                if self.open[at].name in ends:
+                    self._pop_to(at)
                     return
-                if self.open[at][0] in ("ul", "ol", "dl", "table", "menu"):
+                if self.open[at].name in ("ul", "ol", "dl", "table", "menu"):
                     return
 
     def close(self, name: str) -> None:
         """Close an element and what was left open in it; an end without a start is ignored."""
-        inline = name not in BLOCKS
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == name:
-                if inline:
-                    del self.open[at]
-                else:
-                    del self.open[at:]
-                return
-            if inline and self.open[at][0] in BLOCKS:
+        if not self.counts[name]:
+            return
+        if name not in BLOCKS:
+            opened = self.open[-1].inline.get(name)
+            if opened:
+                self.inline[opened.pop()] -= 1
+                self.counts[name] -= 1
+            return
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at].name == name:
+                self._pop_to(at)
                 return
 
+    def _pop_to(self, at: int) -> None:
+        while len(self.open) > at:
+            gone = self.open.pop()
+            self.counts[gone.name] -= 1
+            for name, opened in gone.inline.items():
+                self.counts[name] -= len(opened)
+                self.inline.subtract(opened)
+            if gone.region.kind == "article" and gone.region is not self.region:
+                self.articles -= 1
+
     def text(self, value: str) -> None:
-        if value:
-            self.pieces.append((value, any(one[0] == "a" for one in self.open)))
+        if value and not self.inline["added"]:
+            self.pieces.append((value, self.counts["a"] > 0, self.inline["named"] > 0))
+
+    def end(self) -> list[Block]:
+        self.flush()
+        for region in reversed(self.regions):
+            region.parent.words += region.words
+            region.parent.holds_article |= region.holds_article or region.kind == "article"
+        total = sum(block.words for block in self.blocks)
+        for region in self.regions:
+            region.settle(total)
+        return self.blocks
 
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page, in order."""
     flat, at, skipping = _Flattener(), 0, []
     page = page.replace("\0", " ")
+    last = page.rfind(">")
     while at < len(page):
-        found = _TOKEN.match(page, at)
-        if found is None:  # an unfinished tag at the end
-            at = page.find("<", at + 1)
-            if at < 0:
+        found = None
+        if _TAG_START.match(page, at):
+            if at > last:  # a tag that is never finished
                 break
-            continue
+            found = _TAG.match(page, at) or _PLAIN_TAG.match(page, at)
+        tag = found is not None
+        found = found or _TOKEN.match(page, at)
         at = found.end()
-        if found["name"]:
+        if tag:
             name = found["name"].lower()
             if found["close"]:
                 if skipping:
@@ -209,8 +326,7 @@ def blocks_of(page: str) -> list[Block]:
         elif found["comment"] in ("main", "rest"):
             flat.flush()
             flat.label = found["comment"] == "main"
-    flat.flush()
-    return flat.blocks
+    return flat.end()
 
 
 def _end_of(page: str, name: str, at: int) -> int:
@@ -226,12 +342,13 @@ def features_of(blocks: list[Block]) -> np.ndarray:
     """One row of ``FEATURES`` per block."""
     words = [0, *(min(block.words, 200) for block in blocks), 0]
     links = [0.0, *(block.link_density for block in blocks), 0.0]
-    has_content = any(block.in_content for block in blocks)
+    has_content = any(block.region.in_content for block in blocks)
     return np.array(
         [
             (
                 words[at + 1], links[at + 1], words[at], links[at], words[at + 2], links[at + 2],
-                block.in_content, block.in_boilerplate, block.heading, has_content, block.good_name, block.item,
+                block.region.in_content, block.region.added or block.region.maybe, block.heading, has_content,
+                block.region.good, block.item,
             )
             for at, block in enumerate(blocks)
         ],
