@@ -57,7 +57,6 @@ RARE_WORDS = 2
 ENOUGH = 0.5
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def template_words(statement: str) -> list[tuple[str, bool]]:
@@ -131,80 +130,62 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] = TEMPLATES) -
     most = max(held.values(), default=1)
     weight = {word: _log_ratio(most, held.get(word, 0)) for word in vocabulary}
     total = {label: 0.0 for label in templates}
-    mandatory = {label: 0 for label in templates}
-    for label, _, word, must in postings:
+    for label, _, word, _ in postings:
         total[label] += weight[word]
-        mandatory[label] += must
-    rare = set()
+    #: Of each rare word, the templates it stands in and its place there.
+    index: dict[str, list[Column]] = {}
     for label in templates:
-        own = {word for name, _, word, must in postings if name == label and must}
-        rare.update(sorted(own, key=lambda word: (-weight[word], word))[:RARE_WORDS])
-    index = spark.createDataFrame(
-        [
-            (label, place, word, must, weight[word] / total[label], mandatory[label])
-            for label, place, word, must in postings
-        ],
-        "label string, place int, word string, must boolean, share double, musts int",
-    )
-
-    keyed = texts.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    files = keyed.where(F.lower("text").rlike("|".join(sorted(rare)))).select(
-        "row_key", _words().alias("words")
-    )
-    files = files.where(F.arrays_overlap("words", F.array(*map(F.lit, sorted(rare)))))
-    places = files.select("row_key", F.posexplode("words").alias("at", "word")).where(
-        F.col("word").isin(vocabulary)
-    )
-    # The index has a row per word of the templates.
-    starts = places.join(F.broadcast(index), "word").withColumn("start", F.expr("at - place"))
-    found = (
-        starts.where("start >= 0 or must")
-        .groupBy("row_key", "label", "start", "musts")
-        .agg(F.countDistinct(F.expr("case when must then place end")).alias("stand"), F.sum("share").alias("share"))
-        .where((F.col("stand") == F.col("musts")) & (F.col("share") >= ENOUGH))
-        .groupBy("row_key")
-        .agg(
-            F.array_sort(
-                F.collect_set(F.struct("label", F.col("start").alias("word"), F.least("share", F.lit(1.0)).alias("share")))
-            ).alias("matches")
+        own = [(place, word) for name, place, word, must in postings if name == label and must]
+        rare = sorted({word for _, word in own}, key=lambda word: (-weight[word], word))[:RARE_WORDS]
+        for place, word in own:
+            if word in rare:
+                index.setdefault(word, []).append(F.struct(F.lit(label).alias("label"), F.lit(place).alias("place")))
+    statements = {
+        label: F.array(
+            *[
+                F.struct(
+                    F.lit(place).alias("place"),
+                    F.lit(word).alias("word"),
+                    F.lit(must).alias("must"),
+                    F.lit(weight[word] / total[label]).alias("share"),
+                )
+                for name, place, word, must in postings
+                if name == label
+            ]
         )
-    )
+        for label in templates
+    }
 
-    holds = F.lower("text").contains("license")
-    words = F.when(holds, _words()).otherwise(F.array().cast("array<string>"))
-    base = keyed.select(
+    worded = texts.select("doc_id", _words().alias("words"))
+    matches = _matches(F.col("words"), index, statements)
+    based = worded.select(
         "doc_id",
-        "row_key",
-        F.regexp_count("text", F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"),
-        words.alias("words"),
-    ).select(
-        "doc_id",
-        "row_key",
-        "n_words",
+        F.size("words").cast("long").alias("n_words"),
         *[
-            F.when(F.size("words") > 0, _base_places(F.col("words"), phrase))
+            F.when(F.array_contains("words", "license"), _base_places(F.col("words"), phrase))
             .otherwise(F.array().cast("array<int>"))
             .alias(label)
             for phrase, label in BASE.items()
         ],
+        F.when(F.arrays_overlap("words", F.array(*map(F.lit, sorted(index)))), matches).alias("matches"),
     )
     labels = list(BASE.values())
     everywhere = F.concat(*labels)
     own_labels = F.filter(
         F.array(*[F.when(F.size(label) > 0, F.lit(label)) for label in sorted(labels)]), lambda x: x.isNotNull()
     )
-    based = base.select(
+    found = based.select(
         "doc_id",
-        "row_key",
         "n_words",
         F.size(everywhere).cast("long").alias("n_base"),
         F.array_min(everywhere).cast("long").alias("first_word"),
         F.array_max(everywhere).cast("long").alias("last_word"),
         own_labels.alias("own"),
+        F.when(F.size("matches") > 0, F.col("matches")).alias("matches"),
     )
     matched = F.coalesce(F.transform("matches", lambda m: m["label"]), F.array().cast("array<string>"))
     best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0))
-    return based.join(found, "row_key", "left").select(
+    return found.select(
         "doc_id",
         "n_words",
         "n_base",
@@ -217,5 +198,36 @@ def scan_licenses(documents: DataFrame, templates: dict[str, str] = TEMPLATES) -
     )
 
 
+def _matches(words: Column, index: dict[str, list[Column]], statements: dict[str, Column]) -> Column:
+    """Templates that stand in a file: where rare words propose them and the others agree."""
+    postings = F.create_map(*[x for word, own in index.items() for x in (F.lit(word), F.array(*own))])
+    templates = F.create_map(*[x for label, own in statements.items() for x in (F.lit(label), own)])
+    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda at: F.get(words, at).isin(sorted(index)))
+    proposed = F.array_distinct(
+        F.flatten(
+            F.transform(
+                places,
+                lambda at: F.transform(
+                    postings[F.get(words, at)],
+                    lambda one: F.struct(one["label"].alias("label"), (at - one["place"]).alias("word")),
+                ),
+            )
+        )
+    )
+
+    def verified(one: Column) -> Column:
+        def stands(word: Column) -> Column:
+            return F.coalesce(F.get(words, one["word"] + word["place"]) == word["word"], F.lit(False))
+
+        statement = templates[one["label"]]
+        whole = F.forall(statement, lambda word: ~word["must"] | stands(word))
+        share = F.aggregate(
+            statement, F.lit(0.0), lambda held, word: held + F.when(stands(word), word["share"]).otherwise(0.0)
+        )
+        return F.struct(one["label"].alias("label"), one["word"].alias("word"), F.when(whole, F.least(share, F.lit(1.0))).alias("share"))
+
+    return F.array_sort(F.filter(F.transform(proposed, verified), lambda one: one["share"] >= ENOUGH))
+
+
 def _log_ratio(most: int, held: int) -> float:
     return log(1 + (most + 1) / (held + 0.5))

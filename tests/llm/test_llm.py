@@ -202,6 +202,66 @@ def test_license_scan(spark):
     assert got[1] == "apache,apache-2.0" and "cc-by-nc" in got[2].split(",") and got[3] == ""
 
 
+def test_license_scan_equals_looking_everywhere(spark):
+    from tallywright.llm.licenses import ENOUGH, TEMPLATES, template_words
+
+    rng = np.random.default_rng(9)
+    statements = [" ".join(word for word, _ in template_words(own)) for own in TEMPLATES.values()]
+    rows = []
+    for at in range(120):
+        pieces = []
+        for _ in range(rng.integers(1, 4)):
+            own = str(rng.choice(statements)).split()
+            if rng.random() < 0.5:
+                own[rng.integers(len(own))] = "other"
+            pieces.append(" ".join(own[rng.integers(0, 3) :]) + rng.choice([" ", ", the file ", ". "]))
+        rows.append((at, "".join(pieces)))
+    rows += rows[:10] + [(None, rows[0][1]), (3, None), (4, ""), (5, rows[5][1] + " " + "license of the " * 3000)]
+    split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text)) for _, text in rows]
+    held = Counter(word for words in split for word in set(words))
+    known = {word for own in TEMPLATES.values() for word, _ in template_words(own)}
+    most = max(held[word] for word in known)
+    weight = {word: np.log(1 + (most + 1) / (held[word] + 0.5)) for word in known}
+    expected = Counter()
+    for (key, _), words in zip(rows, split):
+        found = []
+        for label, statement in TEMPLATES.items():
+            parts = template_words(statement)
+            total = sum(weight[word] for word, _ in parts)
+            for start in range(-len(parts), len(words)):
+                stands = [0 <= start + i < len(words) and words[start + i] == word for i, (word, _) in enumerate(parts)]
+                share = sum(weight[word] for (word, _), here in zip(parts, stands) if here) / total
+                if share >= ENOUGH and all(here or not must for (_, must), here in zip(parts, stands)):
+                    found.append((label, start, round(min(share, 1.0), 9)))
+        expected[key, tuple(sorted(found))] += 1
+    names = "doc_id long, text string, words string, matches int"
+    found = scan_licenses(spark.createDataFrame([(*row, "w", 1) for row in rows], names))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(name in plan for name in ("Exchange", "EvalPython", "InArrow", "Join"))
+    got = found.collect()
+    assert expected == Counter(
+        (r.doc_id, tuple((m.label, m.word, round(m.share, 9)) for m in r.matches or [])) for r in got
+    )
+    for row in got:
+        best = max([m.share for m in row.matches or []], default=0.0)
+        assert row.score == (1.0 if row.base_labels else best)
+        assert set(filter(None, row.labels.split(","))) == {m.label for m in row.matches or []} | set(
+            filter(None, row.base_labels.split(","))
+        )
+
+
+def test_license_score_of_repeated_rows(spark):
+    once = [(1, "x cc by 4 0")]
+    scores = [
+        {row.score for row in scan_licenses(spark.createDataFrame(once * n + [(2, "y")], "doc_id long, text string")).collect() if row.doc_id == 1}
+        for n in (1, 2, 3)
+    ]
+    assert all(len(own) == 1 for own in scores)
+    held = spark.createDataFrame(once * 2 + [(2, "licensed under nothing, and licensed under the law")], "doc_id long, text string")
+    rows = [row for row in scan_licenses(held).collect() if row.doc_id == 1]
+    assert len(rows) == 2 and rows[0] == rows[1] and 0 < rows[0].score < 1
+
+
 def test_secrets(spark):
     hidden = gzip.compress(b"x password = 'hunter2hunter2' y")
     twice = base64.b64encode(base64.b64encode(b"token=abcdefgh1234")).decode()
