@@ -396,6 +396,58 @@ PUBLISHED = f"""SELECT row_number() OVER (ORDER BY o_orderkey) AS transaction_ro
         CAST(o_totalprice AS DECIMAL(20,2)) AS amount_cop, o_orderstatus AS transaction_type
         FROM orders)"""
 
+# Lines of the raw files with their headers, blocks of 4096 of them, and the digest of all blocks.
+SOURCE_IDENTITY = f"""WITH lines AS (
+        SELECT 'customers' AS source_key, 0 AS line, 'customer_id,name,nation,balance,segment' AS value
+        UNION ALL SELECT 'transactions', 0, 'customer_id,date,amount,type'
+        UNION ALL SELECT 'customers', row_number() OVER (ORDER BY customer_id),
+            customer_id || ',' || name || ',' || nation || ',' || balance || ',' || segment
+        FROM ({PLAIN_CUSTOMERS})
+        UNION ALL SELECT 'transactions', transaction_row_id,
+            customer_id || ',' || transaction_date || ',' || amount_cop || ',' || transaction_type
+        FROM ({PUBLISHED})
+    ), marks AS (
+        SELECT *, CAST('0x' || substr(md5({row_text([("value", True)])}), 1, 15) AS BIGINT) AS h FROM lines
+    ), blocks AS (
+        SELECT source_key, line // 4096 AS place, md5(string_agg(CAST(h AS VARCHAR), ',' ORDER BY line)) AS h,
+            sum(strlen(value) + 1) AS bytes, count(*) AS n
+        FROM marks GROUP BY source_key, line // 4096
+    )
+    SELECT source_key, CAST(sum(bytes) AS BIGINT) AS byte_size, CAST(sum(n) AS BIGINT) AS line_count,
+        CASE WHEN count(*) = 1 THEN any_value(h) ELSE md5(string_agg(h, ',' ORDER BY place)) END
+            AS ordered_digest
+    FROM blocks GROUP BY source_key"""
+
+STORED_CHECKS = f"""WITH t AS ({PUBLISHED}), groups AS (
+        SELECT count(*) AS n FROM t GROUP BY customer_id, transaction_date, amount_cop, transaction_type
+    ), m AS (
+        SELECT (SELECT count(*) FROM customer) AS customers, count(*) AS rows, sum(amount_cop) AS total,
+            min(transaction_date) AS first, max(transaction_date) AS last,
+            count(*) FILTER (WHERE is_duplicate_looking) AS flagged,
+            (SELECT count(*) FILTER (WHERE n > 1) FROM groups) AS repeated,
+            (SELECT coalesce(sum(n - 1), 0) FROM groups) AS excess
+        FROM t
+    )
+    SELECT check_code, 'pass' AS status, metrics FROM m, LATERAL (VALUES
+        ('database.schemas', '{{"missing":[]}}'),
+        ('database.table_definitions',
+            '{{"customers_columns":5,"different":[],"transactions_columns":6}}'),
+        ('database.row_counts', '{{"expected_customers":' || customers || ',"expected_transactions":' || rows
+            || ',"loaded_customers":' || customers || ',"loaded_transactions":' || rows || '}}'),
+        ('database.customer_primary_key', '{{"duplicate_id_rows":0,"null_ids":0}}'),
+        ('database.transaction_surrogate_key', '{{"duplicate_id_rows":0,"maximum_id":' || rows
+            || ',"minimum_id":1,"null_ids":0}}'),
+        ('database.transaction_required_values', '{{"amount_cop_nulls":0,"customer_id_nulls":0,'
+            || '"is_duplicate_looking_nulls":0,"transaction_date_nulls":0,"transaction_type_nulls":0}}'),
+        ('database.transaction_customers', '{{"orphan_transaction_rows":0}}'),
+        ('database.transaction_ledger', '{{"expected_maximum_date":"' || last || '","expected_minimum_date":"' || first
+            || '","expected_total_amount_cop":"' || total || '","loaded_maximum_date":"' || last
+            || '","loaded_minimum_date":"' || first || '","loaded_total_amount_cop":"' || total || '"}}'),
+        ('database.duplicate_looking_flags', '{{"duplicate_groups":' || repeated || ',"excess_duplicate_rows":'
+            || excess || ',"expected_duplicate_groups":' || repeated || ',"expected_excess_duplicate_rows":'
+            || excess || ',"flagged_rows":' || flagged || ',"rows_in_duplicate_groups":' || flagged || '}}')
+    ) AS found(check_code, metrics)"""
+
 SENSITIVITY = f"""WITH a AS ({SHIPPED_CANONICAL}), b AS ({SHIPPED_COLLAPSED}), m AS (
         SELECT a.transactions_full_period - b.transactions_full_period AS f,
             a.transactions_recent_90d - b.transactions_recent_90d AS r,
@@ -766,6 +818,14 @@ SQL: dict[str, str] = {
             count(*) AS data_rows, count(*) > 0 AS present FROM customer
         UNION ALL SELECT 'transactions', 'transactions_data.csv', count(*), count(*) > 0
         FROM orders""",
+    "source_identity": SOURCE_IDENTITY,
+    "build_audit": """SELECT 'customers' AS source_key, 'customer_data.csv' AS source_filename,
+            count(*) AS source_row_count, 'customers' AS loaded_table, count(*) AS loaded_row_count,
+            CAST(NULL AS DATE) AS minimum_date, CAST(NULL AS DATE) AS maximum_date FROM customer
+        UNION ALL SELECT 'transactions', 'transactions_data.csv', count(*), 'transactions', count(*),
+            CAST(min(o_orderdate) AS DATE), CAST(max(o_orderdate) AS DATE) FROM orders""",
+    "stored_checks": STORED_CHECKS,
+    "persisted_failures": f"SELECT * FROM ({CHECKS}) WHERE status <> 'pass'",
     "header_contract": """SELECT 'transactions' AS source_key, CAST(5 AS BIGINT)
             AS expected_columns, CAST(4 AS BIGINT) AS observed_columns,
             'note' AS missing_columns, '' AS unexpected_columns, false AS order_matches""",

@@ -26,10 +26,10 @@ from tallywright.plans.analysis import run_analysis
 from tallywright.plans.build import build
 from tallywright.plans.health import inspect_health
 from tallywright.plans.preflight import check_contents
-from tallywright.sources import raw_text
+from tallywright.sources import identity, raw_text
 from tallywright.sources.reports import json_ready, two_decimals
 from tallywright.sources.scratch import scratch_path, stage
-from tallywright.sources.versions import read_published
+from tallywright.sources.versions import published_version, read_published
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -504,17 +504,22 @@ def report_values(spark, sf_dir):
     return json_ready(ledger_profile(spark, sf_dir))
 
 
-def write_raw_files(spark: SparkSession, sf_dir: str) -> str:
-    """Orders and their customers as CSV in a new folder."""
+def write_raw_files(spark: SparkSession, sf_dir: str, files: int | None = None) -> str:
+    """Orders and their customers as CSV in a new folder, each in at most so many files."""
+
+    def written(df: DataFrame, name: str) -> None:
+        (df.coalesce(files) if files else df).write.csv(f"{directory}/{name}", header=True)
+
     directory = scratch_path(spark, "raw")
     ordered = L.table(spark, sf_dir, "orders").orderBy("o_orderkey")
     ledger = L.as_ledger(ordered, "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus")
-    ledger.select(
+    ledger = ledger.select(
         "customer_id",
         F.col("transaction_date").alias("date"),
         F.col("amount_cop").alias("amount"),
         F.col("transaction_type").alias("type"),
-    ).write.csv(f"{directory}/{L.RAW_LEDGER.filename}", header=True)
+    )
+    written(ledger, L.RAW_LEDGER.filename)
     customers = L.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("customer_id"),
         F.col("c_name").alias("name"),
@@ -522,7 +527,7 @@ def write_raw_files(spark: SparkSession, sf_dir: str) -> str:
         F.col("c_acctbal").alias("balance"),
         F.col("c_mktsegment").alias("segment"),
     )
-    customers.write.csv(f"{directory}/{PLAIN_CUSTOMERS.filename}", header=True)
+    written(customers, PLAIN_CUSTOMERS.filename)
     return directory
 
 
@@ -553,6 +558,13 @@ def manifest(spark, sf_dir):
     )
 
 
+@query
+def source_identity(spark, sf_dir):
+    # One file a source, so that there is one header.
+    directory = write_raw_files(spark, sf_dir, files=1)
+    return identity.source_identity(spark, directory, CONTRACTS)
+
+
 @query
 def header_contract(spark, sf_dir):
     # Held against a contract with one more column, in another order.
@@ -601,6 +613,35 @@ def published_customers(spark, sf_dir):
     return read_published(spark, published(spark, sf_dir))[0]
 
 
+@query
+def build_audit(spark, sf_dir):
+    # Without ids, times, versions and what depends on how files were written.
+    version = published_version(spark, published(spark, sf_dir))
+    return spark.read.parquet(version.build_info).select(
+        "source_key",
+        "source_filename",
+        "source_row_count",
+        "loaded_table",
+        "loaded_row_count",
+        "minimum_date",
+        "maximum_date",
+    )
+
+
+@query
+def stored_checks(spark, sf_dir):
+    # The checks of the load as they were stored, metrics included.
+    version = published_version(spark, published(spark, sf_dir))
+    stored = spark.read.parquet(version.validation_results)
+    return stored.where("check_code like 'database.%'").select("check_code", "status", "metrics")
+
+
+@query
+def persisted_failures(spark, sf_dir):
+    # Faults of the raw tables as a build would have stored them, without those that passed.
+    return check_report(spark, sf_dir).where(F.col("status") != "pass")
+
+
 @query
 def published_health(spark, sf_dir):
     health = inspect_health(
