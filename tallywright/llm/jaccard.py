@@ -46,7 +46,11 @@ CHUNK = 1 << 14
 LARGEST_SMALL = 16
 #: A shingle expected in more sets than this above the average has its list split.
 HOT_LIST = 20_000
-HOT_SPLIT = 64
+#: Such a list is split into the square of this many parts.
+HOT_SIDE = 8
+HOT_SPLIT = HOT_SIDE * HOT_SIDE
+#: A set that more than one in this many rows has is joined back by broadcast.
+HEAVY_MARKS = 1000
 #: Members of a pivot that one task compares.
 PIVOT_MEMBERS = 512
 #: Postings that a task gathers before it packs them by bucket.
@@ -335,7 +339,7 @@ def _texts_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> tuple[D
     keeps the others from being shuffled; the join that follows is exact.
     """
     marks = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
-    needed = stage(marks.join(classes, "mark"), "needed")
+    needed = stage(marks.join(classes.select("mark", "doc_id"), "mark"), "needed")
     bit = F.expr(f"pmod(xxhash64(doc_id), {NEEDED_BITS}L)").alias("bit")
     # Buckets and positions count from 1.
     chunks = (
@@ -388,21 +392,27 @@ def _first() -> F.Column:
 
 
 def _apart(lists: DataFrame, groups: DataFrame) -> DataFrame:
-    """Lists that hold members of different groups, with the group of each and the pivot's."""
+    """Lists that hold members of different groups, with the group of each and the pivot's.
+
+    A split list stays split: what is known of it goes to each of its parts.
+    """
     labelled = lists.join(groups, lists.mark == groups.node, "left").selectExpr(
-        "gram", "mark", "place", "coalesce(component, mark) as label"
+        "gram", "salt", "mark", "place", "coalesce(component, mark) as label"
     )
+    parts = labelled.groupBy("gram", "salt").agg(
+        F.min("label").alias("low"),
+        F.max("label").alias("high"),
+        F.expr("min(struct(place & 4294967295 as rarer, mark, label))").alias("pivot"),
+    )
+    parts = stage(parts, "parts")
     several = (
-        labelled.groupBy("gram")
-        .agg(
-            F.min("label").alias("low"),
-            F.max("label").alias("high"),
-            F.expr("min_by(label, struct(place & 4294967295, mark))").alias("usual"),
-        )
+        parts.groupBy("gram")
+        .agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("pivot").alias("pivot"))
         .where("low <> high")
-        .select("gram", "usual")
+        .selectExpr("gram", "pivot.label as usual")
     )
-    return stage(labelled.join(several, "gram"), "apart")
+    known = parts.select("gram", "salt").join(several, "gram")
+    return stage(labelled.join(known, ["gram", "salt"]), "apart")
 
 
 def _across(apart: DataFrame) -> DataFrame:
@@ -411,25 +421,32 @@ def _across(apart: DataFrame) -> DataFrame:
     The larger set seeks the smaller one by size: what its place leaves room for. The smaller
     set can only be found at a place among its first seventh. Members of the pivot's group
     aren't held against each other.
+
+    The parts of a split list are a square of cells: a seeker goes to the cells of its row, a
+    target to those of its column, so any two meet in one cell, and no task holds the list.
     """
     rows = apart.selectExpr(
         "*", "shiftright(place, 32) as size", "place & 4294967295 as rarer", "label = usual as common"
     )
+    cells = f"if(salt > 0, sequence(0, {HOT_SIDE - 1}), array(0))"
+    row_of, column_of = (f"if(salt > 0, cast((salt - 1) {sign} {HOT_SIDE} as int), 0)" for sign in ("div", "%"))
     step = "cast(floor(log2({}) * 8) as int)"
     reach = "least(size, (4 * size - 7 * rarer) div 3)"
     least = "(3 * size + 3) div 4"
     seekers = rows.where(f"{reach} >= {least}").selectExpr(
         "gram", "mark as a", "place as a_place", "label as a_label", "common",
+        f"{row_of} as cell_row", f"{cells} as cell_columns",
         f"explode(sequence({step.format(least)}, {step.format(reach)})) as step",
-    )
+    ).withColumn("cell_column", F.explode("cell_columns")).drop("cell_columns")
     targets = rows.where("7 * rarer <= size").selectExpr(
-        "gram", "mark as b", "place as b_place", "label as b_label", "common as b_common", f"{step.format('size')} as step"
-    )
+        "gram", "mark as b", "place as b_place", "label as b_label", "common as b_common",
+        f"{step.format('size')} as step", f"{column_of} as cell_column", f"explode({cells}) as cell_row",
+    )
     both = None
     for left, right in (("not common", "true"), ("common", "not b_common")):
         joined = (
             seekers.where(left).drop("common")
-            .join(targets.where(right).drop("b_common"), ["gram", "step"])
+            .join(targets.where(right).drop("b_common"), ["gram", "step", "cell_row", "cell_column"])
             .where("a_label <> b_label")
             .where(_may_link("a_place", "b_place"))
             .selectExpr("least(a, b) as a", "greatest(a, b) as b")
@@ -463,7 +480,7 @@ def similar_groups(documents: DataFrame, shingle_words: int = WORDS) -> DataFram
     )
     rows = measured.where("chunk is null").select("doc_id", "n_shingles", "mark")
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("mark").agg(
-        F.min("doc_id").alias("doc_id")
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")
     )
     # One row per chunk of counters: SKETCH numbers at any size.
     held = measured.where("chunk is not null").select("chunk", "held").repartition("chunk")
@@ -512,18 +529,39 @@ def similar_groups(documents: DataFrame, shingle_words: int = WORDS) -> DataFram
         .agg(F.min("doc_id").alias("group_id"))
     )
     grouped = groups.join(named, "component").selectExpr("node as mark", "component", "group_id")
-    alone = classes.selectExpr("mark", "doc_id as own_id")
-    return (
-        rows.join(alone, "mark", "left")
-        .join(grouped, "mark", "left")
-        .selectExpr(
-            "doc_id",
-            "n_shingles",
+    known = stage(
+        classes.join(grouped, "mark", "left").selectExpr(
             "mark",
-            "case when n_shingles = 0 then doc_id else coalesce(group_id, own_id, doc_id) end as component_id",
+            "copies",
+            "coalesce(group_id, doc_id) as component_id",
             "coalesce(component, mark) as group_mark",
-        )
+        ),
+        "known",
     )
+    return _named(rows, known)
+
+
+def _named(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Every row with its component. Rows of a set with many copies aren't gathered in one task.
+
+    Such sets are fewer than ``HEAVY_MARKS``, as each has its share of all rows.
+    """
+    total = known.agg(F.sum("copies")).first()[0] or 0
+    heavy = known.where(F.col("copies") * HEAVY_MARKS > total).drop("copies")
+    light = known.where(F.col("copies") * HEAVY_MARKS <= total).drop("copies")
+    filled = rows.where("n_shingles > 0")
+    bare = rows.where("n_shingles = 0").selectExpr("*", "doc_id as component_id", "mark as group_mark")
+    often = filled.join(F.broadcast(heavy), "mark")
+    seldom = filled.join(F.broadcast(heavy.select("mark")), "mark", "left_anti").join(light, "mark", "left")
+    columns = [
+        "doc_id",
+        "n_shingles",
+        "mark",
+        "coalesce(component_id, doc_id) as component_id",
+        "coalesce(group_mark, mark) as group_mark",
+    ]
+    parts = [part.selectExpr(*columns) for part in (often, seldom, bare)]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
 def keep_one_of_each_group(documents: DataFrame, shingle_words: int = WORDS) -> DataFrame:

@@ -130,10 +130,15 @@ def test_jaccard_join_of_a_large_group_of_near_copies(spark, monkeypatch):
             own[(i * 37 + j * 41) % 120] = f"new{i}x{j}"
         rows.append((i, " ".join(own)))
     rows += [(1000 + i, f"{'a b c d e f g h i j'[: 2 * i + 1]}") for i in range(10)]
+    assert_groups_are_right(spark, rows)
+
+
+def assert_groups_are_right(spark, rows):
+    """The components of ``rows`` against those of all pairs."""
     sets = {}
     for i, text in rows:
         own = text.split()
-        sets[i] = {tuple(own[j : j + 5]) for j in range(len(own) - 4)} if len(own) >= 5 else {tuple(own)}
+        sets[i] = {tuple(own[j : j + 5]) for j in range(len(own) - 4)} if len(own) >= 5 else {tuple(own)} if own else set()
     root = {i: i for i in sets}
 
     def find(i):
@@ -142,11 +147,41 @@ def test_jaccard_join_of_a_large_group_of_near_copies(spark, monkeypatch):
         return i
 
     for a, b in itertools.combinations(sets, 2):
-        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+        common = len(sets[a] & sets[b])
+        if common and 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common):
             low, high = sorted((find(a), find(b)))
             root[high] = low
     found = similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
-    assert {row.doc_id: row.component_id for row in found} == {i: find(i) for i in sets}
+    assert len(found) == len(rows)
+    assert {row.doc_id: (row.n_shingles, row.component_id) for row in found} == {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("limit", [2, 10**9])
+def test_jaccard_join_of_split_lists_that_several_groups_share(spark, monkeypatch, limit):
+    from tallywright.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "HOT_LIST", limit)
+    monkeypatch.setattr(jaccard, "HEAVY_MARKS", 20)
+    random = np.random.default_rng(5)
+    passages = [[f"p{n}w{i}" for i in range(60)] for n in range(7)]
+    rows = []
+    for i in range(240):
+        own = passages[i % 6] + passages[i % 6 + 1]  # neighbouring families share half, which is too little
+        for at in random.choice(120, i // 6 % 5, replace=False):
+            own = [*own[:at], f"new{i}x{at}", *own[at + 1 :]]
+        rows.append((i, " ".join(own[: 120 - i % 11])))
+    across = []
+    whole = jaccard._across
+
+    def seen(apart):
+        across.append((apart.where("salt > 0").count(), whole(apart).count()))
+        return whole(apart)
+
+    monkeypatch.setattr(jaccard, "_across", seen)
+    # a third of all rows are copies of one text, and some have no words
+    rows += [(1000 + i, rows[7][1]) for i in range(120)] + [(2000 + i, " " * i) for i in range(20)]
+    assert_groups_are_right(spark, rows)
+    assert (across[0][0] > 0) == (limit == 2) and across[0][1] > 0
 
 
 def test_one_stays_of_each_group_where_ids_repeat(spark):
