@@ -12,7 +12,7 @@ from tallywright.llm.packing import pack
 from tallywright.llm.queries import labelled_domains, table
 from tallywright.llm.secret_scan import redact_secrets
 from tallywright.llm.weak_labels import keep_quality
-from tallywright.sources.scratch import stage
+from tallywright.sources.scratch import in_turn
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), name)
-    return docs
+    """All stages over the documents, each written to the shared folder and read again.
+
+    A stage's tables are deleted once the next stage's documents are written.
+    """
+
+    def step(function):
+        return lambda docs: function(spark, docs, sf_dir)
+
+    return in_turn(table(spark, sf_dir, "documents"), [(name, step(function)) for name, function in STAGES])

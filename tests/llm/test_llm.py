@@ -28,6 +28,7 @@ from tallywright.llm.secret_scan import find_secrets, redact, scan
 from tallywright.llm.toxicity import toxicity
 from tallywright.llm.vectors import near_vectors
 from tallywright.llm.weak_labels import classify, expectation_maximisation, keep_quality
+from tallywright.sources.scratch import scratch_root, stage
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double, mark string"
@@ -563,7 +564,7 @@ def test_pipeline_stages(spark):
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert len(names) == len(set(names)) == 5
     for name, function in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.stage(function(spark, docs, SF), name)
+        docs = stage(function(spark, docs, SF), name)
         assert docs.columns == columns
         rows = docs.collect()
         assert {r.doc_id for r in rows} <= set(before)
@@ -624,3 +625,12 @@ def test_secrets_across_the_pieces_of_a_compressed_layer(monkeypatch):
     inner = base64.b64encode(b"some words " * 1000 + b"password=hunter22").decode()
     outer = base64.b64encode(gzip.compress(f"{'é word, ' * 90}{inner} {'and more ' * 300}".encode())).decode()
     assert [kind for *_, kind in scan(outer).spans()] == ["assign@base64+gzip+base64"]
+
+
+def test_pipeline_leaves_only_its_last_table(spark):
+    folder = Path(scratch_root(spark)) / "tallywright" / spark.sparkContext.applicationId
+    before = set(folder.glob("*/*"))
+    pieces = corpus_pipeline.run(spark, SF)
+    assert [path.name for path in set(folder.glob("*/*")) - before] == ["packing"]
+    found = pieces.groupBy("sequence_id").agg({"length": "sum"}).collect()
+    assert found and all(0 < length <= 4096 for _, length in found)
