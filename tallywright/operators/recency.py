@@ -16,6 +16,10 @@ from tallywright.functions.numbers import count_where
 # Active months are kept as bits of up to so many numbers per customer.
 MONTHS_PER_WORD = 64
 MONTH_WORDS = 4
+# Rows that one task groups by their repeat keys; its memory grows with them and with nothing else.
+TASK_ROWS = 1_000_000
+# So many eligible customers are broadcast to the ledger.
+FEW_CUSTOMERS = 250_000
 
 CANONICAL = "canonical"
 COLLAPSED = "exact_groups_collapsed"
@@ -50,8 +54,7 @@ def working_relation(
 
     Ledger rows are reduced to customers before anything is joined, with most of
     the work done where the rows are: a customer with very many rows is one row
-    per task from there on. Where the eligible customers are few, the optimizer
-    moves the semi join below the aggregation.
+    per task from there on.
     """
     rows = ledger.select(
         F.col(columns.customer).alias("customer_id"), F.to_date(columns.day).alias("day")
@@ -61,7 +64,8 @@ def working_relation(
         "recent_rows": count_where(_in_recent(windows)),
         "prior_rows": count_where(_in_prior(windows)),
     }
-    activity = _by_customer(rows, counts, _months_observed(rows))
+    first, last, _ = _observed(rows)
+    activity = _by_customer(rows, counts, (first, last))
     return only_eligible(activity, customers, eligible, customer_key).select(
         *_measures(windows, "full_rows", "recent_rows", "prior_rows")
     )
@@ -77,19 +81,24 @@ def collapsed_working_relation(
     customer_key: str = "customer_id",
 ) -> DataFrame:
     """The working relation with exact repeats counted once."""
-    return working_relation(
-        distinct_events(ledger, columns),
-        customers,
-        windows,
-        columns=columns,
-        eligible=eligible,
-        customer_key=customer_key,
+    day = F.to_date(columns.day).alias("day")
+    first, last, size = _observed(ledger.select(day))
+    groups = _in_ranges(ledger.select(*columns.repeat_keys), size).distinct()
+    counts = {
+        "full_groups": F.count("*"),
+        "recent_groups": count_where(_in_recent(windows)),
+        "prior_groups": count_where(_in_prior(windows)),
+    }
+    rows = groups.select(F.col(columns.customer).alias("customer_id"), day)
+    activity = _by_customer(rows, counts, (first, last))
+    return only_eligible(activity, customers, eligible, customer_key).select(
+        *_measures(windows, "full_groups", "recent_groups", "prior_groups")
     )
 
 
 def distinct_events(ledger: DataFrame, columns: LedgerColumns = LedgerColumns()) -> DataFrame:
     """One row per distinct combination of the repeat keys."""
-    return ledger.select(*columns.repeat_keys).distinct()
+    return _in_ranges(ledger.select(*columns.repeat_keys), ledger.count()).distinct()
 
 
 def working_relation_pair(
@@ -117,8 +126,10 @@ def working_relation_pair(
         raise ValueError("rows that repeat must agree in their amount for it to count once")
     day = F.to_date(columns.day).alias("day")
     amounts = [F.col(columns.amount).alias("amount")] if values else []
+    first, last, size = _observed(ledger.select(day))
     groups = (
-        ledger.groupBy(*columns.repeat_keys)
+        _in_ranges(ledger.select(*columns.repeat_keys), size)
+        .groupBy(*columns.repeat_keys)
         .agg(F.count("*").alias("copies"))
         .select(F.col(columns.customer).alias("customer_id"), day, "copies", *amounts)
     )
@@ -132,7 +143,7 @@ def working_relation_pair(
         "prior_groups": count_where(prior),
     }
     sums = _value_sums(ledger, columns, windows) if values else {}
-    activity = _by_customer(groups, counts | sums, _months_observed(ledger.select(day)))
+    activity = _by_customer(groups, counts | sums, (first, last))
     return only_eligible(activity, customers, eligible, customer_key).select(
         "customer_id",
         F.struct(
@@ -249,11 +260,26 @@ def _in_prior(windows: RecencyWindows) -> Column:
     return F.col("day").between(F.lit(windows.prior_start), F.lit(windows.prior_end))
 
 
-def _months_observed(rows: DataFrame) -> tuple[int, int]:
-    """Numbers of the first and last month of a ledger: a scan of one column, no shuffle."""
-    ends = rows.agg(F.min("day").alias("first"), F.max("day").alias("last"))
-    found = ends.select(*[F.year(name) * 12 + F.month(name) for name in ("first", "last")]).first()
-    return (found[0] or 0, found[1] or 0)
+def _observed(rows: DataFrame) -> tuple[int, int, int]:
+    """Numbers of a ledger's first and last month, and of its rows: a scan of one column, no shuffle."""
+    ends = rows.agg(F.min("day").alias("first"), F.max("day").alias("last"), F.count("*").alias("size"))
+    months = [F.year(name) * 12 + F.month(name) for name in ("first", "last")]
+    found = ends.select(*months, "size").first()
+    return (found[0] or 0, found[1] or 0, found[2])
+
+
+def _in_ranges(rows: DataFrame, size: int) -> DataFrame:
+    """Rows dealt to ranges of all their columns, so many that each is a task of bounded memory.
+
+    Equal rows share a range, so grouping by all columns shuffles nothing more. The ranges
+    are balanced by their rows, whatever the number of shuffle partitions: a customer of very
+    many rows is cut into several by the other columns, and all others lie in one range or
+    two, where their groups become one row. A short ledger is left as it is.
+    """
+    if size <= TASK_ROWS:
+        return rows
+    ranges = max(-(-size // TASK_ROWS), rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartitionByRange(ranges, *rows.columns)
 
 
 def _value_sums(
@@ -335,9 +361,19 @@ def _either(conditions: list[Column]) -> Column:
 def only_eligible(
     activity: DataFrame, customers: DataFrame, eligible: Column, customer_key: str
 ) -> DataFrame:
+    """Rows of eligible customers; ``activity`` has one per customer.
+
+    The number of eligible customers is measured. Few are broadcast, and the optimizer
+    moves that semi join below the aggregation. Otherwise the customers are joined once
+    aggregated: an inner join stays there, where a semi join may be moved down to the
+    ledger by an estimate and then shuffle and sort it by customer.
+    """
+    found = customers.filter(eligible).select(F.col(customer_key).alias("customer_id"))
     # A customer listed many times is one row before the join.
-    keys = customers.filter(eligible).select(F.col(customer_key).alias("customer_id")).distinct()
-    return activity.join(keys, "customer_id", "left_semi")
+    keys = found.distinct()
+    if found.count() <= FEW_CUSTOMERS:
+        return activity.join(F.broadcast(keys), "customer_id", "left_semi")
+    return activity.join(keys, "customer_id")
 
 
 def _measures(windows: RecencyWindows, full: str, recent: str, prior: str) -> list[Column]:

@@ -1,3 +1,4 @@
+from collections import Counter
 from datetime import date
 from decimal import Decimal
 
@@ -229,6 +230,72 @@ def test_active_months_over_many_years(spark, monkeypatch, words):
         assert {row["customer_id"]: row["active_months"] for row in found} == expected
 
 
+def busy_ledger(spark):
+    """A customer with a third of the rows, copies, and rows without customer, day or type."""
+    days = "date_add(date'2023-12-29', -cast(id * 7 % 400 as int))"
+    return spark.range(6000).selectExpr(
+        "case when id % 3 = 0 then 7 when id % 100 <> 1 then id % 211 end as customer_id",
+        f"case when id % 50 <> 2 then {days} end as transaction_date",
+        "cast(id % 4 as decimal(20,2)) as amount_cop",
+        "case when id % 10 <> 4 then concat('t', id % 3) end as transaction_type",
+    )
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_ranges_do_not_change_the_relations(spark, monkeypatch, few):
+    ledger = busy_ledger(spark).unionAll(busy_ledger(spark).limit(500))
+    customers = spark.sql("select id as customer_id from range(0, 211) union all select id from range(5)")
+    arguments = {"windows": BANK_WINDOWS, "eligible": F.col("customer_id") % 4 != 0}
+
+    def found():
+        pair = recency.working_relation_pair(ledger, customers, values=True, **arguments)
+        frames = [
+            recency.working_relation(ledger, customers, **arguments),
+            recency.collapsed_working_relation(ledger, customers, **arguments),
+            recency.distinct_events(ledger),
+            *recency.split_pair(pair),
+        ]
+        return [Counter(frame.collect()) for frame in frames]
+
+    whole = found()
+    monkeypatch.setattr(recency, "TASK_ROWS", 300)
+    monkeypatch.setattr(recency, "FEW_CUSTOMERS", few)
+    dealt = found()
+    assert dealt == whole
+    rows = [tuple(row) for row in ledger.collect()]
+    eligible = {c for c in range(211) if c % 4}
+    full = Counter(row[0] for row in rows if row[0] in eligible)
+    groups = Counter(row[0] for row in set(rows) if row[0] in eligible)
+    assert full[7] > len(rows) / 3
+    for relation, expected in zip([*dealt[:2], *dealt[3:]], (full, groups, full, groups)):
+        assert {r["customer_id"]: r["transactions_full_period"] for r in relation} == expected
+
+
+def test_rows_grouped_by_a_task_are_bounded(spark, monkeypatch):
+    """Whatever the shuffle partitions: equal rows meet, and a busy customer is cut into ranges."""
+    monkeypatch.setattr(recency, "TASK_ROWS", 300)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        groups = recency.distinct_events(busy_ledger(spark))
+        sizes = groups.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len(sizes) >= 15
+    assert max(row["count"] for row in sizes) <= 3 * 300
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_many_customers_are_joined_once_aggregated(spark, monkeypatch, few):
+    """Few are broadcast below the aggregation; no estimate moves the join of many there."""
+    monkeypatch.setattr(recency, "FEW_CUSTOMERS", few)
+    customers = spark.range(211).withColumnRenamed("id", "customer_id")
+    arguments = {"windows": BANK_WINDOWS, "eligible": F.lit(True)}
+    for relation in (recency.working_relation, recency.working_relation_pair, recency.collapsed_working_relation):
+        found = relation(busy_ledger(spark), customers, **arguments)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert (plan.index("Join") < plan.index("Aggregate")) == (few == 0)
+
+
 def test_empty_ledger(spark):
     working = recency.working_relation(
         bank_ledger(spark).limit(0),
