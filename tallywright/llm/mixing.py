@@ -15,8 +15,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallywright.llm.features import SIZE, ngram_groups, sparse_row
 from tallywright.llm.rules import one_text_each, smallest_hashes
@@ -101,14 +102,14 @@ def fit_domains(documents: DataFrame, labelled: DataFrame, names: list[str]) ->
     return Domains(names, np.log(table / table.sum(axis=1, keepdims=True)), prior - prior.max())
 
 
-def _memberships(domains):
+def _memberships(domains, kept: list[str]):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = domains.value
         for part in parts:
             texts = texts_of(part)
             found = [model.posterior(text).tolist() for text in texts]
             yield batch(
-                doc_id=part.column("doc_id"),
+                **{name: part.column(name) for name in kept},
                 tokens=np.array([len(text.split()) for text in texts], np.int64),
                 posterior=pa.array(found, pa.list_(pa.float64())),
             )
@@ -223,11 +224,27 @@ def memberships(documents: DataFrame, domains: Domains) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(domains)
     return arrow_map(
         documents.select("doc_id", "text"),
-        _memberships(shared),
+        _memberships(shared, ["doc_id"]),
         "doc_id long, tokens long, posterior array<double>",
     )
 
 
+def _with_rows(documents: DataFrame, domains: Domains) -> tuple[DataFrame, list[Column]]:
+    """``text, others, tokens, posterior`` of every row, and the documents' columns in these.
+
+    ``others`` is a struct of all columns but the text, so that none can clash with one
+    needed on the way.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(domains)
+    places = {name: f"c{at}" for at, name in enumerate(documents.drop("text").columns)}
+    others = F.struct(*[named(name).alias(place) for name, place in places.items()])
+    rows = documents.select("text", others.alias("others"))
+    schema = StructType([*rows.schema, *StructType.fromDDL("tokens long, posterior array<double>")])
+    own = {name: F.col("others")[place] for name, place in places.items()}
+    columns = [own.get(name, F.col("text")).alias(name) for name in documents.columns]
+    return arrow_map(rows, _memberships(shared, ["text", "others"]), schema), columns
+
+
 def mix(
     documents: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None
 ) -> DataFrame:
@@ -258,23 +275,29 @@ def repeat_by_rate(
     ``doc_id``. Rows with the same ``doc_id`` share the largest of their rates; so do rows
     with a null ``doc_id``, whose draw is a hash of the text.
     """
-    rates = stage(
-        mix(documents, labelled, targets, budget).groupBy("doc_id").agg(F.max("rate").alias("rate")), "rates"
+    names = sorted(targets)
+    rows, columns = _with_rows(documents, fit_domains(documents, labelled, names))
+    # The rows come along to their rates: joining them would shuffle every text.
+    members = stage(rows, "members")
+    doc_id = next(own for own, name in zip(columns, documents.columns) if name.lower() == "doc_id")
+    rated = fit_rates(members, [targets[name] for name in names], budget).select(
+        doc_id.cast("long").alias("doc_id"), "rate", "text", "others"
     )
-    unnamed = rates.where("doc_id is null").first()
-    # Within a struct no column of the documents can clash with one needed on the way.
-    rows = documents.select(F.struct(*map(named, documents.columns)).alias("row"))
-
-    def copies(rate: F.Column, key: F.Column) -> F.Column:
-        draw = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1000003)) / F.lit(1000003.0)
-        return F.array_repeat(F.lit(1), F.floor(rate + draw).cast("int"))
-
-    known = F.col("row.doc_id").cast("long")
-    joined = rows.where(known.isNotNull()).join(rates.where("doc_id is not null"), known == F.col("doc_id"))
-    spread = joined.select("row", F.explode(copies(F.col("rate"), F.col("doc_id"))).alias("copy")).select("row.*")
-    if unnamed is None:
-        return spread
-    # They are not joined: all have the one key that joins nothing, and would meet in one task.
-    alone = rows.where(known.isNull())
-    alone = alone.select("row", F.explode(copies(F.lit(unnamed["rate"]), F.col("row.text"))).alias("copy"))
-    return spread.unionAll(alone.select("row.*"))
+    largest = rated.groupBy("doc_id").agg(F.max("rate").alias("largest"), F.count("*").alias("rows"))
+    repeated = stage(largest.where("rows > 1").select("doc_id", "largest"), "repeated")
+    unnamed = repeated.where("doc_id is null").first()
+    several = repeated.where("doc_id is not null")
+    if unnamed is not None:
+        rated = rated.withColumn("rate", F.when(F.col("doc_id").isNull(), unnamed["largest"]).otherwise(F.col("rate")))
+    if not several.isEmpty():
+        # Rows without an id are not joined: all have the one key that joins nothing, and would meet in one task.
+        known = rated.where("doc_id is not null").join(several, "doc_id", "left")
+        known = known.withColumn("rate", F.coalesce("largest", "rate")).drop("largest")
+        rated = known.unionByName(rated.where("doc_id is null"))
+
+    def draw(key: str) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1000003)) / F.lit(1000003.0)
+
+    drawn = F.when(F.col("doc_id").isNull(), draw("text")).otherwise(draw("doc_id"))
+    copies = F.array_repeat(F.lit(1), F.floor(F.col("rate") + drawn).cast("int"))
+    return rated.select("text", "others", F.explode(copies).alias("copy")).select(*columns)

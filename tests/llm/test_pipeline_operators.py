@@ -105,6 +105,29 @@ def test_mixing_of_a_table_with_odd_columns(spark, ids):
     assert sum(row.doc_id is None for row in found) >= 3
 
 
+@pytest.mark.parametrize("repeats", [0, 30])
+def test_texts_are_not_shuffled_to_their_rates(spark, repeats):
+    documents, labelled = two_languages(spark, "long")
+    others = documents.limit(repeats).withColumn("text", F.concat(F.lit("das und "), "text"))
+    documents, targets = documents.unionAll(others), {"en": 0.5, "de": 0.5}
+    rates = mix(documents, labelled, targets).groupBy("doc_id").agg(F.max("rate").alias("top"))
+    by_id, by_text = [F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1000003)) / F.lit(1000003.0) for key in ("id", "text")]
+    draw = F.when(F.col("id").isNull(), by_text).otherwise(by_id)
+    joined = documents.withColumnRenamed("doc_id", "id").join(rates, F.col("id").eqNullSafe(F.col("doc_id")))
+    expected = Counter()
+    for row in joined.select("id", "text", F.floor(F.col("top") + draw).alias("n")).collect():
+        expected[row.id, row.text] += row.n
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        mixed = repeat_by_rate(documents, labelled, targets)
+        found = Counter((row.doc_id, row.text) for row in mixed.collect())
+        plan = mixed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == +expected
+    assert ("Exchange" in plan) == (repeats > 0)
+
+
 def test_no_document_is_left_out_by_a_rate_above_one(spark):
     documents, labelled = two_languages(spark)
     expected = mix(documents, labelled, {"en": 0.5, "de": 0.5}).agg(F.min("rate")).first()[0]
