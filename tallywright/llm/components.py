@@ -43,31 +43,40 @@ def _contract(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(node=nodes[moved], root=roots[moved])
 
 
+def _settled(stars: DataFrame) -> bool:
+    """Whether every node has one root, and no root has a root of its own."""
+    ends = stars.selectExpr("inline(array(struct(node as u, root as v), struct(root as u, cast(null as bigint) as v)))")
+    torn = ends.groupBy("u").agg(
+        F.min("v").alias("low"), F.max("v").alias("high"), F.bool_or(F.col("v").isNull()).alias("head")
+    )
+    return torn.where("low <> high or (head and low is not null)").agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``edges`` (long columns ``a``, ``b``).
 
     The component is the smallest node reachable. Nodes that have no link are not
     returned; an empty input gives no rows. Repeated links and loops do no harm,
     links with a null end are ignored. Each round is written to the shared folder,
-    and the number of rounds grows with the logarithm of the longest path.
+    and the number of rounds grows with the logarithm of the longest path. Links that
+    are stars from the start take no round.
+
+    Both directions of a link, and both links that a round makes of one, are rows of one
+    pass: a union would plan and run all that comes before it twice.
     """
     links = edges.select("a", "b").where("a is not null and b is not null")
     stars = stage(arrow_map(links, _contract, "node long, root long").distinct(), "stars")
-    seen = None
-    while True:
-        both = stars.union(stars.select("root", "node")).toDF("u", "v")
+    # A root is always smaller than its node.
+    while not _settled(stars):
+        both = stars.selectExpr("inline(array(struct(node as u, root as v), struct(root as u, node as v)))")
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(lowest, "u").where("v > u").select("v", "m").where("v <> m")
-        large = large.toDF("node", "root").distinct()
+        large = both.join(lowest, "u").where("v > u").selectExpr("v as node", "m as root")
         least = large.groupBy("node").agg(F.min("root").alias("m"))
-        joined = large.join(least, "node")
-        small = joined.where("root <> m").select("root", "m").union(joined.select("node", "m"))
-        stars = stage(small.toDF("node", "root").distinct(), "stars")
-        now = stars.agg(
-            F.count("*"), F.bit_xor(F.xxhash64("node", "root")), F.sum(F.hash("node", "root").cast("long"))
-        ).first()
-        if now == seen:
-            break
-        seen = now
+        small = (
+            large.join(least, "node")
+            .selectExpr("inline(array(struct(root as node, m as root), struct(node as node, m as root)))")
+            .where("node <> root")
+        )
+        stars = stage(small.distinct(), "stars")
     heads = stars.select("root").distinct()
     return stars.union(heads.select("root", "root")).toDF("node", "component")

@@ -29,12 +29,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tallywright.llm.components import components
-from tallywright.llm.tasks import arrow_map, batch, named, shingles_of, signed, texts_of
+from tallywright.llm.tasks import arrow_map, batch, give_back, named, shingles_of, signed, texts_of
 from tallywright.sources.scratch import stage
 
 WORDS = 5
@@ -332,8 +333,10 @@ def _may_need(bits):
     return run
 
 
-def _texts_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``mark, doc_id`` of the sets in ``pairs``, and ``doc_id, text`` of few other rows than these.
+def _texts_of(
+    pairs: DataFrame, classes: DataFrame, texts: DataFrame
+) -> tuple[DataFrame, DataFrame, Broadcast]:
+    """``mark, doc_id`` of the sets in ``pairs``, ``doc_id, text`` of few other rows than these, and the bitmap.
 
     Most texts are in no pair. A bitmap of fixed size over the hashes of those that are
     keeps the others from being shuffled; the join that follows is exact.
@@ -351,9 +354,11 @@ def _texts_of(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> tuple[D
     table = chunks.toArrow()  # at most NEEDED_BITS
     for chunk, own in zip(table.column("chunk").to_pylist(), table.column("bits").to_pylist(), strict=True):
         bits[chunk - 1] = np.frombuffer(own, np.uint8)
+    del table
+    give_back()
     shared = pairs.sparkSession.sparkContext.broadcast(bits.ravel())
     rows = texts.select(F.col("doc_id").cast("long"), "text", bit)
-    return needed, arrow_map(rows, _may_need(shared), "doc_id long, text string")
+    return needed, arrow_map(rows, _may_need(shared), "doc_id long, text string"), shared
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, documents: DataFrame, shingle_words: int) -> DataFrame:
@@ -361,7 +366,7 @@ def _alike(pairs: DataFrame, classes: DataFrame, documents: DataFrame, shingle_w
 
     The members of a pivot are dealt to groups of bounded size, each with the pivot's text.
     """
-    needed, texts = _texts_of(pairs, classes, documents)
+    needed, texts, bits = _texts_of(pairs, classes, documents)
     sizes = pairs.groupBy("a").agg(F.expr(f"ceil(count(*) / {PIVOT_MEMBERS})").alias("groups"))
     members = pairs.join(sizes, "a").select(
         F.col("a").alias("pivot"),
@@ -381,9 +386,10 @@ def _alike(pairs: DataFrame, classes: DataFrame, documents: DataFrame, shingle_w
         .repartition("pivot", "part")
         .sortWithinPartitions("pivot", "part", "member", "mark")
     )
-    return arrow_map(
-        rows.select("pivot", "mark", "text"), _compare(shingle_words, 75), "a long, b long"
-    )
+    alike = arrow_map(rows.select("pivot", "mark", "text"), _compare(shingle_words, 75), "a long, b long")
+    links = stage(alike, "links")
+    bits.destroy()
+    return links
 
 
 def _first() -> F.Column:
@@ -517,11 +523,14 @@ def similar_groups(documents: DataFrame, shingle_words: int = WORDS) -> DataFram
         .selectExpr("head as a", "mark as b")
         .union(tops.selectExpr("top.mark as a", "mark as b"))
     )
-    links = stage(_alike(stage(stars.distinct(), "stars"), classes, texts, shingle_words), "links")
+    # The lists are written, and nothing reads the counts any more.
+    shared.destroy()
+    del sketch, shared
+    links = _alike(stage(stars.distinct(), "stars"), classes, texts, shingle_words)
     # What the pivots didn't join: members of different groups in one list.
     apart = _apart(lists, components(links))
     across = _across(apart)
-    links = links.union(stage(_alike(stage(across, "across"), classes, texts, shingle_words), "links"))
+    links = links.union(_alike(stage(across, "across"), classes, texts, shingle_words))
     groups = components(links)
     named = (
         groups.join(classes, groups.node == classes.mark)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
+#: Rows whose products are held at once.
+BLOCK_ROWS = 64
+
 
 @dataclass
 class Rows:
@@ -21,8 +25,13 @@ class Rows:
         join = lambda at, kind: np.concatenate([np.asarray(r[at], kind) for r in rows]) if rows else np.empty(0, kind)
         return cls(join(0, np.int64), join(1, np.float64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
 
-    def row_of(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+    def blocks(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """Some rows at a time: which, and the features, values and rows (from 0) of what they hold."""
+        for start in range(0, len(self.bounds) - 1, BLOCK_ROWS):
+            bounds = self.bounds[start : start + BLOCK_ROWS + 1]
+            own = slice(bounds[0], bounds[-1])
+            owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            yield slice(start, start + len(bounds) - 1), self.features[own], self.values[own], owner
 
 
 @dataclass
@@ -34,8 +43,10 @@ class Linear:
     scale: float = 1.0
 
     def margins(self, rows: Rows) -> np.ndarray:
-        own = self.weights[rows.features] * rows.values
-        return np.bincount(rows.row_of(), own, len(rows.bounds) - 1)
+        margins = np.zeros(len(rows.bounds) - 1)
+        for at, features, values, owner in rows.blocks():
+            margins[at] = np.bincount(owner, self.weights[features] * values, at.stop - at.start)
+        return margins
 
     def probability(self, margin):
         return 1 / (1 + np.exp(-np.clip(self.scale * margin + self.shift, -30, 30)))
@@ -43,16 +54,22 @@ class Linear:
 
 def fit(rows: Rows, targets: np.ndarray, size: int, rounds: int = 80, penalty: float = 1e-5) -> Linear:
     """Weights that fit targets between 0 and 1, by accelerated gradient steps per feature scale."""
-    owner, count = rows.row_of(), max(len(targets), 1)
-    energy = np.bincount(rows.features, rows.values**2, size) / count
+    count = max(len(targets), 1)
+    energy = np.zeros(size)
+    for _, features, values, _ in rows.blocks():
+        np.add.at(energy, features, np.square(values, dtype=np.float64))
+    energy /= count
     step = 1 / np.sqrt(energy + 1e-8)
     step[energy == 0] = 0
     weights, bias = np.zeros(size), 0.0
     first, second = np.zeros(size + 1), np.zeros(size + 1)
     for turn in range(1, rounds + 1):
-        margin = np.bincount(owner, weights[rows.features] * rows.values, len(targets)) + bias
+        margin = Linear(weights).margins(rows) + bias
         wrong = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - targets) / count
-        slope = np.bincount(rows.features, wrong[owner] * rows.values, size) + penalty * weights / np.maximum(step, 1e-9) ** 2 * (step > 0)
+        slope = np.zeros(size)
+        for at, features, values, owner in rows.blocks():
+            np.add.at(slope, features, wrong[at][owner] * values)
+        slope += penalty * weights / np.maximum(step, 1e-9) ** 2 * (step > 0)
         whole = np.append(slope, wrong.sum())
         first = 0.9 * first + 0.1 * whole
         second = 0.98 * second + 0.02 * whole**2

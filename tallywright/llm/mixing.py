@@ -15,13 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallywright.llm.features import SIZE, ngram_groups, sparse_row
 from tallywright.llm.rules import one_text_each, smallest_hashes
-from tallywright.llm.tasks import arrow_map, batch, named, texts_of
+from tallywright.llm.tasks import arrow_map, batch, give_back, named, texts_of
 from tallywright.sources.scratch import stage
 
 #: Labelled rows of each domain that the classifier is fitted on, and the most domains.
@@ -92,11 +93,14 @@ def fit_domains(documents: DataFrame, labelled: DataFrame, names: list[str]) ->
         arrow_map(sample.select("text", "domain"), _domain_counts, "domain string, feature int, share double")
         .groupBy("domain", "feature")
         .agg(F.sum("share").alias("share"))
-        .collect()
+        .toArrow()  # at most SIZE rows of a domain; as columns, for rows of Python objects take many times that
     )
     table = np.full((len(names), SIZE), SMOOTH / 100)
-    for domain, feature, share in sums:
-        table[names.index(domain), feature] += share
+    for part in sums.to_batches():
+        places = pc.index_in(part.column("domain"), pa.array(names, pa.string())).to_numpy()
+        table[places, part.column("feature").to_numpy()] += part.column("share").to_numpy()
+    del sums
+    give_back()
     held = {row[0]: row[1] for row in picked.groupBy("domain").count().collect()}
     prior = np.log([held.get(name, 0) + 1.0 for name in names])
     return Domains(names, np.log(table / table.sum(axis=1, keepdims=True)), prior - prior.max())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallywright.llm.features import SIZE, margin, ngram_groups, rule_counts, sparse_row
 from tallywright.llm.linear import Linear, Rows, calibrated, fit
-from tallywright.llm.tasks import arrow_map, batch, texts_of
+from tallywright.llm.tasks import arrow_map, batch, give_back, texts_of
 from tallywright.sources.scratch import stage
 
 #: Labelled rows of each class a model is fitted on, a quarter of them for calibration.
@@ -59,16 +59,16 @@ def sampled_rows(
         return Rows.of([]), np.empty(0), np.empty(0, np.int64)
     bounds = lists[0].offsets.to_numpy().astype(np.int64)
     sparse = Rows(
-        lists[0].values.to_numpy()[bounds[0] : bounds[-1]].astype(np.int64),
-        lists[1].values.to_numpy()[bounds[0] : bounds[-1]].astype(np.float64),
+        lists[0].values.to_numpy()[bounds[0] : bounds[-1]],
+        lists[1].values.to_numpy()[bounds[0] : bounds[-1]],
         bounds - bounds[0],
     )
     return sparse, rows.column("target").to_numpy(), rows.column("part").to_numpy()
 
 
 def _part(rows: Rows, chosen: np.ndarray) -> Rows:
-    picked = chosen[rows.row_of()]
-    sizes = np.diff(rows.bounds)[chosen]
+    sizes = np.diff(rows.bounds)
+    picked, sizes = np.repeat(chosen, sizes), sizes[chosen]
     return Rows(rows.features[picked], rows.values[picked], np.concatenate([[0], np.cumsum(sizes)]))
 
 
@@ -152,6 +152,7 @@ def quality_rules(documents: DataFrame, labels: DataFrame) -> DataFrame:
     chosen = stage(chosen[0].union(chosen[1]), "chosen")
     share = known.agg(F.avg("target")).first()[0] or 0.0
     model = fitted(*sampled_rows(documents, chosen), share)
+    give_back()
     shared = documents.sparkSession.sparkContext.broadcast(model)
     return arrow_map(
         documents.select("doc_id", "text"),

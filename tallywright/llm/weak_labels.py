@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tallywright.llm.features import margin, ngram_groups, style, style_group
 from tallywright.llm.rules import fitted, sampled_rows, smallest_hashes
-from tallywright.llm.tasks import arrow_map, batch, named, texts_of
+from tallywright.llm.tasks import arrow_map, batch, give_back, named, texts_of
 from tallywright.sources.scratch import stage
 
 #: Documents of each side that the scorer is trained on.
@@ -160,6 +160,7 @@ def classify(documents: DataFrame) -> DataFrame:
         ]
         chosen = stage(sides[0].union(sides[1]).groupBy("doc_id").agg(F.min("target").alias("target")), "chosen")
         model = fitted(*sampled_rows(documents, chosen, _groups), share)
+        give_back()
     kept = [name for name in documents.columns if name not in ("weak_quality", "quality_score", "stays")]
     rows = documents.select(*map(named, kept))
     found = T.StructType.fromDDL("weak_quality double, quality_score double, stays boolean")
